@@ -48,9 +48,10 @@ def fit_encoders(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     return ranked.withColumn("code", (F.col("code") - 1).cast("bigint"))
 
 
-def encode(df: DataFrame, encoders: DataFrame, columns: Sequence[str]) -> DataFrame:
+def encode(df: DataFrame, encoders: DataFrame, columns: Sequence[str], prefix: str = "") -> DataFrame:
     """Replace each categorical column by its code (double); NULL or unseen
-    gives -1.0.  Columns absent from the encoder table are left alone."""
+    gives -1.0.  Columns absent from the encoder table are left alone.  With
+    a ``prefix`` the codes go to new columns and the originals stay."""
     n = encoders.count()
     out = df
     if n <= INLINE_LIMIT:
@@ -64,7 +65,7 @@ def encode(df: DataFrame, encoders: DataFrame, columns: Sequence[str]) -> DataFr
             for value, code in table[c]:
                 items += [F.lit(value), F.lit(float(code))]
             lookup = F.try_element_at(F.create_map(*items), F.col(c).cast("string"))
-            out = out.withColumn(c, F.coalesce(lookup, F.lit(-1.0)))
+            out = out.withColumn(prefix + c, F.coalesce(lookup, F.lit(-1.0)))
         return out
     for c in columns:
         if c not in df.columns:
@@ -74,7 +75,7 @@ def encode(df: DataFrame, encoders: DataFrame, columns: Sequence[str]) -> DataFr
         )
         out = (
             out.join(enc, F.col(c).cast("string") == F.col(f"_v_{c}"), "left")
-            .withColumn(c, F.coalesce(F.col(f"_c_{c}"), F.lit(-1.0)))
+            .withColumn(prefix + c, F.coalesce(F.col(f"_c_{c}"), F.lit(-1.0)))
             .drop(f"_v_{c}", f"_c_{c}")
         )
     return out

@@ -112,3 +112,7 @@ def q_clean_zero_tenure(spark: SparkSession, sf: str) -> DataFrame:
 )
 def q_stratified_split(spark: SparkSession, sf: str) -> DataFrame:
     return manifest(spark, sf)
+
+
+# further registrations live in sibling modules
+from churnframe.plans import exact as _exact  # noqa: E402,F401

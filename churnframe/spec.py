@@ -63,4 +63,5 @@ SNAPSHOT = TenantSpec(
     duration_column="tenure_months",
     total_column="total_spend",
     segment_column="contract",
+    extra_excluded=("tenant_id",),
 )
