@@ -30,13 +30,15 @@ def customer_snapshot(
     sf_dir: str,
     label: str = "planted",
     cutoff: str = SNAPSHOT_CUTOFF,
+    with_future_spend: bool = False,
 ) -> DataFrame:
     """One row per customer with an order before ``cutoff``.
 
     Features come from orders before the cutoff, the natural label from
     orders after it (``churn = 'Yes'`` if none).  ``label='planted'`` replaces
     the label by a hash draw against the closed-form score, which gives the
-    lift tests a signal to find.
+    lift tests a signal to find.  ``with_future_spend`` adds the revenue
+    after the cutoff from the same aggregation.
 
     Plan: one scan of ``orders`` (date, customer, price only), one partial
     aggregation by customer (map-side combine, so a customer with a huge
@@ -54,6 +56,7 @@ def customer_snapshot(
             F.max(F.when(before, F.col("o_orderdate"))).alias("last_ts"),
             F.sum(F.when(before, F.col("o_totalprice").cast("decimal(18,2)"))).alias("spend"),
             F.max((~before).cast("int")).alias("has_future"),
+            F.sum(F.when(~before, F.col("o_totalprice").cast("decimal(18,2)"))).alias("future"),
         )
         .filter(F.col("n_orders") > 0)
     )
@@ -82,8 +85,12 @@ def customer_snapshot(
             .otherwise(F.col("spend").cast("string"))
             .alias("total_spend"),
             F.when(F.col("has_future") == 1, F.lit("No")).otherwise(F.lit("Yes")).alias("natural_churn"),
+            # revenue after the cutoff: the lifetime-value target
+            F.coalesce(F.col("future").cast("double"), F.lit(0.0)).alias("future_spend"),
         )
     )
+    if not with_future_spend:
+        snap = snap.drop("future_spend")
     if label == "natural":
         return snap.withColumnRenamed("natural_churn", "churn")
     if label != "planted":
@@ -91,3 +98,4 @@ def customer_snapshot(
     u = hash_unit("churn:", F.col("customer_id"))
     planted = F.when(u < closed_form_score(F.col("recency_days")), F.lit("Yes")).otherwise(F.lit("No"))
     return snap.withColumn("churn", planted).drop("natural_churn")
+
