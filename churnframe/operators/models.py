@@ -33,13 +33,27 @@ FEATURES_VEC = "_features"
 LABEL = "_label"
 
 
-def require_complete(df: DataFrame, features: list[str]) -> None:
+ROWS_PER_PARTITION = 1_000_000
+
+
+def require_complete(df: DataFrame, features: list[str]) -> int:
     """Numeric features must be present: fail early with the column names
-    instead of deep inside the fit."""
-    counts = df.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features]).collect()[0]
+    instead of deep inside the fit.  Returns the row count (same pass)."""
+    counts = df.agg(
+        F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(f).isNull()).alias(f) for f in features]
+    ).collect()[0]
     missing = [f for f in features if counts[f]]
     if missing:
         raise ValueError(f"missing values in features: {missing}")
+    return int(counts["_n"])
+
+
+def sized(df: DataFrame, n_rows: int) -> DataFrame:
+    """Iterative fitters pay a fixed cost per partition and iteration: keep
+    about ``ROWS_PER_PARTITION`` rows per partition (never more partitions
+    than the input has, so no shuffle)."""
+    want = max(1, -(-n_rows // ROWS_PER_PARTITION))
+    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
 
 
 @dataclass
@@ -128,12 +142,14 @@ def fit_churn(
     categorical = categorical_columns(train, present)
     if encoders is None:
         encoders = _encoders_table(train, categorical)
-    require_complete(train, [f for f in present if f not in categorical])
-    data = (
-        with_feature_vector_inputs(train, encoders, list(features), categorical)
-        .select(binarize(F.col(spec.target_column), spec.positive_value).cast("double").alias(LABEL), *input_names(list(features)))
-        .persist()
-    )
+    n_rows = require_complete(train, [f for f in present if f not in categorical])
+    data = sized(
+        with_feature_vector_inputs(train, encoders, list(features), categorical).select(
+            binarize(F.col(spec.target_column), spec.positive_value).cast("double").alias(LABEL),
+            *input_names(list(features)),
+        ),
+        n_rows,
+    ).persist()
     gbt = GBTClassifier(
         featuresCol=FEATURES_VEC,
         labelCol=LABEL,
@@ -227,8 +243,8 @@ def train_value(
     features = spec.feature_columns(df.columns, exclude=(target, *exclude))
     categorical = categorical_columns(train, features)
     encoders = _encoders_table(train, categorical)
-    require_complete(train, [f for f in features if f not in categorical])
-    data = with_feature_vector_inputs(train, encoders, features, categorical)
+    n_rows = require_complete(train, [f for f in features if f not in categorical])
+    data = sized(with_feature_vector_inputs(train, encoders, features, categorical), n_rows).persist()
     gbt = GBTRegressor(
         featuresCol=FEATURES_VEC,
         labelCol=target,

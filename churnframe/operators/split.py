@@ -10,7 +10,7 @@ from churnframe.operators.ordering import rank_within
 from churnframe.spec import TenantSpec
 
 
-def test_count(n: int, test_size: float) -> int:
+def n_test_rows(n: int, test_size: float) -> int:
     """Test rows for a class of ``n``: half-even rounding, at least one if
     the class has more than one row, never the whole class."""
     n_test = max(1, int(round(n * test_size))) if n > 1 else 0
@@ -23,7 +23,7 @@ def stratified_split(df: DataFrame, spec: TenantSpec, test_size: float = 0.2, se
     """Manifest ``(id, label, split)``.
 
     Within each label (as text) ids are ordered by md5('<seed>:<id>'), then
-    id; the first ``test_count`` go to test.  Only the set of records
+    id; the first ``n_test_rows`` go to test.  Only the set of records
     matters, never their physical order.  The per-label ordinal is a
     distributed rank, so a label holding most rows is still sorted by many
     tasks.
@@ -34,7 +34,7 @@ def stratified_split(df: DataFrame, spec: TenantSpec, test_size: float = 0.2, se
         F.coalesce(F.col(tgt).cast("string"), F.lit("nan")).alias("label"),
     ).withColumn("_h", hash_order_key(seed, F.col("id")))
     counts = {r["label"]: r["count"] for r in base.groupBy("label").count().collect()}
-    cutoffs = {label: test_count(n, test_size) for label, n in counts.items()}
+    cutoffs = {label: n_test_rows(n, test_size) for label, n in counts.items()}
     items = []
     for label, cut in cutoffs.items():
         items += [F.lit(label), F.lit(cut).cast("bigint")]

@@ -31,10 +31,10 @@ _MODELS: dict = {}
 
 def _churn(spark: SparkSession, sf: str):
     """Train once per (session, data folder); later queries reuse the model."""
-    key = ("churn", id(spark), sf)
+    key = ("churn", spark.sparkContext.applicationId, sf)
     if key not in _MODELS:
-        df = cleaned(spark, sf).persist()
-        m = manifest(spark, sf, df).persist()
+        df = cleaned(spark, sf)
+        m = manifest(spark, sf)
         model, run = train_churn(df, m, S)
         _MODELS[key] = (df, m, model, run.persist())
     return _MODELS[key]
@@ -91,11 +91,12 @@ def q_clv_importance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _segment_inputs(spark: SparkSession, sf: str):
-    df, m, model, _run = _churn(spark, sf)
+    df = cleaned(spark, sf)
     features = S.feature_columns(df.columns)
     cats = categorical_columns(df, features)
     # encoders fitted on the train split; scaling and clustering on everyone
-    enc = encode(df, model.encoders, cats)
+    encoders = fit_encoders(split_rows(df, manifest(spark, sf), S, "train"), cats)
+    enc = encode(df, encoders, cats)
     return df, enc, features
 
 
@@ -135,7 +136,7 @@ def q_detect_anomalies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _cox(spark: SparkSession, sf: str):
-    key = ("cox", id(spark), sf)
+    key = ("cox", spark.sparkContext.applicationId, sf)
     if key not in _MODELS:
         df = cleaned(spark, sf).withColumn("_event", binarize(F.col("churn"), "Yes")).persist()
         m = manifest(spark, sf, df)
