@@ -78,14 +78,14 @@ def read_manifest(spark: SparkSession, path: str, tenant_id: str) -> DataFrame:
 
 
 def record_run(run: DataFrame, path: str, run_id: str, when: dt.datetime) -> None:
-    """Append one run record (JSON lines, one folder per tenant)."""
+    """Append one run record (parquet, one folder per tenant)."""
     (
         run.withColumn("run_id", F.lit(run_id))
         .withColumn("timestamp", F.lit(when.isoformat()))
         .coalesce(1)
         .write.mode("append")
         .partitionBy("tenant_id")
-        .json(path)
+        .parquet(path)
     )
 
 
