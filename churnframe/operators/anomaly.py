@@ -17,6 +17,7 @@ population with a broadcast forest.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -95,6 +96,29 @@ class Forest:
             )
         return trees
 
+    def save(self, spark, path: str) -> None:
+        spark.createDataFrame(self.nodes, NODE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+        meta = json.dumps({"features": self.features, "max_samples": self.max_samples, "offset": self.offset})
+        spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+    @classmethod
+    def load(cls, spark, path: str) -> "Forest":
+        meta = json.loads(spark.read.text(f"{path}/meta").collect()[0][0])
+        nodes = spark.read.parquet(f"{path}/nodes").toPandas()
+        return cls(meta["features"], nodes, meta["max_samples"], meta["offset"])
+
+    def score(self, df: DataFrame, id_column: str, keep: Sequence[str] = ()) -> DataFrame:
+        """Flag and score rows with the fitted forest and offset (no refit);
+        ``keep`` columns (e.g. the raw features) pass through."""
+        raw = self.score_samples(df, [id_column, *keep])
+        s = F.col("raw_score") - F.lit(float(self.offset))
+        return raw.select(
+            id_column,
+            *keep,
+            F.when(s < 0, F.lit(-1)).otherwise(F.lit(1)).cast("bigint").alias("anomaly_flag"),
+            s.alias("anomaly_score"),
+        )
+
     def score_samples(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Adds ``raw_score`` = -2^(-E[h(x)] / c(max_samples)) (lower is more
         anomalous)."""

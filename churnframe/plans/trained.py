@@ -188,3 +188,68 @@ def q_retrain_with_feedback(spark: SparkSession, sf: str) -> DataFrame:
     batch = feedback_batch(df, camp, S)
     _v2, record = retrain_with_feedback(df, m, batch, S, model.features)
     return record
+
+
+def _saved_dir(spark: SparkSession, kind: str) -> str:
+    from churnframe.session import ensure_checkpoint_dir
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/models/{spark.sparkContext.applicationId}/{kind}"
+
+
+# Label texts for the four fitted segments, by cluster index.
+SEGMENT_LABELS = [
+    (0, "segment 0"),
+    (1, "segment 1"),
+    (2, "segment 2"),
+    (3, "segment 3"),
+]
+
+
+@query("profile_saved_segments")
+def q_profile_saved_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Fit k=4 once, save it, reload it and profile every customer with the
+    saved model (no refit)."""
+    from churnframe.operators.segment import Segmentation, profile_clusters
+
+    df, enc, features = _segment_inputs(spark, sf)
+    seg, _assign = segment(enc, ID, features, k=4)
+    path = _saved_dir(spark, "segments")
+    seg.save(spark, path)
+    saved = Segmentation.load(spark, path)
+    labels = spark.createDataFrame(SEGMENT_LABELS[:3], "cluster bigint, label string")
+    return profile_clusters(
+        df, saved.assign(enc, ID), ID, "tenure_months", "avg_order", "contract", "churn", "Yes", labels
+    )
+
+
+@query("anomaly_report_saved")
+def q_anomaly_report_saved(spark: SparkSession, sf: str) -> DataFrame:
+    """Fit the forest, save it, reload it, score everyone with the saved
+    forest and list the five most extreme flagged customers."""
+    from churnframe.operators.anomaly import Forest, anomaly_report
+
+    df, enc, features = _segment_inputs(spark, sf)
+    forest, _res = detect_anomalies(enc, ID, features, contamination=0.05)
+    path = _saved_dir(spark, "anomalies")
+    forest.save(spark, path)
+    saved = Forest.load(spark, path)
+    return anomaly_report(saved.score(enc, ID), ID, 5)
+
+
+@query("outcome_by_segment")
+def q_outcome_by_segment(spark: SparkSession, sf: str) -> DataFrame:
+    """Churn rate per fitted segment and among flagged anomalies (the label
+    is looked up only here, never used to fit)."""
+    from churnframe.operators.reports import outcome_by_group
+
+    df, enc, features = _segment_inputs(spark, sf)
+    _seg, assign = segment(enc, ID, features, k=4)
+    _forest, res = detect_anomalies(enc, ID, features, contamination=0.05)
+    seg = outcome_by_group(df.join(assign, ID), "cluster", "churn", "Yes").select(
+        F.concat(F.lit("cluster "), F.col("cluster").cast("string")).alias("grp"), "n", "churn_rate_pct"
+    )
+    ano = outcome_by_group(df.join(res, ID), "anomaly_flag", "churn", "Yes").select(
+        F.concat(F.lit("anomaly_flag "), F.col("anomaly_flag").cast("string")).alias("grp"), "n", "churn_rate_pct"
+    )
+    return seg.unionByName(ano)
