@@ -153,16 +153,42 @@ def global_rank(df: DataFrame, keys: Sequence[Key | str], rank_col: str = "rank"
     )
 
 
+MAX_INLINE_GROUPS = 10_000
+
+
 def rank_within(df: DataFrame, group_col: str, keys: Sequence[Key | str], rank_col: str = "rank", **kw) -> DataFrame:
-    """Rank 1..n_g inside each group of ``group_col``.  Ranks globally on
-    (group, keys), then subtracts each group's first rank (one row per group,
-    joined back; a group holding a third of the rows is still spread over
-    many buckets)."""
+    """Rank 1..n_g inside each group of ``group_col``.
+
+    Ranks globally on (group, keys) -- so a group holding a third of the
+    rows is still spread over many buckets -- then subtracts the group's
+    offset.  With few groups (labels, columns) the offsets come from one
+    partial-aggregated count per group and are inlined as a map literal: no
+    join on the group key, which would send each group to one task.  Many
+    groups fall back to a join with a (group, first rank) table.
+    """
     keys = [(group_col, True), *_norm(keys)]
+    counts = df.groupBy(group_col).count()
+    few = counts.limit(MAX_INLINE_GROUPS + 1).collect()
     ranked = global_rank(df, keys, "_grank", **kw)
+    if len(few) <= MAX_INLINE_GROUPS:
+        rows = sorted(((r[0],), r[1]) for r in few) if all(r[0] is not None for r in few) else None
+        if rows is None:  # NULL group sorts first
+            rows = [((None,), r[1]) for r in few if r[0] is None] + sorted(((r[0],), r[1]) for r in few if r[0] is not None)
+        run, items, null_offset = 0, [], None
+        for (g,), c in rows:
+            if g is None:
+                null_offset = run
+            else:
+                items += [F.lit(g), F.lit(run).cast("bigint")]
+            run += c
+        offset = F.element_at(F.create_map(*items), F.col(group_col)) if items else F.lit(None).cast("bigint")
+        if null_offset is not None:
+            offset = F.when(F.col(group_col).isNull(), F.lit(null_offset).cast("bigint")).otherwise(offset)
+        return ranked.withColumn(rank_col, (F.col("_grank") - offset).cast("bigint")).drop("_grank")
     firsts = ranked.groupBy(group_col).agg(F.min("_grank").alias("_gfirst"))
     return (
-        ranked.join(firsts, group_col)
+        ranked.join(firsts, ranked[group_col].eqNullSafe(firsts[group_col]))
+        .drop(firsts[group_col])
         .withColumn(rank_col, (F.col("_grank") - F.col("_gfirst") + 1).cast("bigint"))
         .drop("_grank", "_gfirst")
     )
