@@ -17,6 +17,10 @@ Sort keys are composite and should end with a unique column (the id):
 boundaries then split even a key value held by a third of all rows into
 many buckets, so no task gets a hot group.  NULL sorts as the smallest value
 (Spark's default: first ascending, last descending).
+
+Inputs of at most ``rows_per_bucket`` rows form a single bucket, which the
+planner shows as one partition: by design that is one bounded task (2M rows
+by default); anything larger is cut into ceil(n / rows_per_bucket) buckets.
 """
 
 from __future__ import annotations

@@ -57,16 +57,22 @@ def _moments(df: DataFrame, duration: str, event: str, xs: list[str], beta: np.n
     lp = F.lit(0.0)
     for x, b in zip(xs, beta):
         lp = lp + F.col(x) * F.lit(float(b))
-    w = F.exp(lp)
-    e = F.col(event).cast("double")
-    aggs = [F.sum(w).alias("s0"), F.sum(e * w).alias("d0"), F.sum(e).alias("d"), F.sum(e * lp).alias("elp")]
+    # linear predictor and weight computed once per row, then plain sums
+    rows_in = df.select(
+        F.col(duration).cast("double").alias("t"),
+        F.col(event).cast("double").alias("_e"),
+        *[F.col(x) for x in xs],
+        lp.alias("_lp"),
+    ).withColumn("_w", F.exp(F.col("_lp"))).withColumn("_ew", F.col("_e") * F.col("_w"))
+    w, e, ew = F.col("_w"), F.col("_e"), F.col("_ew")
+    aggs = [F.sum(w).alias("s0"), F.sum(ew).alias("d0"), F.sum(e).alias("d"), F.sum(e * F.col("_lp")).alias("elp")]
     for i in range(p):
         xi = F.col(xs[i])
-        aggs += [F.sum(w * xi).alias(f"s1_{i}"), F.sum(e * w * xi).alias(f"d1_{i}"), F.sum(e * xi).alias(f"xd_{i}")]
+        aggs += [F.sum(w * xi).alias(f"s1_{i}"), F.sum(ew * xi).alias(f"d1_{i}"), F.sum(e * xi).alias(f"xd_{i}")]
         for j in range(i, p):
             xj = F.col(xs[j])
-            aggs += [F.sum(w * xi * xj).alias(f"s2_{i}_{j}"), F.sum(e * w * xi * xj).alias(f"d2_{i}_{j}")]
-    rows = df.groupBy(F.col(duration).cast("double").alias("t")).agg(*aggs).collect()
+            aggs += [F.sum(w * xi * xj).alias(f"s2_{i}_{j}"), F.sum(ew * xi * xj).alias(f"d2_{i}_{j}")]
+    rows = rows_in.groupBy("t").agg(*aggs).collect()
     if len(rows) > MAX_DURATIONS:
         raise ValueError("too many distinct durations; bucket the duration first")
     return rows
@@ -124,7 +130,7 @@ def fit_cox(
     event: str,
     features: Sequence[str],
     max_iter: int = 50,
-    tol: float = 1e-9,
+    tol: float = 1e-12,
 ) -> CoxModel:
     features = list(features)
     stats = train.agg(
@@ -145,19 +151,21 @@ def fit_cox(
     ll_old = None
     it = 0
     baseline = []
+    beta_prev = beta
     for it in range(1, max_iter + 1):
         ll, grad, hess, baseline = _efron(_moments(data, duration, event, xs, beta), p)
-        if ll_old is not None and ll < ll_old - 1e-12:
-            # overshoot: halve the step and retry
+        if ll_old is not None and ll < ll_old - 1e-9 * abs(ll_old):
+            # overshoot (beyond rounding noise): halve the step and retry
             beta = (beta + beta_prev) / 2.0
             continue
         step = np.linalg.solve(-hess, grad) if p else np.zeros(0)
         beta_prev = beta
         beta = beta + step
-        if ll_old is not None and abs(ll - ll_old) < tol and np.max(np.abs(step), initial=0.0) < 1e-7:
-            ll_old = ll
-            break
+        small_step = np.max(np.abs(step), initial=0.0) < 1e-7
+        flat = ll_old is not None and abs(ll - ll_old) <= tol * max(1.0, abs(ll_old))
         ll_old = ll
+        if small_step or flat:
+            break
     ll, grad, hess, baseline = _efron(_moments(data, duration, event, xs, beta), p)
     data.unpersist()
     full_beta = np.zeros(len(features))
