@@ -13,6 +13,7 @@ from churnframe.operators.models import fit_churn
 from churnframe.operators.ordering import rank_within
 from churnframe.operators.prioritize import PROBABILITY
 from churnframe.operators.split import split_rows
+from churnframe.session import cut_lineage
 from churnframe.spec import TenantSpec
 
 FEEDBACK_TAG = "synthetic_feedback_not_real"
@@ -82,7 +83,9 @@ def retrain_with_feedback(
     being trained on.  Returns (model, one-row record)."""
     train = split_rows(df, manifest, spec, "train")
     clean_batch = batch.drop("data_source")
-    combined = append_feedback(train, clean_batch).persist()
+    # the batch comes from the previous version's scores and ranking: cut
+    # that lineage before the iterative fit
+    combined = cut_lineage(append_feedback(train, clean_batch))
     model = fit_churn(combined, spec, features=features, params=params)
     test = split_rows(df, manifest, spec, "test")
     if not evaluate_on_feedback_ids:

@@ -14,6 +14,7 @@ from churnframe.operators.clean import clean
 from churnframe.operators.scoring import ClosedFormScorer
 from churnframe.operators.split import split_rows, stratified_split
 from churnframe.plans import oracle as O
+from churnframe.session import cut_lineage, ensure_checkpoint_dir
 from churnframe.sources.tables import customer_snapshot
 from churnframe.sources.tenant_files import validate
 from churnframe.spec import SNAPSHOT
@@ -38,17 +39,19 @@ def query(name: str, sql: str | None = None):
 
 # The cleaned snapshot and the split manifest are derived tables every
 # query starts from (the manifest is a stored artifact in the reference's
-# model too).  They are materialised once per session and data folder
-# (persisted, so a lost executor recomputes its blocks from lineage), and
-# the operators' multi-pass steps (count, sample, bucket counts) then read
-# them instead of re-aggregating ``orders``.
+# model too).  They are materialised once per session and data folder as a
+# reliable checkpoint in the session's shared checkpoint folder: lineage is
+# cut there, a lost executor re-reads the files instead of re-aggregating
+# ``orders``, and the operators' multi-pass steps (count, sample, bucket
+# counts) read the materialised table.
 _MATERIALISED: dict = {}
 
 
 def _once(kind: str, spark: SparkSession, sf: str, build) -> DataFrame:
     key = (kind, spark.sparkContext.applicationId, sf)
     if key not in _MATERIALISED:
-        _MATERIALISED[key] = build().persist()
+        ensure_checkpoint_dir(spark)
+        _MATERIALISED[key] = cut_lineage(build())
     return _MATERIALISED[key]
 
 
