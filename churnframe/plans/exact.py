@@ -864,3 +864,48 @@ FROM ranked""",
 )
 def q_ranking_expectations(spark: SparkSession, sf: str) -> DataFrame:
     return ranking_expectations(_ranking(spark, sf, "revenue_weighted"), "avg_order")
+
+
+def _sink_dir(spark: SparkSession, name: str) -> str:
+    from churnframe.session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}/{name}"
+
+
+@query(
+    "file_sink_round_trip",
+    O.with_(O.CLEAN, "SELECT customer_id, contract, tenure_months, avg_order, total_spend, churn FROM clean"),
+)
+def q_file_sink_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Write the cleaned table as CSV (header, no index), read it back with
+    its schema."""
+    from churnframe.sources.store import read_table_as, write_table
+
+    df = cleaned(spark, sf).select(ID, "contract", "tenure_months", "avg_order", "total_spend", "churn")
+    path = _sink_dir(spark, "cleaned_csv")
+    write_table(df, path, "csv")
+    return read_table_as(spark, path, df.schema, "csv")
+
+
+@query(
+    "customer_listing",
+    O.with_(
+        O.SNAP,
+        """SELECT CAST(customer_id AS VARCHAR) AS customer_id, tenant_id, contract, n_orders
+FROM snap WHERE tenant_id = 'ASIA'""",
+    ),
+)
+def q_customer_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Pack every raw row into the tenant-partitioned customers table, then
+    list the caller's tenant only (partition pruning on tenant_id)."""
+    from churnframe.sources.store import tenant_scope, write_partitioned
+
+    path = _sink_dir(spark, "customers")
+    write_partitioned(pack_customers(snapshot(spark, sf), S, "tenant_id", LOAD_TS), path, ["tenant_id"])
+    j = F.col("raw_features")
+    return tenant_scope(spark, path, "ASIA").select(
+        "customer_id",
+        "tenant_id",
+        F.get_json_object(j, "$.contract").alias("contract"),
+        F.get_json_object(j, "$.n_orders").cast("bigint").alias("n_orders"),
+    )

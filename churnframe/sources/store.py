@@ -64,6 +64,22 @@ def write_partitioned(df: DataFrame, path: str, partition_by: list[str]) -> None
     )
 
 
+def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Overwrite a whole table (CSV with a header row, no index column)."""
+    w = df.write.mode("overwrite").format(fmt)
+    if fmt == "csv":
+        w = w.option("header", True)
+    w.save(path)
+
+
+def read_table_as(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
+    """Read a table back with its known schema (no inference)."""
+    r = spark.read.schema(schema).format(fmt)
+    if fmt == "csv":
+        r = r.option("header", True)
+    return r.load(path)
+
+
 def tenant_scope(spark: SparkSession, path: str, tenant_id: str) -> DataFrame:
     """The caller's tenant only (partition pruning on tenant_id)."""
     return spark.read.parquet(path).filter(F.col("tenant_id") == F.lit(tenant_id))

@@ -98,3 +98,11 @@ def test_capability_matrix_reasons(spark):
     assert m[("banking", "priority")] == (False, NOT_VALIDATED)
     assert m[("banking", "survival")] == (False, NOT_TRAINED)
     assert m[("banking", "metrics")] == (True, None)
+
+
+def test_manifest_round_trip(spark, scratch):
+    m = spark.createDataFrame([("a", "Yes", "test"), ("b", "No", "train")], "id string, label string, split string")
+    store.write_manifest(m, f"{scratch}/manifest", "telco")
+    store.write_manifest(m.limit(1), f"{scratch}/manifest", "banking")
+    back = store.read_manifest(spark, f"{scratch}/manifest", "telco")
+    assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in m.collect())
