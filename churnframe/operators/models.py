@@ -226,6 +226,24 @@ class ValueModel:
         feats = with_feature_vector_inputs(df, self.encoders, self.features, self.categorical)
         return self.pipeline.transform(feats).drop(FEATURES_VEC, *input_names(self.features))
 
+    def save(self, path: str) -> None:
+        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        self.encoders.write.mode("overwrite").parquet(f"{path}/encoders")
+        meta = json.dumps({"features": self.features, "categorical": self.categorical, "target": self.target})
+        spark = self.encoders.sparkSession
+        spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "ValueModel":
+        meta = json.loads(spark.read.text(f"{path}/meta").collect()[0][0])
+        return cls(
+            meta["features"],
+            meta["categorical"],
+            spark.read.parquet(f"{path}/encoders"),
+            PipelineModel.load(f"{path}/pipeline"),
+            meta["target"],
+        )
+
 
 def train_value(
     df: DataFrame,

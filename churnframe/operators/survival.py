@@ -12,6 +12,7 @@ the usual fitters do; coefficients are reported on the original scale.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -46,6 +47,31 @@ class CoxModel:
                 expr = expr + (F.col(f).cast("double") - F.lit(float(m))) / F.lit(float(s)) * F.lit(float(b))
         return expr
 
+    def save(self, spark, path: str) -> None:
+        meta = {
+            "features": self.features,
+            "beta": self.beta.tolist(),
+            "mean": self.mean.tolist(),
+            "std": self.std.tolist(),
+            "baseline": self.baseline,
+            "log_likelihood": self.log_likelihood,
+            "iterations": self.iterations,
+        }
+        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> "CoxModel":
+        m = json.loads(spark.read.text(path).collect()[0][0])
+        return cls(
+            m["features"],
+            np.array(m["beta"]),
+            np.array(m["mean"]),
+            np.array(m["std"]),
+            [tuple(x) for x in m["baseline"]],
+            m["log_likelihood"],
+            m["iterations"],
+        )
+
     def hazard_ratios(self, spark) -> DataFrame:
         rows = [(f, float(c), float(np.exp(c))) for f, c in zip(self.features, self.coef)]
         df = spark.createDataFrame(rows, "feature string, coef double, hazard_ratio double")

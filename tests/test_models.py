@@ -131,3 +131,22 @@ def test_feedback_version_isolation(spark, churn, scratch):
     assert r["n_train_combined"] == r["n_train_original"] + n_batch
     assert r["n_test"] == 299 - n_batch  # feedback ids left out of evaluation
     assert sorted(spark.read.parquet(f"{scratch}/v1/encoders").collect()) == sorted(before)
+
+
+def test_cox_and_value_model_reload(spark, scratch):
+    from churnframe.operators.models import ValueModel, train_value
+    from churnframe.operators.survival import CoxModel
+    from churnframe.plans.catalog import manifest
+
+    _df, _enc, _cats, _f, model, _train, test = T._cox(spark, SF01)
+    model.save(spark, f"{scratch}/cox")
+    again = CoxModel.load(spark, f"{scratch}/cox")
+    a = test.select(model.linear_predictor().alias("a"), again.linear_predictor().alias("b"))
+    assert a.filter(F.abs(F.col("a") - F.col("b")) > 1e-12).count() == 0
+    df = T._clv_frame(spark, SF01).persist()
+    vm, _metrics = train_value(df, manifest(spark, SF01), SNAPSHOT, "future_spend", params={"n_estimators": 5})
+    vm.save(f"{scratch}/clv")
+    back = ValueModel.load(spark, f"{scratch}/clv")
+    p1 = vm.transform(df).select(SNAPSHOT.id_column, F.col("prediction").alias("p1"))
+    p2 = back.transform(df).select(SNAPSHOT.id_column, F.col("prediction").alias("p2"))
+    assert p1.join(p2, SNAPSHOT.id_column).filter(F.col("p1") != F.col("p2")).count() == 0

@@ -2,10 +2,8 @@
 streaming scoring, and plan checks (pruning, pushdown)."""
 
 import datetime as dt
-import os
 import time
 
-from pyspark.sql import functions as F
 
 from churnframe.operators.scoring import ClosedFormScorer
 from churnframe.sources import store
