@@ -7,11 +7,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from churnframe.operators.backtest import backtest
 from churnframe.operators.clean import clean
 from churnframe.operators.scoring import ClosedFormScorer
-from churnframe.operators.split import split_rows, stratified_split
+from churnframe.operators.split import stratified_split
 from churnframe.plans import oracle as O
 from churnframe.session import cut_lineage, ensure_checkpoint_dir
 from churnframe.sources.tables import customer_snapshot
@@ -66,12 +67,23 @@ def manifest(spark: SparkSession, sf: str, df: DataFrame | None = None) -> DataF
     return _once("manifest", spark, sf, lambda: stratified_split(cleaned(spark, sf), SNAPSHOT, 0.2, 42))
 
 
-def test_scored(spark: SparkSession, sf: str) -> DataFrame:
+def with_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The cleaned snapshot with its split as a column: the one join with the
+    manifest, done once; train / test are then filters, not joins."""
+
     def build():
-        df = cleaned(spark, sf)
-        return ClosedFormScorer().transform(split_rows(df, manifest(spark, sf), SNAPSHOT, "test"))
+        m = manifest(spark, sf).select(F.col("id").alias(SNAPSHOT.id_column), "split")
+        return cleaned(spark, sf).join(m, SNAPSHOT.id_column)
+
+    return _once("with_split", spark, sf, build)
+
 
-    return _once("test_scored", spark, sf, build)
+def split_of(spark: SparkSession, sf: str, which: str) -> DataFrame:
+    return with_split(spark, sf).filter(F.col("split") == which).drop("split")
+
+
+def test_scored(spark: SparkSession, sf: str) -> DataFrame:
+    return _once("test_scored", spark, sf, lambda: ClosedFormScorer().transform(split_of(spark, sf, "test")))
 
 
 # ---------------------------------------------------------------- flagship

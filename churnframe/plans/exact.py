@@ -20,9 +20,8 @@ from churnframe.operators.prioritize import head, priority_ranking
 from churnframe.operators.reports import capability_matrix, expectations, outcome_by_group, ranking_expectations
 from churnframe.operators.scoring import ClosedFormScorer, classify_at
 from churnframe.operators.segment import profile_clusters, scale, scale_stats
-from churnframe.operators.split import split_rows
 from churnframe.plans import oracle as O
-from churnframe.plans.catalog import cleaned, manifest, query, snapshot, test_scored
+from churnframe.plans.catalog import cleaned, manifest, query, snapshot, split_of, test_scored
 from churnframe.sources.conform import conform_schema, enrich_base_wins
 from churnframe.sources.store import pack_customers, score_population
 from churnframe.sources.tables import read_table
@@ -36,8 +35,7 @@ LOAD_TS = dt.datetime(2001, 1, 1)
 
 
 def _train(spark, sf):
-    df = cleaned(spark, sf)
-    return split_rows(df, manifest(spark, sf, df), S, "train")
+    return split_of(spark, sf, "train")
 
 
 def _ranking(spark, sf, strategy):
@@ -197,10 +195,8 @@ def q_fit_encoders(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def q_encode_features(spark: SparkSession, sf: str) -> DataFrame:
-    df = cleaned(spark, sf)
-    m = manifest(spark, sf, df)
-    enc = fit_encoders(split_rows(df, m, S, "train"), CATS)
-    return encode(split_rows(df, m, S, "test"), enc, CATS).select(ID, *CATS)
+    enc = fit_encoders(split_of(spark, sf, "train"), CATS)
+    return encode(split_of(spark, sf, "test"), enc, CATS).select(ID, *CATS)
 
 
 ALIGNED = ["contract", "nation", "n_orders", "recency_days", "avg_order", "loyalty_tier"]
@@ -217,7 +213,7 @@ FROM clean""",
 )
 def q_align_features(spark: SparkSession, sf: str) -> DataFrame:
     df = cleaned(spark, sf)
-    enc = fit_encoders(split_rows(df, manifest(spark, sf, df), S, "train"), CATS)
+    enc = fit_encoders(split_of(spark, sf, "train"), CATS)
     return align_features(encode(df, enc, CATS), ALIGNED, keep=[ID])
 
 
@@ -331,10 +327,9 @@ FROM clean c JOIN campaign k ON k.customer_id = c.customer_id""",
 )
 def q_append_feedback(spark: SparkSession, sf: str) -> DataFrame:
     df = cleaned(spark, sf)
-    m = manifest(spark, sf, df)
     camp = select_campaign(_ranking(spark, sf, "revenue_weighted"), ID, 100, 0.3, 0.2, 42)
     batch = feedback_batch(df, camp, S)
-    return append_feedback(split_rows(df, m, S, "train"), batch).select(ID, "churn", "data_source")
+    return append_feedback(split_of(spark, sf, "train"), batch).select(ID, "churn", "data_source")
 
 
 # ---------------------------------------------------------------- ranking / lift
@@ -709,13 +704,11 @@ FROM ranked WHERE rank <= 3""",
     ),
 )
 def q_explain_closed_form(spark: SparkSession, sf: str) -> DataFrame:
-    df = cleaned(spark, sf)
-    m = manifest(spark, sf, df)
-    train = split_rows(df, m, S, "train")
+    train = split_of(spark, sf, "train")
     enc = fit_encoders(train, CATS)
     tr = align_features(encode(train, enc, CATS), EXPLAIN_FEATURES)
     means = feature_means(tr, EXPLAIN_FEATURES).collect()[0].asDict()
-    test = align_features(encode(split_rows(df, m, S, "test"), enc, CATS), EXPLAIN_FEATURES, keep=[ID])
+    test = align_features(encode(split_of(spark, sf, "test"), enc, CATS), EXPLAIN_FEATURES, keep=[ID])
     scorer = ClosedFormScorer()
     return explain_scores(test, ID, EXPLAIN_FEATURES, EXPLAIN_FEATURES, means, scorer.transform)
 

@@ -17,9 +17,8 @@ from churnframe.operators.feedback import feedback_batch, retrain_with_feedback,
 from churnframe.operators.models import input_names, train_churn, train_value
 from churnframe.operators.prioritize import priority_ranking
 from churnframe.operators.segment import VEC, segment, silhouette
-from churnframe.operators.split import split_rows
 from churnframe.operators import survival as SV
-from churnframe.plans.catalog import cleaned, manifest, query
+from churnframe.plans.catalog import cleaned, manifest, query, split_of
 from churnframe.sources.store import score_population
 from churnframe.sources.tables import customer_snapshot
 from churnframe.spec import SNAPSHOT
@@ -59,16 +58,16 @@ def q_score_population_model(spark: SparkSession, sf: str) -> DataFrame:
 @query("priority_model")
 def q_priority_model(spark: SparkSession, sf: str) -> DataFrame:
     df, m, model, _run = _churn(spark, sf)
-    return priority_ranking(model.transform(split_rows(df, m, S, "test")), S, "revenue_weighted")
+    return priority_ranking(model.transform(split_of(spark, sf, "test")), S, "revenue_weighted")
 
 
 @query("explain_scores")
 def q_explain_scores(spark: SparkSession, sf: str) -> DataFrame:
     df, m, model, _run = _churn(spark, sf)
     inputs = input_names(model.features)
-    train = model.with_features(split_rows(df, m, S, "train"))
+    train = model.with_features(split_of(spark, sf, "train"))
     means = train.agg(*[F.avg(c).alias(c) for c in inputs]).collect()[0].asDict()
-    test = model.with_features(split_rows(df, m, S, "test")).select(ID, *inputs)
+    test = model.with_features(split_of(spark, sf, "test")).select(ID, *inputs)
     return explain_scores(test, ID, inputs, model.features, means, model.score_features)
 
 
@@ -76,18 +75,24 @@ def _clv_frame(spark: SparkSession, sf: str) -> DataFrame:
     return clean(customer_snapshot(spark, sf, with_future_spend=True), S)
 
 
+def _clv(spark: SparkSession, sf: str):
+    """Lifetime-value model on revenue after the cutoff, trained once."""
+    key = ("clv", spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        df = _clv_frame(spark, sf).persist()
+        model, metrics = train_value(df, manifest(spark, sf), S, "future_spend")
+        _MODELS[key] = (model, metrics.persist())
+    return _MODELS[key]
+
+
 @query("train_clv")
 def q_train_clv(spark: SparkSession, sf: str) -> DataFrame:
-    df = _clv_frame(spark, sf).persist()
-    _model, metrics = train_value(df, manifest(spark, sf, df), S, "future_spend")
-    return metrics
+    return _clv(spark, sf)[1]
 
 
 @query("clv_importance")
 def q_clv_importance(spark: SparkSession, sf: str) -> DataFrame:
-    df = _clv_frame(spark, sf).persist()
-    model, _metrics = train_value(df, manifest(spark, sf, df), S, "future_spend")
-    return model.importance()
+    return _clv(spark, sf)[0].importance()
 
 
 def _segment_inputs(spark: SparkSession, sf: str):
@@ -95,7 +100,7 @@ def _segment_inputs(spark: SparkSession, sf: str):
     features = S.feature_columns(df.columns)
     cats = categorical_columns(df, features)
     # encoders fitted on the train split; scaling and clustering on everyone
-    encoders = fit_encoders(split_rows(df, manifest(spark, sf), S, "train"), cats)
+    encoders = fit_encoders(split_of(spark, sf, "train"), cats)
     enc = encode(df, encoders, cats)
     return df, enc, features
 
@@ -138,10 +143,10 @@ def q_detect_anomalies(spark: SparkSession, sf: str) -> DataFrame:
 def _cox(spark: SparkSession, sf: str):
     key = ("cox", spark.sparkContext.applicationId, sf)
     if key not in _MODELS:
-        df = cleaned(spark, sf).withColumn("_event", binarize(F.col("churn"), "Yes")).persist()
-        m = manifest(spark, sf, df)
-        train = split_rows(df, m, S, "train")
-        test = split_rows(df, m, S, "test")
+        df = cleaned(spark, sf).withColumn("_event", binarize(F.col("churn"), "Yes"))
+        event = binarize(F.col("churn"), "Yes")
+        train = split_of(spark, sf, "train").withColumn("_event", event)
+        test = split_of(spark, sf, "test").withColumn("_event", event)
         # duration excluded, and the billed total, which leaks duration
         features = S.feature_columns(df.columns, exclude=("tenure_months", "tenure_days", "total_spend", "_event"))
         cats = categorical_columns(df, features)
@@ -183,7 +188,7 @@ def q_median_survival(spark: SparkSession, sf: str) -> DataFrame:
 @query("retrain_with_feedback")
 def q_retrain_with_feedback(spark: SparkSession, sf: str) -> DataFrame:
     df, m, model, _run = _churn(spark, sf)
-    ranking = priority_ranking(model.transform(split_rows(df, m, S, "test")), S, "revenue_weighted")
+    ranking = priority_ranking(model.transform(split_of(spark, sf, "test")), S, "revenue_weighted")
     camp = select_campaign(ranking, ID, 100, 0.3, 0.2, 42)
     batch = feedback_batch(df, camp, S)
     _v2, record = retrain_with_feedback(df, m, batch, S, model.features)
