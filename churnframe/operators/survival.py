@@ -105,7 +105,8 @@ def _moments(df: DataFrame, duration: str, event: str, xs: list[str], beta: np.n
 
 
 def _efron(rows, p: int):
-    """Log-likelihood, gradient and Hessian from per-duration moments."""
+    """Efron log-likelihood, gradient and Hessian from per-duration moments,
+    plus the Breslow baseline hazard increments."""
     rows = sorted(rows, key=lambda r: r["t"], reverse=True)
     R0 = 0.0
     R1 = np.zeros(p)
@@ -136,7 +137,6 @@ def _efron(rows, p: int):
         xd = np.array([r[f"xd_{i}"] for i in range(p)])
         ll += r["elp"]
         grad += xd
-        h0 = 0.0
         for l in range(d):
             frac = l / d
             phi = R0 - frac * D0
@@ -145,8 +145,8 @@ def _efron(rows, p: int):
             ll -= np.log(phi)
             grad -= v1 / phi
             hess -= v2 / phi - np.outer(v1, v1) / phi**2
-            h0 += 1.0 / phi
-        baseline.append((r["t"], h0))
+        # baseline hazard increment: Breslow, events over the risk-set sum
+        baseline.append((r["t"], d / R0))
     return ll, grad, hess, baseline[::-1]
 
 

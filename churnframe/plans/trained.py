@@ -18,7 +18,9 @@ from churnframe.operators.models import input_names, train_churn, train_value
 from churnframe.operators.prioritize import priority_ranking
 from churnframe.operators.segment import VEC, segment, silhouette
 from churnframe.operators import survival as SV
+from churnframe.plans import oracle as O
 from churnframe.plans.catalog import cleaned, manifest, query, split_of
+from churnframe.plans.exact import TRAIN
 from churnframe.sources.store import score_population
 from churnframe.sources.tables import customer_snapshot
 from churnframe.spec import SNAPSHOT
@@ -185,6 +187,32 @@ def q_median_survival(spark: SparkSession, sf: str) -> DataFrame:
     return SV.median_survival(model, profiles, "contract_name")
 
 
+@query(
+    "median_survival_fixed",
+    O.with_(
+        TRAIN
+        + """,
+ev AS (SELECT tenure_months AS t, COUNT(*) AS n, SUM(CASE WHEN churn = 'Yes' THEN 1 ELSE 0 END) AS d
+       FROM train GROUP BY tenure_months),
+rs AS (SELECT t, d, SUM(n) OVER (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r FROM ev),
+h AS (SELECT t, SUM(CAST(d AS DOUBLE) / r) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h0 FROM rs),
+med AS (SELECT MIN(CASE WHEN h0 >= 0.6931471805599453 THEN t END) AS m FROM h),
+contracts AS (SELECT DISTINCT contract FROM train)""",
+        "SELECT contract AS contract_name, CAST(m AS DOUBLE) AS median_survival FROM contracts CROSS JOIN med",
+    ),
+)
+def q_median_survival_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Median survival per contract with coefficients held at 0 (no fit):
+    the baseline alone, so the median search is checked exactly."""
+    _df, enc, cats, features, _model, train, _test = _cox(spark, sf)
+    fixed = SV.fit_cox(train, "tenure_months", "_event", features, max_iter=0)
+    contracts = enc.filter(F.col("column") == "contract").select(
+        F.col("value").alias("contract_name"), F.col("code").cast("double").alias("contract")
+    )
+    profiles = contracts.select("contract_name", *[F.lit(0.0).alias(f) for f in features if f != "contract"], "contract")
+    return SV.median_survival(fixed, profiles, "contract_name")
+
+
 @query("retrain_with_feedback")
 def q_retrain_with_feedback(spark: SparkSession, sf: str) -> DataFrame:
     df, m, model, _run = _churn(spark, sf)
