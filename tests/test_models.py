@@ -150,3 +150,22 @@ def test_cox_and_value_model_reload(spark, scratch):
     p1 = vm.transform(df).select(SNAPSHOT.id_column, F.col("prediction").alias("p1"))
     p2 = back.transform(df).select(SNAPSHOT.id_column, F.col("prediction").alias("p2"))
     assert p1.join(p2, SNAPSHOT.id_column).filter(F.col("p1") != F.col("p2")).count() == 0
+
+
+def test_streaming_scoring_with_trained_model(spark, churn, scratch):
+    import time
+
+    from churnframe.streaming.scoring import run_once, scored_stream
+
+    df, _m, model, _run = churn
+    batch = df.limit(50)
+    batch.write.parquet(f"{scratch}/in/b1")
+    stream = scored_stream(spark, f"{scratch}/in/*", batch.schema, model, SNAPSHOT, "snapshot", "v1")
+    run_once(stream, f"{scratch}/out", f"gbt_{int(time.time() * 1000)}")
+    got = spark.read.parquet(f"{scratch}/out").select(F.col("customer_id").cast("long").alias("id"), F.col("churn_probability").alias("s"))
+    want = model.transform(spark.read.parquet(f"{scratch}/in/b1")).select(
+        F.col(SNAPSHOT.id_column).alias("id"), F.col("churn_probability").alias("b")
+    )
+    joined = got.join(want, "id")
+    assert joined.count() == 50
+    assert joined.filter(F.abs(F.col("s") - F.col("b")) > 1e-12).count() == 0
