@@ -140,6 +140,9 @@ def leakage_screen(df: DataFrame, label: str, features: Sequence[str], threshold
 
 # The sweep keeps one counter per distinct (duration, censored) value.
 MAX_DURATIONS = 200_000
+# The carried histogram (risk ranges x durations) passes through the driver:
+# bounded here (~400 MB of int64 at the limit).
+MAX_GRID_CELLS = 50_000_000
 
 
 def concordance_index(df: DataFrame, duration: str, event: str, risk: str, rows_per_bucket: int = 200_000) -> DataFrame:
@@ -170,8 +173,10 @@ def concordance_index(df: DataFrame, duration: str, event: str, risk: str, rows_
     taus = [r[0] for r in g.select("tau").distinct().orderBy("tau").collect()]
     tau_index = {v: i for i, v in enumerate(taus)}
     bk = bucketize(g, [("r", True)], rows_per_bucket=rows_per_bucket)
-    hist = bk.df.groupBy(BUCKET, "tau").agg(F.sum("n").alias("n")).collect()
     nb, nd = bk.n_buckets, len(taus)
+    if nb * nd > MAX_GRID_CELLS:
+        raise ValueError(f"{nb} risk ranges x {nd} durations exceeds {MAX_GRID_CELLS}; bucket durations first")
+    hist = bk.df.groupBy(BUCKET, "tau").agg(F.sum("n").alias("n")).collect()
     grid = np.zeros((nb + 1, nd), dtype=np.int64)
     for r in hist:
         grid[r[BUCKET] + 1, tau_index[r["tau"]]] += r["n"]

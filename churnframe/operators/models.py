@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnframe.functions.columns import binarize
-from churnframe.operators.encode import categorical_columns, encode, fit_encoders
+from churnframe.operators.encode import INLINE_LIMIT, categorical_columns, encode, fit_encoders
 from churnframe.operators.metrics import average_precision, regression_metrics, roc_auc
 from churnframe.operators.prioritize import PROBABILITY
 from churnframe.operators.split import split_rows
+from churnframe.session import cut_lineage
 from churnframe.spec import TenantSpec
 
 # The classifier's configured hyper-parameters.
@@ -123,10 +124,17 @@ def with_feature_vector_inputs(df: DataFrame, encoders: DataFrame, features: lis
     return enc.select("*", *cols).drop(*[f"_enc_{c}" for c in categorical])
 
 
-def _encoders_table(train: DataFrame, categorical: list[str]) -> DataFrame:
+def encoder_table(train: DataFrame, categorical: list[str]) -> DataFrame:
+    """Fitted encoders as a small, lineage-free table: collected and
+    re-created when below the inline limit, else checkpointed."""
+    spark = train.sparkSession
+    if not categorical:
+        return spark.createDataFrame([], "column string, value string, code bigint")
     enc = fit_encoders(train, categorical)
-    rows = enc.collect() if categorical else []
-    return train.sparkSession.createDataFrame(rows, "column string, value string, code bigint")
+    few = enc.limit(INLINE_LIMIT + 1).collect()
+    if len(few) <= INLINE_LIMIT:
+        return spark.createDataFrame(few, "column string, value string, code bigint")
+    return cut_lineage(enc)
 
 
 def fit_churn(
@@ -141,7 +149,7 @@ def fit_churn(
     present = [f for f in features if f in train.columns]
     categorical = categorical_columns(train, present)
     if encoders is None:
-        encoders = _encoders_table(train, categorical)
+        encoders = encoder_table(train, categorical)
     n_rows = require_complete(train, [f for f in present if f not in categorical])
     data = sized(
         with_feature_vector_inputs(train, encoders, list(features), categorical).select(
@@ -260,7 +268,7 @@ def train_value(
     test = split_rows(df, manifest, spec, "test")
     features = spec.feature_columns(df.columns, exclude=(target, *exclude))
     categorical = categorical_columns(train, features)
-    encoders = _encoders_table(train, categorical)
+    encoders = encoder_table(train, categorical)
     n_rows = require_complete(train, [f for f in features if f not in categorical])
     data = sized(with_feature_vector_inputs(train, encoders, features, categorical), n_rows).persist()
     gbt = GBTRegressor(

@@ -10,6 +10,9 @@ from churnframe.operators.ordering import rank_within
 from churnframe.spec import TenantSpec
 
 
+MAX_LABELS = 10_000
+
+
 def n_test_rows(n: int, test_size: float) -> int:
     """Test rows for a class of ``n``: half-even rounding, at least one if
     the class has more than one row, never the whole class."""
@@ -33,7 +36,10 @@ def stratified_split(df: DataFrame, spec: TenantSpec, test_size: float = 0.2, se
         F.col(idc).alias("id"),
         F.coalesce(F.col(tgt).cast("string"), F.lit("nan")).alias("label"),
     ).withColumn("_h", hash_order_key(seed, F.col("id")))
-    counts = {r["label"]: r["count"] for r in base.groupBy("label").count().collect()}
+    per_label = base.groupBy("label").count().limit(MAX_LABELS + 1).collect()
+    if len(per_label) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} distinct labels: stratify on a categorical label")
+    counts = {r["label"]: r["count"] for r in per_label}
     cutoffs = {label: n_test_rows(n, test_size) for label, n in counts.items()}
     items = []
     for label, cut in cutoffs.items():

@@ -14,7 +14,7 @@ from churnframe.operators.clean import clean
 from churnframe.operators.encode import categorical_columns, encode, fit_encoders
 from churnframe.operators.explain import explain_scores
 from churnframe.operators.feedback import feedback_batch, retrain_with_feedback, select_campaign
-from churnframe.operators.models import input_names, train_churn, train_value
+from churnframe.operators.models import encoder_table, input_names, train_churn, train_value
 from churnframe.operators.prioritize import priority_ranking
 from churnframe.operators.segment import VEC, segment, silhouette
 from churnframe.operators import survival as SV
@@ -152,8 +152,7 @@ def _cox(spark: SparkSession, sf: str):
         # duration excluded, and the billed total, which leaks duration
         features = S.feature_columns(df.columns, exclude=("tenure_months", "tenure_days", "total_spend", "_event"))
         cats = categorical_columns(df, features)
-        enc = fit_encoders(train, cats)
-        enc = spark.createDataFrame(enc.collect(), "column string, value string, code bigint")
+        enc = encoder_table(train, cats)
         model = SV.fit_cox(encode(train, enc, cats), "tenure_months", "_event", features)
         _MODELS[key] = (df, enc, cats, features, model, encode(train, enc, cats), encode(test, enc, cats))
     return _MODELS[key]
