@@ -45,8 +45,10 @@ def select_campaign(
 
 def relabel(df: DataFrame, outcomes: DataFrame, spec: TenantSpec, new_label_column: str = "new_label") -> DataFrame:
     """Overwrite the label on the ids present in ``outcomes``; the source
-    table is untouched (a left join and coalesce)."""
-    o = outcomes.select(F.col(spec.id_column), F.col(new_label_column).alias("_new"))
+    table is untouched (a left join and coalesce).  An id reported twice
+    counts once (the largest label wins, so the result is deterministic);
+    ids unknown to ``df`` are ignored."""
+    o = outcomes.groupBy(F.col(spec.id_column)).agg(F.max(F.col(new_label_column)).alias("_new"))
     return (
         df.join(o, spec.id_column, "left")
         .withColumn(spec.target_column, F.coalesce(F.col("_new"), F.col(spec.target_column)))

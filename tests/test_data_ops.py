@@ -120,3 +120,24 @@ def test_enrich_base_wins(spark):
     assert out == {1: (1, "x", 5.0), 2: (2, "y", None)}
     with pytest.raises(ValueError):
         enrich_base_wins(base, ext, "id", ["Contract"])
+
+
+def test_numeric_column_is_not_categorical(spark):
+    from churnframe.operators.encode import categorical_columns
+
+    df = spark.createDataFrame([("a", 1, 2.0, True)], "s string, i long, d double, b boolean")
+    assert categorical_columns(df, df.columns) == ["s", "b"]
+
+
+def test_relabel_edge_cases(spark):
+    from churnframe.operators.feedback import append_feedback, relabel
+
+    spec = TenantSpec("t", "id", "y", "Yes", "rev")
+    df = spark.createDataFrame([(1, "Yes"), (2, "Yes"), (3, "No")], "id long, y string")
+    outcomes = spark.createDataFrame([(1, "No"), (1, "No"), (9, "No")], "id long, new_label string")
+    out = {r["id"]: r["y"] for r in relabel(df, outcomes, spec).collect()}
+    assert out == {1: "No", 2: "Yes", 3: "No"}  # one row per id, unknown id ignored
+    assert sorted(r["y"] for r in df.collect()) == ["No", "Yes", "Yes"]  # source untouched
+    batch = spark.createDataFrame([(1, "No", "tag")], "id long, y string, data_source string")
+    both = append_feedback(df, batch)
+    assert both.count() == 4 and both.filter("data_source IS NULL").count() == 3
