@@ -188,44 +188,43 @@ def concordance_index(df: DataFrame, duration: str, event: str, risk: str, rows_
 
     def sweep(key, rows: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
         hist0 = np.array(carry["carried"].iloc[0], dtype=np.int64) if len(carry) else np.zeros(nd, np.int64)
-        # suffix counts of the carried histogram: rows with tau > threshold
+        # carried rows (all lower-risk ranges) with tau index >= q
         suffix = np.concatenate([np.cumsum(hist0[::-1])[::-1], [0]])
-        tree = np.zeros(nd + 1, dtype=np.int64)
-
-        def add(i, v):
-            i += 1
-            while i <= nd:
-                tree[i] += v
-                i += i & -i
-
-        def prefix(i):  # sum of counts at tau index < i
-            s = 0
-            while i > 0:
-                s += tree[i]
-                i -= i & -i
-            return s
-
+        tree = [0] * (nd + 1)  # Fenwick tree over tau indices, this range only
+
+        order = np.argsort(rows["r"].to_numpy(), kind="mergesort")
+        r = rows["r"].to_numpy()[order]
+        n = rows["n"].to_numpy()[order].astype(np.int64)
+        e = rows["e"].to_numpy()[order]
+        tau_idx = np.searchsorted(taus_arr, rows["tau"].to_numpy()[order])
+        q_first = np.searchsorted(taus_arr, 2 * rows["t"].to_numpy()[order] + 1)  # first tau > 2T
+        starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+        ends = np.r_[starts[1:], len(r)]
         total_local = 0
         num2 = 0  # twice the concordant count
-        den = 0
-        rows = rows.sort_values("r", kind="mergesort")
-        for r_value, grp in rows.groupby("r", sort=True):
-            tau_idx = np.array([tau_index[v] for v in grp["tau"]])
-            # strictly lower risk inside this range: already in the tree
-            ev = grp[grp["e"] == 1]
-            q_first = np.searchsorted(taus_arr, 2 * ev["t"].to_numpy() + 1)  # first tau index > 2T
-            lower = np.array([(total_local - prefix(q)) + suffix[q] for q in q_first], dtype=np.int64)
-            # equal risk: rows of this group with tau > 2T
-            g_tau = grp["tau"].to_numpy()
-            g_n = grp["n"].to_numpy()
-            equal = np.array([g_n[g_tau > 2 * t].sum() for t in ev["t"].to_numpy()], dtype=np.int64)
-            w = ev["n"].to_numpy()
-            num2 += int((w * (2 * lower + equal)).sum())
-            den += int((w * (lower + equal)).sum())
-            # add higher-risk-than-nothing later: insert this group now
-            for i, v in zip(tau_idx, g_n):
-                add(int(i), int(v))
-                total_local += int(v)
+        for s0, s1 in zip(starts.tolist(), ends.tolist()):
+            for i in range(s0, s1):
+                if e[i] != 1:
+                    continue
+                q = int(q_first[i])
+                # strictly lower risk: earlier groups of this range (tree) + lower ranges
+                below_q, j = 0, q
+                while j > 0:
+                    below_q += tree[j]
+                    j -= j & -j
+                lower = total_local - below_q + int(suffix[q])
+                # equal risk (same group) with tau > 2T; the row itself has tau = 2T
+                equal = 0
+                if s1 - s0 > 1:
+                    g = slice(s0, s1)
+                    equal = int(n[g][tau_idx[g] >= q].sum())
+                num2 += int(n[i]) * (2 * lower + equal)
+            for i in range(s0, s1):
+                j, v = int(tau_idx[i]) + 1, int(n[i])
+                while j <= nd:
+                    tree[j] += v
+                    j += j & -j
+                total_local += v
         return pd.DataFrame({"num2": [num2], "den_part": [0], "cmp": [0]})
 
     parts = (
