@@ -119,8 +119,12 @@ def average_ranks(df: DataFrame, value: str, out: str, **kw) -> DataFrame:
     return df.join(cum, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
 
 
-def spearman(df: DataFrame, a: str, b: str, **kw) -> DataFrame:
-    """Spearman correlation: Pearson correlation of average ranks."""
+def spearman(df: DataFrame, a: str, b: str, ranks: bool = False, **kw) -> DataFrame:
+    """Spearman correlation: Pearson correlation of average ranks.  With
+    ``ranks=True`` the columns already are tie-free ranks 1..n (their average
+    rank is the value itself), so the ranking passes are skipped."""
+    if ranks:
+        return df.agg(F.round(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), 9).alias("spearman"))
     ra = average_ranks(df, a, "_ra", **kw)
     rb = average_ranks(ra, b, "_rb", **kw)
     return rb.agg(F.round(F.corr("_ra", "_rb"), 9).alias("spearman"))

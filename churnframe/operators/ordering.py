@@ -104,13 +104,16 @@ def _bucket_expr(keys: list[Key], bounds: list[tuple], lo: int, hi: int) -> Colu
 def bucketize(
     df: DataFrame,
     keys: Sequence[Key | str],
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-    max_buckets: int = MAX_BUCKETS,
+    rows_per_bucket: int | None = None,
+    max_buckets: int | None = None,
     seed: int = 17,
     n_rows: int | None = None,
 ) -> Bucketed:
-    """Add ``_bucket``: contiguous, ordered ranges of the sort key."""
+    """Add ``_bucket``: contiguous, ordered ranges of the sort key.  Sizes
+    default to the module constants, read at call time."""
     keys = _norm(keys)
+    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
+    max_buckets = max_buckets or MAX_BUCKETS
     n = df.count() if n_rows is None else n_rows
     n_buckets = max(1, min(max_buckets, math.ceil(n / max(1, rows_per_bucket))))
     bounds: list[tuple] = []

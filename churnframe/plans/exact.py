@@ -398,7 +398,7 @@ def q_new_entrants(spark: SparkSession, sf: str) -> DataFrame:
 def q_rank_correlation(spark: SparkSession, sf: str) -> DataFrame:
     rw = _ranking(spark, sf, "revenue_weighted").select(ID, F.col("rank").alias("r_rw"))
     po = _ranking(spark, sf, "probability_only").select(ID, F.col("rank").alias("r_po"))
-    return M.spearman(rw.join(po, ID), "r_rw", "r_po")
+    return M.spearman(rw.join(po, ID), "r_rw", "r_po", ranks=True)
 
 
 @query(
