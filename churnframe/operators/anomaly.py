@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from churnframe.functions.columns import hash_unit
 from churnframe.operators.backtest import kth_bounds
+from churnframe.session import ship_code
 
 EULER_GAMMA = 0.5772156649015329
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, size long, depth int"
@@ -122,6 +123,7 @@ class Forest:
     def score_samples(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Adds ``raw_score`` = -2^(-E[h(x)] / c(max_samples)) (lower is more
         anomalous)."""
+        ship_code(df.sparkSession)
         trees = self.arrays()
         feats = list(self.features)
         norm = float(average_path_length([self.max_samples])[0])
@@ -160,6 +162,7 @@ def grow_forest(
     seed: int = 42,
 ) -> Forest:
     features = list(features)
+    ship_code(X.sparkSession)
     n = X.count()
     psi = min(max_samples, n)
     pool_rate = min(1.0, n_trees * psi / max(n, 1))

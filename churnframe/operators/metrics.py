@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnframe.operators.ordering import BUCKET, bucketize, prefix_sums
+from churnframe.session import ship_code
 
 
 def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -164,6 +165,7 @@ def concordance_index(df: DataFrame, duration: str, event: str, risk: str, rows_
     order with a Fenwick tree over tau.  Work is n log D; nothing but the
     (ranges x tau) histogram leaves the executors.
     """
+    ship_code(df.sparkSession)
     e = F.col(event).cast("int")
     g = (
         df.select(F.col(risk).cast("double").alias("r"), F.col(duration).cast("bigint").alias("t"), e.alias("e"))

@@ -69,3 +69,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (once per
+    application): the pandas-backed stages (forest growth and scoring, the
+    concordance sweep) unpickle functions from ``churnframe`` on the
+    executors, which need the code even when the driver found it through
+    its own ``sys.path``."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import shutil
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="churnframe-code-")
+    archive = shutil.make_archive(os.path.join(folder, "churnframe"), "zip", os.path.dirname(pkg), "churnframe")
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
