@@ -78,6 +78,7 @@ def retrain_with_feedback(
     features: list[str],
     params: dict | None = None,
     evaluate_on_feedback_ids: bool = False,
+    retention_rate: float | None = None,
 ):
     """New model on train + batch (encoders refit on the union, the previous
     version's feature order).  Evaluated on the original test split, by
@@ -112,4 +113,10 @@ def retrain_with_feedback(
     for c in counts[1:]:
         rec = rec.unionByName(c, allowMissingColumns=True)
     record = rec.agg(*[F.max(c).alias(c) for c in rec.columns])
+    # the rate the campaign applied (when known) and the inferred share of
+    # negative labels in the batch are reported apart
+    applied = F.lit(retention_rate).cast("double") if retention_rate is not None else F.col("negative_share_feedback")
+    record = record.withColumn("retention_rate_applied", applied).withColumn(
+        "evaluated_on_feedback_ids", F.lit(bool(evaluate_on_feedback_ids))
+    )
     return model, record

@@ -218,7 +218,7 @@ def q_retrain_with_feedback(spark: SparkSession, sf: str) -> DataFrame:
     ranking = priority_ranking(model.transform(split_of(spark, sf, "test")), S, "revenue_weighted")
     camp = select_campaign(ranking, ID, 100, 0.3, 0.2, 42)
     batch = feedback_batch(df, camp, S)
-    _v2, record = retrain_with_feedback(df, m, batch, S, model.features)
+    _v2, record = retrain_with_feedback(df, m, batch, S, model.features, retention_rate=0.3)
     return record
 
 
