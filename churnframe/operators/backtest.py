@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnframe.functions.columns import binarize, hash_order_key
-from churnframe.operators.ordering import BUCKET, Key, after, bucketize, order_columns
+from churnframe.operators.ordering import BUCKET, Key, after, bucket_counts, bucketize, order_columns
 from churnframe.operators.prioritize import AT_RISK, PROBABILITY, strategy_keys
 from churnframe.spec import TenantSpec
 
@@ -29,7 +29,7 @@ def kth_bounds(df: DataFrame, keys: Sequence[Key], ks: Sequence[int], **kw) -> d
     none).  One bucketing pass, then only the buckets holding a k-th row
     are sorted."""
     bk = bucketize(df, keys, **kw)
-    counts = {r[0]: r[1] for r in bk.df.groupBy(BUCKET).count().collect()}
+    counts = bucket_counts(bk)
     total = sum(counts.values())
     offsets, run = {}, 0
     for b in range(bk.n_buckets):

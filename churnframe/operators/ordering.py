@@ -132,6 +132,13 @@ def bucketize(
     return Bucketed(df.withColumn(BUCKET, expr.cast("int")), keys, bounds, n)
 
 
+def bucket_counts(bk: Bucketed) -> dict[int, int]:
+    """Rows per bucket (one small aggregation; free for a single bucket)."""
+    if bk.n_buckets == 1:
+        return {0: bk.n_rows}
+    return {r[0]: r[1] for r in bk.df.groupBy(BUCKET).count().collect()}
+
+
 def _offsets(counts: dict[int, int], n_buckets: int) -> dict[int, int]:
     out, run = {}, 0
     for b in range(n_buckets):
@@ -150,8 +157,7 @@ def _map_literal(values: dict[int, int]) -> Column:
 def global_rank(df: DataFrame, keys: Sequence[Key | str], rank_col: str = "rank", **kw) -> DataFrame:
     """1..n in key order; exact when the key is unique (end it with the id)."""
     bk = bucketize(df, keys, **kw)
-    counts = {r[0]: r[1] for r in bk.df.groupBy(BUCKET).count().collect()}
-    offsets = _offsets(counts, bk.n_buckets)
+    offsets = _offsets(bucket_counts(bk), bk.n_buckets)
     w = Window.partitionBy(BUCKET).orderBy(*order_columns(bk.keys))
     return (
         bk.df.withColumn(rank_col, F.row_number().over(w) + F.element_at(_map_literal(offsets), F.col(BUCKET)))
@@ -209,7 +215,7 @@ def top_k_flag(df: DataFrame, keys: Sequence[Key | str], k: int, flag_col: str,
     if k <= 0:
         return df.withColumn(flag_col, F.lit(False))
     bk = bucketize(df, keys, **kw)
-    counts = {r[0]: r[1] for r in bk.df.groupBy(BUCKET).count().collect()}
+    counts = bucket_counts(bk)
     total = sum(counts.values())
     if k >= total:
         return df.withColumn(flag_col, F.lit(True))
@@ -239,7 +245,8 @@ def prefix_sums(
 ) -> DataFrame:
     """Running (inclusive) sums of integer columns in key order."""
     bk = bucketize(df, keys, **kw)
-    totals = bk.df.groupBy(BUCKET).agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()
+    # offsets per bucket: not needed (all zero) when there is one bucket
+    totals = [] if bk.n_buckets == 1 else bk.df.groupBy(BUCKET).agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()
     per = {r[BUCKET]: r for r in totals}
     w = (
         Window.partitionBy(BUCKET)
