@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # A number as pandas' ``to_numeric`` accepts it: optional sign, digits with an
-# optional fraction (or a bare fraction), optional exponent; blanks around are
-# trimmed first.  Spark alone would also accept '1d' / '1f' suffixes.
-NUMERIC_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+# optional fraction (or a bare fraction), optional exponent, or an infinity
+# word; blanks around are trimmed first.  Spark alone would also accept
+# '1d' / '1f' suffixes.  'nan' is not matched: missing either way.
+NUMERIC_PATTERN = r"(?i)^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?|inf|infinity)$"
 
 # Tokens pandas' CSV reader treats as missing by default.
 PANDAS_NA_TOKENS = (

@@ -141,3 +141,17 @@ def test_relabel_edge_cases(spark):
     batch = spark.createDataFrame([(1, "No", "tag")], "id long, y string, data_source string")
     both = append_feedback(df, batch)
     assert both.count() == 4 and both.filter("data_source IS NULL").count() == 3
+
+
+def test_numeric_tokens_like_pandas(spark):
+    import pandas as pd
+
+    from churnframe.functions.columns import coerce_numeric
+    from pyspark.sql import types as T
+
+    tokens = ["inf", "-Infinity", "+5", ".5", "5.", "1E3", "1_000", "0x10", "nan", "1d", " 7 ", "--1"]
+    df = spark.createDataFrame([(t,) for t in tokens], "s string")
+    got = [r[0] for r in df.select(coerce_numeric(F.col("s"), T.StringType())).collect()]
+    want = pd.to_numeric(pd.Series([t.strip() for t in tokens]), errors="coerce").tolist()
+    want = [None if w != w else w for w in want]  # NaN is missing
+    assert got == want
