@@ -39,6 +39,41 @@ def roc_auc(df: DataFrame, label: str, score: str, **kw) -> DataFrame:
     )
 
 
+MAX_GROUPS = 10_000
+
+
+def roc_auc_by(df: DataFrame, group: str, label: str, score: str, **kw) -> DataFrame:
+    """ROC-AUC per group (tenant): rows, positive rate and AUC for each
+    group value.  Running sums are taken over (group, score), so a group
+    holding most rows is still spread over buckets; each group's offset (the
+    negatives of the groups before it) comes from a small per-group table."""
+    y = F.col(label).cast("bigint")
+    counts = df.groupBy(F.col(group).alias("g"), F.col(score).alias("s")).agg(
+        F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg")
+    )
+    per_group = counts.groupBy("g").agg(F.sum("neg").alias("N")).limit(MAX_GROUPS + 1).collect()
+    if len(per_group) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+    if any(r["g"] is None for r in per_group):
+        raise ValueError("group column has NULL values")
+    items, run = [], 0
+    for r in sorted(per_group, key=lambda r: r["g"]):
+        items += [F.lit(r["g"]), F.lit(run).cast("bigint")]
+        run += int(r["N"])
+    offset = F.element_at(F.create_map(*items), F.col("g")) if items else F.lit(0).cast("bigint")
+    cum = prefix_sums(counts, [("g", True), ("s", True)], ["neg"], **kw)
+    below = F.col("neg_cum") - F.col("neg") - offset
+    twice = F.col("pos") * (F.lit(2) * below + F.col("neg"))
+    agg = cum.groupBy("g").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum(twice).alias("num2"))
+    return agg.select(
+        F.col("g").alias(group),
+        (F.col("P") + F.col("N")).cast("bigint").alias("n"),
+        (F.col("P") / (F.col("P") + F.col("N"))).alias("positive_rate"),
+        F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("num2").cast("double") / (F.lit(2.0) * F.col("P") * F.col("N")))
+        .alias("roc_auc"),
+    )
+
+
 def average_precision(df: DataFrame, label: str, score: str, **kw) -> DataFrame:
     """Sum over distinct thresholds (descending) of (R_k - R_{k-1}) * P_k,
     no interpolation."""

@@ -902,3 +902,26 @@ def q_customer_listing(spark: SparkSession, sf: str) -> DataFrame:
         F.get_json_object(j, "$.contract").alias("contract"),
         F.get_json_object(j, "$.n_orders").cast("bigint").alias("n_orders"),
     )
+
+
+@query(
+    "roc_auc_by_tenant",
+    O.with_(
+        O.TEST_SCORED
+        + """,
+sy AS (SELECT tenant_id, churn_probability AS s, CASE WHEN churn = 'Yes' THEN 1 ELSE 0 END AS y FROM test_scored),
+sc AS (SELECT tenant_id, s, SUM(y) AS pos, SUM(1 - y) AS neg FROM sy GROUP BY tenant_id, s),
+cum AS (SELECT tenant_id, s, pos, neg,
+          SUM(neg) OVER (PARTITION BY tenant_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS neg_cum
+        FROM sc),
+agg AS (SELECT tenant_id, SUM(pos) AS P, SUM(neg) AS N, SUM(pos * (2 * (neg_cum - neg) + neg)) AS num2
+        FROM cum GROUP BY tenant_id)""",
+        """SELECT tenant_id, CAST(P + N AS BIGINT) AS n, CAST(P AS DOUBLE) / (P + N) AS positive_rate,
+       CASE WHEN P > 0 AND N > 0 THEN CAST(num2 AS DOUBLE) / (2.0 * P * N) END AS roc_auc
+FROM agg""",
+    ),
+)
+def q_roc_auc_by_tenant(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-tenant evaluation of one scoring on the test split."""
+    t = test_scored(spark, sf).withColumn("_y", binarize(F.col("churn"), "Yes"))
+    return M.roc_auc_by(t, "tenant_id", "_y", "churn_probability")

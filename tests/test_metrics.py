@@ -108,3 +108,13 @@ def test_regression_metrics(spark):
     assert r["mae"] == pytest.approx(0.5)
     assert r["rmse"] == pytest.approx(np.sqrt((0.25 + 0 + 1) / 3), abs=1e-6)
     assert r["r2"] == pytest.approx(1 - 1.25 / 2.0, abs=1e-6)
+
+
+def test_roc_auc_by_group_multi_bucket(spark):
+    rnd = random.Random(11)
+    rows = [(i, rnd.choice("abc"), rnd.randint(0, 1), round(rnd.random(), 1)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, g string, y long, s double")
+    got = {r["g"]: r["roc_auc"] for r in M.roc_auc_by(df, "g", "y", "s", rows_per_bucket=5).collect()}
+    for g in "abc":
+        sub = [r for r in rows if r[1] == g]
+        assert got[g] == pytest.approx(_auc_brute([r[2] for r in sub], [r[3] for r in sub]), abs=1e-12)
