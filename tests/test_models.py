@@ -169,3 +169,30 @@ def test_streaming_scoring_with_trained_model(spark, churn, scratch):
     joined = got.join(want, "id")
     assert joined.count() == 50
     assert joined.filter(F.abs(F.col("s") - F.col("b")) > 1e-12).count() == 0
+
+
+def test_integer_label_tenant_without_tenure(spark):
+    """A banking-style tenant: integer label (positive 1), balance as the
+    revenue column, no tenure / total pair (the other cleaning branch)."""
+    from churnframe.operators.clean import clean
+    from churnframe.operators.models import train_churn
+    from churnframe.operators.split import stratified_split
+    from churnframe.plans.catalog import snapshot
+    from churnframe.spec import TenantSpec
+
+    spec = TenantSpec("banking", "CustomerId", "Exited", 1, "Balance")
+    cust = spark.read.parquet(f"{SF01}/customer.parquet").select(
+        F.col("c_custkey").alias("CustomerId"), F.col("c_acctbal").cast("string").alias("Balance"), "c_mktsegment"
+    )
+    snap = snapshot(spark, SF01).select(
+        F.col("customer_id").alias("CustomerId"),
+        F.when(F.col("churn") == "Yes", 1).otherwise(0).alias("Exited"),
+        "recency_days",
+        "n_orders",
+    )
+    df = clean(cust.join(snap, "CustomerId"), spec).persist()
+    m = stratified_split(df, spec)
+    _model, run = train_churn(df, m, spec, params={"n_estimators": 20})
+    r = run.collect()[0]
+    assert r["n_train"] + r["n_test"] == df.count()
+    assert r["roc_auc"] > 0.65
