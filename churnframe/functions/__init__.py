@@ -1 +1 @@
-"""churnframe"""
+"""Column expressions (built-in Spark SQL functions only)."""

@@ -1 +1 @@
-"""churnframe"""
+"""Registered queries (catalog, exact, trained) and the DuckDB oracle SQL."""

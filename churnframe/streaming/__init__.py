@@ -1 +1 @@
-"""churnframe"""
+"""Structured Streaming scoring of arriving customer records."""
