@@ -155,3 +155,49 @@ def test_numeric_tokens_like_pandas(spark):
     want = pd.to_numeric(pd.Series([t.strip() for t in tokens]), errors="coerce").tolist()
     want = [None if w != w else w for w in want]  # NaN is missing
     assert got == want
+
+
+def test_large_encoder_path_matches_inline(spark, monkeypatch):
+    from churnframe.operators import encode as E
+
+    train = spark.createDataFrame([(f"v{i % 37}", f"w{i % 5}") for i in range(300)], "a string, b string")
+    test = spark.createDataFrame([("v3", "w9"), ("zz", "w1"), (None, "w0")], "a string, b string")
+    inline_enc = E.fit_encoders(train, ["a", "b"])
+    inline = sorted(tuple(r) for r in E.encode(test, inline_enc, ["a", "b"]).collect())
+    monkeypatch.setattr(E, "INLINE_LIMIT", 3)
+    big_enc = E.fit_encoders(train, ["a", "b"])
+    assert sorted(tuple(r) for r in big_enc.collect()) == sorted(tuple(r) for r in inline_enc.collect())
+    joined = sorted(tuple(r) for r in E.encode(test, big_enc, ["a", "b"]).collect())
+    assert joined == inline
+
+
+def test_rank_within_many_groups_path(spark, monkeypatch):
+    from pyspark.sql import Window
+
+    from churnframe.operators import ordering as O
+
+    df = spark.range(3000).select("id", (F.col("id") % 40).alias("g"), (F.abs(F.xxhash64("id")) % 50).alias("s"))
+    monkeypatch.setattr(O, "MAX_INLINE_GROUPS", 5)
+    got = O.rank_within(df, "g", [("s", False), ("id", True)], "r", rows_per_bucket=400)
+    ref = df.withColumn("ref", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("s"), "id")))
+    assert got.join(ref, "id").filter(F.col("r") != F.col("ref")).count() == 0
+
+
+def test_strict_recode_fails_on_other_values(spark):
+    from churnframe.sources.conform import conform_schema
+
+    df = spark.createDataFrame([("a", "Yes"), ("b", "Maybe")], "id string, `Senior Citizen` string")
+    slim, _full = conform_schema(df, {"Senior Citizen": "SeniorCitizen"}, ["id", "SeniorCitizen"], ["SeniorCitizen"])
+    with pytest.raises(Exception, match="cannot recode"):
+        slim.collect()
+    ok, _ = conform_schema(df.filter("id = 'a'"), {"Senior Citizen": "SeniorCitizen"}, ["id", "SeniorCitizen"], ["SeniorCitizen"])
+    assert ok.collect()[0]["SeniorCitizen"] == 1
+
+
+def test_missing_numeric_feature_fails_before_fit(spark):
+    from churnframe.operators.models import fit_churn
+
+    spec = TenantSpec("t", "id", "y", "Yes", "rev")
+    df = spark.createDataFrame([(1, "Yes", 1.0, None), (2, "No", 2.0, 3.0)], "id long, y string, rev double, x double")
+    with pytest.raises(ValueError, match=r"missing values in features: \['x'\]"):
+        fit_churn(df, spec)
