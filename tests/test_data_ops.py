@@ -201,3 +201,11 @@ def test_missing_numeric_feature_fails_before_fit(spark):
     df = spark.createDataFrame([(1, "Yes", 1.0, None), (2, "No", 2.0, 3.0)], "id long, y string, rev double, x double")
     with pytest.raises(ValueError, match=r"missing values in features: \['x'\]"):
         fit_churn(df, spec)
+
+
+def test_enrich_conflicting_duplicates_is_deterministic(spark):
+    base = spark.createDataFrame([(1, "x")], "id long, Contract string")
+    ext = spark.createDataFrame([(1, 9.0, "b"), (1, 5.0, "z"), (1, 5.0, "a")], "id long, CLTV double, City string")
+    for parts in (1, 3):
+        out = enrich_base_wins(base, ext.repartition(parts), "id", ["CLTV", "City"]).collect()
+        assert [tuple(r) for r in out] == [(1, "x", 5.0, "a")]
