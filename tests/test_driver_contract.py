@@ -32,3 +32,21 @@ def test_entry_and_python_stages_from_another_folder(scratch):
     )
     assert out.returncode == 0, out.stderr[-3000:]
     assert out.stdout.strip().endswith("ok")
+
+
+def test_bench_prints_one_json_line(scratch):
+    import json
+
+    env = dict(os.environ, BENCH_SF_DIR="/root/testdata/sf0.001", BENCH_CPUS="4")
+    env.pop("PYTHONPATH", None)
+    out = subprocess.run(
+        [sys.executable, os.path.join(REPO, "bench.py"), "load_validate", "backtest_thresholds", "roc_auc"],
+        cwd=scratch, env=env, capture_output=True, text=True, timeout=900,
+    )
+    assert out.returncode == 0, out.stderr[-3000:]
+    lines = [l for l in out.stdout.splitlines() if l.strip()]
+    assert len(lines) == 1
+    rec = json.loads(lines[0])
+    assert rec["unit"] == "sec" and rec["sf"] == 0.001
+    assert set(rec["queries"]) == {"load_validate", "backtest_thresholds", "roc_auc"}
+    assert rec["value"] == round(sum(rec["queries"].values()), 3)
