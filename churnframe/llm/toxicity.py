@@ -7,14 +7,15 @@ once or twice.  Viterbi finds the likeliest reading under a character trigram
 model and fixed channel costs.  The model's counts come from every document
 (bytes in 28 classes: boundary, a-z, non-ASCII), so they grow with the corpus.
 
-Score.  Evidence is looked up by whole word and by word beginnings of 4 and 5
+Score.  Evidence is looked up by whole word and by word beginnings of 3 to 6
 characters (inflected and compounded forms), in the plain and in the restored
-text.  Each feature's log odds come from labelled training rows; features with
-little or weak evidence are dropped.  The score is a calibrated logistic in
-the summed and the strongest evidence.  Rows whose crc32(doc_id) mod 3 is 1
-are never learned from.  Training reads at most about ``SAMPLE`` labelled rows
-(hash sample of the labels); one half gives the evidence, the other the
-calibration.
+text; a beginning also counts as dense if it starts two or more words and 1 %
+of the text's words.  Each feature's log odds come from labelled training
+rows; features with little or weak evidence are dropped.  The score is a
+calibrated logistic in the summed and the strongest evidence; a calibration
+row is judged without its own share of the counts.  Rows whose crc32(doc_id)
+mod 3 is 1 are never learned from.  Training reads at most about ``SAMPLE``
+labelled rows (hash sample of the labels).
 
 Defined results: NULL and empty texts have no evidence and get the base score;
 NULL labels are not learned from; repeated label rows count once per row; with
@@ -25,7 +26,9 @@ doc_id is not held out.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -35,6 +38,7 @@ from pyspark.sql import types as T
 from churnframe.llm import common as C
 
 SAMPLE = 12_000
+PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.7
 MIN_ODDS = 1.5
 MIN_DOCS = 3
@@ -160,40 +164,57 @@ def spaced_words(text: str, model: np.ndarray) -> list[str]:
 
 
 def word_features(word: str) -> list[str]:
-    out = [word]
-    if len(word) > 4:
-        out.append(word[:4] + "-")
-    if len(word) > 5:
-        out.append(word[:5] + "-")
+    """The word, and its beginnings marked with a dash."""
+    return [word, *(word[:k] + "-" for k in PREFIXES if len(word) > k)]
+
+
+def with_dense(counts: dict[str, int], words: int) -> set[str]:
+    """Features of a text from how often each occurs in its words."""
+    out = set(counts)
+    out.update(f + "+" for f, n in counts.items() if n > 1 and f[-1] == "-" and 100 * n >= words)
     return out
 
 
 class Reader:
-    """Restored features of a text, remembering tokens already read."""
+    """Restored features of a text; with ``wanted``, only those listed there
+    (as they are or dense), remembering tokens already read."""
 
-    def __init__(self, model: np.ndarray):
+    def __init__(self, model: np.ndarray, wanted: dict | None = None):
         self.model, self.known = model, {}
+        self.wanted = None if wanted is None else {f.rstrip("+") if f.endswith("-+") else f for f in wanted}
+
+    def of_word(self, word: str) -> list[str]:
+        own = word_features(word)
+        return own if self.wanted is None else [f for f in own if f in self.wanted]
 
-    def token(self, token: str) -> list[str]:
-        return [f for w in readings(token, self.model) for f in word_features(w)]
+    def token(self, token: str) -> tuple[str, ...]:
+        own = self.known.get(token)
+        if own is None:
+            if len(self.known) > CACHE:
+                self.known.clear()
+            own = self.known[token] = tuple({f for w in readings(token, self.model) for f in self.of_word(w)})
+        return own
 
     def spaced(self, text: str) -> list[str]:
         out = []
         for word in spaced_words(text, self.model):
             # a row of single characters may also hold ordinary short words at its ends
             for a in range(min(3, len(word))):
-                out += word_features(word[a:])
+                out += self.of_word(word[a:])
                 if a:
-                    out += word_features(word[:-a])
+                    out += self.of_word(word[:-a])
         return out
 
     def features(self, text: str) -> set[str]:
         text = text.lower()
-        out: set[str] = set()
-        for token in set(text.split()):
-            out.update(self.token(token))
-        out.update(self.spaced(text))
-        return out
+        tokens = Counter(text.split())
+        counts: dict[str, int] = {}
+        for token, n in tokens.items():
+            for f in self.token(token):
+                counts[f] = counts.get(f, 0) + n
+        for f in self.spaced(text):
+            counts.setdefault(f, 1)
+        return with_dense(counts, tokens.total())
 
 
 # ------------------------------------------------------------------ learning
@@ -204,15 +225,14 @@ def held_out(column: Column) -> Column:
 
 
 def _learn_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
-    """doc, toxic, half, text of a bounded sample of training rows."""
+    """toxic and text of a bounded sample of training rows."""
     key = F.col(C.quoted(id_col))
     usable = labels.where(key.isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(key))
     share = min(1.0, sample / max(1, usable.count()))
     picked = usable.where(C.hash_share(key, share)).select(key.alias("doc"), F.col("toxic").cast("int").alias("toxic"))
-    half = F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(2)).cast("int").alias("half")
     # at most about `sample` rows of two numbers: a bounded broadcast
     texts = docs.select(key.alias("doc"), C.utf8(text_col).alias("text"))
-    return texts.join(F.broadcast(picked), "doc").select("toxic", half, "text")
+    return texts.join(F.broadcast(picked), "doc").select("toxic", "text")
 
 
 def _counts(rows: DataFrame, model) -> DataFrame:
@@ -242,7 +262,14 @@ def _columns(seen: dict[str, list[int]]) -> dict:
     return {"feature": list(seen), "toxic": [v[0] for v in seen.values()], "clean": [v[1] for v in seen.values()]}
 
 
+def log_odds(toxic: int, clean: int, n1: int, n0: int) -> float:
+    """Smoothed log odds of a feature; 0 if there is too little evidence."""
+    value = math.log((toxic + 0.5) / (n1 + 1)) - math.log((clean + 0.5) / (n0 + 1))
+    return value if toxic >= MIN_DOCS and value >= MIN_ODDS else 0.0
+
+
 def evidence(found: set[str], odds: dict[str, float]) -> tuple[float, float]:
+    """Summed (up to a bound) and strongest evidence."""
     own = [odds[f] for f in found if f in odds]
     return (min(sum(own), 30.0), max(own)) if own else (0.0, 0.0)
 
@@ -267,19 +294,36 @@ def train(
     features (strong log odds only) and two numbers per calibration row."""
     spark = C.prepare(docs.sparkSession)
     lm = language_model(docs, text_col)
-    shipped = spark.sparkContext.broadcast(lm)
     rows = C.materialise(_learn_rows(docs, labels, id_col, text_col, sample))
-    sizes = {(r.half, r.toxic): r["count"] for r in rows.groupBy("half", "toxic").count().collect()}
-    n1, n0 = sizes.get((0, 1), 0), sizes.get((0, 0), 0)
+    sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     model = {"lm": lm, "odds": {}, "weights": None}
     if not n1 or not n0:
         return model
+    counted = _counts(rows, spark.sparkContext.broadcast(lm)).where(F.col("toxic") >= MIN_DOCS)
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
-    kept = _counts(rows.where("half = 0"), shipped).withColumn("odds", odds)
-    kept = kept.where((F.col("toxic") >= MIN_DOCS) & (F.col("odds") >= MIN_ODDS))
-    model["odds"] = {r.feature: r.odds for r in kept.select("feature", "odds").collect()}
-    evidence_rows = rows.where("half = 1") if sizes.get((1, 1)) and sizes.get((1, 0)) else rows
-    scored = _evidence(evidence_rows.select("toxic", "text"), spark.sparkContext.broadcast(model)).select("toxic", "total", "top")
+    kept = {r.feature: (r.toxic, r.clean) for r in counted.where(odds >= MIN_ODDS).collect()}
+    model["odds"] = {f: log_odds(*n, n1, n0) for f, n in kept.items()}
+
+    shipped = spark.sparkContext.broadcast((lm, kept))
+
+    def make():
+        lm, kept = shipped.value
+        reader = Reader(lm, kept)
+
+        def work(batch):
+            out = []
+            for toxic, raw in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+                found = [f for f in reader.features(raw.decode("utf-8", "replace")) if f in kept]
+                # without this row's own share
+                own = {f: log_odds(kept[f][0] - toxic, kept[f][1] - (1 - toxic), n1 - toxic, n0 - (1 - toxic)) for f in found}
+                out.append(evidence(set(found), own))
+            return {"total": [a for a, _ in out], "top": [b for _, b in out]}
+
+        return work
+
+    added = [C.field("total", "double"), C.field("top", "double")]
+    scored = C.map_batches(rows.select("toxic", "text"), make, added, ("text",))
     data = np.array([(r.total, r.top, r.toxic) for r in scored.collect()])
     data = data[np.lexsort(data.T)]
     model["weights"] = logistic(data[:, :2], data[:, 2])
@@ -289,37 +333,15 @@ def train(
 # ------------------------------------------------------------------- scoring
 
 
-class Scorer(Reader):
-    """Evidence of whole texts; a token's contribution is looked up once."""
-
-    def __init__(self, model: dict):
-        super().__init__(model["lm"])
-        self.odds = model["odds"]
-
-    def of_text(self, text: str) -> tuple[float, float]:
-        text = text.lower()
-        known, odds = self.known, self.odds
-        if len(known) > CACHE:
-            known.clear()
-        found: set[str] = set()
-        for token in set(text.split()):
-            own = known.get(token)
-            if own is None:
-                own = known[token] = tuple(f for f in self.token(token) if f in odds)
-            if own:
-                found.update(own)
-        found.update(f for f in self.spaced(text) if f in odds)
-        return evidence(found, odds)
-
-
 def _evidence(df: DataFrame, shipped) -> DataFrame:
     """``df`` with ``total`` and ``top`` evidence in place of ``text``."""
 
     def make():
-        scorer = Scorer(shipped.value)
+        odds = shipped.value["odds"]
+        reader = Reader(shipped.value["lm"], odds)
 
         def work(batch):
-            found = [scorer.of_text(t.decode("utf-8", "replace")) for t in batch.column("text").to_pylist()]
+            found = [evidence(reader.features(t.decode("utf-8", "replace")), odds) for t in batch.column("text").to_pylist()]
             return {"total": [a for a, _ in found], "top": [b for _, b in found]}
 
         return work
