@@ -41,7 +41,7 @@ def test_held_out_accuracy(spark):
 
 @pytest.mark.parametrize(
     "written, plain",
-    [("1d10t", "idiot"), ("st00pid", "stoopid"), ("$tup1d", "stupid"), ("m0r0n", "moron"), ("cl0wn", "clown"), ("l0$er", "loser")],
+    [("1d10t", "idiot"), ("5tup1d", "stupid"), ("$tup1d", "stupid"), ("m0r0n", "moron"), ("cl0wn", "clown"), ("l0$er", "loser")],
 )
 def test_viterbi_restores_look_alikes(model, written, plain):
     assert X.decode(written, model["lm"]) == plain
