@@ -77,7 +77,7 @@ _CLASS = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27
 
 
 def count_trigrams(texts: list[bytes]) -> np.ndarray:
-    x = _CLASS[np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)]
+    x = _CLASS[np.frombuffer(b"  ".join([b"", *texts, b""]), np.uint8)]
     return np.bincount(x[:-2] * 784 + x[1:-1] * 28 + x[2:], minlength=28**3)
 
 
@@ -148,9 +148,10 @@ def readings(token: str, model: np.ndarray) -> list[str]:
         out.append(decode(core, model))
     signs = token.strip(".,;:?\"'[]{}<>%&#-_/\\=~`«»“”…")
     if len(signs) < 40 and any(c.isalpha() for c in signs) and any(c in LOOKALIKES for c in signs):
-        out.append(decode(signs, model))
-        if core != signs and not core.isalpha():
-            out.append(decode(core, model))
+        # signs at the ends may be letters or marks
+        for form in {signs, signs.rstrip("!|+(*"), core}:
+            if not form.isalpha():
+                out.append(decode(form, model))
     return out
 
 

@@ -64,7 +64,7 @@ def test_obfuscated_texts_score_like_plain_ones(spark, model):
 def test_language_model_counts_every_text():
     texts = [b"ab", b"", "é".encode()]
     plain = {}
-    whole = [0, 0, 1, 2, 0, 0, 27, 27, 0]
+    whole = [0, 0, 1, 2, 0, 0, 0, 0, 27, 27, 0, 0]  # a text begins and ends at two boundaries
     for a, b, c in zip(whole, whole[1:], whole[2:]):
         plain[a * 784 + b * 28 + c] = plain.get(a * 784 + b * 28 + c, 0) + 1
     counts = X.count_trigrams(texts)
