@@ -229,32 +229,48 @@ def next_documents(keys: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------- operator
 
 
+def _id_key(column: Column) -> Column:
+    """An id as a key that is never NULL."""
+    return F.coalesce(F.concat(F.lit("#"), column.cast("string")), F.lit(""))
+
+
 def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited (the edited text's SHA-256), the sketches of
     text and edited text (array of cells), near_edited and near_next."""
-    C.ensure_checkpoint_dir(docs.sparkSession)
+    spark = docs.sparkSession
+    C.ensure_checkpoint_dir(spark)
     text = F.coalesce(F.col(C.quoted(text_col)).cast("string"), F.lit(""))
     texts = docs.select(F.col(C.quoted(id_col)).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    texts = texts.withColumn("n_chars", F.char_length("text").cast("long"))
-    keys = texts.select("doc_id", "text_hash", "n_chars").distinct()
+    n_chars = F.char_length("text").cast("long")
     half = F.floor(F.col("n_chars") / 2).cast("int")
-
-    # what each document lends to the one before it
-    before = next_documents(keys).select(
-        F.col("doc_id").alias("to_id"),
+    before = next_documents(texts.select("doc_id", "text_hash", n_chars.alias("n_chars")).distinct())
+
+    # whole texts are shuffled once, by their own key: what a document lends to
+    # the one before it is cut there, and what it keeps waits there
+    # (both uses read the same three columns, so Spark shuffles them once)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.select(_id_key(F.col("doc_id")).alias("key"), "text_hash", "text").repartition(parts, "key", "text_hash")
+    before = before.select(
+        "doc_id",
+        _id_key(F.col("doc_id")).alias("to_key"),
         F.col("text_hash").alias("to_hash"),
         half.alias("lend"),
-        F.col("next_id").alias("from_id"),
-        F.col("next_hash").alias("from_hash"),
+        _id_key(F.col("next_id")).alias("key"),
+        F.col("next_hash").alias("text_hash"),
     )
-    lent = texts.join(before, F.col("doc_id").eqNullSafe(F.col("from_id")) & (F.col("text_hash") == F.col("from_hash")))
-    lent = lent.select("to_id", "to_hash", F.substring("text", F.lit(1), F.col("lend")).alias("lent"), digests(F.col("text")).alias("next"))
-    lent = lent.dropDuplicates(["to_id", "to_hash"])
-
+    lent = dealt.join(before, ["key", "text_hash"]).select(
+        F.col("to_key").alias("key"),
+        F.col("to_hash").alias("text_hash"),
+        "doc_id",
+        F.substring("text", F.lit(1), F.col("lend")).alias("lent"),
+        digests(F.col("text")).alias("next"),
+    )
+    lent = lent.dropDuplicates(["key", "text_hash"])
+    both = dealt.join(lent, ["key", "text_hash"]).withColumn("n_chars", n_chars)
     stays = F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int"))
-    own = texts.select("doc_id", "text_hash", "n_chars", stays.alias("stays"), digests(F.col("text")).alias("own"))
-    both = own.join(lent, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("text_hash") == F.col("to_hash")))
-    both = both.select("doc_id", "n_chars", F.concat("stays", "lent").alias("edited"), "own", "next")
+    both = both.select(
+        "doc_id", "n_chars", F.concat(stays, "lent").alias("edited"), digests(F.col("text")).alias("own"), "next"
+    )
     rows = both.select(
         F.monotonically_increasing_id().alias("place"),
         "doc_id",
