@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnframe.functions.columns import hash_unit
-from churnframe.operators.backtest import kth_bounds
+from churnframe.operators.ordering import kth_keys
 from churnframe.session import ship_code
 
 EULER_GAMMA = 0.5772156649015329
@@ -196,12 +196,12 @@ def grow_forest(
 
 def exact_quantile(df: DataFrame, value: str, id_column: str, q: float) -> float:
     """Linear-interpolation quantile (numpy's default) from the two
-    neighbouring order statistics, located by bucket counts."""
+    neighbouring order statistics."""
     n = df.count()
     pos = (n - 1) * q
     lo, hi = int(math.floor(pos)), int(math.ceil(pos))
     keys = [(value, True), (id_column, True)]
-    b = kth_bounds(df.select(value, id_column), keys, sorted({lo + 1, hi + 1}), n_rows=n)
+    b = kth_keys(df, keys, sorted({lo + 1, hi + 1}))
     v_lo = b[lo + 1][0] if isinstance(b[lo + 1], tuple) else None
     v_hi = b[hi + 1][0] if isinstance(b[hi + 1], tuple) else None
     if v_lo is None or v_hi is None:  # k == n: the maximum

@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnframe.functions.columns import binarize, hash_order_key
-from churnframe.operators.ordering import BUCKET, Key, after, bucket_counts, bucketize, order_columns
+from churnframe.operators.ordering import Key, after, kth_keys
 from churnframe.operators.prioritize import AT_RISK, PROBABILITY, strategy_keys
+from churnframe.session import cut_lineage
 from churnframe.spec import TenantSpec
 
 
@@ -24,47 +25,7 @@ def campaign_size(top_pct: float, n: int) -> int:
     return max(1, int(n * top_pct))
 
 
-def kth_bounds(df: DataFrame, keys: Sequence[Key], ks: Sequence[int], **kw) -> dict[int, tuple | bool]:
-    """For each k, the key of the k-th row in order (True: all rows, False:
-    none).  One bucketing pass, then only the buckets holding a k-th row
-    are sorted."""
-    bk = bucketize(df, keys, **kw)
-    counts = bucket_counts(bk)
-    total = sum(counts.values())
-    offsets, run = {}, 0
-    for b in range(bk.n_buckets):
-        offsets[b] = run
-        run += counts.get(b, 0)
-    out: dict[int, tuple | bool] = {}
-    wanted: dict[int, list[int]] = {}
-    for k in ks:
-        if k <= 0:
-            out[k] = False
-        elif k >= total:
-            out[k] = True
-        else:
-            b = max(x for x in range(bk.n_buckets) if offsets[x] < k and counts.get(x, 0) > 0)
-            wanted.setdefault(b, []).append(k)
-    if wanted:
-        names = [n for n, _ in bk.keys]
-        w = Window.partitionBy(BUCKET).orderBy(*order_columns(bk.keys))
-        local = F.col("_rn") + F.element_at(
-            F.create_map(*[x for b in wanted for x in (F.lit(b), F.lit(offsets[b]).cast("bigint"))]), F.col(BUCKET)
-        )
-        rows = (
-            bk.df.filter(F.col(BUCKET).isin(list(wanted)))
-            .select(BUCKET, *names)
-            .withColumn("_rn", F.row_number().over(w))
-            .withColumn("_g", local)
-            .filter(F.col("_g").isin([k for ks_ in wanted.values() for k in ks_]))
-            .collect()
-        )
-        for r in rows:
-            out[int(r["_g"])] = tuple(r[n] for n in names)
-    return out
-
-
-def _member(keys: Sequence[Key], bound: tuple | bool):
+def member(keys: Sequence[Key], bound: tuple | bool):
     if bound is True:
         return F.lit(True)
     if bound is False:
@@ -84,8 +45,8 @@ def backtest(
 
     ``test_scored`` holds the test rows with ``churn_probability``.  All
     strategies and thresholds are answered by ONE aggregation pass over the
-    scored rows: each top-n list is a key bound found from bucket counts,
-    so no full sort or per-strategy rescoring happens.  Strategy
+    scored rows: each top-n list is the key of its n-th row, found by one
+    range sort of the key columns; nothing is scored twice.  Strategy
     ``random`` takes n ids by md5('<seed>:<id>') order.
     """
     idc, rev = spec.id_column, spec.revenue_column
@@ -97,7 +58,7 @@ def backtest(
         binarize(F.col(spec.target_column), spec.positive_value).alias("_y"),
         hash_order_key(seed, F.col(idc)).alias("_h"),
     )
-    base = base.persist()
+    base = cut_lineage(base)
     n = base.count()
     sizes = {p: backtest_size(p, n) for p in top_pcts}
     strategies: dict[str, list[Key]] = {
@@ -107,9 +68,9 @@ def backtest(
     }
     flags = {}
     for name, keys in strategies.items():
-        bounds = kth_bounds(base, keys, sorted(set(sizes.values())), n_rows=n, **kw)
+        bounds = kth_keys(base, keys, sorted(set(sizes.values())), **kw)
         for p, k in sizes.items():
-            flags[(p, name)] = _member(keys, bounds[k])
+            flags[(p, name)] = member(keys, bounds[k])
     churned = F.col("_y") == 1
     aggs = [F.sum(F.when(churned, F.col(rev)).otherwise(F.lit(0.0))).alias("total")]
     for i, ((p, name), flag) in enumerate(flags.items()):

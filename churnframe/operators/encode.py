@@ -10,17 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnframe.operators.ordering import rank_within
 
-# Encoders up to this many entries are inlined as map literals (a pure
-# projection, no join); larger ones are joined by shuffle.
-INLINE_LIMIT = 100_000
-
-
 def categorical_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     types = {f.name: f.dataType for f in df.schema.fields}
     return [c for c in columns if isinstance(types[c], (T.StringType, T.BooleanType))]
@@ -40,43 +35,27 @@ def fit_encoders(train: DataFrame, columns: Sequence[str]) -> DataFrame:
         .filter(F.col("value").isNotNull())
         .distinct()
     )
-    n = distinct.count()
-    if n <= INLINE_LIMIT:
-        w = Window.partitionBy("column").orderBy("value")
-        return distinct.withColumn("code", (F.row_number().over(w) - 1).cast("bigint"))
     ranked = rank_within(distinct, "column", ["value"], "code")
     return ranked.withColumn("code", (F.col("code") - 1).cast("bigint"))
 
 
 def encode(df: DataFrame, encoders: DataFrame, columns: Sequence[str], prefix: str = "") -> DataFrame:
-    """Replace each categorical column by its code (double); NULL or unseen
-    gives -1.0.  Columns absent from the encoder table are left alone.  With
-    a ``prefix`` the codes go to new columns and the originals stay."""
-    n = encoders.count()
+    """Replace each of ``columns`` that ``df`` has by its code (double); NULL,
+    unseen values and columns that had no value at fitting give -1.0.  With a
+    ``prefix`` the codes go to new columns and the originals stay.  One left
+    join per column: Spark broadcasts a column's table if its size allows and
+    else splits a hot value's rows."""
     out = df
-    if n <= INLINE_LIMIT:
-        table: dict[str, list] = {}
-        for r in encoders.collect():
-            table.setdefault(r["column"], []).append((r["value"], r["code"]))
-        for c in columns:
-            if c not in table or c not in df.columns:
-                continue
-            items = []
-            for value, code in table[c]:
-                items += [F.lit(value), F.lit(float(code))]
-            lookup = F.try_element_at(F.create_map(*items), F.col(c).cast("string"))
-            out = out.withColumn(prefix + c, F.coalesce(lookup, F.lit(-1.0)))
-        return out
     for c in columns:
         if c not in df.columns:
             continue
         enc = encoders.filter(F.col("column") == c).select(
-            F.col("value").alias(f"_v_{c}"), F.col("code").cast("double").alias(f"_c_{c}")
+            F.col("value").alias("_value"), F.col("code").cast("double").alias("_code")
         )
         out = (
-            out.join(enc, F.col(c).cast("string") == F.col(f"_v_{c}"), "left")
-            .withColumn(prefix + c, F.coalesce(F.col(f"_c_{c}"), F.lit(-1.0)))
-            .drop(f"_v_{c}", f"_c_{c}")
+            out.join(enc, F.col(f"`{c}`").cast("string") == F.col("_value"), "left")
+            .withColumn(prefix + c, F.coalesce(F.col("_code"), F.lit(-1.0)))
+            .drop("_value", "_code")
         )
     return out
 

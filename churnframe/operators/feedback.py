@@ -10,12 +10,13 @@ from churnframe.functions.columns import binarize, hash_order_key
 from churnframe.operators.backtest import campaign_size
 from churnframe.operators.metrics import average_precision, roc_auc
 from churnframe.operators.models import fit_churn
-from churnframe.operators.ordering import rank_within
+from churnframe.operators.ordering import top
 from churnframe.operators.prioritize import PROBABILITY
 from churnframe.operators.split import split_rows
 from churnframe.session import cut_lineage
 from churnframe.spec import TenantSpec
 
+# Fixed value: how feedback rows are tagged.
 FEEDBACK_TAG = "synthetic_feedback_not_real"
 
 
@@ -35,12 +36,13 @@ def select_campaign(
     size = campaign_size(top_pct, n)
     take = min(n_customers, size)
     retained = int(take * retention_rate)
-    top = ranking.filter(F.col("rank") <= size).select(id_column)
-    top = top.withColumn("_g", F.lit(0)).withColumn("_h", hash_order_key(seed, F.concat(F.lit("sample:"), F.col(id_column).cast("string"))))
-    picked = rank_within(top, "_g", ["_h", id_column], "_pick").filter(F.col("_pick") <= take)
-    picked = picked.withColumn("_h2", hash_order_key(seed, F.concat(F.lit("retain:"), F.col(id_column).cast("string"))))
-    ordered = rank_within(picked.drop("_h", "_pick"), "_g", ["_h2", id_column], "_ret")
-    return ordered.select(id_column, (F.col("_ret") <= retained).alias("retained"))
+    def hashed(what: str):
+        return hash_order_key(seed, F.concat(F.lit(what + ":"), F.col(id_column).cast("string")))
+
+    # two top-k of at most n_customers rows, not two full rankings
+    listed = ranking.filter(F.col("rank") <= size).select(id_column, hashed("sample").alias("_h"))
+    picked = top(listed, ["_h", id_column], take, "_pick").withColumn("_h", hashed("retain"))
+    return top(picked, ["_h", id_column], take, "_pick").select(id_column, (F.col("_pick") <= retained).alias("retained"))
 
 
 def relabel(df: DataFrame, outcomes: DataFrame, spec: TenantSpec, new_label_column: str = "new_label") -> DataFrame:

@@ -9,13 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnframe.operators.ordering import BUCKET, bucketize, prefix_sums
-from churnframe.session import ship_code
+from churnframe.operators.ordering import global_rank, prefix_sums
+from churnframe.session import cut_lineage
 
 
 def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -25,52 +23,47 @@ def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
     )
 
 
+def _times(a: Column, b: Column) -> Column:
+    """Product of two counts without overflow."""
+    return a.cast("decimal(19,0)") * b.cast("decimal(19,0)")
+
+
+def _auc(num2: Column) -> Column:
+    p, n = F.col("P"), F.col("N")
+    return F.when((p > 0) & (n > 0), num2.cast("double") / (F.lit(2.0) * p * n))
+
+
 def roc_auc(df: DataFrame, label: str, score: str, **kw) -> DataFrame:
     """Rank form with average ranks for ties:
     AUC = sum over scores of pos_s * (neg_below_s + neg_s / 2) / (P * N).
     Numerator and denominator are exact integers, so the result is too."""
     counts = _score_counts(df, label, score)
     cum = prefix_sums(counts, [("s", True)], ["neg"], **kw)
-    twice = F.col("pos") * (F.lit(2) * (F.col("neg_cum") - F.col("neg")) + F.col("neg"))
+    twice = _times(F.col("pos"), F.lit(2) * (F.col("neg_cum") - F.col("neg")) + F.col("neg"))
     agg = cum.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum(twice).alias("num2"))
-    return agg.select(
-        F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("num2").cast("double") / (F.lit(2.0) * F.col("P") * F.col("N")))
-        .alias("roc_auc")
-    )
-
-
-MAX_GROUPS = 10_000
+    return agg.select(_auc(F.col("num2")).alias("roc_auc"))
 
 
 def roc_auc_by(df: DataFrame, group: str, label: str, score: str, **kw) -> DataFrame:
     """ROC-AUC per group (tenant): rows, positive rate and AUC for each
-    group value.  Running sums are taken over (group, score), so a group
-    holding most rows is still spread over buckets; each group's offset (the
-    negatives of the groups before it) comes from a small per-group table."""
+    group value, NULL being one.  Running sums are taken over (group, score),
+    so a group holding most rows is still cut over many ranges; the negatives
+    of the groups before one are the least running sum in it."""
     y = F.col(label).cast("bigint")
     counts = df.groupBy(F.col(group).alias("g"), F.col(score).alias("s")).agg(
         F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg")
     )
-    per_group = counts.groupBy("g").agg(F.sum("neg").alias("N")).limit(MAX_GROUPS + 1).collect()
-    if len(per_group) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups")
-    if any(r["g"] is None for r in per_group):
-        raise ValueError("group column has NULL values")
-    items, run = [], 0
-    for r in sorted(per_group, key=lambda r: r["g"]):
-        items += [F.lit(r["g"]), F.lit(run).cast("bigint")]
-        run += int(r["N"])
-    offset = F.element_at(F.create_map(*items), F.col("g")) if items else F.lit(0).cast("bigint")
     cum = prefix_sums(counts, [("g", True), ("s", True)], ["neg"], **kw)
-    below = F.col("neg_cum") - F.col("neg") - offset
-    twice = F.col("pos") * (F.lit(2) * below + F.col("neg"))
-    agg = cum.groupBy("g").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum(twice).alias("num2"))
+    below = F.col("neg_cum") - F.col("neg")
+    twice = _times(F.col("pos"), F.lit(2) * below + F.col("neg"))
+    agg = cum.groupBy("g").agg(
+        F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum(twice).alias("num2"), F.min(below).alias("before")
+    )
     return agg.select(
         F.col("g").alias(group),
         (F.col("P") + F.col("N")).cast("bigint").alias("n"),
         (F.col("P") / (F.col("P") + F.col("N"))).alias("positive_rate"),
-        F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("num2").cast("double") / (F.lit(2.0) * F.col("P") * F.col("N")))
-        .alias("roc_auc"),
+        _auc(F.col("num2") - _times(F.lit(2) * F.col("P"), F.col("before"))).alias("roc_auc"),
     )
 
 
@@ -86,13 +79,16 @@ def average_precision(df: DataFrame, label: str, score: str, **kw) -> DataFrame:
 
 def classification_report(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
     """Per class precision / recall / F1 / support, accuracy, macro and
-    weighted averages; 0 on zero division.  One 2x2 count, then arithmetic."""
+    weighted averages; 0 on zero division.  One 2x2 count, then arithmetic.
+    Rows whose label or prediction is neither 0 nor 1 are in no class; if
+    there are any, a row ``unknown`` has their number as support."""
     t, p = F.col(y_true), F.col(y_pred)
     c = df.agg(
         F.count_if((t == 1) & (p == 1)).alias("tp"),
         F.count_if((t == 0) & (p == 1)).alias("fp"),
         F.count_if((t == 1) & (p == 0)).alias("fn"),
         F.count_if((t == 0) & (p == 0)).alias("tn"),
+        F.count(F.lit(1)).alias("all"),
     )
 
     def div(a, b):
@@ -123,25 +119,27 @@ def classification_report(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
         row("macro avg", (p0 + p1) / 2, (r0 + r1) / 2, (f1_0 + f1_1) / 2, n),
         row("weighted avg", div(p0 * s0 + p1 * s1, n), div(r0 * s0 + r1 * s1, n), div(f1_0 * s0 + f1_1 * s1, n), n),
         row("accuracy", div(tp + tn, n), div(tp + tn, n), div(tp + tn, n), n),
+        row("unknown", F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("all") - n),
     ]
-    return c.select(F.inline(F.array(*rows)))
+    return c.select(F.inline(F.array(*rows))).filter("label <> 'unknown' OR support > 0")
 
 
 def regression_metrics(df: DataFrame, y: str, pred: str) -> DataFrame:
-    """RMSE, MAE, R^2 in one pass (R^2 from sums of squares)."""
+    """RMSE, MAE, R^2 in one pass.  A constant target has R^2 1 if predicted
+    exactly, else 0."""
     e = F.col(y) - F.col(pred)
     a = df.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(e * e).alias("sse"),
         F.sum(F.abs(e)).alias("sae"),
-        F.sum(F.col(y)).alias("sy"),
-        F.sum(F.col(y) * F.col(y)).alias("syy"),
+        F.var_pop(F.col(y)).alias("var"),
     )
-    sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    sst = F.col("n") * F.col("var")
+    r2 = F.when(sst > 0, F.lit(1.0) - F.try_divide(F.col("sse"), sst)).when(F.col("sse") == 0, 1.0).otherwise(0.0)
     return a.select(
-        F.round(F.sqrt(F.col("sse") / F.col("n")), 6).alias("rmse"),
-        F.round(F.col("sae") / F.col("n"), 6).alias("mae"),
-        F.round(F.lit(1.0) - F.col("sse") / sst, 6).alias("r2"),
+        F.round(F.sqrt(F.try_divide(F.col("sse"), F.col("n"))), 6).alias("rmse"),
+        F.round(F.try_divide(F.col("sae"), F.col("n")), 6).alias("mae"),
+        F.when(F.col("n") > 0, F.round(r2, 6)).alias("r2"),
     )
 
 
@@ -178,112 +176,66 @@ def leakage_screen(df: DataFrame, label: str, features: Sequence[str], threshold
 
 # ---------------------------------------------------------------- concordance
 
-# The sweep keeps one counter per distinct (duration, censored) value.
-MAX_DURATIONS = 200_000
-# The carried histogram (risk ranges x durations) passes through the driver:
-# bounded here (~400 MB of int64 at the limit).
-MAX_GRID_CELLS = 50_000_000
-
 
-def concordance_index(df: DataFrame, duration: str, event: str, risk: str, rows_per_bucket: int = 200_000) -> DataFrame:
+def concordance_index(df: DataFrame, duration: str, event: str, risk: str, parts: int | None = None) -> DataFrame:
     """Harrell's concordance of a risk score against (duration, event).
 
     A pair (i, j) is comparable when i has the event and j lasted longer, or
     equally long but censored; it is concordant when risk_i > risk_j, and a
-    tie in risk counts one half.  With tau_j = 2*T_j + (1 - E_j) that is
-    "tau_j > 2*T_i", a strict dominance count.
-
-    Exact without a pair join: rows collapse to (risk, tau, event) counts;
-    those are cut into risk ranges (``bucketize`` on risk alone, so equal
-    risks share a range); each range gets from a small per-range histogram
-    the counts of all lower-risk ranges, and sweeps its own rows in risk
-    order with a Fenwick tree over tau.  Work is n log D; nothing but the
-    (ranges x tau) histogram leaves the executors.
+    tie in risk counts one half.  Durations are any numbers.
+
+    Exact without a pair join, driver table or Python.  Rows collapse to
+    (risk, duration, event) counts and risks get dense numbers R.  R_j < R_i
+    holds for exactly one bit k: both agree above it, i has a 1 there and j a
+    0.  So for each bit, within a group of equal upper bits, the rows with a 0
+    are counted in falling order of duration up to each event row with a 1.
+    All bits (and, as two more levels, equal risks and all pairs) are answered
+    by ONE distributed prefix sum over log2(risks) + 2 copies of the counts.
     """
-    ship_code(df.sparkSession)
     e = F.col(event).cast("int")
-    g = (
-        df.select(F.col(risk).cast("double").alias("r"), F.col(duration).cast("bigint").alias("t"), e.alias("e"))
-        .withColumn("tau", F.lit(2) * F.col("t") + (F.lit(1) - F.col("e")))
-        .groupBy("r", "t", "e", "tau")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    n_taus = g.select("tau").distinct().count()
-    if n_taus > MAX_DURATIONS:
-        raise ValueError(f"{n_taus} distinct durations; bucket durations first (limit {MAX_DURATIONS})")
-    taus = [r[0] for r in g.select("tau").distinct().orderBy("tau").collect()]
-    tau_index = {v: i for i, v in enumerate(taus)}
-    bk = bucketize(g, [("r", True)], rows_per_bucket=rows_per_bucket)
-    nb, nd = bk.n_buckets, len(taus)
-    if nb * nd > MAX_GRID_CELLS:
-        raise ValueError(f"{nb} risk ranges x {nd} durations exceeds {MAX_GRID_CELLS}; bucket durations first")
-    hist = bk.df.groupBy(BUCKET, "tau").agg(F.sum("n").alias("n")).collect()
-    grid = np.zeros((nb + 1, nd), dtype=np.int64)
-    for r in hist:
-        grid[r[BUCKET] + 1, tau_index[r["tau"]]] += r["n"]
-    below = np.cumsum(grid, axis=0)[:nb]  # rows in lower-risk ranges, per tau
-    carried = bk.df.sparkSession.createDataFrame(
-        [(b, below[b].tolist()) for b in range(nb)], f"{BUCKET} int, carried array<bigint>"
-    )
-    taus_arr = np.array(taus, dtype=np.int64)
-
-    def sweep(key, rows: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
-        hist0 = np.array(carry["carried"].iloc[0], dtype=np.int64) if len(carry) else np.zeros(nd, np.int64)
-        # carried rows (all lower-risk ranges) with tau index >= q
-        suffix = np.concatenate([np.cumsum(hist0[::-1])[::-1], [0]])
-        tree = [0] * (nd + 1)  # Fenwick tree over tau indices, this range only
-
-        order = np.argsort(rows["r"].to_numpy(), kind="mergesort")
-        r = rows["r"].to_numpy()[order]
-        n = rows["n"].to_numpy()[order].astype(np.int64)
-        e = rows["e"].to_numpy()[order]
-        tau_idx = np.searchsorted(taus_arr, rows["tau"].to_numpy()[order])
-        q_first = np.searchsorted(taus_arr, 2 * rows["t"].to_numpy()[order] + 1)  # first tau > 2T
-        starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        ends = np.r_[starts[1:], len(r)]
-        total_local = 0
-        num2 = 0  # twice the concordant count
-        for s0, s1 in zip(starts.tolist(), ends.tolist()):
-            for i in range(s0, s1):
-                if e[i] != 1:
-                    continue
-                q = int(q_first[i])
-                # strictly lower risk: earlier groups of this range (tree) + lower ranges
-                below_q, j = 0, q
-                while j > 0:
-                    below_q += tree[j]
-                    j -= j & -j
-                lower = total_local - below_q + int(suffix[q])
-                # equal risk (same group) with tau > 2T; the row itself has tau = 2T
-                equal = 0
-                if s1 - s0 > 1:
-                    g = slice(s0, s1)
-                    equal = int(n[g][tau_idx[g] >= q].sum())
-                num2 += int(n[i]) * (2 * lower + equal)
-            for i in range(s0, s1):
-                j, v = int(tau_idx[i]) + 1, int(n[i])
-                while j <= nd:
-                    tree[j] += v
-                    j += j & -j
-                total_local += v
-        return pd.DataFrame({"num2": [num2], "den_part": [0], "cmp": [0]})
-
-    parts = (
-        bk.df.groupBy(BUCKET)
-        .cogroup(carried.groupBy(BUCKET))
-        .applyInPandas(sweep, "num2 long, den_part long, cmp long")
-        .select("num2", F.lit(0).cast("bigint").alias("den"))
+    counts = df.groupBy(
+        F.col(risk).cast("double").alias("r"), F.col(duration).cast("double").alias("t"), e.alias("e")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(counts)
+    numbers = cut_lineage(global_rank(counts.select(F.col("r").alias("v")).distinct(), ["v"], "no", parts))
+    bits = max(1, int(numbers.count()).bit_length())
+    rows = counts.join(numbers, F.col("r").eqNullSafe(F.col("v"))).select("no", "t", "e", "n")
+
+    def entry(level: int, prefix: Column, counted: Column, asks: Column) -> Column:
+        """A row's part in a level: how often it is counted, how often it asks.
+        Of equal durations, the censored are counted before events ask."""
+        order = F.when(asks > 0, F.lit(1)).when(F.col("e") == 0, F.lit(0)).otherwise(F.lit(2))
+        return F.struct(
+            F.lit(level).alias("level"),
+            prefix.cast("bigint").alias("prefix"),
+            F.col("t"),
+            order.alias("o"),
+            counted.cast("bigint").alias("counted"),
+            asks.cast("bigint").alias("asks"),
+        )
+
+    zero, n = F.lit(0), F.col("n")
+    entries = []
+    for k in range(bits):
+        low = F.shiftright("no", k).bitwiseAND(F.lit(1).cast("bigint")) == 0
+        upper = F.shiftright("no", k + 1)
+        entries.append(entry(k, upper, F.when(low, n).otherwise(zero), F.when(~low & (F.col("e") == 1), n).otherwise(zero)))
+    asks = F.when(F.col("e") == 1, n).otherwise(zero)
+    for level, prefix in ((bits, F.col("no")), (bits + 1, F.lit(0))):
+        entries += [entry(level, prefix, n, zero), entry(level, prefix, zero, asks)]
+    spread = rows.select(F.explode(F.array(*entries)).alias("x")).select("x.*").filter("counted > 0 OR asks > 0")
+    spread = spread.groupBy("level", "prefix", "t", "o").agg(F.sum("counted").alias("counted"), F.sum("asks").alias("asks"))
+    cum = prefix_sums(spread, [("level", True), ("prefix", True), ("t", False), ("o", True)], ["counted"], parts=parts)
+    groups = cum.groupBy("level", "prefix").agg(
+        F.sum(_times(F.col("asks"), F.col("counted_cum"))).alias("pairs"),
+        F.sum("asks").alias("asks"),
+        F.min(F.col("counted_cum") - F.col("counted")).alias("before"),
     )
-    # comparable pairs: for every event row at T, the rows with tau > 2T:
-    # the descending running count at tau = 2T (present: the event itself)
-    # minus the rows at exactly 2T
-    per_tau = g.groupBy("tau").agg(F.sum("n").alias("n"))
-    from_top = prefix_sums(per_tau, [("tau", False)], ["n"]).select("tau", (F.col("n_cum") - F.col("n")).alias("above"))
-    ev = g.filter(F.col("e") == 1).groupBy((F.lit(2) * F.col("t")).alias("tau")).agg(F.sum("n").alias("w"))
-    comparable = ev.join(from_top, "tau").select(
-        F.lit(0).cast("bigint").alias("num2"), (F.col("w") * F.col("above")).alias("den")
+    pairs = F.col("pairs") - _times(F.col("asks"), F.col("before"))
+    weight = F.when(F.col("level") < bits, F.lit(2)).when(F.col("level") == bits, F.lit(1)).otherwise(F.lit(0))
+    total = groups.agg(
+        F.sum(pairs * weight).alias("num2"), F.sum(F.when(F.col("level") == bits + 1, pairs)).alias("den")
     )
-    both = parts.unionByName(comparable).agg(F.sum("num2").alias("num2"), F.sum("den").alias("den"))
-    return both.select(
-        F.when(F.col("den") > 0, F.col("num2").cast("double") / (F.lit(2.0) * F.col("den"))).alias("c_index")
+    return total.select(
+        F.when(F.col("den") > 0, F.col("num2").cast("double") / (F.lit(2.0) * F.col("den").cast("double"))).alias("c_index")
     )

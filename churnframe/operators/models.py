@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnframe.functions.columns import binarize
-from churnframe.operators.encode import INLINE_LIMIT, categorical_columns, encode, fit_encoders
+from churnframe.operators.encode import categorical_columns, encode, fit_encoders
 from churnframe.operators.metrics import average_precision, regression_metrics, roc_auc
 from churnframe.operators.prioritize import PROBABILITY
 from churnframe.operators.split import split_rows
@@ -50,11 +50,11 @@ def require_complete(df: DataFrame, features: list[str]) -> int:
 
 
 def sized(df: DataFrame, n_rows: int) -> DataFrame:
-    """Iterative fitters pay a fixed cost per partition and iteration: keep
-    about ``ROWS_PER_PARTITION`` rows per partition (never more partitions
-    than the input has, so no shuffle)."""
-    want = max(1, -(-n_rows // ROWS_PER_PARTITION))
-    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
+    """Iterative fitters pay a fixed cost per partition and iteration: about
+    ``ROWS_PER_PARTITION`` rows per partition, but never fewer partitions than
+    there are cores, nor more than the input has (no shuffle)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(cores, -(-n_rows // ROWS_PER_PARTITION)))
 
 
 @dataclass
@@ -125,16 +125,10 @@ def with_feature_vector_inputs(df: DataFrame, encoders: DataFrame, features: lis
 
 
 def encoder_table(train: DataFrame, categorical: list[str]) -> DataFrame:
-    """Fitted encoders as a small, lineage-free table: collected and
-    re-created when below the inline limit, else checkpointed."""
-    spark = train.sparkSession
+    """Fitted encoders as a written table."""
     if not categorical:
-        return spark.createDataFrame([], "column string, value string, code bigint")
-    enc = fit_encoders(train, categorical)
-    few = enc.limit(INLINE_LIMIT + 1).collect()
-    if len(few) <= INLINE_LIMIT:
-        return spark.createDataFrame(few, "column string, value string, code bigint")
-    return cut_lineage(enc)
+        return train.sparkSession.createDataFrame([], "column string, value string, code bigint")
+    return cut_lineage(fit_encoders(train, categorical))
 
 
 def fit_churn(

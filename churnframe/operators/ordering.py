@@ -1,65 +1,40 @@
-"""Distributed ordered computations: global rank, top-k membership and prefix
-sums without a single-partition exchange.
-
-``row_number().over(Window.orderBy(x))`` moves every row to one task.  The
-pattern here instead:
-
-1. draw a bounded sample of the sort key (Bernoulli, rate set from a count),
-   sort it on the driver and keep ``B - 1`` boundary keys as literals;
-2. bucket = number of boundaries before the row (a balanced ``CASE`` tree,
-   depth log2 B), so the bucket is a pure function of the row and stays the
-   same if a stage is recomputed after an executor loss;
-3. count (or sum) per bucket: a ``B``-row table, prefix-summed on the driver;
-4. ``row_number`` / running sums within ``partitionBy(bucket)`` plus the
-   bucket's offset.
-
-Sort keys are composite and should end with a unique column (the id):
-boundaries then split even a key value held by a third of all rows into
-many buckets, so no task gets a hot group.  NULL sorts as the smallest value
-(Spark's default: first ascending, last descending).
-
-Inputs of at most ``rows_per_bucket`` rows form a single bucket, which the
-planner shows as one partition: by design that is one bounded task (2M rows
-by default); anything larger is cut into ceil(n / rows_per_bucket) buckets.
+"""Distributed ordered computations: global rank, rank within groups, k-th
+keys and prefix sums without moving all rows to one task.
+
+``row_number().over(Window.orderBy(x))`` sends every row to one task.  Here
+Spark's own range sort orders the rows: ``repartitionByRange`` on the key,
+``sortWithinPartitions``, and ``monotonically_increasing_id``, whose upper
+bits are the range and whose lower bits the place in it.  The result is
+written once (the ranges come from a sample, so they must not be drawn again),
+and what each range needs from the ranges before it - a row count, a sum, the
+rows of a group that goes on - is one row per range, summed on the driver and
+joined back.  There is one path for every size.
+
+Sort keys are composite and should end with a unique column (the id): then
+even a key value held by a third of all rows is cut over many ranges.  NULL
+sorts as the smallest value (Spark's default: first ascending, last
+descending).
 """
 
 from __future__ import annotations
 
-import functools
-import math
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from churnframe.session import cut_lineage
+
 Key = tuple[str, bool]  # (column, ascending)
 
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 2048
-SAMPLE_PER_BUCKET = 64
-MIN_SAMPLE = 2_000
-BUCKET = "_bucket"
+PART, PLACE = "_part", "_place"
+_BITS = 33  # monotonically_increasing_id: place in the partition
 
 
 def _norm(keys: Sequence[Key | str]) -> list[Key]:
     return [(k, True) if isinstance(k, str) else (k[0], bool(k[1])) for k in keys]
 
 
-def _compare(a: tuple, b: tuple, keys: list[Key]) -> int:
-    for (_, asc), x, y in zip(keys, a, b):
-        if x == y:
-            continue
-        if x is None:
-            r = -1
-        elif y is None:
-            r = 1
-        else:
-            r = -1 if x < y else 1
-        return r if asc else -r
-    return 0
-
-
 def after(keys: list[Key], bound: tuple) -> Column:
     """Row strictly after ``bound`` in the order given by ``keys``."""
     expr: Column | None = None
@@ -79,161 +54,107 @@ def order_columns(keys: list[Key]) -> list[Column]:
     return [F.col(n).asc_nulls_first() if a else F.col(n).desc_nulls_last() for n, a in keys]
 
 
-@dataclass
-class Bucketed:
-    df: DataFrame
-    keys: list[Key]
-    boundaries: list[tuple]
-    n_rows: int
-
-    @property
-    def n_buckets(self) -> int:
-        return len(self.boundaries) + 1
-
-
-def _bucket_expr(keys: list[Key], bounds: list[tuple], lo: int, hi: int) -> Column:
-    # number of boundaries before the row, known to lie in [lo, hi]
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(after(keys, bounds[mid]), _bucket_expr(keys, bounds, mid + 1, hi)).otherwise(
-        _bucket_expr(keys, bounds, lo, mid)
+def placed(df: DataFrame, keys: Sequence[Key | str], parts: int | None = None) -> DataFrame:
+    """``df`` in key order as a written table with ``_part`` (the range) and
+    ``_place`` (0.. in it).  ``parts`` defaults to the shuffle partitions."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = order_columns(_norm(keys))
+    ordered = df.repartitionByRange(parts, *columns).sortWithinPartitions(*columns)
+    ordered = cut_lineage(ordered.withColumn(PLACE, F.monotonically_increasing_id()))
+    return ordered.withColumn(PART, F.shiftright(PLACE, _BITS).cast("int")).withColumn(
+        PLACE, F.col(PLACE).bitwiseAND(F.lit((1 << _BITS) - 1))
     )
 
 
-def bucketize(
-    df: DataFrame,
-    keys: Sequence[Key | str],
-    rows_per_bucket: int | None = None,
-    max_buckets: int | None = None,
-    seed: int = 17,
-    n_rows: int | None = None,
-) -> Bucketed:
-    """Add ``_bucket``: contiguous, ordered ranges of the sort key.  Sizes
-    default to the module constants, read at call time."""
-    keys = _norm(keys)
-    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    max_buckets = max_buckets or MAX_BUCKETS
-    n = df.count() if n_rows is None else n_rows
-    n_buckets = max(1, min(max_buckets, math.ceil(n / max(1, rows_per_bucket))))
-    bounds: list[tuple] = []
-    if n_buckets > 1:
-        want = max(MIN_SAMPLE, SAMPLE_PER_BUCKET * n_buckets)
-        frac = min(1.0, want / n)
-        names = [k for k, _ in keys]
-        sample = [tuple(r) for r in df.select(*names).sample(False, frac, seed).collect()]
-        sample.sort(key=functools.cmp_to_key(lambda a, b: _compare(a, b, keys)))
-        m = len(sample)
-        for i in range(1, n_buckets):
-            cand = sample[min(m - 1, (i * m) // n_buckets)] if m else None
-            if cand is not None and (not bounds or _compare(bounds[-1], cand, keys) < 0):
-                bounds.append(cand)
-    expr = _bucket_expr(keys, bounds, 0, len(bounds)) if bounds else F.lit(0)
-    return Bucketed(df.withColumn(BUCKET, expr.cast("int")), keys, bounds, n)
-
-
-def bucket_counts(bk: Bucketed) -> dict[int, int]:
-    """Rows per bucket (one small aggregation; free for a single bucket)."""
-    if bk.n_buckets == 1:
-        return {0: bk.n_rows}
-    return {r[0]: r[1] for r in bk.df.groupBy(BUCKET).count().collect()}
-
-
-def _offsets(counts: dict[int, int], n_buckets: int) -> dict[int, int]:
-    out, run = {}, 0
-    for b in range(n_buckets):
-        out[b] = run
-        run += counts.get(b, 0)
-    return out
+def _carry(df: DataFrame, parts: list[Row], carry: Callable[[Row | None, Row, tuple], tuple], names: list[str]) -> DataFrame:
+    """``df`` with, for each range, what ``carry(previous range, range, its
+    carry)`` gives, as long columns.  ``parts``: one row per range."""
+    rows, before, last = [], None, (0,) * len(names)
+    for r in sorted(parts, key=lambda r: r[PART]):
+        last = carry(before, r, last)
+        rows.append((r[PART], *last))
+        before = r
+    schema = f"{PART} int, " + ", ".join(f"`{n}` bigint" for n in names)
+    # one row per range: a bounded broadcast
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, schema)), PART)
 
 
-def _map_literal(values: dict[int, int]) -> Column:
-    items = []
-    for k, v in values.items():
-        items += [F.lit(k), F.lit(v).cast("bigint")]
-    return F.create_map(*items) if items else F.create_map().cast("map<int,bigint>")
+def _sizes(df: DataFrame) -> list[Row]:
+    return df.groupBy(PART).agg(F.count(F.lit(1)).alias("n")).collect()
 
 
-def global_rank(df: DataFrame, keys: Sequence[Key | str], rank_col: str = "rank", **kw) -> DataFrame:
+def global_rank(df: DataFrame, keys: Sequence[Key | str], rank_col: str = "rank", parts: int | None = None) -> DataFrame:
     """1..n in key order; exact when the key is unique (end it with the id)."""
-    bk = bucketize(df, keys, **kw)
-    offsets = _offsets(bucket_counts(bk), bk.n_buckets)
-    w = Window.partitionBy(BUCKET).orderBy(*order_columns(bk.keys))
-    return (
-        bk.df.withColumn(rank_col, F.row_number().over(w) + F.element_at(_map_literal(offsets), F.col(BUCKET)))
-        .withColumn(rank_col, F.col(rank_col).cast("bigint"))
-        .drop(BUCKET)
-    )
+    rows = placed(df, keys, parts)
+    rows = _carry(rows, _sizes(rows), lambda before, r, last: (last[0] + (before.n if before else 0),), ["_before"])
+    return rows.withColumn(rank_col, (F.col("_before") + F.col(PLACE) + 1).cast("bigint")).drop("_before", PART, PLACE)
 
 
-MAX_INLINE_GROUPS = 10_000
-
-
-def rank_within(df: DataFrame, group_col: str, keys: Sequence[Key | str], rank_col: str = "rank", **kw) -> DataFrame:
-    """Rank 1..n_g inside each group of ``group_col``.
-
-    Ranks globally on (group, keys) -- so a group holding a third of the
-    rows is still spread over many buckets -- then subtracts the group's
-    offset.  With few groups (labels, columns) the offsets come from one
-    partial-aggregated count per group and are inlined as a map literal: no
-    join on the group key, which would send each group to one task.  Many
-    groups fall back to a join with a (group, first rank) table.
-    """
-    keys = [(group_col, True), *_norm(keys)]
-    counts = df.groupBy(group_col).count()
-    few = counts.limit(MAX_INLINE_GROUPS + 1).collect()
-    ranked = global_rank(df, keys, "_grank", **kw)
-    if len(few) <= MAX_INLINE_GROUPS:
-        rows = sorted(((r[0],), r[1]) for r in few) if all(r[0] is not None for r in few) else None
-        if rows is None:  # NULL group sorts first
-            rows = [((None,), r[1]) for r in few if r[0] is None] + sorted(((r[0],), r[1]) for r in few if r[0] is not None)
-        run, items, null_offset = 0, [], None
-        for (g,), c in rows:
-            if g is None:
-                null_offset = run
-            else:
-                items += [F.lit(g), F.lit(run).cast("bigint")]
-            run += c
-        offset = F.element_at(F.create_map(*items), F.col(group_col)) if items else F.lit(None).cast("bigint")
-        if null_offset is not None:
-            offset = F.when(F.col(group_col).isNull(), F.lit(null_offset).cast("bigint")).otherwise(offset)
-        return ranked.withColumn(rank_col, (F.col("_grank") - offset).cast("bigint")).drop("_grank")
-    firsts = ranked.groupBy(group_col).agg(F.min("_grank").alias("_gfirst"))
-    return (
-        ranked.join(firsts, ranked[group_col].eqNullSafe(firsts[group_col]))
-        .drop(firsts[group_col])
-        .withColumn(rank_col, (F.col("_grank") - F.col("_gfirst") + 1).cast("bigint"))
-        .drop("_grank", "_gfirst")
+def rank_within(
+    df: DataFrame, group_col: str, keys: Sequence[Key | str], rank_col: str = "rank", parts: int | None = None
+) -> DataFrame:
+    """Rank 1..n_g inside each group of ``group_col``, any number of groups,
+    NULL being one of them.  Rows are ordered by (group, keys), so a group
+    that holds most rows is cut over many ranges; a range is told how many
+    rows its first group has in the ranges before it."""
+    rows = placed(df, [(group_col, True), *_norm(keys)], parts)
+    runs = rows.groupBy(PART, F.col(group_col).alias("g")).agg(F.count(F.lit(1)).alias("n"), F.min(PLACE).alias("at"))
+    ends = runs.groupBy(PART).agg(
+        F.min_by(F.struct("g"), "at").alias("first"),
+        F.max_by(F.struct("g"), "at").alias("last"),
+        F.max_by("n", "at").alias("n_last"),
     )
 
+    def carry(before: Row | None, r: Row, last: tuple) -> tuple:
+        if before is None or before["last"] != r["first"]:
+            return (0,)
+        # the group goes on; it may have filled the range before as well
+        return (before.n_last + (last[0] if before["first"] == before["last"] else 0),)
+
+    rows = _carry(rows, ends.collect(), carry, ["_before"])
+    local = F.row_number().over(Window.partitionBy(PART, group_col).orderBy(PLACE))
+    rows = rows.withColumn("_local", local)
+    goes_on = F.col(PLACE) - F.col("_local") + 1 == 0  # the range's first group
+    rank = F.col("_local") + F.when(goes_on, F.col("_before")).otherwise(F.lit(0))
+    return rows.withColumn(rank_col, rank.cast("bigint")).drop("_before", "_local", PART, PLACE)
+
 
-def top_k_flag(df: DataFrame, keys: Sequence[Key | str], k: int, flag_col: str, **kw) -> DataFrame:
-    """Flag the first ``k`` rows in key order without ranking everything:
-    locate the bucket holding row k from the bucket counts, rank that one
-    bucket to find the k-th key, then flag rows not after it."""
+def kth_keys(df: DataFrame, keys: Sequence[Key | str], ks: Sequence[int], parts: int | None = None) -> dict[int, tuple | bool]:
+    """For each k, the key of the k-th row in order (True: all rows, False:
+    none).  Only key columns are ordered."""
     keys = _norm(keys)
-    if k <= 0:
-        return df.withColumn(flag_col, F.lit(False))
-    bk = bucketize(df, keys, **kw)
-    counts = bucket_counts(bk)
-    total = sum(counts.values())
-    if k >= total:
-        return df.withColumn(flag_col, F.lit(True))
-    offsets = _offsets(counts, bk.n_buckets)
-    target = max(b for b in range(bk.n_buckets) if offsets[b] < k and counts.get(b, 0) > 0)
-    local = k - offsets[target]
-    w = Window.partitionBy(BUCKET).orderBy(*order_columns(keys))
     names = [n for n, _ in keys]
-    kth = (
-        bk.df.filter(F.col(BUCKET) == target)
-        .select(BUCKET, *names)
-        .withColumn("_rn", F.row_number().over(w))
-        .filter(F.col("_rn") == local)
-        .select(*names)
-        .collect()
+    rows = placed(df.select(*names), keys, parts)
+    sizes = {r[PART]: r.n for r in _sizes(rows)}
+    total = sum(sizes.values())
+    out: dict[int, tuple | bool] = {k: k > 0 for k in ks}
+    wanted: dict[tuple[int, int], int] = {}
+    for k in ks:
+        if 0 < k < total:
+            run = 0
+            for part in sorted(sizes):
+                if run + sizes[part] >= k:
+                    wanted[(part, k - run - 1)] = k
+                    break
+                run += sizes[part]
+    if wanted:
+        at = [(F.col(PART) == p) & (F.col(PLACE) == i) for p, i in wanted]
+        hit = at[0]
+        for other in at[1:]:
+            hit = hit | other
+        for r in rows.where(hit).collect():
+            out[wanted[(r[PART], r[PLACE])]] = tuple(r[n] for n in names)
+    return out
+
+
+def top(df: DataFrame, keys: Sequence[Key | str], k: int, rank_col: str = "rank") -> DataFrame:
+    """The first ``k`` rows with their rank: a top-k, then k rows numbered."""
+    columns = order_columns(_norm(keys))
+    return (
+        df.orderBy(*columns)
+        .limit(k)
+        .withColumn(rank_col, F.row_number().over(Window.orderBy(*columns)).cast("bigint"))
     )
-    bound = tuple(kth[0])
-    return df.withColumn(flag_col, ~after(keys, bound))
 
 
 def prefix_sums(
@@ -241,26 +162,18 @@ def prefix_sums(
     keys: Sequence[Key | str],
     sum_cols: Sequence[str],
     suffix: str = "_cum",
-    **kw,
+    parts: int | None = None,
 ) -> DataFrame:
     """Running (inclusive) sums of integer columns in key order."""
-    bk = bucketize(df, keys, **kw)
-    # offsets per bucket: not needed (all zero) when there is one bucket
-    totals = [] if bk.n_buckets == 1 else bk.df.groupBy(BUCKET).agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()
-    per = {r[BUCKET]: r for r in totals}
-    w = (
-        Window.partitionBy(BUCKET)
-        .orderBy(*order_columns(bk.keys))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    out = bk.df
-    for c in sum_cols:
-        offs, run = {}, 0
-        for b in range(bk.n_buckets):
-            offs[b] = run
-            run += int(per[b][c] or 0) if b in per else 0
-        out = out.withColumn(
-            c + suffix,
-            (F.sum(c).over(w) + F.element_at(_map_literal(offs), F.col(BUCKET))).cast("bigint"),
-        )
-    return out.drop(BUCKET)
+    rows = placed(df, keys, parts)
+    totals = rows.groupBy(PART).agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()
+
+    def carry(before: Row | None, r: Row, last: tuple) -> tuple:
+        return last if before is None else tuple(x + int(before[c] or 0) for x, c in zip(last, sum_cols))
+
+    before = [f"_before_{c}" for c in sum_cols]
+    rows = _carry(rows, totals, carry, before)
+    running = Window.partitionBy(PART).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for c, b in zip(sum_cols, before):
+        rows = rows.withColumn(c + suffix, (F.sum(c).over(running) + F.col(b)).cast("bigint"))
+    return rows.drop(*before, PART, PLACE)

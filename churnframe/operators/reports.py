@@ -9,14 +9,10 @@ from pyspark.sql import functions as F
 
 from churnframe.functions.columns import binarize
 
-# The analyses offered per tenant and the two reasons one can
-# be unavailable.
+# The analyses offered per tenant, and reason codes for those that are not.
 CAPABILITIES = ("metrics", "importance", "priority", "backtest", "survival", "segments", "anomalies", "clv")
-NOT_TRAINED = "not yet trained for this tenant"
-NOT_VALIDATED = (
-    "revenue-weighted prioritization was only validated for some tenants; "
-    "this tenant's revenue column has not been backtested"
-)
+NOT_TRAINED = "no_model"
+NOT_VALIDATED = "revenue_not_backtested"
 
 
 def capability_matrix(

@@ -2,31 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnframe.functions.columns import hash_order_key
 from churnframe.operators.ordering import rank_within
+from churnframe.session import cut_lineage
 from churnframe.spec import TenantSpec
 
 
-MAX_LABELS = 10_000
-
-
-def n_test_rows(n: int, test_size: float) -> int:
-    """Test rows for a class of ``n``: half-even rounding, at least one if
-    the class has more than one row, never the whole class."""
-    n_test = max(1, int(round(n * test_size))) if n > 1 else 0
-    if n_test >= n:
-        n_test = max(1, n // 2)
-    return n_test
+def test_rows(n: Column, test_size: float) -> Column:
+    """How many of a label's ``n`` rows are test rows: the share, rounded half
+    to even; a label of two or more rows is always in both splits, and a
+    single row always trains."""
+    share = F.bround(n * F.lit(float(test_size)), 0).cast("bigint")
+    # a share that would take every row falls back to half of them
+    share = F.when(share >= n, F.greatest(F.lit(1), F.floor(n / 2))).otherwise(share)
+    return F.when(n > 1, F.greatest(F.lit(1), share)).otherwise(F.lit(0)).cast("bigint")
 
 
 def stratified_split(df: DataFrame, spec: TenantSpec, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Manifest ``(id, label, split)``.
 
     Within each label (as text) ids are ordered by md5('<seed>:<id>'), then
-    id; the first ``n_test_rows`` go to test.  Only the set of records
+    id; the first ``test_rows`` go to test.  Only the set of records
     matters, never their physical order.  The per-label ordinal is a
     distributed rank, so a label holding most rows is still sorted by many
     tasks.
@@ -36,20 +35,13 @@ def stratified_split(df: DataFrame, spec: TenantSpec, test_size: float = 0.2, se
         F.col(idc).alias("id"),
         F.coalesce(F.col(tgt).cast("string"), F.lit("nan")).alias("label"),
     ).withColumn("_h", hash_order_key(seed, F.col("id")))
-    per_label = base.groupBy("label").count().limit(MAX_LABELS + 1).collect()
-    if len(per_label) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} distinct labels: stratify on a categorical label")
-    counts = {r["label"]: r["count"] for r in per_label}
-    cutoffs = {label: n_test_rows(n, test_size) for label, n in counts.items()}
-    items = []
-    for label, cut in cutoffs.items():
-        items += [F.lit(label), F.lit(cut).cast("bigint")]
-    cut_of = F.element_at(F.create_map(*items), F.col("label")) if items else F.lit(0)
     ranked = rank_within(base, "label", ["_h", "id"], "_rn")
-    return ranked.select(
+    # one row per label joins back; Spark broadcasts it or splits a hot label
+    cut = base.groupBy("label").agg(test_rows(F.count(F.lit(1)), test_size).alias("_cut"))
+    return ranked.join(cut_lineage(cut), "label").select(
         "id",
         "label",
-        F.when(F.col("_rn") <= cut_of, F.lit("test")).otherwise(F.lit("train")).alias("split"),
+        F.when(F.col("_rn") <= F.col("_cut"), F.lit("test")).otherwise(F.lit("train")).alias("split"),
     )
 
 

@@ -4,9 +4,10 @@ per-duration aggregates.
 Each Newton step is ONE aggregation over the training rows grouped by
 duration: sums of w, w x, w x x' over all rows and over event rows (w =
 exp(x beta)), plus event counts and event covariate sums.  The result has
-one row per distinct duration (months: ~100 rows), independent of the row
-count; risk-set sums are its suffix sums, and the p x p solve runs on the
-driver.  Covariates are standardised first (population mean / std), as
+one row per distinct duration (months: ~100 rows); risk-set sums are its
+suffix sums, Efron's sums over tied events have a closed form, and the p x p
+solve runs on the driver, whose time per step depends on the number of
+durations, not on rows or events.  Covariates are standardised first (population mean / std), as
 the usual fitters do; coefficients are reported on the original scale.
 """
 
@@ -98,10 +99,27 @@ def _moments(df: DataFrame, duration: str, event: str, xs: list[str], beta: np.n
         for j in range(i, p):
             xj = F.col(xs[j])
             aggs += [F.sum(w * xi * xj).alias(f"s2_{i}_{j}"), F.sum(ew * xi * xj).alias(f"d2_{i}_{j}")]
-    rows = rows_in.groupBy("t").agg(*aggs).collect()
-    if len(rows) > MAX_DURATIONS:
-        raise ValueError("too many distinct durations; bucket the duration first")
-    return rows
+    return rows_in.groupBy("t").agg(*aggs).collect()
+
+
+_DIRECT = 1000  # terms summed one by one; larger arguments by Euler-Maclaurin
+
+
+def _falling_sums(u: float, d: int) -> tuple[float, float, float]:
+    """Sums of log x, 1 / x and 1 / x^2 over x = u, u - 1, .., u - d + 1, in
+    time independent of d: terms up to _DIRECT above the smallest are added,
+    the others (x > _DIRECT) integrated with end corrections, whose error is
+    far below rounding."""
+    low = u - d + 1
+    direct = min(d, _DIRECT)
+    x = low + np.arange(direct)
+    logs, inverse, squares = np.log(x).sum(), (1 / x).sum(), (1 / x**2).sum()
+    if d > direct:
+        a, b = low + direct, u
+        logs += b * np.log(b) - a * np.log(a) - (b - a) + (np.log(a) + np.log(b)) / 2 + (1 / b - 1 / a) / 12
+        inverse += np.log(b / a) + (1 / a + 1 / b) / 2 - (1 / b**2 - 1 / a**2) / 12
+        squares += 1 / a - 1 / b + (1 / a**2 + 1 / b**2) / 2 - (1 / b**3 - 1 / a**3) / 6
+    return float(logs), float(inverse), float(squares)
 
 
 def _efron(rows, p: int):
@@ -137,19 +155,35 @@ def _efron(rows, p: int):
         xd = np.array([r[f"xd_{i}"] for i in range(p)])
         ll += r["elp"]
         grad += xd
-        for l in range(d):
-            frac = l / d
-            phi = R0 - frac * D0
-            v1 = R1 - frac * D1
-            v2 = R2 - frac * D2
-            ll -= np.log(phi)
-            grad -= v1 / phi
-            hess -= v2 / phi - np.outer(v1, v1) / phi**2
+        # Efron's terms are R - l D / d for l = 0 .. d - 1: with delta = D0 / d
+        # and u = R0 / delta - l they are sums of log u, 1 / u and 1 / u^2
+        delta = D0 / d
+        u = R0 / delta
+        logs, inverse, squares = _falling_sums(u, d)
+        a1, c1 = D1 / d, R1 - u * D1 / d
+        ll -= logs + d * np.log(delta)
+        grad -= (d * a1 + inverse * c1) / delta
+        second = (D2 + inverse * (R2 - u * D2 / d)) / delta
+        cross = np.outer(a1, c1)
+        outer = d * np.outer(a1, a1) + inverse * (cross + cross.T) + squares * np.outer(c1, c1)
+        hess -= second - outer / delta**2
         # baseline hazard increment: Breslow, events over the risk-set sum
         baseline.append((r["t"], d / R0))
     return ll, grad, hess, baseline[::-1]
 
 
+def partial_likelihood(
+    rows: DataFrame, duration: str, event: str, beta: dict[str, float]
+) -> tuple[float, dict[str, float]]:
+    """Efron log-likelihood and its gradient at given coefficients (on the
+    features' own scale): one Newton step's aggregation."""
+    names = list(beta)
+    data = rows.select(duration, event, *[F.col(f).cast("double").alias(f) for f in names])
+    per = _moments(data, duration, event, names, np.array([beta[f] for f in names]))
+    ll, gradient, _, _ = _efron(per, len(names))
+    return float(ll), dict(zip(names, map(float, gradient)))
+
+
 def fit_cox(
     train: DataFrame,
     duration: str,
@@ -172,6 +206,11 @@ def fit_cox(
         F.col(event),
         *[((F.col(features[i]).cast("double") - F.lit(mean[i])) / F.lit(std[i])).alias(f"_x{i}") for i in live],
     ).persist()
+    # one row per distinct duration goes to the driver in each step: checked
+    # before any of them does
+    if data.select(duration).distinct().count() > MAX_DURATIONS:
+        data.unpersist()
+        raise ValueError(f"over {MAX_DURATIONS} distinct durations: round the duration first")
     p = len(xs)
     beta = np.zeros(p)
     ll_old = None

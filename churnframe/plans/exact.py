@@ -10,22 +10,34 @@ from pyspark.sql import functions as F
 from churnframe.functions.columns import binarize, hash_order_key, yes_no_lenient, yes_no_strict
 from churnframe.operators import metrics as M
 from churnframe.operators.anomaly import anomaly_report, exact_quantile, flag
-from churnframe.operators.backtest import backtest, backtest_size, campaign_size, kth_bounds
+from churnframe.operators.backtest import backtest, backtest_size, campaign_size, member
 from churnframe.operators.clean import clean
 from churnframe.operators.encode import align_features, encode, fit_encoders
 from churnframe.operators.explain import explain_scores, feature_means, lookup_status
 from churnframe.operators.feedback import append_feedback, feedback_batch, relabel, select_campaign
-from churnframe.operators.ordering import prefix_sums
+from churnframe.operators.ordering import kth_keys, prefix_sums
 from churnframe.operators.prioritize import head, priority_ranking
 from churnframe.operators.reports import capability_matrix, expectations, outcome_by_group, ranking_expectations
 from churnframe.operators.scoring import ClosedFormScorer, classify_at
 from churnframe.operators.segment import profile_clusters, scale, scale_stats
+from churnframe.operators.survival import partial_likelihood
 from churnframe.plans import oracle as O
-from churnframe.plans.catalog import cleaned, manifest, query, snapshot, split_of, test_scored
+from churnframe.plans.catalog import cleaned, manifest, query, snapshot, split_of, test_scored, with_split
 from churnframe.sources.conform import conform_schema, enrich_base_wins
-from churnframe.sources.store import pack_customers, score_population
+from churnframe.sources.store import (
+    CUSTOMERS_SCHEMA,
+    pack_customers,
+    read_runs,
+    read_table_as,
+    record_run,
+    score_population,
+    tenant_scope,
+    write_partitioned,
+    write_table,
+)
 from churnframe.sources.tables import read_table
-from churnframe.sources.tenant_files import duplicate_ids, normalize_missing
+from churnframe.sources.tenant_files import duplicate_ids, load_tenant, normalize_missing
+from churnframe.session import new_path
 from churnframe.spec import SNAPSHOT, TenantSpec
 
 S = SNAPSHOT
@@ -270,14 +282,10 @@ def q_split_overlap(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def q_random_baseline(spark: SparkSession, sf: str) -> DataFrame:
-    t = test_scored(spark, sf).select(ID).withColumn("_h", hash_order_key(42, F.col(ID))).persist()
-    n = t.count()
+    t = test_scored(spark, sf).select(ID).withColumn("_h", hash_order_key(42, F.col(ID)))
     keys = [("_h", True), (ID, True)]
-    k = backtest_size(0.2, n)
-    bound = kth_bounds(t, keys, [k], n_rows=n)[k]
-    from churnframe.operators.backtest import _member
-
-    return t.filter(_member(keys, bound)).select(ID)
+    k = backtest_size(0.2, t.count())
+    return t.filter(member(keys, kth_keys(t, keys, [k])[k])).select(ID)
 
 
 CAMPAIGN = RANKS + """,
@@ -362,7 +370,7 @@ FROM ranked WHERE r_rw <= 50""",
     ),
 )
 def q_priority_head(spark: SparkSession, sf: str) -> DataFrame:
-    return head(_ranking(spark, sf, "revenue_weighted"), 50)
+    return head(test_scored(spark, sf), S, 50)
 
 
 @query(
@@ -386,8 +394,8 @@ def q_top_fraction(spark: SparkSession, sf: str) -> DataFrame:
     O.with_(RANKS, "SELECT customer_id FROM ranked WHERE r_rw <= 20 AND r_po > 20"),
 )
 def q_new_entrants(spark: SparkSession, sf: str) -> DataFrame:
-    rw = head(_ranking(spark, sf, "revenue_weighted"), 20).select(ID)
-    po = head(_ranking(spark, sf, "probability_only"), 20).select(ID)
+    rw = head(test_scored(spark, sf), S, 20).select(ID)
+    po = head(test_scored(spark, sf), S, 20, "probability_only").select(ID)
     return rw.join(po, ID, "left_anti")
 
 
@@ -739,7 +747,7 @@ FROM snap""",
     ),
 )
 def q_pack_customers(spark: SparkSession, sf: str) -> DataFrame:
-    packed = pack_customers(snapshot(spark, sf), S, "tenant_id", LOAD_TS)
+    packed = pack_customers(snapshot(spark, sf), S, LOAD_TS, tenant_column="tenant_id")
     j = F.col("raw_features")
     return packed.select(
         "tenant_id",
@@ -753,10 +761,22 @@ def q_pack_customers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "tenant_scope",
-    O.with_(O.SNAP, "SELECT customer_id, contract, churn FROM snap WHERE tenant_id = 'ASIA'"),
+    O.with_(
+        O.SNAP,
+        """SELECT 'ASIA' AS asked, customer_id, contract, churn FROM snap WHERE tenant_id = 'ASIA'
+UNION ALL SELECT '1', customer_id, contract, churn FROM snap""",
+    ),
 )
 def q_tenant_scope(spark: SparkSession, sf: str) -> DataFrame:
-    return snapshot(spark, sf).filter(F.col("tenant_id") == "ASIA").select(ID, "contract", "churn")
+    """Rows written for several tenants - look-alike names among them - and
+    one tenant read back through the operator."""
+    rows = snapshot(spark, sf).select(ID, "contract", "churn", "tenant_id")
+    path = _sink_dir(spark, "scoped")
+    alike = [rows.withColumn("tenant_id", F.lit(t)) for t in ("1", "001", "1.0")]
+    write_partitioned(rows.unionByName(alike[0]).unionByName(alike[1]).unionByName(alike[2]), path, ["tenant_id"])
+    one = tenant_scope(spark, path, "1").select(F.lit("1").alias("asked"), ID, "contract", "churn")
+    asia = tenant_scope(spark, path, "ASIA").select(F.lit("ASIA").alias("asked"), ID, "contract", "churn")
+    return asia.unionByName(one)
 
 
 @query(
@@ -812,8 +832,8 @@ CAPS = ["metrics", "importance", "priority", "backtest", "survival", "segments",
         "ELSE t.tenant_id IN ('AMERICA') END AS available, "
         "CASE WHEN c.capability IN ('metrics','importance') THEN NULL "
         "WHEN c.capability IN ('priority','backtest') THEN CASE WHEN t.tenant_id IN ('AMERICA') THEN NULL ELSE "
-        "'revenue-weighted prioritization was only validated for some tenants; this tenant''s revenue column has not been backtested' END "
-        "ELSE CASE WHEN t.tenant_id IN ('AMERICA') THEN NULL ELSE 'not yet trained for this tenant' END END AS reason "
+        "'revenue_not_backtested' END "
+        "ELSE CASE WHEN t.tenant_id IN ('AMERICA') THEN NULL ELSE 'no_model' END END AS reason "
         "FROM (SELECT DISTINCT tenant_id FROM snap) t CROSS JOIN (VALUES "
         + ", ".join(f"('{c}')" for c in CAPS)
         + ") c(capability)",
@@ -860,9 +880,8 @@ def q_ranking_expectations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sink_dir(spark: SparkSession, name: str) -> str:
-    from churnframe.session import ensure_checkpoint_dir
-
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}/{name}"
+    """A folder of its own for each run: no run destroys another's result."""
+    return new_path(spark, name)
 
 
 @query(
@@ -872,8 +891,6 @@ def _sink_dir(spark: SparkSession, name: str) -> str:
 def q_file_sink_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Write the cleaned table as CSV (header, no index), read it back with
     its schema."""
-    from churnframe.sources.store import read_table_as, write_table
-
     df = cleaned(spark, sf).select(ID, "contract", "tenure_months", "avg_order", "total_spend", "churn")
     path = _sink_dir(spark, "cleaned_csv")
     write_table(df, path, "csv")
@@ -891,12 +908,10 @@ FROM snap WHERE tenant_id = 'ASIA'""",
 def q_customer_listing(spark: SparkSession, sf: str) -> DataFrame:
     """Pack every raw row into the tenant-partitioned customers table, then
     list the caller's tenant only (partition pruning on tenant_id)."""
-    from churnframe.sources.store import tenant_scope, write_partitioned
-
     path = _sink_dir(spark, "customers")
-    write_partitioned(pack_customers(snapshot(spark, sf), S, "tenant_id", LOAD_TS), path, ["tenant_id"])
+    write_partitioned(pack_customers(snapshot(spark, sf), S, LOAD_TS, tenant_column="tenant_id"), path, ["tenant_id"])
     j = F.col("raw_features")
-    return tenant_scope(spark, path, "ASIA").select(
+    return tenant_scope(spark, path, "ASIA", CUSTOMERS_SCHEMA).select(
         "customer_id",
         "tenant_id",
         F.get_json_object(j, "$.contract").alias("contract"),
@@ -925,3 +940,175 @@ def q_roc_auc_by_tenant(spark: SparkSession, sf: str) -> DataFrame:
     """Per-tenant evaluation of one scoring on the test split."""
     t = test_scored(spark, sf).withColumn("_y", binarize(F.col("churn"), "Yes"))
     return M.roc_auc_by(t, "tenant_id", "_y", "churn_probability")
+
+
+# ---------------------------------------------------------------- edge cases on the given tables
+
+
+@query(
+    "load_csv",
+    O.with_(
+        O.SNAP,
+        """SELECT customer_id, CASE WHEN customer_id % 7 <> 0 THEN contract END AS contract,
+       CAST(CASE WHEN customer_id % 5 <> 0 THEN tenure_months END AS DOUBLE) AS tenure_months,
+       n_orders, avg_order, churn
+FROM snap""",
+    ),
+)
+def q_load_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw table as a CSV file with missing markers in a text and in a
+    numeric column, loaded and typed by ``load_tenant``."""
+    raw = snapshot(spark, sf).select(ID, "contract", "tenure_months", "n_orders", "avg_order", "churn")
+    marked = raw.withColumns(
+        {
+            "contract": F.when(F.col(ID) % 7 == 0, F.lit("NULL")).otherwise(F.col("contract")),
+            "tenure_months": F.when(F.col(ID) % 5 == 0, F.lit("NA")).otherwise(F.col("tenure_months").cast("string")),
+        }
+    )
+    path = _sink_dir(spark, "raw_csv")
+    write_table(marked, path, "csv")
+    spec = TenantSpec("csv", ID, "churn", "Yes", "avg_order")
+    return load_tenant(spark, spec, path, "csv")
+
+
+@query(
+    "encode_all_missing",
+    O.with_(TRAIN, "SELECT customer_id, CAST(-1.0 AS DOUBLE) AS contract FROM test"),
+)
+def q_encode_all_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """A category that no training row has: -1 for every row."""
+    train = _train(spark, sf).withColumn("contract", F.lit(None).cast("string"))
+    encoders = fit_encoders(train, ["contract"])
+    return encode(split_of(spark, sf, "test").select(ID, "contract"), encoders, ["contract"])
+
+
+@query(
+    "enrich_keeps_duplicates",
+    O.with_(
+        O.CLEAN,
+        """SELECT c.customer_id, c.contract, o.o_orderkey AS order_key, o.o_totalprice AS price
+FROM clean c LEFT JOIN orders o ON o.o_custkey = c.customer_id""",
+    ),
+)
+def q_enrich_keeps_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """An extended table with many rows per id keeps them all."""
+    orders = read_table(spark, sf, "orders").select(
+        F.col("o_custkey").alias(ID), F.col("o_orderkey").alias("order_key"), F.col("o_totalprice").alias("price")
+    )
+    return enrich_base_wins(cleaned(spark, sf).select(ID, "contract"), orders, ID, ["order_key", "price"])
+
+
+@query(
+    "regression_constant_target",
+    """SELECT round(sqrt(avg(power(1.0 - l_quantity, 2))), 6) AS rmse, round(avg(abs(1.0 - l_quantity)), 6) AS mae,
+       CAST(0.0 AS DOUBLE) AS r2
+FROM lineitem""",
+)
+def q_regression_constant_target(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read_table(spark, sf, "lineitem").select(F.lit(1.0).alias("y"), F.col("l_quantity").cast("double").alias("p"))
+    return M.regression_metrics(rows, "y", "p")
+
+
+@query(
+    "classification_unknown_labels",
+    O.with_(
+        O.TEST_SCORED,
+        """SELECT 'unknown' AS label, CAST(COUNT(*) AS BIGINT) AS support FROM test_scored WHERE customer_id % 10 = 0
+HAVING COUNT(*) > 0
+UNION ALL SELECT 'weighted avg', CAST(COUNT(*) AS BIGINT) FROM test_scored WHERE customer_id % 10 <> 0""",
+    ),
+)
+def q_classification_unknown_labels(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.when(F.col(ID) % 10 != 0, yes_no_lenient(F.col("churn")))
+    t = test_scored(spark, sf).select(label.alias("_t"), classify_at(0.5).alias("_p"))
+    report = M.classification_report(t, "_t", "_p")
+    return report.filter(F.col("label").isin("unknown", "weighted avg")).select("label", "support")
+
+
+@query(
+    "concordance_fractional",
+    O.with_(
+        O.CLEAN
+        + f""",
+s AS (SELECT tenure_days / 30.5 AS t, CASE WHEN churn = 'Yes' THEN 1 ELSE 0 END AS e, round({O.SCORE}, 2) AS r FROM clean),
+pairs AS (
+  SELECT SUM(CASE WHEN b.r < a.r THEN 2 WHEN b.r = a.r THEN 1 ELSE 0 END) AS num2, COUNT(*) AS den
+  FROM s a JOIN s b ON a.e = 1 AND (b.t > a.t OR (b.t = a.t AND b.e = 0)))""",
+        "SELECT CAST(num2 AS DOUBLE) / (2.0 * den) AS c_index FROM pairs",
+    ),
+)
+def q_concordance_fractional(spark: SparkSession, sf: str) -> DataFrame:
+    """Durations that are no whole numbers, and many equal risks."""
+    df = ClosedFormScorer().transform(cleaned(spark, sf)).select(
+        (F.col("tenure_days") / F.lit(30.5)).alias("t"),
+        binarize(F.col("churn"), "Yes").alias("e"),
+        F.round("churn_probability", 2).alias("r"),
+    )
+    return M.concordance_index(df, "t", "e", "r")
+
+
+COX_BETA = {"n_orders": -0.05, "avg_order": 0.000002}
+
+
+@query(
+    "cox_step_fixed",
+    O.with_(
+        O.CLEAN
+        + """,
+x AS (SELECT tenure_months AS t, CASE WHEN churn = 'Yes' THEN 1 ELSE 0 END AS e, CAST(n_orders AS DOUBLE) AS a,
+             avg_order AS b, exp(-0.05 * n_orders + 0.000002 * avg_order) AS w,
+             -0.05 * n_orders + 0.000002 * avg_order AS lp FROM clean),
+per AS (SELECT t, SUM(w) AS s0, SUM(w * a) AS sa, SUM(w * b) AS sb, SUM(e * w) AS d0, SUM(e * w * a) AS da,
+               SUM(e * w * b) AS db, SUM(e) AS d, SUM(e * lp) AS elp, SUM(e * a) AS ea, SUM(e * b) AS eb FROM x GROUP BY t),
+risk AS (SELECT *, SUM(s0) OVER w AS r0, SUM(sa) OVER w AS ra, SUM(sb) OVER w AS rb FROM per
+         WINDOW w AS (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+terms AS (SELECT risk.*, unnest(range(0, CAST(d AS BIGINT))) AS l FROM risk WHERE d > 0),
+summed AS (SELECT SUM(ln(r0 - l / d * d0)) AS logs, SUM((ra - l / d * da) / (r0 - l / d * d0)) AS ga,
+                  SUM((rb - l / d * db) / (r0 - l / d * d0)) AS gb FROM terms),
+events AS (SELECT SUM(elp) AS elp, SUM(ea) AS ea, SUM(eb) AS eb FROM per)""",
+        """SELECT round(elp - logs, 4) AS log_likelihood, round(ea - ga, 4) AS gradient_n_orders,
+       round((eb - gb) / 1000, 4) AS gradient_avg_order
+FROM summed CROSS JOIN events""",
+    ),
+)
+def q_cox_step_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Log-likelihood (Efron) and gradient at fixed coefficients."""
+    rows = cleaned(spark, sf).withColumn("_e", binarize(F.col("churn"), "Yes"))
+    ll, gradient = partial_likelihood(rows, "tenure_months", "_e", COX_BETA)
+    row = (round(ll, 4), round(gradient["n_orders"], 4), round(gradient["avg_order"] / 1000, 4))
+    return spark.createDataFrame([row], "log_likelihood double, gradient_n_orders double, gradient_avg_order double")
+
+
+@query(
+    "spearman_with_ties",
+    O.with_(
+        O.CLEAN
+        + """,
+r AS (SELECT rank() OVER (ORDER BY n_orders) + (COUNT(*) OVER (PARTITION BY n_orders) - 1) / 2.0 AS ra,
+             rank() OVER (ORDER BY tenure_months) + (COUNT(*) OVER (PARTITION BY tenure_months) - 1) / 2.0 AS rb FROM clean)""",
+        "SELECT round(corr(ra, rb), 9) AS spearman FROM r",
+    ),
+)
+def q_spearman_with_ties(spark: SparkSession, sf: str) -> DataFrame:
+    return M.spearman(cleaned(spark, sf).select("n_orders", "tenure_months"), "n_orders", "tenure_months")
+
+
+@query(
+    "train_counts",
+    O.with_(
+        TRAIN,
+        """SELECT split, CAST(COUNT(*) AS BIGINT) AS n, round(avg(CASE WHEN churn = 'Yes' THEN 1.0 ELSE 0.0 END), 9) AS churn_rate
+FROM (SELECT 'train' AS split, churn FROM train UNION ALL SELECT 'test', churn FROM test) GROUP BY split""",
+    ),
+)
+def q_train_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """A run record's counts and rates, written by ``record_run`` for two
+    tenants and read back for one of them."""
+    rows = with_split(spark, sf)
+    counts = rows.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(binarize(F.col("churn"), "Yes")), 9).alias("churn_rate")
+    )
+    path = _sink_dir(spark, "runs")
+    record_run(counts.withColumn("tenant_id", F.lit("01")), path, "run-a", LOAD_TS)
+    record_run(counts.withColumn("tenant_id", F.lit("1")).withColumn("n", -F.col("n")), path, "run-b", LOAD_TS)
+    return read_runs(spark, path, "01").select("split", "n", "churn_rate")

@@ -23,6 +23,7 @@ from churnframe.plans.catalog import cleaned, manifest, query, split_of
 from churnframe.plans.exact import TRAIN
 from churnframe.sources.store import score_population
 from churnframe.sources.tables import customer_snapshot
+from churnframe.session import new_path
 from churnframe.spec import SNAPSHOT
 
 S = SNAPSHOT
@@ -223,10 +224,7 @@ def q_retrain_with_feedback(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _saved_dir(spark: SparkSession, kind: str) -> str:
-    from churnframe.session import ensure_checkpoint_dir
-
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/models/{spark.sparkContext.applicationId}/{kind}"
+    return new_path(spark, kind)
 
 
 # Label texts for the four fitted segments, by cluster index.

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,29 +47,35 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the session's checkpoint folder; only when none is set (local
-    tests, bench) create a fresh scratch folder for this process."""
+    """The session's checkpoint folder.  Only a session that runs in one
+    process on this machine (tests, bench) gets a scratch folder when none is
+    set; on a cluster a missing setting is an error."""
     existing = checkpoint_dir(spark)
     if existing:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(existing)
         return existing
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir is not set; set it to a folder that all executors share")
     scratch = tempfile.mkdtemp(prefix="churnframe-ckpt-", dir=os.environ.get("CHURNFRAME_SCRATCH", "/tmp"))
     spark.sparkContext.setCheckpointDir(scratch)
     spark.conf.set("spark.checkpoint.dir", scratch)
     return scratch
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own, for one written table, in the checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/churnframe/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder so later stages (and
-    retried tasks after an executor loss) read it back instead of replaying
-    the whole lineage.  Requires the session to name a checkpoint folder."""
-    spark = df.sparkSession
-    if not checkpoint_dir(spark):
-        raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    """Write ``df`` as Parquet in the shared checkpoint folder and read it
+    back: later stages (and retried tasks after an executor loss) read the
+    columns they need instead of replaying the whole lineage."""
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set = set()

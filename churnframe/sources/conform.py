@@ -66,14 +66,11 @@ def conform_schema(
 
 def enrich_base_wins(base: DataFrame, extended: DataFrame, id_column: str, new_columns: Sequence[str]) -> DataFrame:
     """Left join adding only ``new_columns`` from ``extended``; a column the
-    base already has always comes from the base.  The extended side is
-    reduced to one row per id first (a partial aggregation; the smallest
-    value tuple wins, so the result is deterministic), so the base keeps its
-    row count."""
+    base already has always comes from the base.  As in any left join, a base
+    row appears once for each extended row of its id; a NULL id matches
+    nothing."""
     overlap = set(new_columns) & set(base.columns)
     if overlap:
         raise ValueError(f"new columns already in base: {sorted(overlap)}")
-    picked = F.min(F.struct(*[F.col(f"`{c}`").alias(c) for c in new_columns])).alias("_new")
-    ext = extended.groupBy(F.col(f"`{id_column}`")).agg(picked)
-    ext = ext.select(F.col(f"`{id_column}`"), *[F.col("_new").getField(c).alias(c) for c in new_columns])
+    ext = extended.select(F.col(f"`{id_column}`"), *[F.col(f"`{c}`") for c in new_columns])
     return base.join(ext, id_column, "left")

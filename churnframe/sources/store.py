@@ -12,6 +12,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from churnframe.spec import TenantSpec
 
@@ -21,12 +22,20 @@ PREDICTIONS_SCHEMA = (
 )
 
 
-def pack_customers(raw: DataFrame, spec: TenantSpec, tenant_id, created_at: dt.datetime) -> DataFrame:
+def pack_customers(
+    raw: DataFrame,
+    spec: TenantSpec,
+    created_at: dt.datetime,
+    tenant_id: str | None = None,
+    tenant_column: str | None = None,
+) -> DataFrame:
     """Every raw row as (tenant, id text, JSON of the whole row, load time).
-    Null fields stay in the JSON as null.  ``tenant_id`` is a name or a
-    column of ``raw``."""
+    Null fields stay in the JSON as null.  The tenant is the name
+    ``tenant_id`` or the value of ``tenant_column``: exactly one is given."""
+    if (tenant_id is None) == (tenant_column is None):
+        raise ValueError("give tenant_id or tenant_column")
     body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw.columns]), {"ignoreNullFields": "false"})
-    tenant = F.col(tenant_id) if isinstance(tenant_id, str) and tenant_id in raw.columns else F.lit(tenant_id)
+    tenant = F.lit(tenant_id) if tenant_column is None else F.col(f"`{tenant_column}`").cast("string")
     return raw.select(
         tenant.alias("tenant_id"),
         F.col(f"`{spec.id_column}`").cast("string").alias("customer_id"),
@@ -55,9 +64,12 @@ def score_population(
 
 
 def write_partitioned(df: DataFrame, path: str, partition_by: list[str]) -> None:
-    """Overwrite only the partitions present in ``df``."""
+    """Overwrite only the partitions present in ``df``.  Rows are dealt by the
+    partition columns first, in slices of Spark's advisory size, so a tenant
+    gets few large files and a hot tenant several writers."""
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", *partition_by)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
         .parquet(path)
@@ -80,9 +92,17 @@ def read_table_as(spark: SparkSession, path: str, schema, fmt: str = "parquet")
     return r.load(path)
 
 
-def tenant_scope(spark: SparkSession, path: str, tenant_id: str) -> DataFrame:
-    """The caller's tenant only (partition pruning on tenant_id)."""
-    return spark.read.parquet(path).filter(F.col("tenant_id") == F.lit(tenant_id))
+def tenant_scope(spark: SparkSession, path: str, tenant_id: str, schema: str | None = None) -> DataFrame:
+    """The caller's tenant only (partition pruning on tenant_id).  The
+    partition column is read as text, never by inference, which would take
+    the tenants '1', '001' and '1.0' for one."""
+    if schema is None:
+        inferred = spark.read.parquet(path).schema
+        fields = [T.StructField("tenant_id", T.StringType()) if f.name == "tenant_id" else f for f in inferred.fields]
+        read = spark.read.schema(T.StructType(fields))
+    else:
+        read = spark.read.schema(schema)
+    return read.parquet(path).filter(F.col("tenant_id") == F.lit(tenant_id))
 
 
 def write_manifest(manifest: DataFrame, path: str, tenant_id: str) -> None:
@@ -114,4 +134,4 @@ def read_runs(spark: SparkSession, path: str, tenant_id: str) -> DataFrame:
     except Exception as exc:  # no runs folder yet
         if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
             raise
-    return spark.createDataFrame([(tenant_id, False, "not yet trained for this tenant")], "tenant_id string, available boolean, reason string")
+    return spark.createDataFrame([(tenant_id, False, "no_model")], "tenant_id string, available boolean, reason string")

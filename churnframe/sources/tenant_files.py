@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnframe.functions.columns import PANDAS_NA_TOKENS, nan_to_null
+from churnframe.functions.columns import PANDAS_NA_TOKENS, coerce_numeric, nan_to_null
 from churnframe.spec import TenantSpec
 
 
-def normalize_missing(df: DataFrame) -> DataFrame:
-    """Every missing marker to NULL once, at load: pandas' NA tokens in text
-    columns (after the CSV reader) and NaN in floating columns."""
+def normalize_missing(df: DataFrame, tokens: bool = True) -> DataFrame:
+    """Every missing marker to NULL once, at load: NaN in floating columns
+    and, for ``tokens`` (text from a CSV file), pandas' NA tokens."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.StringType):
+        if isinstance(f.dataType, T.StringType) and tokens:
             cols.append(F.when(~c.isin(*PANDAS_NA_TOKENS), c).alias(f.name))
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             cols.append(nan_to_null(c).alias(f.name))
@@ -25,21 +25,57 @@ def normalize_missing(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def read_tenant(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """CSV with header and inferred types, or parquet.  A missing path
+def retype(df: DataFrame) -> DataFrame:
+    """Text columns typed by their values once missing markers are NULL, as
+    pandas does: whole numbers (double if any is missing), numbers, True /
+    False (if none is missing), else text.  One aggregation finds all types."""
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not names:
+        return df
+    aggs = []
+    for i, n in enumerate(names):
+        c = F.trim(F.col(f"`{n}`"))
+        number = coerce_numeric(c, T.StringType())
+        aggs += [
+            F.count(c).alias(f"n{i}"),
+            F.count_if(c.isNull()).alias(f"missing{i}"),
+            F.count(number).alias(f"number{i}"),
+            F.count_if(c.rlike(r"^[+-]?\d{1,18}$")).alias(f"whole{i}"),
+            F.count_if(c.isin("True", "False", "TRUE", "FALSE", "true", "false")).alias(f"truth{i}"),
+        ]
+    found = df.agg(*aggs).first()
+    columns = {}
+    for i, n in enumerate(names):
+        c = F.trim(F.col(f"`{n}`"))
+        count, missing = found[f"n{i}"], found[f"missing{i}"]
+        if count and found[f"whole{i}"] == count and not missing:
+            columns[n] = c.cast("bigint")
+        elif count and found[f"number{i}"] == count:
+            columns[n] = coerce_numeric(c, T.StringType())
+        elif count and found[f"truth{i}"] == count and not missing:
+            columns[n] = c.cast("boolean")
+    return df.withColumns(columns) if columns else df
+
+
+def read_tenant(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None) -> DataFrame:
+    """CSV with a header, or parquet.  A CSV file is read as text, its missing
+    markers become NULL, and then columns take the types of ``schema`` (one
+    scan) or those that their values allow (one more scan).  A missing path
     surfaces Spark's PATH_NOT_FOUND error unchanged."""
     fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
-    if fmt == "csv":
-        df = (
-            spark.read.option("header", True)
-            .option("inferSchema", True)
-            .option("nullValue", "")
-            .option("nanValue", "NaN")
-            .csv(path)
-        )
-    else:
-        df = spark.read.format(fmt).load(path)
-    return normalize_missing(df)
+    if fmt != "csv":
+        return normalize_missing(spark.read.format(fmt).load(path), tokens=False)
+    text = normalize_missing(spark.read.option("header", True).csv(path))
+    if schema is None:
+        return retype(text)
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    typed = []
+    for f in schema.fields:
+        c = F.col(f"`{f.name}`")
+        c = coerce_numeric(c, T.StringType()) if isinstance(f.dataType, T.NumericType) else c
+        typed.append(c.cast(f.dataType).alias(f.name))
+    return text.select(*typed)
 
 
 def require_columns(df: DataFrame, spec: TenantSpec) -> None:
@@ -63,8 +99,14 @@ def require_unique_key(df: DataFrame, id_column: str) -> None:
         raise ValueError(f"Duplicate IDs in column '{id_column}'")
 
 
-def load_tenant(spark: SparkSession, spec: TenantSpec, path: str | None = None, fmt: str | None = None) -> DataFrame:
-    df = read_tenant(spark, path or spec.path, fmt)
+def load_tenant(
+    spark: SparkSession,
+    spec: TenantSpec,
+    path: str | None = None,
+    fmt: str | None = None,
+    schema: T.StructType | str | None = None,
+) -> DataFrame:
+    df = read_tenant(spark, path or spec.path, fmt, schema)
     require_columns(df, spec)
     require_unique_key(df, spec.id_column)
     return df

@@ -1,7 +1,6 @@
 """Run registered queries in Spark and their DuckDB oracle side by side.
 
     python tests/oracle_harness.py [sf_dir] [name ...]
-    HARNESS_ROWS_PER_BUCKET=1000 python tests/oracle_harness.py ...   # force many buckets
 """
 
 from __future__ import annotations
@@ -80,12 +79,6 @@ def main(argv):
     from churnframe.session import local_session
     from __spark_entry__ import queries
 
-    import os
-
-    from churnframe.operators import ordering
-
-    if os.environ.get("HARNESS_ROWS_PER_BUCKET"):
-        ordering.ROWS_PER_BUCKET = int(os.environ["HARNESS_ROWS_PER_BUCKET"])
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     names = argv[1:] or list(queries())
     spark = local_session(8, 8)

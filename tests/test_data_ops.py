@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from churnframe.operators.clean import clean
 from churnframe.operators.encode import align_features, encode, fit_encoders
-from churnframe.operators.split import stratified_split, n_test_rows
+from churnframe.operators.split import stratified_split, test_rows as rows_in_test
 from churnframe.sources.conform import enrich_base_wins
 from churnframe.sources.tenant_files import (
     duplicate_ids,
@@ -98,8 +98,10 @@ def test_align_features_fills_absent(spark):
     assert tuple(out.collect()[0]) == (1, 0.0, 2.0)
 
 
-def test_split_class_sizes():
-    assert [n_test_rows(n, 0.2) for n in (1, 2, 3, 5, 1409)] == [0, 1, 1, 1, 282]
+def test_split_class_sizes(spark):
+    df = spark.createDataFrame([(n,) for n in (1, 2, 3, 5, 1409)], "n long")
+    assert [r[0] for r in df.select(rows_in_test(F.col("n"), 0.2)).collect()] == [0, 1, 1, 1, 282]
+    assert [r[0] for r in df.select(rows_in_test(F.col("n"), 1.0)).collect()] == [0, 1, 1, 2, 704]
 
 
 def test_split_small_classes_and_row_order(spark):
@@ -118,6 +120,8 @@ def test_enrich_base_wins(spark):
     ext = spark.createDataFrame([(1, "other", 5.0), (1, "other", 5.0), (3, "z", 7.0)], "id long, Contract string, CLTV double")
     out = {r["id"]: tuple(r) for r in enrich_base_wins(base, ext, "id", ["CLTV"]).collect()}
     assert out == {1: (1, "x", 5.0), 2: (2, "y", None)}
+    # as in any left join, both rows of id 1 are there
+    assert enrich_base_wins(base, ext, "id", ["CLTV"]).count() == 3
     with pytest.raises(ValueError):
         enrich_base_wins(base, ext, "id", ["Contract"])
 
@@ -157,30 +161,17 @@ def test_numeric_tokens_like_pandas(spark):
     assert got == want
 
 
-def test_large_encoder_path_matches_inline(spark, monkeypatch):
+def test_encoder_gives_minus_one_without_a_code(spark):
     from churnframe.operators import encode as E
 
-    train = spark.createDataFrame([(f"v{i % 37}", f"w{i % 5}") for i in range(300)], "a string, b string")
-    test = spark.createDataFrame([("v3", "w9"), ("zz", "w1"), (None, "w0")], "a string, b string")
-    inline_enc = E.fit_encoders(train, ["a", "b"])
-    inline = sorted(tuple(r) for r in E.encode(test, inline_enc, ["a", "b"]).collect())
-    monkeypatch.setattr(E, "INLINE_LIMIT", 3)
-    big_enc = E.fit_encoders(train, ["a", "b"])
-    assert sorted(tuple(r) for r in big_enc.collect()) == sorted(tuple(r) for r in inline_enc.collect())
-    joined = sorted(tuple(r) for r in E.encode(test, big_enc, ["a", "b"]).collect())
-    assert joined == inline
-
-
-def test_rank_within_many_groups_path(spark, monkeypatch):
-    from pyspark.sql import Window
-
-    from churnframe.operators import ordering as O
-
-    df = spark.range(3000).select("id", (F.col("id") % 40).alias("g"), (F.abs(F.xxhash64("id")) % 50).alias("s"))
-    monkeypatch.setattr(O, "MAX_INLINE_GROUPS", 5)
-    got = O.rank_within(df, "g", [("s", False), ("id", True)], "r", rows_per_bucket=400)
-    ref = df.withColumn("ref", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("s"), "id")))
-    assert got.join(ref, "id").filter(F.col("r") != F.col("ref")).count() == 0
+    train = spark.createDataFrame([(f"v{i % 37}", None) for i in range(300)], "a string, b string")
+    test = spark.createDataFrame([(1, "v3", "w9"), (2, "zz", None), (3, None, "w0")], "id long, a string, b string")
+    enc = E.fit_encoders(train, ["a", "b"])
+    codes = {r["value"]: r["code"] for r in enc.collect()}
+    assert codes == {v: i for i, v in enumerate(sorted(f"v{i}" for i in range(37)))}
+    got = {r["id"]: (r["a"], r["b"]) for r in E.encode(test, enc, ["a", "b"]).collect()}
+    # a column without a value at fitting gives -1, as unseen values do
+    assert got == {1: (float(codes["v3"]), -1.0), 2: (-1.0, -1.0), 3: (-1.0, -1.0)}
 
 
 def test_strict_recode_fails_on_other_values(spark):
@@ -203,9 +194,32 @@ def test_missing_numeric_feature_fails_before_fit(spark):
         fit_churn(df, spec)
 
 
-def test_enrich_conflicting_duplicates_is_deterministic(spark):
-    base = spark.createDataFrame([(1, "x")], "id long, Contract string")
-    ext = spark.createDataFrame([(1, 9.0, "b"), (1, 5.0, "z"), (1, 5.0, "a")], "id long, CLTV double, City string")
-    for parts in (1, 3):
-        out = enrich_base_wins(base, ext.repartition(parts), "id", ["CLTV", "City"]).collect()
-        assert [tuple(r) for r in out] == [(1, "x", 5.0, "a")]
+def test_enrich_keeps_every_extended_row(spark):
+    base = spark.createDataFrame([(1, "x"), (None, "y")], "id long, Contract string")
+    ext = spark.createDataFrame([(1, 9.0, "b"), (1, None, "z"), (None, 5.0, "a")], "id long, CLTV double, City string")
+    out = enrich_base_wins(base, ext, "id", ["CLTV", "City"]).collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(1, "x", 9.0, "b"), (1, "x", None, "z"), (None, "y", None, None)], key=str)
+
+
+def test_csv_types_like_pandas(spark, scratch):
+    import pandas as pd
+
+    path = os.path.join(scratch, "t.csv")
+    text = "id,age,whole,city,flag,note,gone\n1,30,1,Rome,True,NA,\n2,NA,2,None,False,x,NA\n3,41.5,3,NULL,True,,nan\n"
+    with open(path, "w") as f:
+        f.write(text)
+    got = read_tenant(spark, path)
+    want = pd.read_csv(path)
+    kinds = {"int64": "bigint", "float64": "double", "bool": "boolean", "object": "string", "str": "string"}
+    assert {c: t for c, t in got.dtypes if c != "gone"} == {c: kinds[str(t)] for c, t in want.dtypes.items() if c != "gone"}
+    rows = [tuple(r) for r in got.orderBy("id").collect()]
+    assert rows == [(1, 30.0, 1, "Rome", True, None, None), (2, None, 2, None, False, "x", None), (3, 41.5, 3, None, True, None, None)]
+    typed = read_tenant(spark, path, schema="id long, age double, city string")
+    assert typed.dtypes == [("id", "bigint"), ("age", "double"), ("city", "string")]
+    assert [tuple(r) for r in typed.orderBy("id").collect()] == [(1, 30.0, "Rome"), (2, None, None), (3, 41.5, None)]
+
+
+def test_parquet_text_keeps_na_words(spark, scratch):
+    path = os.path.join(scratch, "t.parquet")
+    spark.createDataFrame([("NA", 1.0), ("None", float("nan"))], "s string, x double").write.parquet(path)
+    assert sorted(map(tuple, read_tenant(spark, path).collect()), key=str) == [("NA", 1.0), ("None", None)]

@@ -22,7 +22,7 @@ def test_unknown_strategy_and_negative_limit(spark):
     with pytest.raises(ValueError):
         priority_ranking(df, SPEC, "biggest_first")
     with pytest.raises(ValueError):
-        head(priority_ranking(df, SPEC), -1)
+        head(df, SPEC, -1)
 
 
 def test_ties_zero_revenue_and_empty(spark):

@@ -4,8 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from churnframe.operators.backtest import kth_bounds
-from churnframe.operators.ordering import global_rank, prefix_sums, rank_within, top_k_flag
+from churnframe.operators.ordering import PART, global_rank, kth_keys, placed, prefix_sums, rank_within, top
 
 
 
@@ -21,7 +20,7 @@ def _lineitem(spark):
 
 def test_global_rank_matches_window_with_many_buckets(spark):
     df = _lineitem(spark)
-    ranked = global_rank(df, [("score", False), ("id", True)], "rank", rows_per_bucket=4000)
+    ranked = global_rank(df, [("score", False), ("id", True)], "rank", parts=15)
     ref = df.withColumn("ref", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
     bad = ranked.join(ref, "id").filter(F.col("rank") != F.col("ref")).count()
     assert bad == 0
@@ -29,56 +28,71 @@ def test_global_rank_matches_window_with_many_buckets(spark):
 
 
 def test_hot_key_is_split_over_buckets(spark):
-    # a third of all rows share one score: buckets still stay balanced
+    # a third of all rows share one score: ranges still stay balanced
     df = _lineitem(spark).withColumn("score", F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise(F.col("score")))
-    from churnframe.operators.ordering import bucketize
-
-    bk = bucketize(df, [("score", False), ("id", True)], rows_per_bucket=4000)
-    sizes = [r["count"] for r in bk.df.groupBy("_bucket").count().collect()]
-    assert max(sizes) < 3 * 4000
-    ranked = global_rank(df, [("score", False), ("id", True)], "rank", rows_per_bucket=4000)
+    sizes = [r["count"] for r in placed(df, [("score", False), ("id", True)], 15).groupBy(PART).count().collect()]
+    assert len(sizes) == 15 and max(sizes) < 3 * 4000
+    ranked = global_rank(df, [("score", False), ("id", True)], "rank", parts=15)
     ref = df.withColumn("ref", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
     assert ranked.join(ref, "id").filter(F.col("rank") != F.col("ref")).count() == 0
 
 
 def test_no_single_partition_exchange(spark):
     df = _lineitem(spark)
-    ranked = global_rank(df, [("score", False), ("id", True)], "rank", rows_per_bucket=4000)
+    ranked = global_rank(df, [("score", False), ("id", True)], "rank", parts=15)
     plan = ranked._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
 
 
 def test_rank_within_groups(spark):
     df = _lineitem(spark)
-    got = rank_within(df, "grp", [("score", True), ("id", True)], "r", rows_per_bucket=5000)
+    got = rank_within(df, "grp", [("score", True), ("id", True)], "r", parts=12)
     ref = df.withColumn("ref", F.row_number().over(Window.partitionBy("grp").orderBy("score", "id")))
     assert got.join(ref, "id").filter(F.col("r") != F.col("ref")).count() == 0
 
 
-@pytest.mark.parametrize("k", [0, 1, 2500, 59999, 60000, 70000])
-def test_top_k_flag(spark, k):
+@pytest.mark.parametrize("k", [0, 1, 250, 60000])
+def test_top(spark, k):
     df = _lineitem(spark)
-    n = df.count()
-    flagged = top_k_flag(df, [("score", False), ("id", True)], k, "top", rows_per_bucket=4000)
-    assert flagged.filter("top").count() == min(max(k, 0), n)
-    if 0 < k < n:
-        ref = df.withColumn("ref", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
-        wrong = flagged.join(ref, "id").filter(F.col("top") != (F.col("ref") <= k)).count()
-        assert wrong == 0
+    got = top(df, [("score", False), ("id", True)], k)
+    ref = df.withColumn("ref", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    both = got.join(ref.select("id", "ref"), "id")
+    assert both.count() == k and both.filter(F.col("rank") != F.col("ref")).count() == 0
 
 
-def test_kth_bounds_multiple(spark):
+def test_kth_keys(spark):
     df = _lineitem(spark)
     keys = [("score", True), ("id", True)]
-    b = kth_bounds(df, keys, [1, 100, 30000], rows_per_bucket=4000)
+    b = kth_keys(df, keys, [-1, 0, 1, 100, 30000, 59999, 60000, 70000], parts=15)
     ordered = df.orderBy("score", "id").select("score", "id").collect()
-    for k in (1, 100, 30000):
+    for k in (1, 100, 30000, 59999):
         assert b[k] == tuple(ordered[k - 1])
+    assert b[-1] is False and b[0] is False and b[60000] is True and b[70000] is True
+
+
+@pytest.mark.parametrize("groups", [1, 3, 40, 3000])
+def test_rank_within_any_number_of_groups(spark, groups):
+    df = spark.range(3000).select(
+        "id",
+        F.when(F.col("id") % groups > 0, F.col("id") % groups).alias("g"),  # NULL is a group
+        (F.abs(F.xxhash64("id")) % 50).alias("s"),
+    )
+    got = rank_within(df, "g", [("s", False), ("id", True)], "r", parts=9)
+    ref = df.withColumn("ref", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("s"), "id")))
+    assert got.join(ref.select("id", "ref"), "id").filter(F.col("r") == F.col("ref")).count() == 3000
+
+
+def test_empty_input(spark):
+    df = _lineitem(spark).filter("id < 0")
+    assert global_rank(df, ["score", "id"]).count() == 0
+    assert rank_within(df, "grp", ["id"]).count() == 0
+    assert prefix_sums(df, ["id"], ["id"]).count() == 0
+    assert kth_keys(df, ["id"], [1])[1] is True
 
 
 def test_prefix_sums(spark):
     df = _lineitem(spark).withColumn("one", F.lit(1)).withColumn("q", (F.col("id") % 7).cast("long"))
-    got = prefix_sums(df, [("score", True), ("id", True)], ["one", "q"], rows_per_bucket=5000)
+    got = prefix_sums(df, [("score", True), ("id", True)], ["one", "q"], parts=12)
     w = Window.orderBy("score", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ref = df.withColumn("r1", F.sum("one").over(w)).withColumn("r2", F.sum("q").over(w))
     j = got.join(ref.select("id", "r1", "r2"), "id")

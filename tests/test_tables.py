@@ -4,6 +4,8 @@ streaming scoring, and plan checks (pruning, pushdown)."""
 import datetime as dt
 import time
 
+import pytest
+
 
 from churnframe.operators.scoring import ClosedFormScorer
 from churnframe.sources import store
@@ -17,7 +19,7 @@ def _customers(spark):
     telco = spark.createDataFrame([("T-001", 1), ("T-002", 2)], "cid string, a long")
     bank = spark.createDataFrame([("B-001", 1), ("B-002", 2), ("B-003", 3)], "cid string, b long")
     spec = TenantSpec("x", "cid", "y", "Yes", "r")
-    return store.pack_customers(telco, spec, "telco", TS), store.pack_customers(bank, spec, "banking", TS)
+    return store.pack_customers(telco, spec, TS, "telco"), store.pack_customers(bank, spec, TS, "banking")
 
 
 def test_tenant_isolation_and_idempotent_reload(spark, scratch):
@@ -50,7 +52,7 @@ def test_predictions_partitioned_by_version(spark, scratch):
 def test_json_keeps_null_fields(spark):
     df = spark.createDataFrame([("A", None)], "cid string, note string")
     spec = TenantSpec("x", "cid", "y", "Yes", "r")
-    assert store.pack_customers(df, spec, "t", TS).collect()[0]["raw_features"] == '{"cid":"A","note":null}'
+    assert store.pack_customers(df, spec, TS, "t").collect()[0]["raw_features"] == '{"cid":"A","note":null}'
 
 
 def test_runs_not_available(spark, scratch):
@@ -104,3 +106,21 @@ def test_manifest_round_trip(spark, scratch):
     store.write_manifest(m.limit(1), f"{scratch}/manifest", "banking")
     back = store.read_manifest(spark, f"{scratch}/manifest", "telco")
     assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in m.collect())
+
+
+def test_look_alike_tenants_stay_apart(spark, scratch):
+    path = f"{scratch}/rows"
+    rows = spark.createDataFrame([(t, t + "-id") for t in ("1", "001", "1.0")], "tenant_id string, customer_id string")
+    store.write_partitioned(rows, path, ["tenant_id"])
+    for t in ("1", "001", "1.0"):
+        assert [r["customer_id"] for r in store.tenant_scope(spark, path, t).collect()] == [t + "-id"]
+        assert [r["customer_id"] for r in store.tenant_scope(spark, path, t, "tenant_id string, customer_id string").collect()] == [t + "-id"]
+
+
+def test_a_tenant_named_like_a_column_is_a_name(spark):
+    df = spark.createDataFrame([("A", "z")], "cid string, telco string")
+    spec = TenantSpec("t", "cid", "y", "Yes", "rev")
+    assert store.pack_customers(df, spec, TS, "telco").collect()[0]["tenant_id"] == "telco"
+    assert store.pack_customers(df, spec, TS, tenant_column="telco").collect()[0]["tenant_id"] == "z"
+    with pytest.raises(ValueError):
+        store.pack_customers(df, spec, TS)
