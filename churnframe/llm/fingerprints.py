@@ -202,7 +202,7 @@ def base_differing(a: Column, b: Column) -> Column:
 
 
 def next_documents(keys: DataFrame) -> DataFrame:
-    """``keys``: doc_id, text_hash, n_chars, distinct.  Adds ``next_id`` and
+    """``keys``: doc_id, text_hash (distinct) and more.  Adds ``next_id`` and
     ``next_hash``: the following document by descending doc_id, the last one
     followed by the first.  Rows are ordered by ranges; only one row per range
     (the number of shuffle partitions) is windowed as a whole."""
@@ -222,7 +222,7 @@ def next_documents(keys: DataFrame) -> DataFrame:
     joined = placed.withColumn("follows", follows).join(F.broadcast(heads), "part")
     follows = F.coalesce("follows", "after")
     return joined.select(
-        "doc_id", "text_hash", "n_chars", follows["doc_id"].alias("next_id"), follows["text_hash"].alias("next_hash")
+        *keys.columns, follows["doc_id"].alias("next_id"), follows["text_hash"].alias("next_hash")
     )
 
 
@@ -237,21 +237,23 @@ def _id_key(column: Column) -> Column:
 def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited (the edited text's SHA-256), the sketches of
     text and edited text (array of cells), near_edited and near_next."""
-    spark = docs.sparkSession
-    C.ensure_checkpoint_dir(spark)
+    C.ensure_checkpoint_dir(docs.sparkSession)
     text = F.coalesce(F.col(C.quoted(text_col)).cast("string"), F.lit(""))
     texts = docs.select(F.col(C.quoted(id_col)).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     n_chars = F.char_length("text").cast("long")
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    before = next_documents(texts.select("doc_id", "text_hash", n_chars.alias("n_chars")).distinct())
-
-    # whole texts are shuffled once, by their own key: what a document lends to
-    # the one before it is cut there, and what it keeps waits there
-    # (both uses read the same three columns, so Spark shuffles them once)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts.select(_id_key(F.col("doc_id")).alias("key"), "text_hash", "text").repartition(parts, "key", "text_hash")
+    keys = texts.groupBy("doc_id", "text_hash").agg(F.first(n_chars).alias("n_chars"), F.count(F.lit(1)).alias("copies"))
+    before = next_documents(keys)
+
+    # whole texts are shuffled once, by their own key, repeated rows merged
+    # before: what a document lends to the one before it is cut there, and what
+    # it keeps waits there (both uses read the same three columns, so Spark
+    # runs that shuffle once)
+    dealt = texts.select(_id_key(F.col("doc_id")).alias("key"), "text_hash", "text")
+    dealt = dealt.groupBy("key", "text_hash").agg(F.first("text").alias("text"))
     before = before.select(
         "doc_id",
+        "copies",
         _id_key(F.col("doc_id")).alias("to_key"),
         F.col("text_hash").alias("to_hash"),
         half.alias("lend"),
@@ -262,18 +264,19 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.col("to_key").alias("key"),
         F.col("to_hash").alias("text_hash"),
         "doc_id",
+        "copies",
         F.substring("text", F.lit(1), F.col("lend")).alias("lent"),
         digests(F.col("text")).alias("next"),
     )
-    lent = lent.dropDuplicates(["key", "text_hash"])
     both = dealt.join(lent, ["key", "text_hash"]).withColumn("n_chars", n_chars)
     stays = F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int"))
     both = both.select(
-        "doc_id", "n_chars", F.concat(stays, "lent").alias("edited"), digests(F.col("text")).alias("own"), "next"
+        "doc_id", "copies", "n_chars", F.concat(stays, "lent").alias("edited"), digests(F.col("text")).alias("own"), "next"
     )
     rows = both.select(
         F.monotonically_increasing_id().alias("place"),
         "doc_id",
+        "copies",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         "own",
@@ -298,6 +301,8 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def near(kind: str) -> Column:
         return 1.0 - F.coalesce(f"n_{kind}", f"more_{kind}") / (F.size("own") + F.size(kind))
 
+    # a row for each copy again
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     size = F.lit(BASE_CELLS)
     return rows.select(
         "doc_id",

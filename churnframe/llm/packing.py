@@ -9,9 +9,10 @@ clusters; from the first bin that is large enough, the successor search goes
 on until a bin has neither bit set: the tightest compatible bin.
 
 Scale: only (id, source, cluster, length) leave the tokenizing task.  Rows are
-dealt by a hash of id and cluster to packing groups of about ``GROUP_ROWS``
-rows - the number of groups grows with the table, a group's memory does not -
-so hot sources and clusters spread over all groups.
+dealt by a hash of id, cluster and input split to packing groups of about
+``GROUP_ROWS`` rows - the number of groups grows with the table, a group's
+memory does not - so hot sources, clusters and repeated rows spread over the
+groups.
 
 Defined results: NULL and empty texts have length 0 and still take a place;
 NULL source or id conflicts with nothing (the cluster still counts); repeated
@@ -93,7 +94,7 @@ def lengths(
     cluster_col: str | None,
     vocabulary: str,
 ) -> DataFrame:
-    """doc_id, source, cluster, n_tokens of every row."""
+    """doc_id, source, cluster, n_tokens and input split of every row."""
     spark = C.prepare(docs.sparkSession)
     shipped = tokenizing.ship(spark, vocabulary)
     given = F.xxhash64(C.quoted(cluster_col)) if cluster_col else F.lit(None).cast("long")
@@ -101,6 +102,7 @@ def lengths(
         F.col(C.quoted(id_col)).cast("long").alias("doc_id"),
         F.col(C.quoted(source_col)).cast("string").alias("source"),
         given.alias("given"),
+        F.spark_partition_id().alias("split"),
         C.utf8(text_col).alias("text"),
     )
 
@@ -114,7 +116,7 @@ def lengths(
         return work
 
     made = C.map_batches(df, make, [C.field("n_tokens", "int"), C.field("own", "long")], ("text",))
-    return made.select("doc_id", "source", F.coalesce("given", "own").alias("cluster"), "n_tokens")
+    return made.select("doc_id", "source", F.coalesce("given", "own").alias("cluster"), "n_tokens", "split")
 
 
 def pack_group(key, rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
@@ -153,7 +155,8 @@ def pack(
     starts (first token of the document) and lengths."""
     sized = lengths(docs, id_col, text_col, source_col, cluster_col, vocabulary)
     groups = max(1, -(-docs.count() // group_rows))
-    sized = sized.withColumn("packing_group", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(groups)))
+    dealt = F.xxhash64("doc_id", "cluster", "split")
+    sized = sized.withColumn("packing_group", F.pmod(dealt, F.lit(groups)))
     return sized.groupBy("packing_group").applyInPandas(lambda key, rows: pack_group(key, rows, capacity), BIN_SCHEMA)
 
 

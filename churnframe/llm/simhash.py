@@ -272,7 +272,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays (one row, if it is repeated); rows without a doc_id all stay."""
     found = near_duplicates(docs)
     keep = C.materialise(found.where("doc_id = component_id").select("doc_id").distinct())
-    kept = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # repeated rows go map-side, before the join can gather them
+    kept = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
     return kept.select(*[F.col(C.quoted(c)) for c in docs.columns]).unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -210,6 +210,8 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int = WI
     # factor boundaries, window by window
     listed = (
         parsed.where("owner = doc")
+        .select("doc", "text_hash", "first", "windows")
+        .distinct()  # repeated rows
         .groupBy("doc", "text_hash")
         .agg(F.collect_list(F.struct("first", "windows")).alias("blocks"))
     )

@@ -11,7 +11,8 @@ segment lengths (from 0), and positions that restart at 0 with each segment
 and in the padding.
 
 Scale: ids are shuffled once, to packing groups of about ``GROUP_ROWS``
-documents dealt by a hash; the number of groups grows with the table.
+documents dealt by a hash of id, text, place and input split (so repeated rows
+spread as well); the number of groups grows with the table.
 
 Defined results: NULL and empty texts have no ids; they are listed in a row as
 a segment of length 0, so every document is in the output; ties go to the
@@ -91,13 +92,20 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def _pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, shipped) -> DataFrame:
-    """doc, text_hash, start, ids: one row per piece."""
+    """doc, text_hash, split (of the input), start, ids: one row per piece."""
     schema = T.StructType(
-        [C.field("doc", "long"), C.field("text_hash", "long"), C.field("start", "int"), C.field("ids", "binary")]
+        [
+            C.field("doc", "long"),
+            C.field("text_hash", "long"),
+            C.field("split", "int"),
+            C.field("start", "int"),
+            C.field("ids", "binary"),
+        ]
     )
     df = docs.select(
         F.col(C.quoted(id_col)).cast("long").alias("doc"),
         F.xxhash64(C.utf8(text_col)).alias("text_hash"),
+        F.spark_partition_id().alias("split"),
         C.utf8(text_col).alias("text"),
     )
 
@@ -109,11 +117,12 @@ def _pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, shipped)
                 for at in range(0, whole.num_rows, 512):
                     batch = whole.slice(at, 512)
                     made: dict[str, list] = {n: [] for n in schema.names}
-                    for doc, h, text in zip(*(batch.column(n).to_pylist() for n in ("doc", "text_hash", "text"))):
+                    for doc, h, split, text in zip(*(batch.column(n).to_pylist() for n in ("doc", "text_hash", "split", "text"))):
                         ids = tokenizer.ids(text)
                         for start in range(0, max(1, len(ids)), capacity):
                             made["doc"].append(doc)
                             made["text_hash"].append(h)
+                            made["split"].append(split)
                             made["start"].append(start)
                             made["ids"].append(ids[start : start + capacity].tobytes())
                     yield made
@@ -165,7 +174,7 @@ def token_rows(
     pad, dtype = tokenizer.pad, tokenizer.dtype
     groups = max(1, -(-docs.count() // group_rows))
     pieces = _pieces(docs, id_col, text_col, capacity, shipped)
-    pieces = pieces.withColumn("packing_group", F.pmod(F.xxhash64("doc", "text_hash", "start"), F.lit(groups)))
+    pieces = pieces.withColumn("packing_group", F.pmod(F.xxhash64("doc", "text_hash", "start", "split"), F.lit(groups)))
 
     def run(key, rows):
         return pack_rows(key, rows, capacity, pad, dtype)

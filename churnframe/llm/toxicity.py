@@ -18,7 +18,8 @@ mod 3 is 1 are never learned from.  Training reads at most about ``SAMPLE``
 labelled rows (hash sample of the labels).
 
 Defined results: NULL and empty texts have no evidence and get the base score;
-NULL labels are not learned from; repeated label rows count once per row; with
+NULL labels are not learned from; repeated label rows and equal
+texts of one label count once; with
 no labels or one class only, the score is 0 for all; whole texts are scored,
 each distinct word of a text once; extra columns ride in ``row``.  A NULL
 doc_id is not held out.
@@ -230,7 +231,7 @@ def _learn_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     key = F.col(C.quoted(id_col))
     usable = labels.where(key.isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(key))
     share = min(1.0, sample / max(1, usable.count()))
-    picked = usable.where(C.hash_share(key, share)).select(key.alias("doc"), F.col("toxic").cast("int").alias("toxic"))
+    picked = usable.where(C.hash_share(key, share)).select(key.alias("doc"), F.col("toxic").cast("int").alias("toxic")).distinct()
     # at most about `sample` rows of two numbers: a bounded broadcast
     texts = docs.select(key.alias("doc"), C.utf8(text_col).alias("text"))
     return texts.join(F.broadcast(picked), "doc").select("toxic", "text")
@@ -295,7 +296,10 @@ def train(
     features (strong log odds only) and two numbers per calibration row."""
     spark = C.prepare(docs.sparkSession)
     lm = language_model(docs, text_col)
-    rows = C.materialise(_learn_rows(docs, labels, id_col, text_col, sample))
+    rows = _learn_rows(docs, labels, id_col, text_col, sample).dropDuplicates(["toxic", "text"])
+    rows = C.materialise(rows)
+    # more than the sample only if one id has many texts: bounded again
+    rows = rows.where(C.hash_share(F.col("text"), min(1.0, sample / max(1, rows.count()))))
     sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     model = {"lm": lm, "odds": {}, "weights": None}

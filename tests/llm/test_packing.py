@@ -139,3 +139,12 @@ def test_given_clusters_keep_documents_apart(spark):
 
 def test_pipeline_tables_have_the_document_columns(spark):
     assert C.table(spark, SF01, "documents").columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_repeated_rows_spread_over_groups(spark):
+    """One row repeated is a third of the table: no group holds it all."""
+    hot = docs(spark, ["the same text"] * 3000, ids=[7] * 3000).repartition(8)
+    sized = P.lengths(hot, "doc_id", "text", "source", None, tokenizing.VOCABULARY_FILE)
+    assert sized.select("split").distinct().count() == 8
+    bins = P.pack(hot, group_rows=100).collect()
+    assert len(bins) == 3000 and len({b.bin_id >> 32 for b in bins}) > 4
