@@ -43,7 +43,7 @@ PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.7
 MIN_ODDS = 1.5
 MIN_DOCS = 3
-CACHE = 400_000
+CACHE = 150_000
 
 #: Letters that a sign may stand for.
 LOOKALIKES = {
