@@ -72,10 +72,6 @@ def hash_order_key(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def safe_pct(num: Column, den: Column) -> Column:
-    return F.when(den > 0, F.lit(100.0) * num / den).otherwise(F.lit(0.0))
-
-
 def closed_form_score(recency: Column) -> Column:
     """Closed-form churn score used where an exact SQL oracle is needed:
     recency / (recency + 180)."""

@@ -175,6 +175,8 @@ def train_churn(df: DataFrame, manifest: DataFrame, spec: TenantSpec, params: di
     scored = model.transform(test).withColumn("_y", binarize(F.col(spec.target_column), spec.positive_value))
     scored = scored.persist()
     run = evaluation_record(train, scored, spec, model.metadata.get("params", {}))
+    scored.unpersist()
+    train.unpersist()
     return model, run
 
 
@@ -277,6 +279,8 @@ def train_value(
     pipe = Pipeline(stages=[VectorAssembler(inputCols=input_names(features), outputCol=FEATURES_VEC), gbt]).fit(
         data.withColumn(target, F.col(target).cast("double"))
     )
+    data.unpersist()
+    train.unpersist()
     model = ValueModel(features, categorical, encoders, pipe, target)
     preds = model.transform(test.withColumn(target, F.col(target).cast("double")))
     return model, regression_metrics(preds, target, "prediction")

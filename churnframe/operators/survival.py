@@ -248,23 +248,25 @@ def concordance(model: CoxModel, test: DataFrame, duration: str, event: str) ->
     return concordance_index(scored, duration, event, "_risk")
 
 
-def _first_time_reaching(level: F.Column, curve: list[tuple[float, float]], lo: int, hi: int) -> F.Column:
-    # first index in [lo, hi) whose cumulative hazard reaches ``level``
-    # (the curve is non-decreasing); hi means never
-    if lo >= hi:
-        return F.lit(None).cast("double")
-    mid = (lo + hi) // 2
-    t, h = curve[mid]
-    return F.when(level <= F.lit(h), F.coalesce(_first_time_reaching(level, curve, lo, mid), F.lit(t))).otherwise(
-        _first_time_reaching(level, curve, mid + 1, hi)
-    )
-
-
 def median_survival(model: CoxModel, profiles: DataFrame, key: str) -> DataFrame:
     """For each profile row: first time with S(t) = exp(-H0(t) e^{lp}) <= 0.5,
     i.e. H0(t) >= ln 2 / e^{lp}; NULL when the curve never gets there.  The
-    baseline (one value per duration) is a search tree of literals, so this
-    is a projection of the profile rows."""
+    baseline (one value per duration, never falling) is an array, and the
+    place in it the number of values below the level."""
     level = F.lit(float(np.log(2.0))) * F.exp(-model.linear_predictor())
-    curve = [(float(t), float(h)) for t, h in model.baseline]
-    return profiles.select(F.col(key), _first_time_reaching(level, curve, 0, len(curve)).alias("median_survival"))
+    times = F.lit([float(t) for t, _ in model.baseline]).cast("array<double>")
+    hazards = F.lit([float(h) for _, h in model.baseline]).cast("array<double>")
+    at = F.size(F.filter(hazards, lambda h: h < F.col("_level"))) + 1
+    rows = profiles.withColumn("_level", level)
+    return rows.select(F.col(key), F.try_element_at(times, at).alias("median_survival"))
+
+
+def fixed_model(rows: DataFrame, duration: str, event: str, beta: dict[str, float]) -> CoxModel:
+    """The model of given coefficients (covariates not centred): only the
+    Breslow baseline is computed, in one aggregation; nothing is fitted."""
+    names = list(beta)
+    values = np.array([beta[f] for f in names])
+    data = rows.select(duration, event, *[F.col(f).cast("double").alias(f) for f in names])
+    ll, _, _, steps = _efron(_moments(data, duration, event, names, values), len(names))
+    times = [float(t) for t, _ in steps]
+    return CoxModel(names, values, np.zeros(len(names)), np.ones(len(names)), list(zip(times, np.cumsum([h for _, h in steps]).tolist())), float(ll), 0)

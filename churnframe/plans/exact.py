@@ -26,6 +26,7 @@ from churnframe.plans.catalog import cleaned, manifest, query, snapshot, split_o
 from churnframe.sources.conform import conform_schema, enrich_base_wins
 from churnframe.sources.store import (
     CUSTOMERS_SCHEMA,
+    PREDICTIONS_SCHEMA,
     pack_customers,
     read_runs,
     read_table_as,
@@ -1112,3 +1113,46 @@ def q_train_counts(spark: SparkSession, sf: str) -> DataFrame:
     record_run(counts.withColumn("tenant_id", F.lit("01")), path, "run-a", LOAD_TS)
     record_run(counts.withColumn("tenant_id", F.lit("1")).withColumn("n", -F.col("n")), path, "run-b", LOAD_TS)
     return read_runs(spark, path, "01").select("split", "n", "churn_rate")
+
+
+@query(
+    "conform_schema_full",
+    O.with_(
+        O.SNAP,
+        """SELECT customer_id AS customerID, tenant_id, contract AS Contract, nation, n_orders, tenure_days,
+       tenure_months AS tenure, recency_days, avg_order AS MonthlyCharges, total_spend AS TotalCharges, churn AS Churn
+FROM snap""",
+    ),
+)
+def q_conform_schema_full(spark: SparkSession, sf: str) -> DataFrame:
+    """The full output: every column but the dropped one, renamed."""
+    raw = snapshot(spark, sf).withColumn("ChurnValue", F.col("churn"))
+    _slim, full = conform_schema(raw, CONFORM_RENAME, ["customerID"], ["ChurnValue"], drop_from_full=["ChurnValue"])
+    return full
+
+
+@query(
+    "load_job",
+    O.with_(
+        O.CLEAN,
+        f"""SELECT tenant_id, CAST(customer_id AS VARCHAR) AS customer_id, 'closed_form_v1' AS model_version,
+       {O.SCORE} AS churn_probability, contract
+FROM clean WHERE tenant_id IN ('ASIA', 'EUROPE')""",
+    ),
+)
+def q_load_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers and predictions of two tenants written to both tables -
+    twice, as a reload must not double them - and read back per tenant."""
+    df, customers, predictions = cleaned(spark, sf), _sink_dir(spark, "customers"), _sink_dir(spark, "predictions")
+    for tenant in ("ASIA", "EUROPE", "ASIA"):
+        own = df.filter(F.col("tenant_id") == tenant)
+        write_partitioned(pack_customers(own, S, LOAD_TS, tenant_id=tenant), customers, ["tenant_id"])
+        scored = score_population(own, ClosedFormScorer(), S, tenant, "closed_form_v1", LOAD_TS)
+        write_partitioned(scored, predictions, ["tenant_id", "model_version"])
+    out = None
+    for tenant in ("ASIA", "EUROPE"):
+        who = tenant_scope(spark, customers, tenant, CUSTOMERS_SCHEMA)
+        who = who.select("customer_id", F.get_json_object("raw_features", "$.contract").alias("contract"))
+        p = tenant_scope(spark, predictions, tenant, PREDICTIONS_SCHEMA).drop("predicted_at").join(who, "customer_id")
+        out = p if out is None else out.unionByName(p)
+    return out

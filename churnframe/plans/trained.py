@@ -192,25 +192,22 @@ def q_median_survival(spark: SparkSession, sf: str) -> DataFrame:
     O.with_(
         TRAIN
         + """,
-ev AS (SELECT tenure_months AS t, COUNT(*) AS n, SUM(CASE WHEN churn = 'Yes' THEN 1 ELSE 0 END) AS d
+ev AS (SELECT tenure_months AS t, SUM(exp(-0.3 * n_orders)) AS w, SUM(CASE WHEN churn = 'Yes' THEN 1 ELSE 0 END) AS d
        FROM train GROUP BY tenure_months),
-rs AS (SELECT t, d, SUM(n) OVER (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r FROM ev),
-h AS (SELECT t, SUM(CAST(d AS DOUBLE) / r) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h0 FROM rs),
-med AS (SELECT MIN(CASE WHEN h0 >= 0.6931471805599453 THEN t END) AS m FROM h),
-contracts AS (SELECT DISTINCT contract FROM train)""",
-        "SELECT contract AS contract_name, CAST(m AS DOUBLE) AS median_survival FROM contracts CROSS JOIN med",
+rs AS (SELECT t, d, SUM(w) OVER (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r FROM ev),
+h AS (SELECT t, SUM(d / r) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h0 FROM rs),
+profiles AS (SELECT DISTINCT n_orders FROM train UNION ALL SELECT 1000)""",
+        """SELECT n_orders, CAST(MIN(CASE WHEN h0 >= 0.6931471805599453 * exp(0.3 * n_orders) THEN t END) AS DOUBLE) AS median_survival
+FROM profiles CROSS JOIN h GROUP BY n_orders""",
     ),
 )
 def q_median_survival_fixed(spark: SparkSession, sf: str) -> DataFrame:
-    """Median survival per contract with coefficients held at 0 (no fit):
-    the baseline alone, so the median search is checked exactly."""
-    _df, enc, cats, features, _model, train, _test = _cox(spark, sf)
-    fixed = SV.fit_cox(train, "tenure_months", "_event", features, max_iter=0)
-    contracts = enc.filter(F.col("column") == "contract").select(
-        F.col("value").alias("contract_name"), F.col("code").cast("double").alias("contract")
-    )
-    profiles = contracts.select("contract_name", *[F.lit(0.0).alias(f) for f in features if f != "contract"], "contract")
-    return SV.median_survival(fixed, profiles, "contract_name")
+    """Median survival by order count at a fixed coefficient: the weighted
+    baseline and the search are checked exactly, NULL medians included."""
+    train = split_of(spark, sf, "train").withColumn("_event", binarize(F.col("churn"), "Yes"))
+    fixed = SV.fixed_model(train, "tenure_months", "_event", {"n_orders": -0.3})
+    far = spark.range(1).select(F.lit(1000).cast("bigint").alias("n_orders"))
+    return SV.median_survival(fixed, train.select("n_orders").distinct().unionByName(far), "n_orders")
 
 
 @query("retrain_with_feedback")
@@ -283,3 +280,128 @@ def q_outcome_by_segment(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("anomaly_flag "), F.col("anomaly_flag").cast("string")).alias("grp"), "n", "churn_rate_pct"
     )
     return seg.unionByName(ano)
+
+
+# ---------------------------------------------------------------- checked expectations and jobs
+
+
+def _checks(spark: SparkSession, rows: list[tuple[str, bool]]) -> DataFrame:
+    return spark.createDataFrame([(n, bool(ok)) for n, ok in rows], "expectation string, ok boolean")
+
+
+def _all_true(*names: str) -> str:
+    return "SELECT expectation, TRUE AS ok FROM (VALUES " + ", ".join(f"('{n}')" for n in names) + ") t(expectation)"
+
+
+@query(
+    "segment_expectations",
+    O.with_(
+        O.CLEAN,
+        """SELECT CAST(COUNT(*) AS BIGINT) AS customers, CAST(COUNT(*) AS BIGINT) AS assigned,
+       CAST(COUNT(DISTINCT customer_id) AS BIGINT) AS distinct_customers, CAST(4 AS BIGINT) AS clusters
+FROM clean""",
+    ),
+)
+def q_segment_expectations(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer is in exactly one of the four clusters."""
+    df, enc, features = _segment_inputs(spark, sf)
+    _seg, assign = segment(enc, ID, features, k=4)
+    return assign.agg(
+        F.lit(df.count()).alias("customers"),
+        F.count(F.lit(1)).alias("assigned"),
+        F.countDistinct(ID).alias("distinct_customers"),
+        F.countDistinct("cluster").alias("clusters"),
+    )
+
+
+@query(
+    "anomaly_expectations",
+    O.with_(
+        O.CLEAN,
+        """SELECT CAST(COUNT(*) AS BIGINT) AS scored, CAST(COUNT(DISTINCT customer_id) AS BIGINT) AS distinct_customers,
+       TRUE AS share_near_contamination, TRUE AS flags_below_zero
+FROM clean""",
+    ),
+)
+def q_anomaly_expectations(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer is flagged once; the flagged share is within 10 % of the
+    contamination, and flags follow the score's sign."""
+    _df, enc, features = _segment_inputs(spark, sf)
+    _forest, res = detect_anomalies(enc, ID, features, contamination=0.05)
+    share = F.avg((F.col("anomaly_flag") == -1).cast("int"))
+    return res.agg(
+        F.count(F.lit(1)).alias("scored"),
+        F.countDistinct(ID).alias("distinct_customers"),
+        (F.abs(share / 0.05 - 1) <= 0.1).alias("share_near_contamination"),
+        F.bool_and((F.col("anomaly_score") < 0) == (F.col("anomaly_flag") == -1)).alias("flags_below_zero"),
+    )
+
+
+@query("importance_expectations", _all_true("sums to 1", "none negative", "all features listed", "falling order"))
+def q_importance_expectations(spark: SparkSession, sf: str) -> DataFrame:
+    model = _churn(spark, sf)[2]
+    values = [r["importance"] for r in model.importance().collect()]
+    return _checks(
+        spark,
+        [
+            ("sums to 1", abs(sum(values) - 1) < 1e-9),
+            ("none negative", min(values) >= 0),
+            ("all features listed", len(values) == len(model.features)),
+            ("falling order", values == sorted(values, reverse=True)),
+        ],
+    )
+
+
+@query(
+    "model_bounds",
+    _all_true("churn roc_auc over 0.65", "c-index between 0.55 and 0.90", "lifetime value r2 between 0.1 and 0.95"),
+)
+def q_model_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    auc = _churn(spark, sf)[3].first()["roc_auc"]
+    _df, _enc, _cats, _f, model, _train, test = _cox(spark, sf)
+    c_index = SV.concordance(model, test, "tenure_months", "_event").first()["c_index"]
+    r2 = _clv(spark, sf)[1].first()["r2"]
+    return _checks(
+        spark,
+        [
+            ("churn roc_auc over 0.65", auc > 0.65),
+            ("c-index between 0.55 and 0.90", 0.55 < c_index < 0.90),
+            ("lifetime value r2 between 0.1 and 0.95", 0.1 < r2 < 0.95),
+        ],
+    )
+
+
+@query(
+    "training_job",
+    O.with_(
+        TRAIN,
+        """SELECT 'run-1' AS run_id, CAST((SELECT COUNT(*) FROM train) AS BIGINT) AS n_train,
+       CAST((SELECT COUNT(*) FROM test) AS BIGINT) AS n_test,
+       CAST((SELECT COUNT(*) FROM manifest) AS BIGINT) AS n_manifest, TRUE AS same_scores""",
+    ),
+)
+def q_training_job(spark: SparkSession, sf: str) -> DataFrame:
+    """The training job's outputs - split manifest, model with its encoders,
+    run record - written, read back, and the loaded model compared with the
+    trained one on the test split."""
+    from churnframe.operators.models import ChurnModel
+    from churnframe.sources.store import read_manifest, read_runs, record_run, write_manifest
+
+    _df, m, model, run = _churn(spark, sf)
+    folder = _saved_dir(spark, "training-job")
+    write_manifest(m, f"{folder}/manifest", "t1")
+    model.save(f"{folder}/models/v1")
+    record_run(run.withColumn("tenant_id", F.lit("t1")), f"{folder}/runs", "run-1", dt.datetime(2001, 1, 1))
+    loaded = ChurnModel.load(spark, f"{folder}/models/v1", S)
+    test = split_of(spark, sf, "test")
+    a = model.transform(test).select(ID, F.col("churn_probability").alias("a"))
+    b = loaded.transform(test).select(ID, F.col("churn_probability").alias("b"))
+    differ = a.join(b, ID).filter(F.abs(F.col("a") - F.col("b")) > 1e-12).count()
+    record = read_runs(spark, f"{folder}/runs", "t1")
+    return record.select(
+        "run_id",
+        "n_train",
+        "n_test",
+        F.lit(read_manifest(spark, f"{folder}/manifest", "t1").count()).alias("n_manifest"),
+        F.lit(differ == 0).alias("same_scores"),
+    )

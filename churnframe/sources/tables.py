@@ -8,23 +8,12 @@ from pyspark.sql import functions as F
 from churnframe.functions.columns import closed_form_score, hash_unit
 
 SNAPSHOT_CUTOFF = "2001-01-01 00:00:00"
-# Dimension tables whose size is fixed by the schema (25 nations, 5 regions)
-# may be broadcast once their row count is checked against this bound.
-BROADCAST_ROW_LIMIT = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` only if its row count is proven below ``max_rows``;
-    otherwise leave the join to a shuffle.  Meant for dimension tables and
-    small derived tables; counting them is cheap."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def customer_snapshot(
     spark: SparkSession,
     sf_dir: str,
@@ -37,13 +26,17 @@ def customer_snapshot(
     Features come from orders before the cutoff, the natural label from
     orders after it (``churn = 'Yes'`` if none).  ``label='planted'`` replaces
     the label by a hash draw against the closed-form score, which gives the
-    lift tests a signal to find.  ``with_future_spend`` adds the revenue
-    after the cutoff from the same aggregation.
+    lift tests a signal to find.  ``with_future_spend`` adds the lifetime-value
+    target: with natural labels the revenue after the cutoff, from the same
+    aggregation; planted, average order x (1 + orders / 10), times a hash draw
+    between a half and one and a half - the given tables' future orders do not
+    depend on the past.
 
     Plan: one scan of ``orders`` (date, customer, price only), one partial
     aggregation by customer (map-side combine, so a customer with a huge
     share of orders costs one row per map task), one shuffle join with
-    ``customer``; nation and region are broadcast after a size check.
+    ``customer``; nation and region are broadcast by Spark, which knows their
+    size in bytes.
     """
     cut = F.lit(cutoff).cast("timestamp_ntz")
     orders = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
@@ -61,8 +54,8 @@ def customer_snapshot(
         .filter(F.col("n_orders") > 0)
     )
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    nation = broadcast_checked(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
-    region = broadcast_checked(read_table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     cut_date = F.lit(cutoff[:10]).cast("date")
     tenure_days = F.datediff(cut_date, F.col("first_ts").cast("date"))
     snap = (
@@ -97,5 +90,8 @@ def customer_snapshot(
         raise ValueError(f"label must be 'planted' or 'natural', got {label!r}")
     u = hash_unit("churn:", F.col("customer_id"))
     planted = F.when(u < closed_form_score(F.col("recency_days")), F.lit("Yes")).otherwise(F.lit("No"))
+    if with_future_spend:
+        draw = hash_unit("value:", F.col("customer_id")) + F.lit(0.5)
+        snap = snap.withColumn("future_spend", F.col("avg_order") * (1 + F.col("n_orders") / 10) * draw)
     return snap.withColumn("churn", planted).drop("natural_churn")
 

@@ -223,3 +223,17 @@ def test_parquet_text_keeps_na_words(spark, scratch):
     path = os.path.join(scratch, "t.parquet")
     spark.createDataFrame([("NA", 1.0), ("None", float("nan"))], "s string, x double").write.parquet(path)
     assert sorted(map(tuple, read_tenant(spark, path).collect()), key=str) == [("NA", 1.0), ("None", None)]
+
+
+def test_telco_export_conforms_and_enriches(spark):
+    from churnframe.sources.conform import TELCO_COLUMNS, TELCO_ENRICHMENT, TELCO_RENAME, conform_schema
+
+    values = {old: "x" for old in TELCO_RENAME} | {"CustomerID": "c1", "Senior Citizen": "Yes", "Count": "1"}
+    values |= {c: f"new {c}" for c in TELCO_ENRICHMENT}
+    export = spark.createDataFrame([tuple(values.values())], ", ".join(f"`{c}` string" for c in values))
+    slim, full = conform_schema(export, TELCO_RENAME, TELCO_COLUMNS, ["SeniorCitizen"], drop_from_full=["Count"])
+    assert slim.columns == TELCO_COLUMNS and slim.collect()[0]["SeniorCitizen"] == 1
+    assert set(full.columns) == {*TELCO_COLUMNS, *TELCO_ENRICHMENT}
+    base = spark.createDataFrame([("c1", "kept")], "customerID string, City2 string")
+    out = enrich_base_wins(base, full, "customerID", TELCO_ENRICHMENT).collect()[0]
+    assert out["CLTV"] == "new CLTV" and out["City2"] == "kept"
