@@ -43,7 +43,8 @@ PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.7
 MIN_ODDS = 1.5
 MIN_DOCS = 3
-CACHE = 150_000
+CACHE = 400_000  # tokens remembered by a scoring task
+COUNTED = 100_000  # tokens, and features being counted, held by a learning task
 
 #: Letters that a sign may stand for.
 LOOKALIKES = {
@@ -183,6 +184,7 @@ class Reader:
 
     def __init__(self, model: np.ndarray, wanted: dict | None = None):
         self.model, self.known = model, {}
+        self.limit = COUNTED if wanted is None else CACHE
         self.wanted = None if wanted is None else {f.rstrip("+") if f.endswith("-+") else f for f in wanted}
 
     def of_word(self, word: str) -> list[str]:
@@ -192,7 +194,7 @@ class Reader:
     def token(self, token: str) -> tuple[str, ...]:
         own = self.known.get(token)
         if own is None:
-            if len(self.known) > CACHE:
+            if len(self.known) > self.limit:
                 self.known.clear()
             own = self.known[token] = tuple({f for w in readings(token, self.model) for f in self.of_word(w)})
         return own
@@ -250,7 +252,7 @@ def _counts(rows: DataFrame, model) -> DataFrame:
                 for toxic, raw in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
                     for f in reader.features(raw.decode("utf-8", "replace")):
                         seen.setdefault(f, [0, 0])[1 - toxic] += 1
-                    if len(seen) > CACHE:
+                    if len(seen) > COUNTED:
                         yield _columns(seen)
                         seen = {}
             yield _columns(seen)
