@@ -3,8 +3,9 @@
 Words are maximal runs of digits, letters a-z (A-Z lower-cased) and non-ASCII
 characters.  A pattern is a window of 13 consecutive benchmark words (an item
 with fewer words is one shorter pattern).  Per pattern length, a shift table
-on blocks of two words tells how far the search may jump; a block that ends
-some pattern selects the suffix bucket, whose windows are compared directly.
+on blocks of two words tells how far the search may jump; at a block that ends
+some pattern, the hash of the window it ends selects the suffix bucket, whose
+windows are compared directly.
 
 Defined results: NULL text has no words; an empty table gives no rows; a NULL
 item id matches like any other but is not listed; repeated items and rows are
@@ -12,13 +13,17 @@ handled one by one; very long texts are searched whole; other columns ride
 along untouched inside ``row``.
 
 The benchmark is the query set.  It is read in blocks of ``BLOCK_BYTES`` of
-text; each block is one broadcast of that proven size and one narrow pass over
-the documents.  With several blocks the rows are written between passes, so
-neither the driver nor a worker ever holds more than one block.
+text, a word counted as 8 bytes at least; each block is one broadcast and one
+narrow pass over the documents.  A block has at most 2^20 windows, whose tables
+take about 190 bytes each (measured on words that hardly repeat a pair), so
+200 MB.  With several blocks the rows are written between passes, so neither
+the driver nor a worker ever holds more than one block.
 """
 
 from __future__ import annotations
 
+from array import array
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +31,7 @@ from pyspark.sql import types as T
 from churnframe.llm import common as C
 
 WINDOW = 13
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 #: Byte map: A-Z to a-z, every ASCII byte that is no word character to a space.
 _MAP = bytes(
@@ -38,57 +43,99 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_MAP).split()
 
 
+class Patterns:
+    """Shift table and suffix buckets of all windows of one length.  A window
+    is its place in ``flat``, the word ids of all items one after the other."""
+
+    def __init__(self, flat: array, base: int, length: int):
+        self.flat, self.base, self.length = flat, base, length
+        self.shift: dict[int, int] = {}  # of blocks (of words, if the length is 1)
+        self.bucket: dict[int, int] = {}  # window's hash to its last entry
+        self.before: dict[int, int] = {}  # entry to the one before in its bucket
+        self.start = array("q")
+        self.owner = array("q")
+        self.owners: dict[int, set[int]] = {}  # only of windows in several items
+
+    def find(self, window: tuple) -> int | None:
+        """The entry of an equal window, by direct comparison."""
+        entry = self.bucket.get(hash(window))
+        while entry is not None:
+            at = self.start[entry]
+            if tuple(self.flat[at : at + self.length]) == window:
+                return entry
+            entry = self.before.get(entry)
+        return None
+
+    def items(self, entry: int) -> set[int]:
+        return self.owners.get(entry) or {self.owner[entry]}
+
+    def add(self, at: int, item: int) -> None:
+        length, shift = self.length, self.shift
+        window = tuple(self.flat[at : at + length])
+        entry = self.find(window)
+        if entry is not None:
+            if self.owner[entry] != item:
+                self.owners.setdefault(entry, {self.owner[entry]}).add(item)
+            return
+        entry, key = len(self.start), hash(window)
+        if key in self.bucket:
+            self.before[entry] = self.bucket[key]
+        self.bucket[key] = entry
+        self.start.append(at)
+        self.owner.append(item)
+        if length == 1:
+            shift[window[0]] = 0
+        for end in range(2, length + 1):
+            block = window[end - 2] * self.base + window[end - 1]
+            shift[block] = min(shift.get(block, length), length - end)
+
+    def search(self, ids: list[int]) -> list[tuple[int, int]]:
+        """(end, entry) of every occurring window."""
+        length, base, get = self.length, self.base, self.shift.get
+        out, n = [], len(ids)
+        if length == 1:
+            return [(at + 1, self.find((w,))) for at, w in enumerate(ids) if w in self.shift]
+        step, end = length - 1, length
+        while end <= n:
+            move = get(ids[end - 2] * base + ids[end - 1], step)
+            if move:
+                end += move
+                continue
+            entry = self.find(tuple(ids[end - length : end]))
+            if entry is not None:
+                out.append((end, entry))
+            end += 1
+        return out
+
+
 class Index:
-    """Shift tables and suffix buckets of one block of benchmark items."""
+    """The windows of one block of benchmark items, by length."""
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.vocabulary: dict[bytes, int] = {}
         self.names = [name for name, _ in items]
-        windows: dict[int, dict[tuple, set]] = {}
-        for k, (_, item) in enumerate(items):
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in item]
-            length = min(window, len(ids))
-            for at in range(len(ids) - length + 1 if length else 0):
-                windows.setdefault(length, {}).setdefault(tuple(ids[at : at + length]), set()).add(k)
-        self.base = len(self.vocabulary) + 1
-        self.classes = []
-        for length, patterns in sorted(windows.items()):
-            shift: dict[int, int] = {}
-            buckets: dict[int, dict[tuple, set]] = {}
-            if length == 1:
-                buckets = {p[0]: {p: own} for p, own in patterns.items()}
-            else:
-                for p, own in patterns.items():
-                    for end in range(2, length + 1):
-                        block = p[end - 2] * self.base + p[end - 1]
-                        shift[block] = min(shift.get(block, length), length - end)
-                    buckets.setdefault(p[-2] * self.base + p[-1], {})[p] = own
-            self.classes.append((length, shift, buckets))
+        flat, begin = array("i"), array("q", [0])
+        for _, item in items:
+            flat.extend(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in item)
+            begin.append(len(flat))
+        base = len(self.vocabulary) + 1
+        self.classes: dict[int, Patterns] = {}
+        for k, (a, b) in enumerate(zip(begin, begin[1:])):
+            length = min(window, b - a)
+            if length:
+                own = self.classes.setdefault(length, Patterns(flat, base, length))
+                for at in range(a, b - length + 1):
+                    own.add(at, k)
 
     def search(self, tokens: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Occurring windows as (start, end), and the items they belong to."""
         get = self.vocabulary.get
         ids = [get(w, 0) for w in tokens]
-        spans, found, n, base = [], set(), len(ids), self.base
-        for length, shift, buckets in self.classes:
-            if length == 1:
-                for at, w in enumerate(ids):
-                    if w in buckets:
-                        spans.append((at, at + 1))
-                        found |= buckets[w][(w,)]
-                continue
-            step, end, jump = length - 1, length, shift.get
-            while end <= n:
-                block = ids[end - 2] * base + ids[end - 1]
-                move = jump(block, step)
-                if move:
-                    end += move
-                    continue
-                own = buckets[block].get(tuple(ids[end - length : end]))
-                if own:
-                    spans.append((end - length, end))
-                    found |= own
-                end += 1
+        spans, found = [], set()
+        for length, own in self.classes.items():
+            for end, entry in own.search(ids):
+                spans.append((end - length, end))
+                found |= own.items(entry)
         return spans, found
 
 
@@ -110,11 +157,12 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
         tokens = words(bytes(text))
         if not tokens:
             continue
-        if block and size + len(text) > block_bytes:
+        more = max(len(text), 8 * len(tokens))
+        if block and size + more > block_bytes:
             yield block
             block, size = [], 0
         block.append((item, tokens))
-        size += len(text)
+        size += more
     if block:
         yield block
 

@@ -1,5 +1,6 @@
 import random
 import re
+from array import array
 
 import pytest
 from helpers import docs, duck, empty, hard, same
@@ -59,6 +60,17 @@ def test_edge_cases(spark):
     assert D.decontaminate(df, bench(spark, [])).where("n_hit > 0").count() == 0
 
 
+def test_windows_of_one_hash_are_told_apart():
+    # Python hashes -1 and -2 alike; word ids never are, so force a shared bucket
+    own = D.Patterns(array("i", [-1, 5, -2, 5]), 10, 2)
+    own.add(0, 0)
+    own.add(2, 1)
+    assert hash((-1, 5)) == hash((-2, 5)) and len(own.bucket) == 1
+    assert own.items(own.find((-1, 5))) == {0} and own.items(own.find((-2, 5))) == {1}
+    own.add(0, 3)
+    assert own.items(own.find((-1, 5))) == {0, 3}
+
+
 def test_search_agrees_with_a_scan_on_random_words():
     rng = random.Random(9)
     for _ in range(200):
