@@ -1,5 +1,5 @@
-"""Secret scan: rule findings, plus a character convolutional network over
-every other candidate and its surrounding context.
+"""Secret scan: a character convolutional network scores every candidate and
+its surrounding context.
 
 Rules (leftmost, non-overlapping, per kind): ``assign`` (a key word, a sign,
 a value of 6+ characters), ``access`` (AKIA..., 20+ characters), ``hex`` (24+
@@ -272,8 +272,8 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
 
 
 def scan(docs: DataFrame, model: dict, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``row`` and ``findings``: structs (kind, start, end, score) by start
-    and kind; rule findings score 1."""
+    """``row``, ``text`` and ``findings``: structs (kind, start, end, score) by
+    start and kind; the score is the network's calibrated probability."""
     spark = C.prepare(docs.sparkSession)
     finding = T.StructType([C.field("kind", "string"), C.field("start", "int"), C.field("end", "int"), C.field("score", "double")])
     shipped = spark.sparkContext.broadcast(model)
@@ -288,15 +288,16 @@ def scan(docs: DataFrame, model: dict, text_col: str = "text", carry: list[str]
             for raw in batch.column("text").to_pylist():
                 text = raw.decode("utf-8", "replace")
                 found = rule_findings(text)
-                for a, b in candidates(text, found):
-                    views.append(window(text, a, b))
-                    at.append((len(out), a, b))
-                out.append([(a, KINDS.index(k), b, 1.0) for a, k, b in found])
+                spans = [(a, KINDS.index(k), b) for a, k, b in found]
+                spans += [(a, KINDS.index("cnn"), b) for a, b in candidates(text, found)]
+                views += [window(text, a, b) for a, _, b in spans]
+                at += [(len(out), *s) for s in spans]
+                out.append([])
             if views:
                 p = 1 / (1 + np.exp(-(model["a"] * net.logits(codes(views)) + model["b"])))
-                for (row, a, b), score in zip(at, p):
-                    if score >= model["threshold"]:
-                        out[row].append((a, 3, b, float(score)))
+                for (row, a, k, b), score in zip(at, p):
+                    if KINDS[k] != "cnn" or score >= model["threshold"]:
+                        out[row].append((a, k, b, float(score)))
             return {"findings": [[{"kind": KINDS[k], "start": a, "end": b, "score": s} for a, k, b, s in sorted(x)] for x in out]}
 
         return work

@@ -73,6 +73,16 @@ def test_network_finds_other_formats_and_leaves_words(spark, model):
     assert not got[3] and not got[4]
 
 
+def test_network_scores_rule_findings_and_drops_none(spark, model):
+    text = f'a token = "{HEX40}" b password=aaaaaa'
+    never = {**model, "threshold": 2.0}
+    for m in (model, never):
+        (row,) = S.scan(docs(spark, [text]), m).collect()
+        assert [(f.start, f.kind, f.end) for f in row.findings] == brute(text)
+        assert all(0 < f.score < 1 for f in row.findings)
+        assert max(f.score for f in row.findings) > 0.5
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     net = S.CharNet(rng)
