@@ -72,7 +72,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, text_col: str, size: int, carry: list[str] | None) -> DataFrame:
-    """``row`` and ``fp`` (the fingerprint's 64 bits as a long)."""
+    """``row``, ``text_hash`` and ``fp`` (the fingerprint's 64 bits as a long)."""
 
     def make():
         def work(batch):
@@ -81,7 +81,8 @@ def fingerprints(docs: DataFrame, text_col: str, size: int, carry: list[str] | N
 
         return work
 
-    df = docs.select(C.packed(docs, carry), C.utf8(text_col).alias("text"))
+    text = C.utf8(text_col)
+    df = docs.select(C.packed(docs, carry), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     return C.map_batches(df, make, [C.field("fp", "long")], ("text",))
 
 
@@ -244,6 +245,24 @@ def links(distinct: DataFrame, most: int = MAX_BITS) -> DataFrame:
 # ----------------------------------------------------------------- operator
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, text_hash, fp of every row; fp, root of every fingerprint; and
+    of every root its ``component_id`` and ``kept`` (the smallest doc_id with
+    its smallest text_hash; NULL if no row has a doc_id)."""
+    C.prepare(docs.sparkSession)
+    made = fingerprints(docs, text_col, size, [id_col])
+    made = C.materialise(made.select(F.col(f"row.{C.quoted(id_col)}").alias("doc_id"), "text_hash", "fp"))
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
+    least = C.materialise(made.groupBy("fp").agg(F.min(row).alias("kept")))
+    roots = components(links(least.select("fp"), most))
+    # fingerprints without a link are their own root
+    named = least.join(roots, least.fp == roots.node, "left").select("fp", "kept", F.coalesce("root", "fp").alias("root"))
+    named = C.materialise(named)
+    smallest = named.groupBy("root").agg(F.min("kept").alias("kept"))
+    smallest = C.materialise(smallest.select("root", "kept", F.col("kept.doc_id").alias("component_id")))
+    return made, named.select("fp", "root"), smallest
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -252,29 +271,34 @@ def near_duplicates(
     most: int = MAX_BITS,
 ) -> DataFrame:
     """doc_id, fp (long) and component_id of every row."""
-    C.prepare(docs.sparkSession)
-    made = fingerprints(docs, text_col, size, [id_col])
-    made = C.materialise(made.select(F.col(f"row.{C.quoted(id_col)}").alias("doc_id"), "fp"))
-    least = C.materialise(made.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(least.select("fp"), most))
-    # fingerprints without a link are their own root
-    named = least.join(roots, least.fp == roots.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    named = C.materialise(named)
-    smallest = C.materialise(named.groupBy("root").agg(F.min("least").alias("component_id")))
+    made, named, smallest = _grouped(docs, id_col, text_col, size, most)
     by_print = C.materialise(named.join(smallest, "root").select("fp", "component_id"))
     return made.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest doc_id
-    stays (one row, if it is repeated); rows without a doc_id all stay."""
-    found = near_duplicates(docs)
-    keep = C.materialise(found.where("doc_id = component_id").select("doc_id").distinct())
+def one_of_each(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = SHINGLE,
+    most: int = MAX_BITS,
+) -> DataFrame:
+    """Of each component the row with the smallest doc_id (then text hash), one
+    row if it is repeated; rows without a doc_id all stay.  Different texts of
+    one doc_id are different rows."""
+    kept = _grouped(docs, id_col, text_col, size, most)[2].where("kept IS NOT NULL").select("kept.*")
+    key = F.col(C.quoted(id_col))
+    rows = docs.where(key.isNotNull()).select(
+        key.alias("doc_id"), F.xxhash64(C.utf8(text_col)).alias("text_hash"), C.packed(docs)
+    )
     # repeated rows go map-side, before the join can gather them
-    kept = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
-    return kept.select(*[F.col(C.quoted(c)) for c in docs.columns]).unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = rows.dropDuplicates(["doc_id", "text_hash"]).join(kept, ["doc_id", "text_hash"], "left_semi")
+    return rows.select("row.*").unionByName(docs.where(key.isNull()))
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one document of each component stays."""
+    return one_of_each(docs)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -103,6 +103,12 @@ def test_edge_cases(spark):
     assert ids == [1, 4, 5, 7, 8, None, None]
 
 
+def test_different_texts_of_one_id_are_different_rows(spark):
+    texts = ["one two three four five six", "une deux trois quatre cinq", "One two  three four five six", "one two three four five six"]
+    staged = S.one_of_each(docs(spark, texts, ids=[5, 5, 9, 5]))
+    assert sorted((r.doc_id, r.text.lower().split()[0]) for r in staged.collect()) == [(5, "one"), (5, "une")]
+
+
 def test_fewer_words_hash_as_one_sequence(spark):
     rows = S.near_duplicates(docs(spark, ["Two  words", "two words", "two  other"])).orderBy("doc_id").collect()
     assert rows[0].fp == rows[1].fp and rows[0].component_id == rows[1].component_id == 1
