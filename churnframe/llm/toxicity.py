@@ -4,7 +4,10 @@ Channel.  A token that mixes letters with look-alike signs, stretches a letter,
 or is part of a row of single spaced-out characters is a character lattice:
 each sign offers the letters it may stand for, a run of one letter offers
 once or twice.  Viterbi finds the likeliest reading under a character trigram
-model and fixed channel costs.  The model's counts come from every document
+model and fixed channel costs.  A row of three or more spaced-out characters
+(signs included, one of them a letter) is one lattice with an optional word end
+after each character; all words of its best path are looked up, and evidence
+words of ``INNER`` or more letters at every place of it.  The model's counts come from every document
 (bytes in 28 classes: boundary, a-z, non-ASCII), so they grow with the corpus.
 
 Score.  Evidence is looked up by whole word and by word beginnings of 3 to 6
@@ -43,6 +46,7 @@ PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.7
 MIN_ODDS = 1.5
 MIN_DOCS = 3
+INNER = 4  # letters of the shortest word looked for inside a spaced-out run
 CACHE = 400_000  # tokens remembered by a scoring task
 COUNTED = 100_000  # tokens, and features being counted, held by a learning task
 
@@ -66,11 +70,12 @@ LOOKALIKES = {
     "(": "c",
     "*": "aeiou",
 }
-SIGN_COST, STRETCH_COST = 1.0, 0.5
+SIGN_COST, STRETCH_COST, BREAK_COST, WIDE_COST = 1.0, 0.5, 0.5, 4.0
 
 _EDGE = ".,;:!?\"'()[]{}<>*%&$#|-_/\\+=~`«»“”…"
 _STRETCH = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*]{1,2}[^\W_](?![^\W_])){3,}")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+(*])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|+(*])(?![^\W_])){2,}")
+_SINGLE = re.compile(r"([^\W_]|[@$!|+(*])([ .\-_*]{0,2}(?=[^\W_]|[@$!|+(*]|$))")
 
 
 # ------------------------------------------------------------ language model
@@ -108,26 +113,19 @@ def language_model(docs: DataFrame, text_col: str) -> np.ndarray:
 
 
 def _letter(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 27
+    return ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest plain word behind a token (Viterbi on the last two
-    letters; steps are runs of one character)."""
-    steps: list[list[tuple[str, float]]] = []
-    for m in re.finditer(r"(.)\1*", token, re.S):
-        c, n = m.group(1), len(m.group(0))
-        if c.isalpha():
-            options = [(c, 0.0 if n == 1 else STRETCH_COST), (c * 2, 0.0 if n == 2 else STRETCH_COST)][: min(n, 2)]
-        elif c in LOOKALIKES:
-            options = [(x * k, SIGN_COST * n) for x in LOOKALIKES[c] for k in range(1, min(n, 2) + 1)]
-        else:
-            options = [("", SIGN_COST * n)]
-        steps.append(options)
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def _best(steps: list[list[tuple[str, float]]], model: np.ndarray) -> str:
+    """The cheapest path through a lattice (Viterbi on the last two classes);
+    a step is a list of (piece, cost), a space in a piece ends a word."""
+    # a state's text is its tail after a chain of blocks: linear in the token
+    states: dict[tuple[int, int], tuple] = {(0, 0): (0.0, "", None)}
     for options in steps:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
+        new: dict[tuple[int, int], tuple] = {}
+        for (a, b), (cost, text, chain) in states.items():
+            if len(text) > 64:
+                text, chain = "", (chain, text)
             for piece, extra in options:
                 p, q, total = a, b, cost + extra
                 for c in piece:
@@ -136,10 +134,37 @@ def decode(token: str, model: np.ndarray) -> str:
                     p, q = q, k
                 old = new.get((p, q))
                 if old is None or total < old[0]:
-                    new[(p, q)] = (total, text + piece)
+                    new[(p, q)] = (total, text + piece, chain)
         states = new
-    ends = [(cost - float(model[a * 28 + b, 0]), text) for (a, b), (cost, text) in states.items()]
-    return min(ends)[1]
+
+    def whole(text: str, chain) -> str:
+        out = [text]
+        while chain:
+            chain, text = chain
+            out.append(text)
+        return "".join(reversed(out))
+
+    ends = [(cost - float(model[a * 28 + b, 0]), text, chain) for (a, b), (cost, text, chain) in states.items()]
+    least = min(ends, key=lambda e: e[0])[0]
+    return min(whole(text, chain) for cost, text, chain in ends if cost == least)
+
+
+def _options(c: str, n: int) -> list[tuple[str, float]]:
+    """Readings of a run of one character."""
+    if c.isalpha():
+        return [(c, 0.0 if n == 1 else STRETCH_COST), (c * 2, 0.0 if n == 2 else STRETCH_COST)][: min(n, 2)]
+    if c in LOOKALIKES:
+        return [(x * k, SIGN_COST * n) for x in LOOKALIKES[c] for k in range(1, min(n, 2) + 1)]
+    return [("", SIGN_COST * n)]
+
+
+def _runs(token: str) -> list[tuple[str, int]]:
+    return [(m.group(1), len(m.group(0))) for m in re.finditer(r"(.)\1*", token, re.S)]
+
+
+def decode(token: str, model: np.ndarray) -> str:
+    """The likeliest plain word behind a token (steps are runs of one character)."""
+    return _best([_options(c, n) for c, n in _runs(token)], model)
 
 
 def readings(token: str, model: np.ndarray) -> list[str]:
@@ -149,7 +174,7 @@ def readings(token: str, model: np.ndarray) -> list[str]:
     if _STRETCH.search(core):
         out.append(decode(core, model))
     signs = token.strip(".,;:?\"'[]{}<>%&#-_/\\=~`«»“”…")
-    if len(signs) < 40 and any(c.isalpha() for c in signs) and any(c in LOOKALIKES for c in signs):
+    if any(c.isalpha() for c in signs) and any(c in LOOKALIKES for c in signs):
         # signs at the ends may be letters or marks
         for form in {signs, signs.rstrip("!|+(*"), core}:
             if not form.isalpha():
@@ -158,12 +183,43 @@ def readings(token: str, model: np.ndarray) -> list[str]:
 
 
 def spaced_words(text: str, model: np.ndarray) -> list[str]:
-    """Words written as single characters set apart."""
-    out = []
+    """Words written as single characters set apart: of each run the joined
+    characters, and the words of the best path with an optional word end after
+    each character."""
+    out: list[str] = []
     for m in _SPACED.finditer(text):
-        run = re.sub(r"[ .\-_*]+", "", m.group(0))
-        out.append(run if run.isalpha() else decode(run, model))
-    return out
+        run = m.group(0)
+        if not any(c.isalpha() for c in run):
+            continue
+        # signs at the end may be letters or marks
+        for form in dict.fromkeys((run, run.rstrip(" .-_!|+(*"))):
+            chars = [(c, len(gap)) for c, gap in _SINGLE.findall(form)]
+            if len(chars) > 2:
+                out += _spaced_readings(chars, model)
+    return list(dict.fromkeys(out))
+
+
+def _spaced_readings(chars: list[tuple[str, int]], model: np.ndarray) -> list[str]:
+    steps: list[list[tuple[str, float]]] = []
+    narrow = min(gap for _, gap in chars[:-1])
+    groups: list[list] = []
+    for c, gap in chars:
+        if groups and groups[-1][0] == c and groups[-1][2] == narrow:
+            groups[-1][1:] = [groups[-1][1] + 1, gap]
+        else:
+            groups.append([c, 1, gap])
+    for c, n, gap in groups:
+        options = _options(c, n)
+        if c.isalpha() and n > 1:
+            options.append((f"{c} {c}", STRETCH_COST * (n > 2) + BREAK_COST))
+        elif c == "*":
+            options.append(("", SIGN_COST * n))
+        steps.append(options)
+        # a gap wider than the others speaks for a word end
+        steps.append([("", 0.0), (" ", BREAK_COST)] if gap <= narrow else [("", WIDE_COST), (" ", 0.0)])
+    joined = "".join(c for c, _ in chars)
+    joined = joined if joined.isalpha() else decode(joined, model)
+    return [joined, *_best(steps[:-1], model).split()]
 
 
 def word_features(word: str) -> list[str]:
@@ -186,6 +242,7 @@ class Reader:
         self.model, self.known = model, {}
         self.limit = COUNTED if wanted is None else CACHE
         self.wanted = None if wanted is None else {f.rstrip("+") if f.endswith("-+") else f for f in wanted}
+        self.inner = sorted({len(f) for f in self.wanted or () if len(f) >= INNER and f[-1] != "-"})
 
     def of_word(self, word: str) -> list[str]:
         own = word_features(word)
@@ -207,6 +264,9 @@ class Reader:
                 out += self.of_word(word[a:])
                 if a:
                     out += self.of_word(word[:-a])
+            if self.wanted is not None:
+                # the trigrams alone may cut a row elsewhere: evidence words at every place
+                out += [w for a in range(len(word)) for k in self.inner if (w := word[a : a + k]) in self.wanted and len(w) == k]
         return out
 
     def features(self, text: str) -> set[str]:
@@ -322,8 +382,8 @@ def train(
             out = []
             for toxic, raw in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
                 found = [f for f in reader.features(raw.decode("utf-8", "replace")) if f in kept]
-                # without this row's own share
-                own = {f: log_odds(kept[f][0] - toxic, kept[f][1] - (1 - toxic), n1 - toxic, n0 - (1 - toxic)) for f in found}
+                # without this row's own share (words inside spaced-out runs have none)
+                own = {f: log_odds(max(0, kept[f][0] - toxic), max(0, kept[f][1] - (1 - toxic)), n1 - toxic, n0 - (1 - toxic)) for f in found}
                 out.append(evidence(set(found), own))
             return {"total": [a for a, _ in out], "top": [b for _, b in out]}
 

@@ -54,6 +54,17 @@ def test_viterbi_restores_stretching_and_spacing(model):
     assert X.spaced_words("m-o-r-o-n", model["lm"]) == ["moron"]
 
 
+def test_words_inside_spaced_runs_are_found(model):
+    reader = X.Reader(model["lm"], model["odds"])
+    assert "stupid" in reader.spaced("y o u a r e s t u p i d")
+    assert "idiot" in reader.spaced("so s o m e i d i o t here")
+    assert "moron" in reader.spaced("t h e m o r o n w a l k s")
+    assert "stupid" in X.spaced_words("$ t u p ! d", model["lm"])
+    assert "stupid" in X.spaced_words("s t u u u p i d !", model["lm"])
+    assert "stupid" in X.spaced_words("y o u  a r e  s t u p i d", model["lm"])
+    assert X.spaced_words("1 + 2 - 3 * 4", model["lm"]) == []
+
+
 def test_obfuscated_texts_score_like_plain_ones(spark, model):
     base = "the and attion to thanedble the anea eriner thanea then edinth is thndor "
     texts = [base, base + "you idiot moron clown", base + "you 1d10t m0r0n cl0wn", base + "i d i o t and m.o.r.o.n and c l o w n"]
