@@ -1,9 +1,10 @@
 """Toxicity: noisy-channel deobfuscation, then a word-evidence score.
 
-Channel.  A token that mixes letters with look-alike signs, stretches a letter,
-or is part of a row of single spaced-out characters is a character lattice:
-each sign offers the letters it may stand for, a run of one letter offers
-once or twice.  Viterbi finds the likeliest reading under a character trigram
+Channel.  A token that mixes letters with look-alike signs or other marks,
+stretches a letter, or is part of a row of single spaced-out characters is a
+character lattice, whatever its length: each sign offers the letters it may
+stand for, a run of one letter offers once or twice, a mark inside a token is
+dropped or ends a word (its parts, and all of it joined, are read too).  Viterbi finds the likeliest reading under a character trigram
 model and fixed channel costs.  A row of three or more spaced-out characters
 (signs included, one of them a letter) is one lattice with an optional word end
 after each character; all words of its best path are looked up, and evidence
@@ -73,6 +74,8 @@ LOOKALIKES = {
 SIGN_COST, STRETCH_COST, BREAK_COST, WIDE_COST = 1.0, 0.5, 0.5, 4.0
 
 _EDGE = ".,;:!?\"'()[]{}<>*%&$#|-_/\\+=~`«»“”…"
+_MARKS = ".,;:?\"'[]{}<>%&#-_/\\=~`«»“”…"  # never letters
+_INNER = re.compile(r"(?:[^\w@$!|+(*]|_)+")
 _STRETCH = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+(*])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|+(*])(?![^\W_])){2,}")
 _SINGLE = re.compile(r"([^\W_]|[@$!|+(*])([ .\-_*]{0,2}(?=[^\W_]|[@$!|+(*]|$))")
@@ -173,13 +176,21 @@ def readings(token: str, model: np.ndarray) -> list[str]:
     out = [core] if core else []
     if _STRETCH.search(core):
         out.append(decode(core, model))
-    signs = token.strip(".,;:?\"'[]{}<>%&#-_/\\=~`«»“”…")
-    if any(c.isalpha() for c in signs) and any(c in LOOKALIKES for c in signs):
-        # signs at the ends may be letters or marks
-        for form in {signs, signs.rstrip("!|+(*"), core}:
-            if not form.isalpha():
-                out.append(decode(form, model))
-    return out
+    signs = token.strip(_MARKS)
+    if signs.isalpha() or not any(c.isalpha() for c in signs):
+        return out
+    forms = set()
+    # signs at the ends may be letters or marks
+    for form in {signs, signs.rstrip("!|+(*"), core}:
+        parts = [p for p in _INNER.split(form) if p]
+        # marks inside part words, or stand between the letters of one, or both
+        forms.update(p for p in parts if any(c.isalpha() for c in p))
+        forms.add("".join(parts))
+        if len(parts) > 2:
+            steps = [[("", SIGN_COST * n), (" ", BREAK_COST)] if _INNER.match(c) else _options(c, n) for c, n in _runs(form)]
+            out += _best(steps, model).split()
+    out += [f if f.isalpha() and not _STRETCH.search(f) else decode(f, model) for f in sorted(forms)]
+    return list(dict.fromkeys(out))
 
 
 def spaced_words(text: str, model: np.ndarray) -> list[str]:

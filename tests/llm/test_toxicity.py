@@ -54,6 +54,16 @@ def test_viterbi_restores_stretching_and_spacing(model):
     assert X.spaced_words("m-o-r-o-n", model["lm"]) == ["moron"]
 
 
+def test_long_and_marked_tokens_are_read(model):
+    read = lambda token: X.readings(token, model["lm"])
+    assert {"idiot", "moron", "clown", "loser", "stupid"} <= set(read("id1ot_m0r0n_cl0wn_l0ser_stup1d_m0r0n_1d10t"))
+    assert read("st" + "0" * 60 + "pid")[1:] == read("st000pid")[1:] != []
+    assert "stupid" in read("st.upid,") and "idiot" in read("(id-iot)") and "stupid" in read("s-t/u.p:id")
+    assert {"you", "idiot"} <= set(read("you-idiot!"))
+    assert read("plain") == ["plain"] and read("2024-01-01") == ["2024-01-01"]
+    assert "m0r0n" not in X.decode("m0r0n." * 20_000, model["lm"])
+
+
 def test_words_inside_spaced_runs_are_found(model):
     reader = X.Reader(model["lm"], model["odds"])
     assert "stupid" in reader.spaced("y o u a r e s t u p i d")
