@@ -3,19 +3,21 @@ its surrounding context.
 
 Rules (leftmost, non-overlapping, per kind): ``assign`` (a key word, a sign,
 a value of 6+ characters), ``access`` (AKIA..., 20+ characters), ``hex`` (24+
-characters).  A candidate is every maximal run of ``CANDIDATE`` characters
-that no rule finding covers.  The network sees the candidate (head and tail
-when it is long), 24 characters before and 8 after it; what it accepts becomes
-a finding of kind ``cnn``.  Rule findings always stay.
+characters).  A candidate is every maximal run of ``CANDIDATE`` characters, or
+what rule findings leave of it in one piece, of ``SHORTEST`` characters or more.
+The network sees views of at most ``BODY`` characters, a new one every
+``STRIDE``, with 24 characters before and 8 after; a finding's score is that of
+its best view.  What the network accepts becomes a finding of kind ``cnn``.
+Rule findings always stay.
 
 Training: labelled findings come from at most about ``SAMPLE_DOCS`` documents
 (a hash sample of the rows): rule findings are positive, candidates outside
 them negative.  As the rules know three kinds only, both classes are widened
-by at most ``MADE`` generated findings each (other token formats against
-words, numbers, paths and identifiers).  The network is plain numpy with Adam;
-its logit is calibrated by Platt scaling on a held-out third, and the
-threshold is the highest one that keeps ``MIN_RECALL`` of held-out positives,
-but never under ``MIN_PROBABILITY``.
+by generated findings (``MADE`` of each, other token formats against words,
+numbers, paths and identifiers, and tokens inside longer runs).  The network is
+plain numpy with Adam; its logit is calibrated by Platt scaling on a held-out
+third, and the threshold is the highest one that keeps ``MIN_RECALL`` of
+held-out positives, but never under ``MIN_PROBABILITY``.
 
 Defined results: NULL text is empty; texts are scanned whole; an empty table
 trains on generated findings alone; equal rows give equal findings; offsets
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import re
 import string
-from bisect import bisect_left
+from bisect import bisect_right
 from itertools import accumulate
 
 import numpy as np
@@ -42,6 +44,7 @@ SAMPLE_FINDINGS = 4_000  # of each class
 MADE = 2_000
 MIN_RECALL = 0.98
 MIN_PROBABILITY = 0.5
+VIEWS = 4_096  # scored at once
 SEED = 7
 
 ASSIGN = re.compile(
@@ -49,10 +52,11 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run of 24 or more
+SHORTEST = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
-HEAD, TAIL, BEFORE, AFTER = 32, 16, 24, 8
-WIDTH = BEFORE + HEAD + TAIL + AFTER
+BODY, STRIDE, BEFORE, AFTER = 48, 24, 24, 8
+WIDTH = BEFORE + BODY + AFTER
 SYMBOLS = 98  # printable ASCII, space-like, other, padding
 EMBED, FILTERS, KERNEL = 8, 24, 5
 
@@ -69,25 +73,40 @@ def rule_findings(text: str) -> list[tuple[int, str, int]]:
 
 
 def candidates(text: str, found: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
-    """Candidate runs that overlap no rule finding."""
+    """What the rule findings leave of each run, if it is a candidate itself."""
     starts = [a for a, _, _ in found]
     reach = list(accumulate((b for _, _, b in found), max))  # furthest end so far
     out = []
     for m in CANDIDATE.finditer(text):
-        before = bisect_left(starts, m.end())
-        if not before or reach[before - 1] <= m.start():
-            out.append(m.span())
-    return out
+        at, end = m.span()
+        k = bisect_right(starts, at)
+        if k:
+            at = max(at, reach[k - 1])
+        while k < len(starts) and starts[k] < end:
+            out.append((at, starts[k]))
+            at = max(at, reach[k])
+            k += 1
+        out.append((at, end))
+    return [(a, b) for a, b in out if b - a >= SHORTEST]
 
 
 def window(text: str, start: int, end: int) -> str:
-    """The fixed-width view the network reads; NUL pads."""
-    body = text[start:end]
-    if len(body) > HEAD + TAIL:
-        body = body[:HEAD] + body[-TAIL:]
+    """The fixed-width view the network reads, of at most ``BODY`` characters
+    and their context; NUL pads."""
+    body = text[start : min(end, start + BODY)]
+    end = start + len(body)
     before = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0")
     after = text[end : end + AFTER].ljust(AFTER, "\0")
-    return before + body.ljust(HEAD + TAIL, "\0") + after
+    return before + body.ljust(BODY, "\0") + after
+
+
+def slices(start: int, end: int) -> list[int]:
+    """Where the overlapping views of a finding begin."""
+    return [*range(start, max(start + 1, end - BODY), STRIDE), *([end - BODY] if end - start > BODY else [])]
+
+
+def windows(text: str, start: int, end: int) -> list[str]:
+    return [window(text, a, end) for a in slices(start, end)]
 
 
 def codes(windows: list[str]) -> np.ndarray:
@@ -174,8 +193,9 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-def _generated(texts: list[str], rng: np.random.Generator) -> tuple[list[str], list[str]]:
-    """Findings of other formats, and harmless long runs, in sampled context."""
+def _generated(texts: list[str], rng: np.random.Generator) -> tuple[list[list[str]], list[list[str]]]:
+    """Findings of other formats, and harmless long runs, in sampled context; a
+    finding is the list of its views."""
     pick = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
     upper, lower, digits = string.ascii_uppercase, string.ascii_lowercase, string.digits
     words = sorted({w for t in texts[:300] for w in re.findall(r"[A-Za-z]{2,12}", t)})[:5000] or ["the", "of", "data"]
@@ -210,7 +230,21 @@ def _generated(texts: list[str], rng: np.random.Generator) -> tuple[list[str], l
         for body, lead, into in ((token, str(rng.choice(leads)), positive), (plain, " ", negative)):
             text = f"{before}{lead}{body} {' '.join(some(2))}"
             at = len(before) + len(lead)
-            into.append(window(text, at, at + len(body)))
+            into.append(windows(text, at, at + len(body)))
+        if i % 4 == 0:
+            # the token inside a longer run: views that hold much of it, and none
+            head, tail = "/".join(some(6)) + "/", "/" + "-".join(some(6))
+            run = f"{before} {head}{token}{tail}"
+            a = len(before) + 1 + len(head)
+            b, inside, outside = a + len(token), [], []
+            for v in slices(len(before) + 1, len(run)):
+                shared = min(b, v + BODY) - max(a, v)
+                if shared >= min(20, len(token)):
+                    inside.append(window(run, v, len(run)))
+                elif shared <= -BEFORE:
+                    outside.append(window(run, v, len(run)))
+            positive.append(inside)
+            negative += [[v] for v in outside]
     return positive, negative
 
 
@@ -231,8 +265,10 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
                     whole = raw.decode("utf-8", "replace")
                     found = rule_findings(whole)
                     spans = [(a, b, 1) for a, _, b in found] + [(a, b, 0) for a, b in candidates(whole, found)]
-                    made["label"] += [y for *_, y in spans]
-                    made["view"] += [window(whole, a, b) for a, b, _ in spans]
+                    for a, b, y in spans:
+                        views = windows(whole, a, b)
+                        made["label"] += [y] * len(views)
+                        made["view"] += views
                 yield made
 
         return run
@@ -248,17 +284,20 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
     positive = [r.view for r in rows if r.label]
     negative = [r.view for r in rows if not r.label]
     more, less = _generated([v.replace("\0", "") for v in negative + positive], rng)
-    x = codes(positive + more + negative + less)
+    groups = [[v] for v in positive] + more + [[v] for v in negative] + less
     y = np.array([1.0] * len(positive + more) + [0.0] * len(negative + less), np.float32)
-    order = rng.permutation(len(x))
-    x, y = x[order], y[order]
-    cut = len(x) // 3
+    order = rng.permutation(len(groups))
+    cut = len(groups) // 3
+    held, rest = order[:cut], order[cut:]
     net = CharNet(rng)
-    net.fit(x[cut:], y[cut:], rng)
-    z = net.logits(x[:cut])
-    a, b = platt(z, y[:cut])
+    net.fit(codes([v for i in rest for v in groups[i]]), np.repeat(y[rest], [len(groups[i]) for i in rest]), rng)
+    sizes = np.array([len(groups[i]) for i in held])
+    z = net.logits(codes([v for i in held for v in groups[i]]))
+    z = np.maximum.reduceat(z, np.cumsum(sizes) - sizes)  # a finding's best view
+    y = y[held]
+    a, b = platt(z, y)
     p = 1 / (1 + np.exp(-(a * z + b)))
-    own = np.sort(p[y[:cut] > 0])
+    own = np.sort(p[y > 0])
     threshold = max(MIN_PROBABILITY, float(own[int((1 - MIN_RECALL) * len(own))])) if len(own) else MIN_PROBABILITY
     taken = p >= threshold
     return {
@@ -266,8 +305,8 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
         "a": a,
         "b": b,
         "threshold": threshold,
-        "recall": float(taken[y[:cut] > 0].mean()),
-        "precision": float(y[:cut][taken].mean()),
+        "recall": float(taken[y > 0].mean()),
+        "precision": float(y[taken].mean()),
     }
 
 
@@ -284,20 +323,34 @@ def scan(docs: DataFrame, model: dict, text_col: str = "text", carry: list[str]
         net.p = model["params"]
 
         def work(batch):
-            out, views, at = [], [], []
+            out, found_at, views, owner, best = [], [], [], [], []
+
+            def flush():
+                if views:
+                    p = 1 / (1 + np.exp(-(model["a"] * net.logits(codes(views)).astype(np.float64) + model["b"])))
+                    for k, score in zip(owner, p):
+                        best[k] = max(best[k], float(score))
+                    views.clear()
+                    owner.clear()
+
             for raw in batch.column("text").to_pylist():
                 text = raw.decode("utf-8", "replace")
                 found = rule_findings(text)
                 spans = [(a, KINDS.index(k), b) for a, k, b in found]
                 spans += [(a, KINDS.index("cnn"), b) for a, b in candidates(text, found)]
-                views += [window(text, a, b) for a, _, b in spans]
-                at += [(len(out), *s) for s in spans]
+                for span in spans:
+                    found_at.append((len(out), *span))
+                    best.append(0.0)
+                    for a in slices(span[0], span[2]):
+                        views.append(window(text, a, span[2]))
+                        owner.append(len(best) - 1)
+                        if len(views) >= VIEWS:
+                            flush()
                 out.append([])
-            if views:
-                p = 1 / (1 + np.exp(-(model["a"] * net.logits(codes(views)) + model["b"])))
-                for (row, a, k, b), score in zip(at, p):
-                    if KINDS[k] != "cnn" or score >= model["threshold"]:
-                        out[row].append((a, k, b, float(score)))
+            flush()
+            for (row, a, k, b), score in zip(found_at, best):
+                if KINDS[k] != "cnn" or score >= model["threshold"]:
+                    out[row].append((a, k, b, score))
             return {"findings": [[{"kind": KINDS[k], "start": a, "end": b, "score": s} for a, k, b, s in sorted(x)] for x in out]}
 
         return work

@@ -73,6 +73,22 @@ def test_network_finds_other_formats_and_leaves_words(spark, model):
     assert not got[3] and not got[4]
 
 
+def test_every_part_of_a_run_is_read(spark, model):
+    key = "Zk3vT9qLw8XbN2mR7yHcP5dGfJ"
+    texts = [
+        f"see static/assets/project/name/other/{key}/main-page-view-index-of-all end",
+        f"see {key}_token=abcdef end",
+        "see static/assets/project/name/other/folder/of/plain/names/main-page-view-index-of-all end",
+    ]
+    got = {r.row.doc_id: r.findings for r in S.scan(docs(spark, texts), model, carry=["doc_id"]).collect()}
+    assert [f.kind for f in got[1]] == ["cnn"]
+    assert [(f.kind, f.start) for f in got[2]] == [("cnn", 4), ("assign", 31)]
+    assert not got[3]
+    run = "a" * 1000
+    seen = {i for v in S.slices(5, 1005) for i in range(v, v + S.BODY)}
+    assert seen == set(range(5, 1005)) and len(S.windows(run, 0, 40)) == 1
+
+
 def test_network_scores_rule_findings_and_drops_none(spark, model):
     text = f'a token = "{HEX40}" b password=aaaaaa'
     never = {**model, "threshold": 2.0}
