@@ -16,8 +16,8 @@ them negative.  As the rules know three kinds only, both classes are widened
 by generated findings (``MADE`` of each, other token formats against words,
 numbers, paths and identifiers, and tokens inside longer runs).  The network is
 plain numpy with Adam; its logit is calibrated by Platt scaling on a held-out
-third, and the threshold is the highest one that keeps ``MIN_RECALL`` of
-held-out positives, but never under ``MIN_PROBABILITY``.
+third, and the threshold is the highest one that keeps ``MIN_RECALL`` of the
+held-out positives that no rule covers.
 
 Defined results: NULL text is empty; texts are scanned whole; an empty table
 trains on generated findings alone; equal rows give equal findings; offsets
@@ -286,6 +286,8 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
     more, less = _generated([v.replace("\0", "") for v in negative + positive], rng)
     groups = [[v] for v in positive] + more + [[v] for v in negative] + less
     y = np.array([1.0] * len(positive + more) + [0.0] * len(negative + less), np.float32)
+    # the threshold governs only what no rule covers
+    free = np.array([k >= len(positive) and not any(rule_findings(v) for v in g) for k, g in enumerate(groups)])
     order = rng.permutation(len(groups))
     cut = len(groups) // 3
     held, rest = order[:cut], order[cut:]
@@ -294,19 +296,19 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
     sizes = np.array([len(groups[i]) for i in held])
     z = net.logits(codes([v for i in held for v in groups[i]]))
     z = np.maximum.reduceat(z, np.cumsum(sizes) - sizes)  # a finding's best view
-    y = y[held]
+    y, free = y[held], free[held]
     a, b = platt(z, y)
     p = 1 / (1 + np.exp(-(a * z + b)))
-    own = np.sort(p[y > 0])
-    threshold = max(MIN_PROBABILITY, float(own[int((1 - MIN_RECALL) * len(own))])) if len(own) else MIN_PROBABILITY
+    own = np.sort(p[(y > 0) & free])
+    threshold = float(own[int((1 - MIN_RECALL) * len(own))]) if len(own) else MIN_PROBABILITY
     taken = p >= threshold
     return {
         "params": net.p,
         "a": a,
         "b": b,
         "threshold": threshold,
-        "recall": float(taken[y > 0].mean()),
-        "precision": float(y[taken].mean()),
+        "recall": float(taken[(y > 0) & free].mean()) if len(own) else 1.0,
+        "precision": float(y[taken].mean()) if taken.any() else 1.0,
     }
 
 

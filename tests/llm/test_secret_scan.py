@@ -73,6 +73,14 @@ def test_network_finds_other_formats_and_leaves_words(spark, model):
     assert not got[3] and not got[4]
 
 
+def test_threshold_keeps_recall_of_what_no_rule_covers(model, monkeypatch, spark):
+    assert model["recall"] >= S.MIN_RECALL
+    # no floor: even if the least certain positives must be kept
+    monkeypatch.setattr(S, "MIN_RECALL", 1.0)
+    monkeypatch.setattr(S, "MIN_PROBABILITY", 1.0)
+    assert S.train(empty(spark))["recall"] == 1.0
+
+
 def test_every_part_of_a_run_is_read(spark, model):
     key = "Zk3vT9qLw8XbN2mR7yHcP5dGfJ"
     texts = [
