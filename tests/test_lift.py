@@ -8,7 +8,7 @@ from churnframe.operators.backtest import backtest
 from churnframe.operators.prioritize import head, priority_ranking
 from churnframe.spec import TenantSpec
 
-from conftest import SF01
+from paths import SF01
 
 SPEC = TenantSpec("t", "id", "y", "Yes", "rev")
 

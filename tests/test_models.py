@@ -11,7 +11,7 @@ from churnframe.operators.survival import _efron, _moments, fit_cox, median_surv
 from churnframe.plans import trained as T
 from churnframe.spec import SNAPSHOT
 
-from conftest import SF01
+from paths import SF01
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,7 @@ import pytest
 from __spark_entry__ import oracle_sql, queries
 from oracle_harness import compare, duck
 
-from conftest import SF01
+from paths import SF01
 
 EXACT = sorted(oracle_sql())
 
