@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from churnframe.llm import (
+    byte_bpe,
     decontaminate,
     fingerprints,
     packing,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_url_filter": url_filter.query,
     "op9_decontamination": decontaminate.query,
     "op10_fingerprints": fingerprints.query,
+    "op13_byte_bpe": byte_bpe.query,
 }
 
 ORACLE = {
