@@ -6,6 +6,7 @@ from churnframe.llm import (
     byte_bpe,
     decontaminate,
     fingerprints,
+    hard_negatives,
     packing,
     quality,
     secret_scan,
@@ -14,6 +15,7 @@ from churnframe.llm import (
     token_output,
     toxicity,
     url_filter,
+    vector_codes,
 )
 
 QUERIES = {
@@ -27,6 +29,8 @@ QUERIES = {
     "op8_url_filter": url_filter.query,
     "op9_decontamination": decontaminate.query,
     "op10_fingerprints": fingerprints.query,
+    "op11_hard_negatives": hard_negatives.query,
+    "op12_vector_codes": vector_codes.query,
     "op13_byte_bpe": byte_bpe.query,
 }
 
@@ -34,4 +38,6 @@ ORACLE = {
     "op4_substring_dedup": substring_dedup.SQL,
     "op8_url_filter": url_filter.SQL,
     "op9_decontamination": decontaminate.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op12_vector_codes": vector_codes.SQL,
 }
