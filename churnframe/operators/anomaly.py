@@ -1,5 +1,5 @@
 """Isolation forest: small trees grown in parallel, scored over the whole
-population with a broadcast forest.
+population with a forest of literals.
 
 * Sampling: a Bernoulli pool of about ``n_trees * max_samples`` rows (one
   hash per row, so the pool does not grow with the table); each pool row
@@ -9,10 +9,12 @@ population with a broadcast forest.
 * Growth: ``groupBy(tree).applyInPandas`` -- one task per tree, at most
   ``max_samples`` rows each; random feature, uniform split between the
   node's min and max, depth limit ceil(log2(max_samples)).
-* Scoring: ``mapInPandas`` walks all trees for a batch of rows with numpy
-  (the forest is at most n_trees * 2 * max_samples nodes, broadcast once).
-* Offset: the contamination quantile of the scores, exact, from two order
-  statistics found by bucket counts (no single-task percentile).
+* Scoring: expressions only.  The forest is five array literals (feature,
+  threshold, left, right, path length of every node of every tree, at most
+  n_trees * 2 * max_samples nodes); a row walks all trees at once, in as many
+  steps as the deepest tree has levels, with leaves leading to themselves.
+* Offset: the contamination quantile of the scores, exact, by radix
+  selection (``quantiles``), without a sort.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnframe.functions.columns import hash_unit
-from churnframe.operators.ordering import kth_keys
-from churnframe.session import ship_code
+from churnframe.operators.quantiles import quantiles
+from churnframe.session import cut_lineage, ship_code
 
 EULER_GAMMA = 0.5772156649015329
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, size long, depth int"
@@ -82,20 +84,23 @@ class Forest:
     max_samples: int
     offset: float | None = None
 
-    def arrays(self):
+    def arrays(self) -> tuple[dict[str, list], list[int], int]:
+        """The trees' nodes one after the other, by column, with children as
+        places in the whole; the trees' roots; the deepest level."""
         t = self.nodes.sort_values(["tree", "node"])
-        trees = []
-        for _, g in t.groupby("tree"):
-            trees.append(
-                (
-                    g["feature"].to_numpy(np.int64),
-                    g["threshold"].to_numpy(np.float64),
-                    g["left"].to_numpy(np.int64),
-                    g["right"].to_numpy(np.int64),
-                    (g["depth"].to_numpy(np.float64) + average_path_length(g["size"].to_numpy())),
-                )
-            )
-        return trees
+        at = np.arange(len(t))
+        root = t["node"].to_numpy() == 0
+        base = np.maximum.accumulate(np.where(root, at, 0))
+        leaf = t["feature"].to_numpy() < 0
+        length = t["depth"].to_numpy(np.float64) + average_path_length(t["size"].to_numpy())
+        columns = {
+            "feature": np.where(leaf, 0, t["feature"].to_numpy()),
+            "threshold": np.where(leaf, 0.0, t["threshold"].to_numpy(np.float64)),
+            "left": np.where(leaf, at, base + t["left"].to_numpy()),
+            "right": np.where(leaf, at, base + t["right"].to_numpy()),
+            "length": np.where(leaf, length, 0.0),
+        }
+        return {k: v.tolist() for k, v in columns.items()}, np.flatnonzero(root).tolist(), int(t["depth"].max())
 
     def save(self, spark, path: str) -> None:
         spark.createDataFrame(self.nodes, NODE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
@@ -123,34 +128,27 @@ class Forest:
     def score_samples(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Adds ``raw_score`` = -2^(-E[h(x)] / c(max_samples)) (lower is more
         anomalous)."""
-        ship_code(df.sparkSession)
-        trees = self.arrays()
-        feats = list(self.features)
+        columns, roots, levels = self.arrays()
         norm = float(average_path_length([self.max_samples])[0])
-        keep = list(keep)
-
-        def run(batches):
-            for pdf in batches:
-                X = pdf[feats].to_numpy(np.float64)
-                total = np.zeros(len(pdf))
-                for feature, thr, left, right, leaf_len in trees:
-                    node = np.zeros(len(pdf), dtype=np.int64)
-                    while True:
-                        f = feature[node]
-                        inner = f >= 0
-                        if not inner.any():
-                            break
-                        rows = np.flatnonzero(inner)
-                        go_left = X[rows, f[rows]] < thr[node[rows]]
-                        node[rows] = np.where(go_left, left[node[rows]], right[node[rows]])
-                    total += leaf_len[node]
-                mean_h = total / len(trees)
-                out = pdf[keep].copy()
-                out["raw_score"] = -np.power(2.0, -mean_h / norm) if norm > 0 else -np.ones(len(pdf))
-                yield out
-
-        schema = df.select(*keep).schema.add("raw_score", "double")
-        return df.select(*keep, *feats).mapInPandas(run, schema)
+        kinds = {"feature": "int", "threshold": "double", "left": "int", "right": "int", "length": "double"}
+        # texts that Spark folds into one literal each
+        of = {k: F.from_json(F.lit(json.dumps(v)), f"array<{kinds[k]}>") for k, v in columns.items()}
+        starts, steps = (F.from_json(F.lit(json.dumps(v)), "array<int>") for v in (roots, list(range(levels))))
+
+        def leaf(x: F.Column, root: F.Column) -> F.Column:
+            def down(node: F.Column, _step: F.Column) -> F.Column:
+                return F.when(x[of["feature"][node]] < of["threshold"][node], of["left"][node]).otherwise(of["right"][node])
+
+            return F.aggregate(steps, root, down)
+
+        def total(x: F.Column) -> F.Column:
+            return F.aggregate(starts, F.lit(0.0), lambda acc, root: acc + of["length"][leaf(x, root)])
+
+        # the row's features are put together once, as the lambda's variable
+        inputs = F.array(F.array(*[F.col(f).cast("double") for f in self.features]))
+        mean = F.transform(inputs, total)[0] / F.lit(float(len(roots)))
+        score = -F.pow(F.lit(2.0), -mean / F.lit(norm)) if norm > 0 else F.lit(-1.0)
+        return df.select(*keep, score.alias("raw_score"))
 
 
 def grow_forest(
@@ -187,28 +185,10 @@ def grow_forest(
         rows = _grow(tree_id, pdf[features].to_numpy(np.float64), max_depth, seed)
         return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
 
-    nodes = samples.select("tree", *features).groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
-    total_nodes = nodes.count()
-    if total_nodes > n_trees * 2 * max_samples:
+    nodes = samples.select("tree", *features).groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
+    if len(nodes) > n_trees * 2 * max_samples:
         raise RuntimeError("forest larger than its bound")
-    return Forest(features, nodes.toPandas(), psi)
-
-
-def exact_quantile(df: DataFrame, value: str, id_column: str, q: float) -> float:
-    """Linear-interpolation quantile (numpy's default) from the two
-    neighbouring order statistics."""
-    n = df.count()
-    pos = (n - 1) * q
-    lo, hi = int(math.floor(pos)), int(math.ceil(pos))
-    keys = [(value, True), (id_column, True)]
-    b = kth_keys(df, keys, sorted({lo + 1, hi + 1}))
-    v_lo = b[lo + 1][0] if isinstance(b[lo + 1], tuple) else None
-    v_hi = b[hi + 1][0] if isinstance(b[hi + 1], tuple) else None
-    if v_lo is None or v_hi is None:  # k == n: the maximum
-        mx = df.agg(F.max(value)).collect()[0][0]
-        v_lo = mx if v_lo is None else v_lo
-        v_hi = mx if v_hi is None else v_hi
-    return float(v_lo + (pos - lo) * (v_hi - v_lo))
+    return Forest(features, nodes, psi)
 
 
 def detect_anomalies(
@@ -223,8 +203,8 @@ def detect_anomalies(
     """(forest, (id, anomaly_flag, anomaly_score)); flag -1 when the score
     (raw - offset) is below 0."""
     forest = grow_forest(X, id_column, features, n_trees, max_samples, seed)
-    raw = forest.score_samples(X, [id_column]).persist()
-    forest.offset = exact_quantile(raw, "raw_score", id_column, contamination)
+    raw = cut_lineage(forest.score_samples(X, [id_column]))
+    forest.offset = quantiles(raw, ["raw_score"], [contamination])["raw_score"][0]
     return forest, flag(raw, forest.offset, id_column)
 
 

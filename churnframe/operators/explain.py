@@ -1,21 +1,22 @@
 """Per-customer explanations by marginal effect, for every test customer.
 
-For customer c and feature f: effect = p(c) - p(c with f set to the
-encoded training mean).  Rows are projected to the model inputs, exploded
-into p + 1 variants (the original and one per feature), scored in ONE model
-pass, and the top three |effect| per customer (ties in feature order) are
-kept with a per-customer window (a group is p + 1 rows, never large).
+For customer c and feature f: effect = p(c) - p(c with f set to the encoded
+training mean).  A scorer gives the substituted scores as columns of the same
+row, so nothing is copied or regrouped: the effects are an array, sorted in
+the row, and the top three |effect| (ties in feature order) are its head.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnframe.operators.prioritize import PROBABILITY
 
+Substituted = Callable[[DataFrame, dict[str, float]], tuple[DataFrame, str, list[str]]]
+
 
 def feature_means(train_inputs: DataFrame, inputs: Sequence[str]) -> DataFrame:
     """Means of the encoded training features (one row)."""
@@ -25,41 +26,29 @@ def feature_means(train_inputs: DataFrame, inputs: Sequence[str]) -> DataFrame:
 def explain_scores(
     inputs: DataFrame,
     id_column: str,
-    input_cols: Sequence[str],
     feature_names: Sequence[str],
     means: dict[str, float],
-    score: Callable[[DataFrame], DataFrame],
+    substituted: Substituted,
     top: int = 3,
 ) -> DataFrame:
-    """``inputs``: id plus model inputs; ``score`` adds churn_probability to
-    a frame of model inputs.  Output: customer id, churn_probability, rank,
-    feature, contribution, direction (``up`` if > 0, else ``down``)."""
-    variants = [F.struct(F.lit(-1).alias("_k"), *[F.col(c).alias(c) for c in input_cols])]
-    for k, c in enumerate(input_cols):
-        variants.append(
-            F.struct(
-                F.lit(k).alias("_k"),
-                *[(F.lit(float(means[c])) if j == k else F.col(x)).alias(x) for j, x in enumerate(input_cols)],
-            )
-        )
-    exploded = inputs.select(F.col(id_column), F.explode(F.array(*variants)).alias("_v")).select(id_column, "_v.*")
-    scored = score(exploded).select(id_column, "_k", PROBABILITY)
-    per = Window.partitionBy(id_column)
-    with_orig = scored.withColumn("_p0", F.max(F.when(F.col("_k") == -1, F.col(PROBABILITY))).over(per))
-    effects = with_orig.filter(F.col("_k") >= 0).withColumn("contribution", F.col("_p0") - F.col(PROBABILITY))
-    order = Window.partitionBy(id_column).orderBy(F.abs(F.col("contribution")).desc(), F.col("_k"))
-    names = F.element_at(F.array(*[F.lit(n) for n in feature_names]), F.col("_k") + 1)
-    return (
-        effects.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= top)
-        .select(
-            F.col(id_column),
-            F.col("_p0").alias(PROBABILITY),
-            F.col("rank").cast("bigint").alias("rank"),
-            names.alias("feature"),
-            F.col("contribution"),
-            F.when(F.col("contribution") > 0, F.lit("up")).otherwise(F.lit("down")).alias("direction"),
-        )
+    """``inputs``: id plus model inputs; ``substituted(inputs, means)`` adds
+    the score and one score per feature, in the features' order, and names
+    them.  Output: customer id, churn_probability, rank, feature,
+    contribution, direction (``up`` if > 0, else ``down``)."""
+    scored, base, columns = substituted(inputs, means)
+    effects = []
+    for k, (c, name) in enumerate(zip(columns, feature_names)):
+        effect = F.col(base) - F.col(c)
+        effects.append(F.struct((-F.abs(effect)).alias("order"), F.lit(k).alias("k"), effect.alias("effect"), F.lit(name).alias("name")))
+    best = F.slice(F.array_sort(F.array(*effects)), 1, top)
+    rows = scored.select(id_column, F.col(base).alias(PROBABILITY), F.posexplode(best).alias("place", "e"))
+    return rows.select(
+        id_column,
+        PROBABILITY,
+        (F.col("place") + 1).cast("bigint").alias("rank"),
+        F.col("e.name").alias("feature"),
+        F.col("e.effect").alias("contribution"),
+        F.when(F.col("e.effect") > 0, F.lit("up")).otherwise(F.lit("down")).alias("direction"),
     )
 
 

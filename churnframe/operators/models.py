@@ -1,7 +1,8 @@
-"""Trained churn classifier and lifetime-value regressor (MLlib GBT).
+"""Trained churn classifier and lifetime-value regressor (boosted trees over
+histograms, ``boosting``).
 
-Categorical codes enter the trees as plain doubles with no nominal
-metadata, so splits are ordered thresholds on the codes.
+Categorical codes enter the trees as plain doubles, so splits are ordered
+thresholds on the codes.
 """
 
 from __future__ import annotations
@@ -9,15 +10,11 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnframe.functions.columns import binarize
+from churnframe.operators.boosting import BoostedTrees, fit_trees
 from churnframe.operators.encode import categorical_columns, encode, fit_encoders
 from churnframe.operators.metrics import average_precision, regression_metrics, roc_auc
 from churnframe.operators.prioritize import PROBABILITY
@@ -30,13 +27,9 @@ CHURN_PARAMS = {"n_estimators": 200, "max_depth": 3, "learning_rate": 0.05, "ran
 # Library defaults of the boosted regressor used for CLTV.
 CLV_PARAMS = {"n_estimators": 100, "max_depth": 3, "learning_rate": 0.1, "random_state": 42}
 
-FEATURES_VEC = "_features"
 LABEL = "_label"
 
 
-ROWS_PER_PARTITION = 1_000_000
-
-
 def require_complete(df: DataFrame, features: list[str]) -> int:
     """Numeric features must be present: fail early with the column names
     instead of deep inside the fit.  Returns the row count (same pass)."""
@@ -49,21 +42,13 @@ def require_complete(df: DataFrame, features: list[str]) -> int:
     return int(counts["_n"])
 
 
-def sized(df: DataFrame, n_rows: int) -> DataFrame:
-    """Iterative fitters pay a fixed cost per partition and iteration: about
-    ``ROWS_PER_PARTITION`` rows per partition, but never fewer partitions than
-    there are cores, nor more than the input has (no shuffle)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(max(cores, -(-n_rows // ROWS_PER_PARTITION)))
-
-
 @dataclass
 class ChurnModel:
     spec: TenantSpec
     features: list[str]
     categorical: list[str]
     encoders: DataFrame
-    pipeline: PipelineModel
+    trees: BoostedTrees
     metadata: dict = field(default_factory=dict)
 
     def with_features(self, df: DataFrame) -> DataFrame:
@@ -77,20 +62,22 @@ class ChurnModel:
 
     def score_features(self, feats: DataFrame) -> DataFrame:
         """Score rows that already carry ``_f0.._fk``."""
-        out = self.pipeline.transform(feats).withColumn(PROBABILITY, vector_to_array(F.col("probability"))[1])
-        return out.drop(FEATURES_VEC, "rawPrediction", "probability", "prediction", *input_names(self.features))
+        inputs = input_names(self.features)
+        return self.trees.score(feats, inputs, PROBABILITY).drop(*inputs)
+
+    def substituted(self, feats: DataFrame, means: dict[str, float]) -> tuple[DataFrame, str, list[str]]:
+        """``feats`` (with ``_f0.._fk``) with its probability and, for each
+        feature, the probability with that feature at its mean; and the names
+        of these columns."""
+        return substituted_scores(self.trees, feats, input_names(self.features), means)
 
     def importance(self) -> DataFrame:
         """Global importance, descending (sums to 1)."""
-        gbt = self.pipeline.stages[-1]
-        values = gbt.featureImportances.toArray().tolist()
-        spark = self.encoders.sparkSession
-        df = spark.createDataFrame(list(zip(self.features, values)), "feature string, importance double")
-        return df.orderBy(F.desc("importance"), "feature")
+        return importance_table(self.encoders.sparkSession, self.features, self.trees)
 
     # -- persistence
     def save(self, path: str) -> None:
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        self.trees.save(self.encoders.sparkSession, path)
         self.encoders.write.mode("overwrite").parquet(f"{path}/encoders")
         meta = dict(self.metadata, features=self.features, categorical=self.categorical)
         spark = self.encoders.sparkSession
@@ -106,7 +93,7 @@ class ChurnModel:
             features=meta.pop("features"),
             categorical=meta.pop("categorical"),
             encoders=spark.read.parquet(f"{path}/encoders"),
-            pipeline=PipelineModel.load(f"{path}/pipeline"),
+            trees=BoostedTrees.load(spark, path),
             metadata=meta,
         )
 
@@ -145,25 +132,43 @@ def fit_churn(
     if encoders is None:
         encoders = encoder_table(train, categorical)
     n_rows = require_complete(train, [f for f in present if f not in categorical])
-    data = sized(
-        with_feature_vector_inputs(train, encoders, list(features), categorical).select(
-            binarize(F.col(spec.target_column), spec.positive_value).cast("double").alias(LABEL),
-            *input_names(list(features)),
-        ),
-        n_rows,
-    ).persist()
-    gbt = GBTClassifier(
-        featuresCol=FEATURES_VEC,
-        labelCol=LABEL,
-        maxIter=params["n_estimators"],
-        maxDepth=params["max_depth"],
-        stepSize=params["learning_rate"],
-        seed=params["random_state"],
+    data = with_feature_vector_inputs(train, encoders, list(features), categorical).select(
+        binarize(F.col(spec.target_column), spec.positive_value).cast("double").alias(LABEL),
+        *input_names(list(features)),
     )
-    assembler = VectorAssembler(inputCols=input_names(list(features)), outputCol=FEATURES_VEC)
-    pipe = Pipeline(stages=[assembler, gbt]).fit(data)
-    data.unpersist()
-    return ChurnModel(spec, list(features), categorical, encoders, pipe, {"params": params})
+    trees = _fit(data, LABEL, list(features), n_rows, params, logistic=True)
+    return ChurnModel(spec, list(features), categorical, encoders, trees, {"params": params})
+
+
+def _fit(data: DataFrame, label: str, features: list[str], n_rows: int, params: dict, logistic: bool) -> BoostedTrees:
+    data = data.persist()
+    try:
+        return fit_trees(
+            data,
+            input_names(features),
+            label,
+            features,
+            n_rows,
+            logistic,
+            n_trees=params["n_estimators"],
+            depth=params["max_depth"],
+            rate=params["learning_rate"],
+        )
+    finally:
+        data.unpersist()
+
+
+def substituted_scores(
+    trees: BoostedTrees, df: DataFrame, inputs: list[str], means: dict[str, float]
+) -> tuple[DataFrame, str, list[str]]:
+    """See ``ChurnModel.substituted``; ``means`` by input column."""
+    scored = trees.substituted(df, inputs, means, "_held")
+    return scored, "_held.base", [f"_held.f{k}" for k in range(len(inputs))]
+
+
+def importance_table(spark: SparkSession, features: list[str], trees: BoostedTrees) -> DataFrame:
+    df = spark.createDataFrame(list(zip(features, trees.importances().tolist())), "feature string, importance double")
+    return df.orderBy(F.desc("importance"), "feature")
 
 
 def train_churn(df: DataFrame, manifest: DataFrame, spec: TenantSpec, params: dict | None = None):
@@ -216,22 +221,19 @@ class ValueModel:
     features: list[str]
     categorical: list[str]
     encoders: DataFrame
-    pipeline: PipelineModel
+    trees: BoostedTrees
     target: str
 
     def importance(self) -> DataFrame:
-        values = self.pipeline.stages[-1].featureImportances.toArray().tolist()
-        spark = self.encoders.sparkSession
-        return spark.createDataFrame(list(zip(self.features, values)), "feature string, importance double").orderBy(
-            F.desc("importance"), "feature"
-        )
+        return importance_table(self.encoders.sparkSession, self.features, self.trees)
 
     def transform(self, df: DataFrame) -> DataFrame:
         feats = with_feature_vector_inputs(df, self.encoders, self.features, self.categorical)
-        return self.pipeline.transform(feats).drop(FEATURES_VEC, *input_names(self.features))
+        inputs = input_names(self.features)
+        return self.trees.score(feats, inputs, "prediction").drop(*inputs)
 
     def save(self, path: str) -> None:
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        self.trees.save(self.encoders.sparkSession, path)
         self.encoders.write.mode("overwrite").parquet(f"{path}/encoders")
         meta = json.dumps({"features": self.features, "categorical": self.categorical, "target": self.target})
         spark = self.encoders.sparkSession
@@ -244,7 +246,7 @@ class ValueModel:
             meta["features"],
             meta["categorical"],
             spark.read.parquet(f"{path}/encoders"),
-            PipelineModel.load(f"{path}/pipeline"),
+            BoostedTrees.load(spark, path),
             meta["target"],
         )
 
@@ -266,21 +268,10 @@ def train_value(
     categorical = categorical_columns(train, features)
     encoders = encoder_table(train, categorical)
     n_rows = require_complete(train, [f for f in features if f not in categorical])
-    data = sized(with_feature_vector_inputs(train, encoders, features, categorical), n_rows).persist()
-    gbt = GBTRegressor(
-        featuresCol=FEATURES_VEC,
-        labelCol=target,
-        predictionCol="prediction",
-        maxIter=params["n_estimators"],
-        maxDepth=params["max_depth"],
-        stepSize=params["learning_rate"],
-        seed=params["random_state"],
-    )
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=input_names(features), outputCol=FEATURES_VEC), gbt]).fit(
-        data.withColumn(target, F.col(target).cast("double"))
-    )
-    data.unpersist()
+    data = with_feature_vector_inputs(train, encoders, features, categorical)
+    data = data.select(F.col(target).cast("double").alias(LABEL), *input_names(features))
+    trees = _fit(data, LABEL, features, n_rows, params, logistic=False)
     train.unpersist()
-    model = ValueModel(features, categorical, encoders, pipe, target)
+    model = ValueModel(features, categorical, encoders, trees, target)
     preds = model.transform(test.withColumn(target, F.col(target).cast("double")))
     return model, regression_metrics(preds, target, "prediction")

@@ -1,14 +1,14 @@
 """Distributed ordered computations: global rank, rank within groups, k-th
-keys and prefix sums without moving all rows to one task.
+keys, running sums and next values without moving all rows to one task.
 
 ``row_number().over(Window.orderBy(x))`` sends every row to one task.  Here
-Spark's own range sort orders the rows: ``repartitionByRange`` on the key,
-``sortWithinPartitions``, and ``monotonically_increasing_id``, whose upper
-bits are the range and whose lower bits the place in it.  The result is
-written once (the ranges come from a sample, so they must not be drawn again),
-and what each range needs from the ranges before it - a row count, a sum, the
-rows of a group that goes on - is one row per range, summed on the driver and
-joined back.  There is one path for every size.
+Spark's own range sort orders the rows - ``repartitionByRange`` on the key,
+``sortWithinPartitions`` - and one Arrow pass over each sorted range numbers
+its rows, counts within groups and sums, before the result is written (the
+ranges come from a sample, so they must not be drawn again).  That is the only
+shuffle.  What a range needs from the ranges before it - a row count, a sum,
+the rows of a group that goes on - is one row per range, added up on the
+driver and joined back.  There is one path for every size.
 
 Sort keys are composite and should end with a unique column (the id): then
 even a key value held by a third of all rows is cut over many ranges.  NULL
@@ -18,17 +18,21 @@ descending).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from churnframe.session import cut_lineage
+from churnframe.session import cut_lineage, ship_code
 
 Key = tuple[str, bool]  # (column, ascending)
 
-PART, PLACE = "_part", "_place"
-_BITS = 33  # monotonically_increasing_id: place in the partition
+PART, PLACE, RUN = "_part", "_place", "_run"
 
 
 def _norm(keys: Sequence[Key | str]) -> list[Key]:
@@ -54,27 +58,76 @@ def order_columns(keys: list[Key]) -> list[Column]:
     return [F.col(n).asc_nulls_first() if a else F.col(n).desc_nulls_last() for n, a in keys]
 
 
-def placed(df: DataFrame, keys: Sequence[Key | str], parts: int | None = None) -> DataFrame:
+def placed(
+    df: DataFrame,
+    keys: Sequence[Key | str],
+    parts: int | None = None,
+    group: str | None = None,
+    sums: Sequence[str] = (),
+    suffix: str = "_cum",
+) -> DataFrame:
     """``df`` in key order as a written table with ``_part`` (the range) and
-    ``_place`` (0.. in it).  ``parts`` defaults to the shuffle partitions."""
+    ``_place`` (0.. in it); with ``group`` (the first key), ``_run`` counts the
+    rows of the group so far in the range, from 1; ``sums`` are summed up to
+    and with the row, NULL as 0.  ``parts`` defaults to the shuffle
+    partitions."""
+    ship_code(df.sparkSession)
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = order_columns(_norm(keys))
     ordered = df.repartitionByRange(parts, *columns).sortWithinPartitions(*columns)
-    ordered = cut_lineage(ordered.withColumn(PLACE, F.monotonically_increasing_id()))
-    return ordered.withColumn(PART, F.shiftright(PLACE, _BITS).cast("int")).withColumn(
-        PLACE, F.col(PLACE).bitwiseAND(F.lit((1 << _BITS) - 1))
-    )
-
-
-def _carry(df: DataFrame, parts: list[Row], carry: Callable[[Row | None, Row, tuple], tuple], names: list[str]) -> DataFrame:
+    floating = {c: isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) for c in sums}
+    schema = T.StructType(list(df.schema.fields)).add(PART, "integer").add(PLACE, "long")
+    if group is not None:
+        schema = schema.add(RUN, "long")
+    for c in sums:
+        schema = schema.add(c + suffix, "double" if floating[c] else "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen, last, began = TaskContext.get().partitionId(), 0, None, 0
+        total = {c: 0.0 if floating[c] else 0 for c in sums}
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            place = np.arange(seen, seen + n)
+            added = [pa.array(np.full(n, part, np.int32)), pa.array(place)]
+            if group is not None:
+                values = batch.column(group)
+                new = np.ones(n, bool)
+                same = pc.equal(values[1:], values[:-1]).fill_null(False)
+                both_null = pc.and_(values[1:].is_null(), values[:-1].is_null())
+                new[1:] = ~pc.or_(same, both_null).to_numpy(zero_copy_only=False)
+                new[0] = not seen or values[0].as_py() != last
+                start = np.maximum.accumulate(np.where(new, place, began))
+                began, last = int(start[-1]), values[n - 1].as_py()
+                added.append(pa.array(place - start + 1))
+            for c in sums:
+                x = batch.column(c).cast(pa.float64() if floating[c] else pa.int64()).fill_null(0).to_numpy()
+                up_to = np.cumsum(x) + total[c]
+                total[c] = up_to[-1]
+                added.append(pa.array(up_to))
+            seen += n
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=schema.names)
+
+    return cut_lineage(ordered.mapInArrow(run, schema))
+
+
+def _carry(
+    df: DataFrame,
+    parts: list[Row],
+    carry: Callable[[Row | None, Row, tuple], tuple],
+    names: list[str],
+    kinds: Sequence[str] | None = None,
+) -> DataFrame:
     """``df`` with, for each range, what ``carry(previous range, range, its
-    carry)`` gives, as long columns.  ``parts``: one row per range."""
+    carry)`` gives, as long columns or of ``kinds``.  ``parts``: one row per
+    range."""
     rows, before, last = [], None, (0,) * len(names)
     for r in sorted(parts, key=lambda r: r[PART]):
         last = carry(before, r, last)
         rows.append((r[PART], *last))
         before = r
-    schema = f"{PART} int, " + ", ".join(f"`{n}` bigint" for n in names)
+    schema = f"{PART} int, " + ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds or ["bigint"] * len(names)))
     # one row per range: a bounded broadcast
     return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, schema)), PART)
 
@@ -97,7 +150,7 @@ def rank_within(
     NULL being one of them.  Rows are ordered by (group, keys), so a group
     that holds most rows is cut over many ranges; a range is told how many
     rows its first group has in the ranges before it."""
-    rows = placed(df, [(group_col, True), *_norm(keys)], parts)
+    rows = placed(df, [(group_col, True), *_norm(keys)], parts, group=group_col)
     runs = rows.groupBy(PART, F.col(group_col).alias("g")).agg(F.count(F.lit(1)).alias("n"), F.min(PLACE).alias("at"))
     ends = runs.groupBy(PART).agg(
         F.min_by(F.struct("g"), "at").alias("first"),
@@ -112,11 +165,9 @@ def rank_within(
         return (before.n_last + (last[0] if before["first"] == before["last"] else 0),)
 
     rows = _carry(rows, ends.collect(), carry, ["_before"])
-    local = F.row_number().over(Window.partitionBy(PART, group_col).orderBy(PLACE))
-    rows = rows.withColumn("_local", local)
-    goes_on = F.col(PLACE) - F.col("_local") + 1 == 0  # the range's first group
-    rank = F.col("_local") + F.when(goes_on, F.col("_before")).otherwise(F.lit(0))
-    return rows.withColumn(rank_col, rank.cast("bigint")).drop("_before", "_local", PART, PLACE)
+    first = F.col(PLACE) + 1 == F.col(RUN)  # the range's first group
+    rank = F.col(RUN) + F.when(first, F.col("_before")).otherwise(F.lit(0))
+    return rows.withColumn(rank_col, rank.cast("bigint")).drop("_before", RUN, PART, PLACE)
 
 
 def kth_keys(df: DataFrame, keys: Sequence[Key | str], ks: Sequence[int], parts: int | None = None) -> dict[int, tuple | bool]:
@@ -164,16 +215,58 @@ def prefix_sums(
     suffix: str = "_cum",
     parts: int | None = None,
 ) -> DataFrame:
-    """Running (inclusive) sums of integer columns in key order."""
-    rows = placed(df, keys, parts)
-    totals = rows.groupBy(PART).agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()
+    """Running (inclusive) sums in key order: longs of integer columns,
+    doubles of floating ones."""
+    rows = placed(df, keys, parts, sums=sum_cols, suffix=suffix)
+    totals = rows.groupBy(PART).agg(*[F.max_by(c + suffix, PLACE).alias(c) for c in sum_cols]).collect()
+    kinds = [rows.schema[c + suffix].dataType.simpleString() for c in sum_cols]
 
     def carry(before: Row | None, r: Row, last: tuple) -> tuple:
-        return last if before is None else tuple(x + int(before[c] or 0) for x, c in zip(last, sum_cols))
-
-    before = [f"_before_{c}" for c in sum_cols]
-    rows = _carry(rows, totals, carry, before)
-    running = Window.partitionBy(PART).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for c, b in zip(sum_cols, before):
-        rows = rows.withColumn(c + suffix, (F.sum(c).over(running) + F.col(b)).cast("bigint"))
-    return rows.drop(*before, PART, PLACE)
+        if before is None:
+            return tuple(0.0 if k == "double" else 0 for k in kinds)
+        return tuple(x + before[c] for x, c in zip(last, sum_cols))
+
+    names = [f"_before_{c}" for c in sum_cols]
+    rows = _carry(rows, totals, carry, names, kinds)
+    for c, b in zip(sum_cols, names):
+        rows = rows.withColumn(c + suffix, F.col(c + suffix) + F.col(b))
+    return rows.drop(*names, PART, PLACE)
+
+
+def next_value(df: DataFrame, keys: Sequence[Key | str], value: str, out: str, parts: int | None = None) -> DataFrame:
+    """``df`` with, as ``out``, the first ``value`` that is not NULL in this
+    row or a later one in key order; NULL if there is none."""
+    turned = [(name, not asc) for name, asc in _norm(keys)]
+    schema = T.StructType(list(df.schema.fields)).add(out, df.schema[value].dataType).add(PART, "integer").add(PLACE, "long")
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ship_code(df.sparkSession)
+    # NULL keys sort last when turned, as they sort first in order
+    columns = [F.col(n).asc_nulls_first() if a else F.col(n).desc_nulls_last() for n, a in turned]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen, last = TaskContext.get().partitionId(), 0, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            values = batch.column(value)
+            known = ~values.is_null().to_numpy(zero_copy_only=False)
+            at = np.maximum.accumulate(np.where(known, np.arange(n), -1))
+            filled = values.take(pa.array(np.maximum(at, 0)))
+            filled = pc.if_else(pa.array(at >= 0), filled, pa.scalar(last, values.type))
+            last = filled[n - 1].as_py()
+            made = [filled, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seen, seen + n))]
+            seen += n
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
+
+    rows = cut_lineage(df.repartitionByRange(parts, *columns).sortWithinPartitions(*columns).mapInArrow(run, schema))
+    ends = rows.groupBy(PART).agg(F.max_by(out, PLACE).alias("last")).collect()
+
+    def carry(before: Row | None, r: Row, last: tuple) -> tuple:
+        if before is None:
+            return (None,)
+        return (last[0] if before["last"] is None else before["last"],)
+
+    kind = rows.schema[out].dataType.simpleString()
+    rows = _carry(rows, ends, carry, ["_later"], [kind])
+    return rows.withColumn(out, F.coalesce(out, "_later")).drop("_later", PART, PLACE)

@@ -19,6 +19,16 @@ class ClosedFormScorer:
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumn(PROBABILITY, closed_form_score(F.col(self.recency_column)))
 
+    def substituted(self, df: DataFrame, means: dict[str, float]) -> tuple[DataFrame, str, list[str]]:
+        """``df`` with its score and, for each entry of ``means``, the score
+        with that column at its mean; and the names of these columns."""
+        names = [f"_p{k}" for k in range(len(means))]
+        held = [
+            closed_form_score(F.lit(float(m)) if c == self.recency_column else F.col(self.recency_column)).alias(n)
+            for (c, m), n in zip(means.items(), names)
+        ]
+        return df.select("*", closed_form_score(F.col(self.recency_column)).alias(PROBABILITY), *held), PROBABILITY, names
+
 
 def classify_at(threshold: float = 0.5):
     """``probability >= threshold`` as 0/1."""

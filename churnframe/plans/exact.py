@@ -4,22 +4,29 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnframe.functions.columns import binarize, hash_order_key, yes_no_lenient, yes_no_strict
+from churnframe.operators import lloyd
 from churnframe.operators import metrics as M
-from churnframe.operators.anomaly import anomaly_report, exact_quantile, flag
+from churnframe.operators.anomaly import Forest, anomaly_report, flag
 from churnframe.operators.backtest import backtest, backtest_size, campaign_size, member
+from churnframe.operators.boosting import BoostedTrees, Node, fit_trees
 from churnframe.operators.clean import clean
 from churnframe.operators.encode import align_features, encode, fit_encoders
 from churnframe.operators.explain import explain_scores, feature_means, lookup_status
 from churnframe.operators.feedback import append_feedback, feedback_batch, relabel, select_campaign
+from churnframe.operators.models import substituted_scores
 from churnframe.operators.ordering import kth_keys, prefix_sums
 from churnframe.operators.prioritize import head, priority_ranking
+from churnframe.operators.quantiles import medians, quantiles
 from churnframe.operators.reports import capability_matrix, expectations, outcome_by_group, ranking_expectations
 from churnframe.operators.scoring import ClosedFormScorer, classify_at
 from churnframe.operators.segment import profile_clusters, scale, scale_stats
+from churnframe.operators.silhouette import point_silhouettes
 from churnframe.operators.survival import partial_likelihood
 from churnframe.plans import oracle as O
 from churnframe.plans.catalog import cleaned, manifest, query, snapshot, split_of, test_scored, with_split
@@ -644,6 +651,78 @@ def q_cluster_profile(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+SCALED = O.CLEAN + """,
+z AS (SELECT customer_id, least(4, CAST(floor(tenure_months / 12.0) AS BIGINT)) AS cluster, """ + ", ".join(
+    f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in NUMERIC
+) + " FROM clean)"
+
+
+@query(
+    "silhouette_fixed",
+    O.with_(
+        SCALED
+        + """,
+sizes AS (SELECT cluster, COUNT(*) AS n FROM z GROUP BY cluster),
+sums AS (SELECT a.customer_id, a.cluster AS own, b.cluster, SUM(sqrt("""
+        + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in NUMERIC)
+        + """)) AS s FROM z a CROSS JOIN z b GROUP BY a.customer_id, a.cluster, b.cluster),
+ab AS (SELECT customer_id, own, MAX(CASE WHEN s.cluster = own THEN s / (n - 1) END) AS a,
+              MIN(CASE WHEN s.cluster <> own THEN s / n END) AS b, MAX(CASE WHEN s.cluster = own THEN n END) AS n
+       FROM sums s JOIN sizes USING (cluster) GROUP BY customer_id, own)""",
+        """SELECT customer_id, own AS cluster, round(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END, 9) AS silhouette
+FROM ab""",
+    ),
+)
+def q_silhouette_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every customer's Euclidean silhouette for the tenure clusters."""
+    df = cleaned(spark, sf)
+    cluster = F.least(F.lit(4), F.floor(F.col("tenure_months") / 12.0)).cast("bigint")
+    z = scale(df, scale_stats(df, NUMERIC), keep=[ID, "tenure_months"]).withColumn("cluster", cluster)
+    found = point_silhouettes(z, ID, NUMERIC, {"cluster": 5}).withColumnRenamed("cluster", "silhouette")
+    return z.select(ID, "cluster").join(found, ID).select(ID, "cluster", F.round("silhouette", 9).alias("silhouette"))
+
+
+# Starting centres of two models, in scaled units.
+STEP_CENTERS = [
+    [[-1.0, -0.5, 0.0, 0.5], [1.0, 0.5, 0.0, -0.5]],
+    [[0.0, 1.0, -0.5, 0.0], [0.5, -1.5, 0.5, 1.0], [-1.0, 0.0, 1.5, -1.0]],
+]
+
+
+@query(
+    "lloyd_step_fixed",
+    O.with_(
+        SCALED
+        + ",\nc AS (SELECT * FROM (VALUES "
+        + ", ".join(
+            f"({m}, {k}, " + ", ".join(f"CAST({x} AS DOUBLE)" for x in center) + ")"
+            for m, model in enumerate(STEP_CENTERS)
+            for k, center in enumerate(model)
+        )
+        + f") t(model, cluster, {', '.join(f'c{i}' for i in range(len(NUMERIC)))})),"
+        + "\nd AS (SELECT z.*, c.model, c.cluster AS k, "
+        + " + ".join(f"({f} - c{i}) * ({f} - c{i})" for i, f in enumerate(NUMERIC))
+        + """ AS d FROM z CROSS JOIN c),
+own AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY model, customer_id ORDER BY d, k) = 1),
+t AS (SELECT model, SUM(d) AS inertia FROM own GROUP BY model)""",
+        "SELECT CAST(model AS BIGINT) AS model, CAST(k AS BIGINT) AS cluster, CAST(COUNT(*) AS BIGINT) AS n, "
+        + ", ".join(f"round(avg({f}), 8) AS {f}" for f in NUMERIC)
+        + ", round(any_value(inertia), 5) AS inertia FROM own JOIN t USING (model) GROUP BY model, k",
+    ),
+)
+def q_lloyd_step_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """One shared scan for two models with given centres: the new centres."""
+    df = cleaned(spark, sf)
+    z = scale(df, scale_stats(df, NUMERIC), keep=[ID])
+    models = [np.array(m) for m in STEP_CENTERS]
+    rows = []
+    for m, (step, centers) in enumerate(zip(lloyd.scan(lloyd.points(z, ID, NUMERIC), NUMERIC, models), models)):
+        for k, center in enumerate(step.moved(centers)):
+            rows.append((m, k, int(step.n[k]), *(round(float(x), 8) for x in center), round(step.inertia, 5)))
+    schema = "model bigint, cluster bigint, n bigint, " + ", ".join(f"{f} double" for f in NUMERIC) + ", inertia double"
+    return spark.createDataFrame(rows, schema)
+
+
 @query(
     "outcome_by_group",
     O.with_(
@@ -690,9 +769,7 @@ def q_feature_means(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def q_feature_medians(spark: SparkSession, sf: str) -> DataFrame:
-    df = cleaned(spark, sf).select(ID, *[F.col(c).cast("double").alias(c) for c in NUMERIC]).persist()
-    rows = [(c, exact_quantile(df.select(ID, c), c, ID, 0.5)) for c in NUMERIC]
-    return spark.createDataFrame(rows, "feature string, median double")
+    return spark.createDataFrame(list(medians(cleaned(spark, sf), NUMERIC).items()), "feature string, median double")
 
 
 @query(
@@ -718,8 +795,119 @@ def q_explain_closed_form(spark: SparkSession, sf: str) -> DataFrame:
     tr = align_features(encode(train, enc, CATS), EXPLAIN_FEATURES)
     means = feature_means(tr, EXPLAIN_FEATURES).collect()[0].asDict()
     test = align_features(encode(split_of(spark, sf, "test"), enc, CATS), EXPLAIN_FEATURES, keep=[ID])
-    scorer = ClosedFormScorer()
-    return explain_scores(test, ID, EXPLAIN_FEATURES, EXPLAIN_FEATURES, means, scorer.transform)
+    means = {c: means[c] for c in EXPLAIN_FEATURES}
+    return explain_scores(test, ID, EXPLAIN_FEATURES, means, ClosedFormScorer().substituted)
+
+
+# The bin edges of the single tree that SQL can grow as well.
+TREE_EDGES = {
+    "n_orders": [2.5, 5.5, 8.5, 11.5, 14.5, 17.5],
+    "tenure_days": [365.5, 730.5, 1095.5, 1460.5, 1825.5],
+    "recency_days": [30.5, 90.5, 180.5, 270.5, 365.5, 730.5],
+    "avg_order": [100000.5, 125000.5, 150000.5, 175000.5, 200000.5],
+}
+
+
+def _splits_sql(source: str, out: str) -> str:
+    """The best split of each node of ``source`` (node, r and the features)."""
+    return f"""
+c_{out} AS (
+  SELECT node, f, e, SUM(CASE WHEN x <= e THEN r ELSE 0 END) AS sl, SUM(CASE WHEN x <= e THEN 1 ELSE 0 END) AS nl,
+         SUM(r) AS s, COUNT(*) AS n
+  FROM ({" UNION ALL ".join(f"SELECT node, r, {k} AS f, CAST({c} AS DOUBLE) AS x FROM {source}" for k, c in enumerate(TREE_EDGES))}) x
+  JOIN edges USING (f) GROUP BY node, f, e),
+{out} AS (
+  SELECT node, f, e FROM c_{out} WHERE nl > 0 AND nl < n
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n, 9) DESC, f, e) = 1)"""
+
+
+_SIDE = "CASE s.f " + " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(TREE_EDGES)) + " END <= s.e"
+
+
+@query(
+    "tree_fit_fixed",
+    O.with_(
+        TRAIN
+        + """,
+edges AS (SELECT * FROM (VALUES """
+        + ", ".join(f"({k}, CAST({e} AS DOUBLE))" for k, es in enumerate(TREE_EDGES.values()) for e in es)
+        + """) t(f, e)),
+y AS (SELECT *, CASE WHEN churn = 'Yes' THEN 1.0 ELSE 0.0 END AS y FROM train),
+g0 AS (SELECT *, 'root' AS node, y - avg(y) OVER () AS r, avg(y) OVER () * (1 - avg(y) OVER ()) AS h FROM y),"""
+        + _splits_sql("g0", "s0")
+        + f""",
+g1 AS (SELECT g0.* EXCLUDE (node), CASE WHEN {_SIDE} THEN 'root.l' ELSE 'root.r' END AS node FROM g0 JOIN s0 s USING (node)),"""
+        + _splits_sql("g1", "s1")
+        + f""",
+g2 AS (SELECT g1.* EXCLUDE (node), g1.node || CASE WHEN {_SIDE} THEN '.l' ELSE '.r' END AS node FROM g1 JOIN s1 s USING (node)),
+every AS (SELECT node, r, h FROM g0 UNION ALL SELECT node, r, h FROM g1 UNION ALL SELECT node, r, h FROM g2),
+names AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{c}')" for k, c in enumerate(TREE_EDGES))}) t(f, feature)),
+chosen AS (SELECT * FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1) JOIN names USING (f))""",
+        """SELECT e.node, c.feature, c.e AS threshold, CAST(COUNT(*) AS BIGINT) AS n_rows, round(SUM(r) / SUM(h), 9) AS value
+FROM every e LEFT JOIN chosen c ON c.node = e.node GROUP BY e.node, c.feature, c.e""",
+    ),
+)
+def q_tree_fit_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """One boosted tree of depth two with given bins: splits by residual
+    sums, leaves by Newton steps from the log-odds start."""
+    train = split_of(spark, sf, "train").withColumn("_y", binarize(F.col("churn"), "Yes"))
+    names = list(TREE_EDGES)
+    edges = [np.array(e) for e in TREE_EDGES.values()]
+    model = fit_trees(train, names, "_y", names, train.count(), True, n_trees=1, depth=2, rate=0.05, edges=edges)
+    return spark.createDataFrame(_node_rows(model.trees[0], names), "node string, feature string, threshold double, n_rows bigint, value double")
+
+
+def _node_rows(tree: list[Node], names: list[str], at: int = 0, path: str = "root") -> list[tuple]:
+    node = tree[at]
+    inner = node.feature >= 0
+    rows = [(path, names[node.feature] if inner else None, node.threshold if inner else None, node.rows, round(node.value, 9))]
+    for side, child in (("l", node.left), ("r", node.right)):
+        rows += _node_rows(tree, names, child, f"{path}.{side}") if inner else []
+    return rows
+
+
+# Two small trees on the customer's features, rate 0.5 and start -0.25.
+FIXED_TREES = [
+    [Node(2, 180.0, 1, 2), Node(0, 5.0, 3, 4), Node(1, 900.0, 5, 6)] + [Node(value=v) for v in (-0.8, 0.3, 0.9, 1.7)],
+    [Node(3, 140000.0, 1, 2), Node(value=-0.4), Node(2, 365.0, 3, 4), Node(value=0.2), Node(value=1.1)],
+]
+
+
+def _fixed_sql(columns: dict[str, str]) -> str:
+    x = {c: columns.get(c, c) for c in NUMERIC}
+    first = f"""CASE WHEN {x['recency_days']} <= 180 THEN CASE WHEN {x['n_orders']} <= 5 THEN -0.8 ELSE 0.3 END
+      ELSE CASE WHEN {x['tenure_days']} <= 900 THEN 0.9 ELSE 1.7 END END"""
+    second = f"""CASE WHEN {x['avg_order']} <= 140000 THEN -0.4 ELSE CASE WHEN {x['recency_days']} <= 365 THEN 0.2 ELSE 1.1 END END"""
+    return f"1 / (1 + exp(-(-0.25 + 0.5 * (CAST({first} AS DOUBLE) + CAST({second} AS DOUBLE)))))"
+
+
+@query(
+    "explain_fixed_trees",
+    O.with_(
+        TRAIN
+        + ",\nm AS (SELECT "
+        + ", ".join(f"avg({c}) AS m_{c}" for c in NUMERIC)
+        + " FROM train),\neff AS ("
+        + " UNION ALL ".join(
+            f"SELECT customer_id, {_fixed_sql({})} AS p, {k} AS k, '{c}' AS feature, {_fixed_sql({c: 'm_' + c})} AS q FROM test CROSS JOIN m"
+            for k, c in enumerate(NUMERIC)
+        )
+        + """),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY round(abs(p - q), 12) DESC, k) AS rank FROM eff)""",
+        """SELECT customer_id, round(p, 9) AS churn_probability, CAST(rank AS BIGINT) AS rank, feature, round(p - q, 9) AS contribution,
+       CASE WHEN round(p - q, 12) > 0 THEN 'up' ELSE 'down' END AS direction
+FROM ranked WHERE rank <= 3""",
+    ),
+)
+def q_explain_fixed_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """Marginal effects under two given trees."""
+    model = BoostedTrees(-0.25, 0.5, True, NUMERIC, FIXED_TREES)
+    inputs = [f"_f{k}" for k in range(len(NUMERIC))]
+    cols = [F.col(c).cast("double").alias(n) for c, n in zip(NUMERIC, inputs)]
+    means = split_of(spark, sf, "train").select(*cols).agg(*[F.avg(n).alias(n) for n in inputs]).collect()[0].asDict()
+    test = split_of(spark, sf, "test").select(ID, *cols)
+    found = explain_scores(test, ID, NUMERIC, means, lambda df, m: substituted_scores(model, df, inputs, m))
+    return found.withColumns({c: F.round(c, 9) for c in ("churn_probability", "contribution")})
 
 
 @query(
@@ -813,12 +1001,54 @@ FROM res WHERE anomaly_flag = -1 ORDER BY anomaly_score, customer_id LIMIT 5""",
 def q_anomaly_report(spark: SparkSession, sf: str) -> DataFrame:
     raw = cleaned(spark, sf).select(
         ID, (-F.abs(F.col("recency_days") - 180).cast("double") / F.lit(100.0)).alias("raw_score")
-    ).persist()
-    off = exact_quantile(raw, "raw_score", ID, 0.05)
+    )
+    off = quantiles(raw, ["raw_score"], [0.05])["raw_score"][0]
     rep = anomaly_report(flag(raw, off, ID), ID, 5)
     return rep.select(ID, "anomaly_flag", F.round("anomaly_score", 9).alias("anomaly_score"))
 
 
+# A small forest (tree, node, feature, threshold, left, right,
+# size, depth), grown on eight rows.
+FIXED_FOREST = [
+    (0, 0, 2, 180.0, 1, 2, 8, 0),
+    (0, 1, 0, 6.0, 3, 4, 5, 1),
+    (0, 2, -1, 0.0, -1, -1, 3, 1),
+    (0, 3, -1, 0.0, -1, -1, 1, 2),
+    (0, 4, -1, 0.0, -1, -1, 4, 2),
+    (1, 0, 3, 150000.0, 1, 2, 8, 0),
+    (1, 1, -1, 0.0, -1, -1, 2, 1),
+    (1, 2, 1, 1200.0, 3, 4, 6, 1),
+    (1, 3, -1, 0.0, -1, -1, 5, 2),
+    (1, 4, -1, 0.0, -1, -1, 1, 2),
+]
+
+
+def _path(n: int) -> str:
+    """SQL of c(n), the mean path length of a search in n rows."""
+    if n < 3:
+        return "1.0" if n == 2 else "0.0"
+    return f"(2.0 * (ln({n - 1}.0) + 0.5772156649015329) - 2.0 * {n - 1}.0 / {n}.0)"
+
+
+@query(
+    "forest_score_fixed",
+    O.with_(
+        O.CLEAN
+        + f""",
+h AS (SELECT customer_id,
+  CASE WHEN recency_days < 180 THEN CASE WHEN n_orders < 6 THEN 2.0 + {_path(1)} ELSE 2.0 + {_path(4)} END ELSE 1.0 + {_path(3)} END AS a,
+  CASE WHEN avg_order < 150000 THEN 1.0 + {_path(2)} ELSE CASE WHEN tenure_days < 1200 THEN 2.0 + {_path(5)} ELSE 2.0 + {_path(1)} END END AS b
+FROM clean)""",
+        f"SELECT customer_id, round(-pow(2.0, -((CAST(a AS DOUBLE) + CAST(b AS DOUBLE)) / 2.0) / {_path(8)}), 9) AS raw_score FROM h",
+    ),
+)
+def q_forest_score_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every customer's score under a given forest."""
+    columns = ["tree", "node", "feature", "threshold", "left", "right", "size", "depth"]
+    forest = Forest(NUMERIC, pd.DataFrame(FIXED_FOREST, columns=columns), max_samples=8)
+    return forest.score_samples(cleaned(spark, sf), [ID]).withColumn("raw_score", F.round("raw_score", 9))
+
+
 VALIDATED = ("AMERICA",)
 CAPS = ["metrics", "importance", "priority", "backtest", "survival", "segments", "anomalies", "clv"]
 

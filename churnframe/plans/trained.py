@@ -16,7 +16,8 @@ from churnframe.operators.explain import explain_scores
 from churnframe.operators.feedback import feedback_batch, retrain_with_feedback, select_campaign
 from churnframe.operators.models import encoder_table, input_names, train_churn, train_value
 from churnframe.operators.prioritize import priority_ranking
-from churnframe.operators.segment import VEC, segment, silhouette
+from churnframe.operators.quantiles import medians
+from churnframe.operators.segment import segment
 from churnframe.operators import survival as SV
 from churnframe.plans import oracle as O
 from churnframe.plans.catalog import cleaned, manifest, query, split_of
@@ -71,7 +72,7 @@ def q_explain_scores(spark: SparkSession, sf: str) -> DataFrame:
     train = model.with_features(split_of(spark, sf, "train"))
     means = train.agg(*[F.avg(c).alias(c) for c in inputs]).collect()[0].asDict()
     test = model.with_features(split_of(spark, sf, "test")).select(ID, *inputs)
-    return explain_scores(test, ID, inputs, model.features, means, model.score_features)
+    return explain_scores(test, ID, model.features, means, model.substituted)
 
 
 def _clv_frame(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,12 +129,7 @@ def q_k_search(spark: SparkSession, sf: str) -> DataFrame:
 def q_silhouette(spark: SparkSession, sf: str) -> DataFrame:
     _df, enc, features = _segment_inputs(spark, sf)
     seg, _assign = segment(enc, ID, features, k=4)
-    from churnframe.operators.segment import scale
-    from pyspark.ml.feature import VectorAssembler
-
-    vec = VectorAssembler(inputCols=seg.features, outputCol=VEC).transform(scale(enc, seg.stats, keep=[ID]))
-    value = silhouette(seg.model.transform(vec))
-    return spark.createDataFrame([(seg.k, float(value))], "k long, silhouette double")
+    return spark.createDataFrame([(seg.k, seg.silhouette(enc, ID))], "k long, silhouette double")
 
 
 @query("detect_anomalies")
@@ -173,16 +169,13 @@ def q_survival_c_index(spark: SparkSession, sf: str) -> DataFrame:
 @query("median_survival")
 def q_median_survival(spark: SparkSession, sf: str) -> DataFrame:
     """Training-median profile, one row per contract code."""
-    from churnframe.operators.anomaly import exact_quantile
-
     _df, enc, cats, features, model, train, _test = _cox(spark, sf)
-    t = train.select(ID, *[F.col(f).cast("double").alias(f) for f in features]).persist()
-    medians = {f: exact_quantile(t.select(ID, f), f, ID, 0.5) for f in features}
+    found = medians(train, features)
     contracts = enc.filter(F.col("column") == "contract").select(
         F.col("value").alias("contract_name"), F.col("code").cast("double").alias("contract")
     )
     profiles = contracts.select(
-        "contract_name", *[F.lit(medians[f]).alias(f) for f in features if f != "contract"], "contract"
+        "contract_name", *[F.lit(found[f]).alias(f) for f in features if f != "contract"], "contract"
     )
     return SV.median_survival(model, profiles, "contract_name")
 

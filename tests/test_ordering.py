@@ -107,3 +107,35 @@ def test_nulls_sort_smallest(spark):
     assert asc == {1: 1, 3: 2, 4: 3, 5: 4, 2: 5}
     desc = {r["id"]: r["rank"] for r in global_rank(df, [("score", False), ("id", True)], "rank").collect()}
     assert desc == {2: 1, 5: 2, 4: 3, 1: 4, 3: 5}
+
+
+@pytest.mark.parametrize("parts", [1, 4, 23])
+def test_next_value_across_ranges(spark, parts):
+    from churnframe.operators.ordering import next_value
+
+    rows = [(i, i * 7 % 90, float(i) if (i % 11 == 0 or 30 < i < 34) and i * 7 % 90 < 80 else None) for i in range(180)]
+    df = spark.createDataFrame(rows, "id long, k long, v double").repartition(5)
+    got = {r.id: r.n for r in next_value(df, [("k", True), ("id", False)], "v", "n", parts).collect()}
+    ordered = sorted(rows, key=lambda r: (r[1], -r[0]))
+    want, last = {}, None
+    for i, _, v in reversed(ordered):
+        last = v if v is not None else last
+        want[i] = last
+    assert got == want and None in want.values()
+
+
+def test_running_sums_of_doubles_and_null(spark):
+    rows = [(i, None if i % 5 == 0 else i / 4, i % 3) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, x double, n int").repartition(6)
+    got = {r.id: r for r in prefix_sums(df, ["id"], ["x", "n"], parts=9).collect()}
+    x = n = 0
+    for i, a, b in rows:
+        x, n = x + (a or 0), n + b
+        assert got[i].x_cum == pytest.approx(x) and got[i].n_cum == n
+
+
+def test_one_shuffle_and_no_window_after_the_write(spark):
+    df = _lineitem(spark)
+    for made in (rank_within(df, "grp", ["score", "id"], "r"), prefix_sums(df, ["id"], ["score"])):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
