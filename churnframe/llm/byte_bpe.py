@@ -7,16 +7,18 @@ pairs, the lowest rank first and leftmost among equals:
 * positions form a linked list (``nxt``, ``prv``); each position knows the
   rank of the pair that starts there;
 * a bucket per rank holds the positions whose pair had that rank when they
-  were put there, least position first;
-* a bitmap over the ranks, 64 ranks to a word, with a bitmap over its non-zero
-  words above it and so on up to one word: find-first-set from the top gives
-  the lowest rank that has a bucket in one step for each level;
+  were put there, and is worked off from the left;
+* a bitmap over the ranks, 256 ranks to a word, has a bitmap over its non-zero
+  words above it: find-first-set in that one and then in the word gives the
+  lowest rank that has a bucket;
 * entries are never searched for and removed: one whose pair has changed
   meanwhile is stale and skipped when it comes up.
 
-A merge costs two dictionary lookups and at most two pushes whatever the
-length of the pre-token, so a run of a million letters takes n log n steps and
-not n squared.  Pre-tokens seen before come from a bounded memory.
+The new pre-tokens of a text share one queue, so a bucket is found once for
+all of them.  A merge costs two lookups and at most two pushes whatever the
+length of a pre-token, so a run of a million letters takes n log n steps and
+not n squared.  Pre-tokens seen before come from a bounded memory, which a
+Python worker keeps from task to task.
 
 Map-only: a row needs nothing but the vocabulary (under 2 MB, sent once to
 each executor), so nothing is shuffled, and a lost task is read again.  Texts
@@ -33,8 +35,8 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterator
-from heapq import heappop, heappush
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,58 +49,16 @@ from churnframe.llm import common as C
 from churnframe.llm import tokenizing
 
 SEGMENT = 1 << 20  # characters whose pre-tokens are listed at once
-REMEMBERED = 200_000  # pre-tokens whose ids a task remembers
-LONGEST_REMEMBERED = 64  # bytes
+TOGETHER = 100_000  # pre-tokens whose new ones are merged together
+REMEMBERED = 400_000  # pre-tokens in each of a worker's two memories (some 90 MB each)
+LONGEST_REMEMBERED = 64  # characters
+LISTED = 1 << 16  # bytes of pre-tokens up to which links are lists, which are faster than arrays
+BITS = 8  # ranks to a bitmap word, as a power of two
+MASK = (1 << BITS) - 1
+ONE = [1 << i for i in range(1 << 12)]  # bits; enough words for a million ranks
 MARGIN = 4  # a pre-token that ends this far before a cut does not depend on it
 
 
-class RankQueue:
-    """Positions in buckets by rank under a hierarchical bitmap."""
-
-    def __init__(self, ranks: int):
-        self.levels: list[list[int]] = []
-        n = ranks
-        while not self.levels or n > 1:
-            n = -(-n // 64)
-            self.levels.append([0] * n)
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        at = rank
-        for words in self.levels:
-            had = words[at >> 6]
-            words[at >> 6] = had | 1 << (at & 63)
-            if had:  # the levels above know this word
-                return
-            at >>= 6
-
-    def pop(self) -> tuple[int, int] | None:
-        """The least position of the lowest rank."""
-        if not self.buckets:
-            return None
-        rank = 0
-        for words in reversed(self.levels):
-            word = words[rank]
-            rank = rank << 6 | ((word & -word).bit_length() - 1)
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for words in self.levels:
-                left = words[at >> 6] & ~(1 << (at & 63))
-                words[at >> 6] = left
-                if left:
-                    break
-                at >>= 6
-        return rank, position
-
-
 class Codec:
     """Ids of texts and bytes of ids for one vocabulary (a file of base64
     texts and ranks)."""
@@ -110,47 +70,103 @@ class Codec:
         self.texts = [b""] * size
         for text, rank in self.ranks.items():
             self.texts[rank] = text
-        self.queue = RankQueue(size)
+        self.words = [0] * ((size >> BITS) + 1)  # the queue's bitmap, empty between two calls of merge
+        self.pairs = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
+        self.sizes = np.array([*map(len, self.texts), 0])
         self.cut = regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token that is no entry itself."""
-        ranks, longest, queue, n = self.ranks, self.longest, self.queue, len(piece)
-        if n == 1:
-            return [ranks[piece]]
-        nxt = array("q", range(1, n + 1))
-        prv = array("q", range(-1, n - 1))
-        pair = array("q", [-1]) * n
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                queue.push(rank, i)
-        while (found := queue.pop()) is not None:
-            rank, at = found
-            if pair[at] != rank:  # stale
-                continue
-            gone = nxt[at]
-            end = nxt[gone]
-            nxt[at] = end
-            pair[gone] = pair[at] = -1
-            if end < n:
-                prv[end] = at
-                far = nxt[end]
-                if far - at <= longest and (rank := ranks.get(piece[at:far])) is not None:
-                    pair[at] = rank
-                    queue.push(rank, at)
-            left = prv[at]
-            if left >= 0:
-                pair[left] = -1
-                if end - left <= longest and (rank := ranks.get(piece[left:end])) is not None:
-                    pair[left] = rank
-                    queue.push(rank, left)
-        out, at = [], 0
-        while at < n:
-            out.append(ranks[piece[at : nxt[at]]])
-            at = nxt[at]
+        self.known: dict[str, tuple[int, ...]] = {}  # since the last change of memories
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of pre-tokens that are no entries themselves.  They lie one
+        after the other and share the queue: no pair reaches over an ``edge``,
+        so each is merged as if it were alone, and a bucket is found once for
+        all of them."""
+        rank_of, longest, words, pairs = self.ranks.get, self.longest, self.words, self.pairs
+        data = b"".join(pieces)
+        n = len(data)
+        edge = bytearray(n + 1)  # where a pre-token starts, and the end
+        at = 0
+        for piece in pieces:
+            edge[at] = 1
+            at += len(piece)
+        edge[n] = 1
+        links = list if n <= LISTED else lambda values: array("q", values)
+        nxt, prv = links(range(1, n + 1)), links(range(-1, n - 1))
+        # the rank of the pair at a position, -1 for none
+        pair = links([-1 if e else pairs[a << 8 | b] for a, b, e in zip(data, data[1:], edge[1:])])
+        pair.append(-1)
+        buckets: dict[int, list[int]] = {}
+        held = buckets.get
+        for at, rank in enumerate(pair):
+            if rank >= 0:
+                bucket = held(rank)
+                if bucket is None:
+                    buckets[rank] = [at]
+                else:
+                    bucket.append(at)
+        top = 0  # a bit for each word that is not 0
+        for rank in buckets:
+            words[rank >> BITS] |= ONE[rank & MASK]
+            top |= ONE[rank >> BITS]
+        while top:
+            # the lowest rank: find first set, twice
+            word = (top & -top).bit_length() - 1
+            bits = words[word]
+            rank = word << BITS | ((bits & -bits).bit_length() - 1)
+            words[word] = bits = bits & (bits - 1)
+            if not bits:
+                top &= top - 1
+            bucket = buckets.pop(rank)
+            bucket.sort()
+            for k, at in enumerate(bucket):
+                if pair[at] != rank:  # stale
+                    continue
+                gone = nxt[at]
+                nxt[at] = end = nxt[gone]
+                pair[gone] = right = before = -1
+                if not edge[end]:
+                    prv[end] = at
+                    far = nxt[end]
+                    if far - at <= longest:
+                        right = rank_of(data[at:far], -1)
+                        if right >= 0:
+                            own = held(right)
+                            if own is None:
+                                buckets[right] = [at]
+                                words[right >> BITS] |= ONE[right & MASK]
+                                top |= ONE[right >> BITS]
+                            else:
+                                own.append(at)
+                pair[at] = right
+                if not edge[at]:
+                    left = prv[at]
+                    if end - left <= longest:
+                        before = rank_of(data[left:end], -1)
+                        if before >= 0:
+                            own = held(before)
+                            if own is None:
+                                buckets[before] = [left]
+                                words[before >> BITS] |= ONE[before & MASK]
+                                top |= ONE[before >> BITS]
+                            else:
+                                own.append(left)
+                    pair[left] = before
+                if 0 <= right <= rank or 0 <= before <= rank:  # comes first: the rest of the bucket waits
+                    rest = bucket[k + 1 :]
+                    if rest:
+                        buckets.setdefault(rank, []).extend(rest)
+                        words[rank >> BITS] |= ONE[rank & MASK]
+                        top |= ONE[rank >> BITS]
+                    break
+        out, ranks, at = [], self.ranks, 0
+        for piece in pieces:
+            end, ids = at + len(piece), []
+            while at < end:
+                after = nxt[at]
+                ids.append(ranks[data[at:after]])
+                at = after
+            out.append(tuple(ids))
         return out
 
     def pieces(self, text: str) -> Iterator[list[str]]:
@@ -170,33 +186,81 @@ class Codec:
         yield self.cut.findall(text, at)
 
     def ids(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for found in self.pieces(text):
-            for piece in found:
-                ids = known.get(piece)
-                if ids is None:
-                    ids = self.fresh(piece)
-                out += ids
+        return self.ids_all([text])[0]
+
+    def ids_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text.  New pre-tokens are merged together."""
+        out: list[list[int]] = [[] for _ in texts]
+        held: list[tuple] = []
+        new: set[str] = set()
+
+        def settle() -> None:
+            fresh = self.fresh(new)
+            for own, found, ids in held:
+                if None in ids:
+                    ids = [fresh[piece] if i is None else i for piece, i in zip(found, ids)]
+                own.extend(chain.from_iterable(ids))
+            held.clear()
+            new.clear()
+
+        waiting = 0
+        for own, text in zip(out, texts):
+            for found in self.pieces(text):
+                ids = list(map(self.known.get, found))
+                if None in ids:
+                    new.update([piece for piece, i in zip(found, ids) if i is None])
+                held.append((own, found, ids))
+                waiting += len(found)
+                if waiting > TOGETHER:
+                    settle()
+                    waiting = 0
+        settle()
+        return out
+
+    def fresh(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of pre-tokens that the newer memory does not hold; the older
+        one is given up when the newer one is full."""
+        out, todo = {}, []
+        for piece in pieces:
+            ids = self.older.get(piece)
+            if ids is None:
+                whole = self.ranks.get(piece.encode())
+                if whole is None:
+                    todo.append(piece)
+                    continue
+                ids = (whole,)
+            out[piece] = ids
+        out.update(zip(todo, self.merge([piece.encode() for piece in todo])))
+        for piece, ids in out.items():
+            if len(piece) <= LONGEST_REMEMBERED:
+                if len(self.known) >= REMEMBERED:
+                    self.older, self.known = self.known, {}
+                self.known[piece] = ids
         return out
 
-    def fresh(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        whole = self.ranks.get(raw)
-        ids = tuple(self.merge(raw)) if whole is None else (whole,)
-        if len(raw) <= LONGEST_REMEMBERED:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = ids
-        return ids
-
-    def decode(self, ids: list[int | None]) -> bytes:
-        texts = self.texts
-        try:
-            if min(ids, default=0) >= 0:
-                return b"".join(map(texts.__getitem__, ids))
-        except (IndexError, TypeError):  # an id outside the vocabulary, or NULL
-            pass
-        return b"".join(texts[i] for i in ids if i is not None and 0 <= i < len(texts))
+    def decode(self, ids: Sequence[int | None]) -> bytes:
+        return self.decode_all(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
+
+    def decode_all(self, lists: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids."""
+        ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        ids = lists.flatten().fill_null(-1).to_numpy()
+        ids = np.where((ids >= 0) & (ids < len(self.texts)), ids, len(self.texts))
+        whole = b"".join(map([*self.texts, b""].__getitem__, ids.tolist()))
+        at = np.concatenate([[0], np.cumsum(self.sizes[ids])])[ends]
+        return pa.array([whole[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+
+
+_CODECS: dict[tuple, Codec] = {}
+
+
+def codec_of(content: bytes, pattern: str = tokenizing.PATTERN) -> Codec:
+    """This worker's codec of the vocabulary, with what it remembers."""
+    key = (len(content), hash(content), pattern)
+    if key not in _CODECS:
+        _CODECS.clear()  # one vocabulary at a time
+        _CODECS[key] = Codec(content, pattern)
+    return _CODECS[key]
 
 
 def encode(
@@ -211,11 +275,11 @@ def encode(
     texts = docs.select(C.packed(docs, carry), C.utf8(text_col).alias("text"))
 
     def make():
-        codec = Codec(shipped.value, pattern)
+        codec = codec_of(shipped.value, pattern)
 
         def work(batch):
-            found = [codec.ids(t.decode("utf-8", "replace")) for t in batch.column("text").to_pylist()]
-            values = np.fromiter((i for ids in found for i in ids), np.int32)
+            found = codec.ids_all([t.decode("utf-8", "replace") for t in batch.column("text").to_pylist()])
+            values = np.fromiter(chain.from_iterable(found), np.int32)
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             return {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(values))}
 
@@ -227,6 +291,7 @@ def encode(
 def decode(
     coded: DataFrame,
     vocabulary: str = tokenizing.VOCABULARY_FILE,
+    pattern: str = tokenizing.PATTERN,
     ids_col: str = "ids",
 ) -> DataFrame:
     """``row`` (all columns) and ``decoded``: the bytes that the ids stand
@@ -235,10 +300,10 @@ def decode(
     ids = F.coalesce(F.col(C.quoted(ids_col)).cast("array<int>"), F.array().cast("array<int>"))
 
     def make():
-        codec = Codec(shipped.value)
+        codec = codec_of(shipped.value, pattern)
 
         def work(batch):
-            return {"decoded": pa.array(map(codec.decode, batch.column("coded_ids").to_pylist()), pa.binary())}
+            return {"decoded": codec.decode_all(batch.column("coded_ids"))}
 
         return work
 
@@ -268,7 +333,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = encode(C.table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, carry=["doc_id"])
-    both = decode(coded.select("row.doc_id", "ids"), path)
+    both = decode(coded.select("row.doc_id", "ids"), path, public_tokenizers.PATTERN)
     digits = F.array_join(F.col("row.ids").cast("array<string>"), " ")
     return both.select(
         "row.doc_id",

@@ -22,19 +22,11 @@ def library(codec):
     return tiktoken.Encoding("own", pat_str=tokenizing.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
 
 
-def test_queue_gives_least_rank_then_least_position():
-    rng, queue, held = random.Random(3), B.RankQueue(300_000), []
-    assert [len(x) for x in queue.levels] == [4688, 74, 2, 1]
-    for _ in range(4000):
-        if held and rng.random() < 0.45:
-            held.sort()
-            assert queue.pop() == held.pop(0)
-        else:
-            held.append((rng.choice([5, 63, 64, 4095, 4096, 299_999, rng.randrange(300_000)]), rng.randrange(50)))
-            queue.push(*held[-1])
-    for want in sorted(held):
-        assert queue.pop() == want
-    assert queue.pop() is None and not any(map(any, queue.levels))
+def test_the_queue_is_empty_after_each_pre_token(codec):
+    pieces = [b"ab", b"abababab", b"zzzzzzz", b"q" * 300, b" unbelievablest", b"ab"]
+    together = codec.merge(pieces)
+    assert not any(codec.words)
+    assert together == [codec.merge([p])[0] for p in pieces] and codec.merge([]) == []
 
 
 def test_ids_are_the_librarys(codec, library):
