@@ -1,28 +1,36 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
 A word goes if a window of 50 consecutive words that covers it also starts in
-a document with a smaller doc_id.  Documents are parsed into factors against
-an index of reference blocks:
+a document with a smaller doc_id.  Documents are parsed into factors, copies of
+runs of words of earlier documents, against an index of reference blocks:
 
 1. Blocks.  The smallest (mixed) hash of the 8-word runs inside a window is
    the window's anchor.  It depends on the window's words only, so equal
-   windows have equal anchors.  Consecutive windows with one anchor are a
-   block: about 1 in 22 words starts one.  A block is indexed under its anchor
-   with a 128-bit hash of all its words.
-2. Factors.  Only anchors that occur in two or more documents can repeat.  A
-   block whose words occur, as a block, in an earlier document is a factor:
-   copied whole, greedily, block after block.  This settles the inside of
-   every repeated passage without looking at single windows.
-3. Factor boundaries.  Where a passage begins or ends, or where documents
-   differ, equal anchors lead to different blocks.  There - one block for
-   each distinct content only - the windows are looked up one by one: each
-   window's 128-bit hash against the smallest doc_id that has it.
-4. The spans of a document (factors and boundary windows) cut its words.
+   windows have equal anchors, and a block - consecutive windows with one
+   anchor - is where a copy of any of its windows can be found: about 1 in 22
+   words starts one.  Every block of every document is indexed under its
+   anchor, with a 128-bit hash of all its words.
+2. Whole blocks.  Only anchors of two or more documents can repeat.  A block
+   whose words are a block of an earlier document is a factor of that
+   document's text.
+3. Extension.  Any other block is laid against the reference block of its
+   anchor, the earliest one, at the anchor's 8 words, and the copy is extended
+   from there word by word to both sides as far as the words agree.  A copy of
+   50 words or more is a factor.
+4. Factor boundaries.  The windows of such a block that lie in no factor reach
+   over a factor's end, or may stem from another document.  They alone are
+   looked up, by a 128-bit hash against the first document and place that has
+   the window; a hit is a factor of 50 words.
+5. The greedy parse.  Factors of one document that continue each other in the
+   same source are one; from left to right, the factor that reaches farthest
+   is taken.  The words of the taken factors go.
 
 All reference blocks of all documents are indexed; nothing is sampled or
-capped.  Hot anchors and passages: blocks are first reduced to one row for
-each content, and the joins read written tables on both sides, which lets
-Spark split a hot key's rows.
+capped, and step 4 makes the result exact whichever reference step 3 takes.
+Hot anchors and passages: blocks are first reduced to one row for each
+content, a block is laid against one reference only, and the joins read
+written tables on both sides, which lets Spark split a hot key's rows
+(``spark.sql.adaptive.skewJoin.enabled`` must be on, as it is by default).
 
 Defined results: NULL text has no words; under 50 words nothing goes; rows of
 equal doc_id never remove from each other (a repeated row stays), rows with a
@@ -155,36 +163,113 @@ def _block_rows(docs: DataFrame, window: int, run: int) -> DataFrame:
     return C.emit_rows(docs, make, _BLOCK)
 
 
-def _window_rows(docs: DataFrame, window: int) -> DataFrame:
-    """Hashes of the windows in each document's listed blocks."""
-    names = ("w1", "w2", "doc", "text_hash", "first")
-    schema = T.StructType([C.field(n, "long") for n in names])
+_PIECE = T.StructType(
+    [C.field(n, "long") for n in ("anchor", "doc", "text_hash", "first", "at")]
+    + [C.field("head", "boolean"), C.field("words", "binary")]
+)
+
+
+def _piece_rows(docs: DataFrame, window: int, run: int) -> DataFrame:
+    """The words of each document's listed blocks, and where in them the
+    anchor's run of words begins."""
 
     def make():
         roll = Rolling()
 
         def rows(batches):
             for whole in batches:
-                for at in range(0, whole.num_rows, 256):
-                    batch = whole.slice(at, 256)
-                    parts = []
+                for start in range(0, whole.num_rows, 256):
+                    batch = whole.slice(start, 256)
+                    out: dict[str, list] = {n: [] for n in _PIECE.names}
                     columns = (batch.column(n).to_pylist() for n in ("doc", "text_hash", "text", "blocks"))
                     for doc, text_hash, text, listed in zip(*columns):
-                        hashes = roll.words(_tokens(text))
-                        first = np.concatenate([np.arange(x["first"], x["first"] + x["windows"]) for x in listed])
-                        w = [roll.spans(roll.sums(hashes, k), k, first, first + window) for k in (0, 1)]
-                        parts.append((*w, np.full(len(first), doc), np.full(len(first), text_hash), first))
-                    if parts:
-                        w1, w2, *rest = (np.concatenate(x) for x in zip(*parts))
-                        yield dict(zip(names, (w1.view(np.int64), w2.view(np.int64), *rest)))
+                        tokens = _tokens(text)
+                        hashes = roll.words(tokens)
+                        sums = roll.sums(hashes, 0)
+                        place = np.arange(len(hashes) - run + 1)
+                        runs = C.mixed(roll.spans(sums, 0, place, place + run)).view(np.int64)
+                        for b in listed:
+                            first, end = b["first"], b["first"] + b["windows"] + window - 1
+                            own = runs[first : end - run + 1]
+                            out["anchor"].append(b["anchor"])
+                            out["doc"].append(doc)
+                            out["text_hash"].append(text_hash)
+                            out["first"].append(first)
+                            out["at"].append(int((own == b["anchor"]).argmax()))
+                            out["head"].append(b["head"])
+                            out["words"].append(b" ".join(tokens[first:end]))
+                    yield out
 
         return rows
 
-    return C.emit_rows(docs, make, schema)
+    return C.emit_rows(docs, make, _PIECE)
+
+
+def extend(own: list[bytes], at: int, other: list[bytes], there: int) -> tuple[int, int]:
+    """The run of ``own`` around place ``at`` that equals the run of ``other``
+    around ``there``, word by word to both sides: (start, end)."""
+    start = at
+    for a, b in zip(reversed(own[:at]), reversed(other[:there])):
+        if a != b:
+            break
+        start -= 1
+    end = at
+    for a, b in zip(own[at:], other[there:]):
+        if a != b:
+            break
+        end += 1
+    return start, end
+
+
+_COPY = T.StructType(
+    [C.field(n, "long") for n in ("w1", "w2", "doc", "text_hash", "first", "words", "source", "source_first")]
+)
+
+
+def _copies(pairs: DataFrame, window: int) -> DataFrame:
+    """For each block and the reference of its anchor (NULL if it is that
+    itself): its factor, if long enough (``source`` is set), and the windows
+    outside it (``w1`` and ``w2`` are set)."""
+
+    def make():
+        roll = Rolling()
+
+        def rows(batches):
+            for whole in batches:
+                for k in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(k, 1024)
+                    names = ("doc", "text_hash", "first", "at", "words", "ref_doc", "ref_first", "ref_at", "ref_words")
+                    factors, windows = [], []
+                    for doc, text_hash, first, at, words, ref, ref_first, ref_at, ref_words in zip(
+                        *(batch.column(n).to_pylist() for n in names)
+                    ):
+                        own = words.split(b" ")
+                        place = np.arange(len(own) - window + 1)
+                        if ref is not None:
+                            start, end = extend(own, at, ref_words.split(b" "), ref_at)
+                            if end - start >= window:
+                                factors.append((None, None, doc, text_hash, first + start, end - start, ref, ref_first + ref_at + start - at))
+                                place = place[(place < start) | (place > end - window)]
+                        if len(place):
+                            hashes = roll.words(own)
+                            w = [roll.spans(roll.sums(hashes, j), j, place, place + window).view(np.int64) for j in (0, 1)]
+                            n = len(place)
+                            windows.append((*w, np.full(n, doc), np.full(n, text_hash), first + place))
+                    if factors:
+                        yield dict(zip(_COPY.names, zip(*factors)))
+                    if windows:
+                        found = [np.concatenate(c) for c in zip(*windows)]
+                        none = [None] * len(found[0])
+                        yield dict(zip(_COPY.names, (*found, np.full(len(none), window), none, none)))
+
+        return rows
+
+    return C.emit_rows(pairs, make, _COPY)
 
 
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """doc, text_hash, first, words: spans of words to remove (they overlap)."""
+    """doc, text_hash, first, words, source, source_first: copies of words of
+    an earlier document (they overlap)."""
     texts = docs.select(
         F.col(C.quoted(id_col)).cast("long").alias("doc"),
         F.xxhash64(C.utf8(text_col)).alias("text_hash"),
@@ -198,29 +283,80 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int = WI
     rows = C.materialise(rows.join(shared, "anchor", "left_semi"))
 
     # reference blocks: one row for each content, held by its first document
-    index = C.materialise(rows.groupBy("anchor", "b1", "b2").agg(F.min("doc").alias("owner")))
-    edges = index.groupBy("anchor").agg(F.min("owner").alias("low"), F.max("owner").alias("high"))
-    edges = C.materialise(edges.where("low < high").select("anchor", F.lit(True).alias("edge")))
-    index = C.materialise(index.join(edges, "anchor", "left"))
-    parsed = C.materialise(rows.join(index, ["anchor", "b1", "b2"]).where("owner < doc OR edge"))
-    factors = parsed.where("owner < doc").select(
-        "doc", "text_hash", "first", (F.col("windows") + (window - 1)).alias("words")
+    index = C.materialise(rows.groupBy("anchor", "b1", "b2").agg(F.min(F.struct("doc", "first")).alias("owner")))
+    heads = index.groupBy("anchor").agg(F.min("owner").alias("reference"), F.max("owner.doc").alias("high"))
+    heads = C.materialise(heads.where("reference.doc < high").select("anchor", "reference"))
+    index = C.materialise(index.join(heads, "anchor", "left"))
+    parsed = C.materialise(rows.join(index, ["anchor", "b1", "b2"]).where("owner.doc < doc OR reference IS NOT NULL"))
+    whole = parsed.where("owner.doc < doc").select(
+        "doc",
+        "text_hash",
+        "first",
+        (F.col("windows") + (window - 1)).alias("words"),
+        F.col("owner.doc").alias("source"),
+        F.col("owner.first").alias("source_first"),
     )
 
-    # factor boundaries, window by window
+    # blocks with other words than any earlier block of their anchor
     listed = (
-        parsed.where("owner = doc")
-        .select("doc", "text_hash", "first", "windows")
+        parsed.where("owner.doc = doc")
+        .select("doc", "text_hash", "first", "windows", "anchor", F.expr("reference = owner AND owner.first = first").alias("head"))
         .distinct()  # repeated rows
         .groupBy("doc", "text_hash")
-        .agg(F.collect_list(F.struct("first", "windows")).alias("blocks"))
+        .agg(F.collect_list(F.struct("first", "windows", "anchor", "head")).alias("blocks"))
+    )
+    pieces = C.materialise(_piece_rows(texts.join(C.materialise(listed), ["doc", "text_hash"]), window, run))
+    # texts of one doc_id may share a reference place: one of them is laid against
+    named = [F.col(c).alias(f"ref_{c}") for c in ("doc", "first", "at", "words")]
+    reference = pieces.where("head").select("anchor", F.struct("text_hash", *named).alias("r"))
+    reference = reference.groupBy("anchor").agg(F.min("r").alias("r")).select("anchor", "r.*").drop("text_hash")
+    pairs = pieces.join(C.materialise(reference), "anchor", "left")
+    earlier = F.col("ref_doc") < F.col("doc")
+    pairs = pairs.withColumns({f"ref_{c}": F.when(earlier, F.col(f"ref_{c}")) for c in ("doc", "first", "at", "words")})
+    found = C.materialise(_copies(pairs.drop("head", "anchor"), window))
+    extended = found.where("source IS NOT NULL").drop("w1", "w2")
+
+    # windows at factor boundaries
+    single = found.where("source IS NULL").drop("source", "source_first", "words")
+    least = single.groupBy("w1", "w2").agg(F.min(F.struct("doc", "first")).alias("low"), F.max("doc").alias("high"))
+    least = C.materialise(least.where("low.doc < high").select("w1", "w2", "low"))
+    boundary = single.join(least, ["w1", "w2"]).where("low.doc < doc").select(
+        "doc",
+        "text_hash",
+        "first",
+        F.lit(window).cast("long").alias("words"),
+        F.col("low.doc").alias("source"),
+        F.col("low.first").alias("source_first"),
     )
-    found = C.materialise(_window_rows(texts.join(C.materialise(listed), ["doc", "text_hash"]), window))
-    least = found.groupBy("w1", "w2").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    least = C.materialise(least.where("low < high").select("w1", "w2", "low"))
-    boundary = found.join(least, ["w1", "w2"]).where("low < doc")
-    boundary = boundary.select("doc", "text_hash", "first", F.lit(window).cast("long").alias("words"))
-    return factors.unionByName(boundary)
+    return whole.unionByName(extended).unionByName(boundary)
+
+
+def greedy_parse(copies: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Factors (first, words, source, source_first) from left to right.
+    Copies that continue each other in one source are joined; then, of those
+    that begin at or before the end of what is covered, the one that reaches
+    farthest is next.  Literal words between factors are left out."""
+    joined: list[list[int]] = []
+    for shift, source, first, words in sorted((f - at, s, f, n) for f, n, s, at in copies):
+        last = joined[-1] if joined else None
+        if last and last[0] == shift and last[1] == source and first <= last[3]:
+            last[3] = max(last[3], first + words)
+        else:
+            joined.append([shift, source, first, first + words])
+    out, covered, k = [], -1, 0
+    joined.sort(key=lambda x: x[2])
+    while k < len(joined):
+        covered = max(covered, joined[k][2])
+        best = None
+        while k < len(joined) and joined[k][2] <= covered:
+            if best is None or joined[k][3] > best[3]:
+                best = joined[k]
+            k += 1
+        if best[3] > covered:
+            shift, source, first, end = best
+            out.append((first, end - first, source, first - shift))
+            covered = end
+    return out
 
 
 def cut(tokens: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
@@ -235,6 +371,9 @@ def cut(tokens: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
     return [tokens[i] for i in np.flatnonzero(keep)]
 
 
+_FACTORS = T.ArrayType(T.StructType([C.field(n, "long") for n in ("first", "words", "source", "source_first")]))
+
+
 def dedup_substrings(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -244,35 +383,38 @@ def dedup_substrings(
     run: int = RUN,
 ) -> DataFrame:
     """``row``, ``n_words``, ``n_removed``, ``kept`` (the words left, joined
-    by one space) and ``spans`` (removed spans as found: first, words)."""
+    by one space) and ``factors`` (first, words, source, source_first: the
+    runs of words taken out and the earlier document and place that has
+    them)."""
     C.prepare(docs.sparkSession)
-    spans = repeated_spans(docs, id_col, text_col, window, run).distinct()
-    listed = C.materialise(
-        spans.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("first", "words")).alias("spans"))
-    )
+    copies = repeated_spans(docs, id_col, text_col, window, run).distinct()
+    entry = F.struct("first", "words", "source", "source_first")
+    listed = C.materialise(copies.groupBy("doc", "text_hash").agg(F.collect_list(entry).alias("copies")))
     texts = docs.select(
         C.packed(docs, carry),
         F.col(C.quoted(id_col)).cast("long").alias("doc"),
         F.xxhash64(C.utf8(text_col)).alias("text_hash"),
         C.utf8(text_col).alias("text"),
     )
-    both = texts.join(listed, ["doc", "text_hash"], "left").select("row", "text", "spans")
+    both = texts.join(listed, ["doc", "text_hash"], "left").select("row", "text", "copies")
 
     def make():
         def work(batch):
-            n, removed, kept = [], [], []
-            for text, own in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+            n, removed, kept, factors = [], [], [], []
+            for text, own in zip(batch.column("text").to_pylist(), batch.column("copies").to_pylist()):
                 tokens = _tokens(text)
-                left = cut(tokens, [(s["first"], s["words"]) for s in own or ()])
+                parsed = greedy_parse([(c["first"], c["words"], c["source"], c["source_first"]) for c in own or ()])
+                left = cut(tokens, [f[:2] for f in parsed])
                 n.append(len(tokens))
                 removed.append(len(tokens) - len(left))
                 kept.append(b" ".join(left).decode("utf-8", "replace"))
-            return {"n_words": n, "n_removed": removed, "kept": kept}
+                factors.append([dict(zip(("first", "words", "source", "source_first"), f)) for f in parsed])
+            return {"n_words": n, "n_removed": removed, "kept": kept, "factors": factors}
 
         return work
 
-    added = [C.field("n_words", "long"), C.field("n_removed", "long"), C.field("kept", "string")]
-    return C.map_batches(both, make, added, ("text",)).select("row", "n_words", "n_removed", "kept", "spans")
+    added = [C.field("n_words", "long"), C.field("n_removed", "long"), C.field("kept", "string"), C.field("factors", _FACTORS)]
+    return C.map_batches(both, make, added, ("text", "copies"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
