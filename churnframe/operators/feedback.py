@@ -122,3 +122,26 @@ def retrain_with_feedback(
         "evaluated_on_feedback_ids", F.lit(bool(evaluate_on_feedback_ids))
     )
     return model, record
+
+
+# How a version that saw simulated outcomes names itself.
+DATA_SOURCE = "training rows and a synthetic feedback batch"
+DISCLOSURE = (
+    "Trained on the training split and on outcomes simulated for a sample of the ranked test customers. "
+    "It shows how feedback flows back; its figures are no evidence of a better model."
+)
+
+
+def disclosed(record: DataFrame, run_id: str, source: str) -> DataFrame:
+    """The record of ``retrain_with_feedback`` with its version and what its
+    data are."""
+    batch = F.struct(
+        F.col("n_feedback").alias("n_customers_sampled"), F.col("retention_rate_applied"), F.lit(source).alias("source")
+    )
+    return record.select(
+        F.lit(run_id).alias("run_id"),
+        F.lit(DATA_SOURCE).alias("data_source"),
+        F.lit(DISCLOSURE).alias("synthetic_data_disclosure"),
+        batch.alias("feedback_batch_info"),
+        *[F.col(c) for c in record.columns if c != "retention_rate_applied"],
+    )

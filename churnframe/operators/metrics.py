@@ -143,25 +143,31 @@ def regression_metrics(df: DataFrame, y: str, pred: str) -> DataFrame:
     )
 
 
-def average_ranks(df: DataFrame, value: str, out: str, **kw) -> DataFrame:
-    """Average rank (ties share the mean of their positions), via counts per
-    distinct value and a distributed prefix sum; joined back by value."""
-    counts = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    cum = prefix_sums(counts, [("_v", True)], ["_c"], **kw).select(
+def average_ranks(counts: DataFrame, value: str, out: str, **kw) -> DataFrame:
+    """``counts`` (any columns and ``_n`` rows each) with the average rank of
+    ``value``: ties share the mean of their positions."""
+    per = counts.groupBy(F.col(value).alias("_v")).agg(F.sum("_n").alias("_c"))
+    cum = prefix_sums(per, [("_v", True)], ["_c"], **kw).select(
         "_v", ((F.col("_c_cum") - F.col("_c")) + (F.col("_c") + 1) / F.lit(2.0)).alias(out)
     )
-    return df.join(cum, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
+    return counts.join(cum, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
 
 
 def spearman(df: DataFrame, a: str, b: str, ranks: bool = False, **kw) -> DataFrame:
-    """Spearman correlation: Pearson correlation of average ranks.  With
-    ``ranks=True`` the columns already are tie-free ranks 1..n (their average
-    rank is the value itself), so the ranking passes are skipped."""
+    """Spearman correlation: Pearson correlation of average ranks.  Rows are
+    reduced to counts per pair of values first, so a value that many rows hold
+    is one row per partner value.  With ``ranks=True`` the columns already are
+    tie-free ranks 1..n, so the ranking passes are skipped."""
     if ranks:
         return df.agg(F.round(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), 9).alias("spearman"))
-    ra = average_ranks(df, a, "_ra", **kw)
-    rb = average_ranks(ra, b, "_rb", **kw)
-    return rb.agg(F.round(F.corr("_ra", "_rb"), 9).alias("spearman"))
+    pairs = df.groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    pairs = average_ranks(average_ranks(cut_lineage(pairs), "_a", "_ra", **kw), "_b", "_rb", **kw)
+    # both ranks have the mean (n + 1) / 2
+    total = pairs.agg(F.sum("_n")).collect()[0][0] or 0
+    x, y = (F.col(c) - F.lit((total + 1) / 2.0) for c in ("_ra", "_rb"))
+    sums = pairs.agg(F.sum(F.col("_n") * x * y).alias("xy"), F.sum(F.col("_n") * x * x).alias("xx"), F.sum(F.col("_n") * y * y).alias("yy"))
+    spread = F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))
+    return sums.select(F.round(F.when(spread > 0, F.col("xy") / spread), 9).alias("spearman"))
 
 
 def leakage_screen(df: DataFrame, label: str, features: Sequence[str], threshold: float = 0.9) -> DataFrame:

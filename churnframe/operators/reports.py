@@ -9,40 +9,35 @@ from pyspark.sql import functions as F
 
 from churnframe.functions.columns import binarize
 
-# The analyses offered per tenant, and reason codes for those that are not.
-CAPABILITIES = ("metrics", "importance", "priority", "backtest", "survival", "segments", "anomalies", "clv")
+# The analyses offered per tenant, the kind of run record that each of them
+# needs, and the reason code if the tenant has none.
 NOT_TRAINED = "no_model"
 NOT_VALIDATED = "revenue_not_backtested"
+CAPABILITIES = {
+    "metrics": ("classifier", NOT_TRAINED),
+    "importance": ("classifier", NOT_TRAINED),
+    "priority": ("backtest", NOT_VALIDATED),
+    "backtest": ("backtest", NOT_VALIDATED),
+    "survival": ("survival", NOT_TRAINED),
+    "segments": ("segments", NOT_TRAINED),
+    "anomalies": ("anomalies", NOT_TRAINED),
+    "clv": ("clv", NOT_TRAINED),
+}
 
 
-def capability_matrix(
-    runs: DataFrame,
-    trained: dict[str, Sequence[str]] | None = None,
-    validated: Sequence[str] = (),
-) -> DataFrame:
-    """(tenant_id, capability, available, reason) for every tenant with a
-    run record.  ``trained`` maps a capability to the tenants that have its
-    model (default: every tenant with a classifier run has metrics and
-    importance); priority / backtest also need the tenant in ``validated``."""
-    trained = trained or {}
-    tenants = runs.select("tenant_id").distinct()
+def capability_matrix(tenants: DataFrame, runs: DataFrame) -> DataFrame:
+    """(tenant_id, capability, available, reason) for every tenant.  ``runs``
+    holds the run records (tenant_id, kind, ...) of all tenants; a tenant may
+    have none."""
+    kinds = runs.groupBy("tenant_id").agg(F.collect_set("kind").alias("kinds"))  # at most one entry per kind
     rows = []
-    for cap in CAPABILITIES:
-        if cap in ("metrics", "importance"):
-            has_model = F.lit(True)
-        elif cap in ("priority", "backtest"):
-            has_model = F.lit(True)
-        else:
-            has_model = F.col("tenant_id").isin(list(trained.get(cap, ()))) if trained.get(cap) else F.lit(False)
-        ok_validated = F.col("tenant_id").isin(list(validated)) if validated else F.lit(False)
-        if cap in ("priority", "backtest"):
-            available = ok_validated
-            reason = F.when(~ok_validated, F.lit(NOT_VALIDATED))
-        else:
-            available = has_model
-            reason = F.when(~has_model, F.lit(NOT_TRAINED))
-        rows.append(F.struct(F.lit(cap).alias("capability"), available.alias("available"), reason.alias("reason")))
-    return tenants.select("tenant_id", F.inline(F.array(*rows)))
+    for capability, (kind, without) in CAPABILITIES.items():
+        available = F.coalesce(F.array_contains("kinds", kind), F.lit(False))
+        rows.append(
+            F.struct(F.lit(capability).alias("capability"), available.alias("available"), F.when(~available, F.lit(without)).alias("reason"))
+        )
+    known = tenants.select("tenant_id").distinct().join(kinds, "tenant_id", "left")
+    return known.select("tenant_id", F.inline(F.array(*rows)))
 
 
 def outcome_by_group(df: DataFrame, group: str, target: str, positive) -> DataFrame:

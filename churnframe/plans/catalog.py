@@ -149,3 +149,4 @@ def q_stratified_split(spark: SparkSession, sf: str) -> DataFrame:
 # further registrations live in sibling modules
 from churnframe.plans import exact as _exact  # noqa: E402,F401
 from churnframe.plans import trained as _trained  # noqa: E402,F401
+from churnframe.plans import jobs as _jobs  # noqa: E402,F401

@@ -23,17 +23,16 @@ from churnframe.operators.models import substituted_scores
 from churnframe.operators.ordering import kth_keys, prefix_sums
 from churnframe.operators.prioritize import head, priority_ranking
 from churnframe.operators.quantiles import medians, quantiles
-from churnframe.operators.reports import capability_matrix, expectations, outcome_by_group, ranking_expectations
+from churnframe.operators.reports import expectations, outcome_by_group, ranking_expectations
 from churnframe.operators.scoring import ClosedFormScorer, classify_at
-from churnframe.operators.segment import profile_clusters, scale, scale_stats
+from churnframe.operators.segment import Segmentation, profile_clusters, scale, scale_stats
 from churnframe.operators.silhouette import point_silhouettes
-from churnframe.operators.survival import partial_likelihood
+from churnframe.operators.survival import BASELINE, CoxModel, partial_likelihood
 from churnframe.plans import oracle as O
 from churnframe.plans.catalog import cleaned, manifest, query, snapshot, split_of, test_scored, with_split
 from churnframe.sources.conform import conform_schema, enrich_base_wins
 from churnframe.sources.store import (
     CUSTOMERS_SCHEMA,
-    PREDICTIONS_SCHEMA,
     pack_customers,
     read_runs,
     read_table_as,
@@ -267,7 +266,7 @@ FROM manifest""",
     ),
 )
 def q_split_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    m = manifest(spark, sf).persist()
+    m = manifest(spark, sf)
     sizes = m.agg(
         F.count_if(F.col("split") == "train").cast("bigint").alias("n_train"),
         F.count_if(F.col("split") == "test").cast("bigint").alias("n_test"),
@@ -723,6 +722,40 @@ def q_lloyd_step_fixed(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+@query(
+    "profile_saved_fixed",
+    O.with_(
+        SCALED
+        + ",\nc AS (SELECT * FROM (VALUES "
+        + ", ".join(f"({k}, " + ", ".join(f"CAST({x} AS DOUBLE)" for x in center) + ")" for k, center in enumerate(STEP_CENTERS[1]))
+        + f") t(k, {', '.join(f'c{i}' for i in range(len(NUMERIC)))})),"
+        + "\nd AS (SELECT z.customer_id, c.k, "
+        + " + ".join(f"({f} - c{i}) * ({f} - c{i})" for i, f in enumerate(NUMERIC))
+        + """ AS d FROM z CROSS JOIN c),
+a AS (SELECT clean.*, own.k FROM clean JOIN (SELECT customer_id, k FROM d
+      QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY d, k) = 1) own USING (customer_id)),
+modes AS (SELECT k, contract FROM a GROUP BY k, contract
+          QUALIFY row_number() OVER (PARTITION BY k ORDER BY COUNT(*) DESC, contract) = 1),
+prof AS (SELECT k, COUNT(*) AS size, AVG(CAST(tenure_months AS DOUBLE)) AS t, AVG(avg_order) AS m,
+                100.0 * AVG(CASE WHEN churn = 'Yes' THEN 1 ELSE 0 END) AS c FROM a GROUP BY k)""",
+        """SELECT CAST(k AS BIGINT) AS cluster, CAST(size AS BIGINT) AS size, round(100.0 * size / SUM(size) OVER (), 9) AS pct_of_total,
+       round(t, 9) AS mean_tenure, round(m, 6) AS mean_avg_order, contract AS dominant_segment, round(c, 9) AS churn_rate_pct,
+       CASE k WHEN 0 THEN 'under one year' WHEN 1 THEN 'one to two years' ELSE 'two to three years' END AS label
+FROM prof JOIN modes USING (k)""",
+    ),
+)
+def q_profile_saved_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every customer assigned by a saved and reloaded segmentation of given
+    centres, and profiled."""
+    df, path = cleaned(spark, sf), new_path(spark, "segments")
+    Segmentation(3, STEP_CENTERS[1], scale_stats(df, NUMERIC), NUMERIC, None).save(spark, path)
+    assigned = Segmentation.load(spark, path).assign(df, ID)
+    labels = spark.createDataFrame(RULE_LABELS, "cluster bigint, label string")
+    prof = profile_clusters(df, assigned, ID, "tenure_months", "avg_order", "contract", "churn", "Yes", labels)
+    digits = {"pct_of_total": 9, "mean_tenure": 9, "mean_avg_order": 6, "churn_rate_pct": 9}
+    return prof.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
 @query(
     "outcome_by_group",
     O.with_(
@@ -1043,39 +1076,14 @@ FROM clean)""",
     ),
 )
 def q_forest_score_fixed(spark: SparkSession, sf: str) -> DataFrame:
-    """Every customer's score under a given forest."""
+    """Every customer's score under a given forest, saved and reloaded."""
     columns = ["tree", "node", "feature", "threshold", "left", "right", "size", "depth"]
-    forest = Forest(NUMERIC, pd.DataFrame(FIXED_FOREST, columns=columns), max_samples=8)
+    path = new_path(spark, "forest")
+    Forest(NUMERIC, pd.DataFrame(FIXED_FOREST, columns=columns), max_samples=8).save(spark, path)
+    forest = Forest.load(spark, path)
     return forest.score_samples(cleaned(spark, sf), [ID]).withColumn("raw_score", F.round("raw_score", 9))
 
 
-VALIDATED = ("AMERICA",)
-CAPS = ["metrics", "importance", "priority", "backtest", "survival", "segments", "anomalies", "clv"]
-
-
-@query(
-    "capability_matrix",
-    O.with_(
-        O.SNAP,
-        "SELECT t.tenant_id, c.capability, "
-        "CASE WHEN c.capability IN ('metrics','importance') THEN true "
-        "WHEN c.capability IN ('priority','backtest') THEN t.tenant_id IN ('AMERICA') "
-        "ELSE t.tenant_id IN ('AMERICA') END AS available, "
-        "CASE WHEN c.capability IN ('metrics','importance') THEN NULL "
-        "WHEN c.capability IN ('priority','backtest') THEN CASE WHEN t.tenant_id IN ('AMERICA') THEN NULL ELSE "
-        "'revenue_not_backtested' END "
-        "ELSE CASE WHEN t.tenant_id IN ('AMERICA') THEN NULL ELSE 'no_model' END END AS reason "
-        "FROM (SELECT DISTINCT tenant_id FROM snap) t CROSS JOIN (VALUES "
-        + ", ".join(f"('{c}')" for c in CAPS)
-        + ") c(capability)",
-    ),
-)
-def q_capability_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    runs = snapshot(spark, sf).select("tenant_id")
-    trained = {c: VALIDATED for c in ("survival", "segments", "anomalies", "clv")}
-    return capability_matrix(runs, trained, VALIDATED)
-
-
 @query(
     "expectations",
     O.with_(
@@ -1281,12 +1289,11 @@ def q_concordance_fractional(spark: SparkSession, sf: str) -> DataFrame:
 COX_BETA = {"n_orders": -0.05, "avg_order": 0.000002}
 
 
-@query(
-    "cox_step_fixed",
-    O.with_(
+def _cox_step_sql(duration: str) -> str:
+    return O.with_(
         O.CLEAN
-        + """,
-x AS (SELECT tenure_months AS t, CASE WHEN churn = 'Yes' THEN 1 ELSE 0 END AS e, CAST(n_orders AS DOUBLE) AS a,
+        + f""",
+x AS (SELECT {duration} AS t, CASE WHEN churn = 'Yes' THEN 1 ELSE 0 END AS e, CAST(n_orders AS DOUBLE) AS a,
              avg_order AS b, exp(-0.05 * n_orders + 0.000002 * avg_order) AS w,
              -0.05 * n_orders + 0.000002 * avg_order AS lp FROM clean),
 per AS (SELECT t, SUM(w) AS s0, SUM(w * a) AS sa, SUM(w * b) AS sb, SUM(e * w) AS d0, SUM(e * w * a) AS da,
@@ -1300,16 +1307,57 @@ events AS (SELECT SUM(elp) AS elp, SUM(ea) AS ea, SUM(eb) AS eb FROM per)""",
         """SELECT round(elp - logs, 4) AS log_likelihood, round(ea - ga, 4) AS gradient_n_orders,
        round((eb - gb) / 1000, 4) AS gradient_avg_order
 FROM summed CROSS JOIN events""",
-    ),
-)
-def q_cox_step_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    )
+
+
+def _cox_step(spark: SparkSession, sf: str, duration: str) -> DataFrame:
     """Log-likelihood (Efron) and gradient at fixed coefficients."""
     rows = cleaned(spark, sf).withColumn("_e", binarize(F.col("churn"), "Yes"))
-    ll, gradient = partial_likelihood(rows, "tenure_months", "_e", COX_BETA)
+    ll, gradient = partial_likelihood(rows, duration, "_e", COX_BETA)
     row = (round(ll, 4), round(gradient["n_orders"], 4), round(gradient["avg_order"] / 1000, 4))
     return spark.createDataFrame([row], "log_likelihood double, gradient_n_orders double, gradient_avg_order double")
 
 
+@query("cox_step_fixed", _cox_step_sql("tenure_months"))
+def q_cox_step_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    return _cox_step(spark, sf, "tenure_months")
+
+
+@query("cox_step_days", _cox_step_sql("tenure_days"))
+def q_cox_step_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Many distinct durations, most with few ties."""
+    return _cox_step(spark, sf, "tenure_days")
+
+
+# Coefficients of standardised covariates.
+HAZARD_BETA = {"n_orders": -0.4, "recency_days": 0.25, "avg_order": 0.1}
+
+
+@query(
+    "hazard_order_fixed",
+    O.with_(
+        O.CLEAN
+        + ",\nh AS ("
+        + " UNION ALL ".join(f"SELECT '{c}' AS feature, {b} / stddev_pop({c}) AS coef FROM clean" for c, b in HAZARD_BETA.items())
+        + ")",
+        """SELECT feature, round(coef, 9) AS coef, round(exp(coef), 9) AS hazard_ratio,
+       row_number() OVER (ORDER BY abs(exp(coef) - 1) DESC, feature) AS place
+FROM h""",
+    ),
+)
+def q_hazard_order_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Hazard ratios by distance from 1, of a saved and reloaded model."""
+    df, names = cleaned(spark, sf), list(HAZARD_BETA)
+    stats = scale_stats(df, names)
+    mean, std = (np.array([stats[c][i] for c in names]) for i in (0, 1))
+    model = CoxModel(names, np.array(list(HAZARD_BETA.values())), mean, std, spark.createDataFrame([], BASELINE), 0.0, 0)
+    path = new_path(spark, "cox")
+    model.save(spark, path)
+    rows = [tuple(r) for r in CoxModel.load(spark, path).hazard_ratios(spark).collect()]
+    listed = [(f, round(c, 9), round(h, 9), i) for i, (f, c, h) in enumerate(rows, 1)]
+    return spark.createDataFrame(listed, "feature string, coef double, hazard_ratio double, place bigint")
+
+
 @query(
     "spearman_with_ties",
     O.with_(
@@ -1359,30 +1407,3 @@ def q_conform_schema_full(spark: SparkSession, sf: str) -> DataFrame:
     raw = snapshot(spark, sf).withColumn("ChurnValue", F.col("churn"))
     _slim, full = conform_schema(raw, CONFORM_RENAME, ["customerID"], ["ChurnValue"], drop_from_full=["ChurnValue"])
     return full
-
-
-@query(
-    "load_job",
-    O.with_(
-        O.CLEAN,
-        f"""SELECT tenant_id, CAST(customer_id AS VARCHAR) AS customer_id, 'closed_form_v1' AS model_version,
-       {O.SCORE} AS churn_probability, contract
-FROM clean WHERE tenant_id IN ('ASIA', 'EUROPE')""",
-    ),
-)
-def q_load_job(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers and predictions of two tenants written to both tables -
-    twice, as a reload must not double them - and read back per tenant."""
-    df, customers, predictions = cleaned(spark, sf), _sink_dir(spark, "customers"), _sink_dir(spark, "predictions")
-    for tenant in ("ASIA", "EUROPE", "ASIA"):
-        own = df.filter(F.col("tenant_id") == tenant)
-        write_partitioned(pack_customers(own, S, LOAD_TS, tenant_id=tenant), customers, ["tenant_id"])
-        scored = score_population(own, ClosedFormScorer(), S, tenant, "closed_form_v1", LOAD_TS)
-        write_partitioned(scored, predictions, ["tenant_id", "model_version"])
-    out = None
-    for tenant in ("ASIA", "EUROPE"):
-        who = tenant_scope(spark, customers, tenant, CUSTOMERS_SCHEMA)
-        who = who.select("customer_id", F.get_json_object("raw_features", "$.contract").alias("contract"))
-        p = tenant_scope(spark, predictions, tenant, PREDICTIONS_SCHEMA).drop("predicted_at").join(who, "customer_id")
-        out = p if out is None else out.unionByName(p)
-    return out

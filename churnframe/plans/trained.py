@@ -24,7 +24,7 @@ from churnframe.plans.catalog import cleaned, manifest, query, split_of
 from churnframe.plans.exact import TRAIN
 from churnframe.sources.store import score_population
 from churnframe.sources.tables import customer_snapshot
-from churnframe.session import new_path
+from churnframe.session import cut_lineage, new_path
 from churnframe.spec import SNAPSHOT
 
 S = SNAPSHOT
@@ -39,7 +39,7 @@ def _churn(spark: SparkSession, sf: str):
         df = cleaned(spark, sf)
         m = manifest(spark, sf)
         model, run = train_churn(df, m, S)
-        _MODELS[key] = (df, m, model, run.persist())
+        _MODELS[key] = (df, m, model, cut_lineage(run))
     return _MODELS[key]
 
 
@@ -83,9 +83,9 @@ def _clv(spark: SparkSession, sf: str):
     """Lifetime-value model on revenue after the cutoff, trained once."""
     key = ("clv", spark.sparkContext.applicationId, sf)
     if key not in _MODELS:
-        df = _clv_frame(spark, sf).persist()
+        df = cut_lineage(_clv_frame(spark, sf))
         model, metrics = train_value(df, manifest(spark, sf), S, "future_spend")
-        _MODELS[key] = (model, metrics.persist())
+        _MODELS[key] = (model, cut_lineage(metrics))
     return _MODELS[key]
 
 

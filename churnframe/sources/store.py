@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from churnframe.session import path_exists
 from churnframe.spec import TenantSpec
 
 CUSTOMERS_SCHEMA = "tenant_id string, customer_id string, raw_features string, created_at timestamp"
@@ -92,17 +93,21 @@ def read_table_as(spark: SparkSession, path: str, schema, fmt: str = "parquet")
     return r.load(path)
 
 
-def tenant_scope(spark: SparkSession, path: str, tenant_id: str, schema: str | None = None) -> DataFrame:
-    """The caller's tenant only (partition pruning on tenant_id).  The
-    partition column is read as text, never by inference, which would take
-    the tenants '1', '001' and '1.0' for one."""
+def read_tenants(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """All tenants' rows.  The partition column is read as text, never by
+    inference, which would take the tenants '1', '001' and '1.0' for one.
+    Without a ``schema``, files with differing fields, nested ones too, are
+    read as one table, fields that a file lacks being NULL."""
     if schema is None:
-        inferred = spark.read.parquet(path).schema
+        inferred = spark.read.option("mergeSchema", "true").parquet(path).schema
         fields = [T.StructField("tenant_id", T.StringType()) if f.name == "tenant_id" else f for f in inferred.fields]
-        read = spark.read.schema(T.StructType(fields))
-    else:
-        read = spark.read.schema(schema)
-    return read.parquet(path).filter(F.col("tenant_id") == F.lit(tenant_id))
+        return spark.read.schema(T.StructType(fields)).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def tenant_scope(spark: SparkSession, path: str, tenant_id: str, schema: str | None = None) -> DataFrame:
+    """The caller's tenant only (partition pruning on tenant_id)."""
+    return read_tenants(spark, path, schema).filter(F.col("tenant_id") == F.lit(tenant_id))
 
 
 def write_manifest(manifest: DataFrame, path: str, tenant_id: str) -> None:
@@ -114,7 +119,8 @@ def read_manifest(spark: SparkSession, path: str, tenant_id: str) -> DataFrame:
 
 
 def record_run(run: DataFrame, path: str, run_id: str, when: dt.datetime) -> None:
-    """Append one run record (parquet, one folder per tenant)."""
+    """Append one run record (parquet, one folder per tenant).  Records may
+    differ in their fields."""
     (
         run.withColumn("run_id", F.lit(run_id))
         .withColumn("timestamp", F.lit(when.isoformat()))
@@ -127,11 +133,8 @@ def record_run(run: DataFrame, path: str, run_id: str, when: dt.datetime) -> Non
 
 def read_runs(spark: SparkSession, path: str, tenant_id: str) -> DataFrame:
     """The tenant's run records; a single 'not available' row when none."""
-    try:
+    if path_exists(spark, path):
         runs = tenant_scope(spark, path, tenant_id)
-        if runs.limit(1).count() > 0:
+        if not runs.isEmpty():
             return runs
-    except Exception as exc:  # no runs folder yet
-        if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
-            raise
     return spark.createDataFrame([(tenant_id, False, "no_model")], "tenant_id string, available boolean, reason string")

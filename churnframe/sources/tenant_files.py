@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnframe.functions.columns import PANDAS_NA_TOKENS, coerce_numeric, nan_to_null
+from churnframe.session import cut_lineage
 from churnframe.spec import TenantSpec
 
 
@@ -72,16 +75,30 @@ def read_tenant(spark: SparkSession, path: str, fmt: str | None = None, schema:
         schema = T._parse_datatype_string(schema)
     typed = []
     for f in schema.fields:
-        c = F.col(f"`{f.name}`")
-        c = coerce_numeric(c, T.StringType()) if isinstance(f.dataType, T.NumericType) else c
-        typed.append(c.cast(f.dataType).alias(f.name))
+        typed.append(typed_text(F.trim(F.col(f"`{f.name}`")), f.dataType).alias(f.name))
     return text.select(*typed)
 
 
+def typed_text(c: Column, kind: T.DataType) -> Column:
+    """Text as ``kind``; what is no such value is NULL.  Whole numbers and
+    decimals are read from the digits (a double would change ids of 16 digits
+    and more); only forms like ``1e3`` go through a double."""
+    if not isinstance(kind, T.NumericType):
+        return c.cast(kind)
+    number = coerce_numeric(c, T.StringType())
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return number.cast(kind)
+    if isinstance(kind, T.DecimalType):
+        return F.coalesce(c.try_cast(kind), number.try_cast(kind))
+    return F.coalesce(c.try_cast(kind), c.try_cast("decimal(38,9)").try_cast(kind), number.try_cast(kind))
+
+
 def require_columns(df: DataFrame, spec: TenantSpec) -> None:
-    missing = set(spec.required).difference(df.columns)
-    if missing:
-        raise ValueError(f"Missing required columns: {sorted(missing)}")
+    """The columns of the roles that every tenant has, in the spec's order."""
+    roles = (("id", spec.id_column), ("label", spec.target_column), ("revenue", spec.revenue_column))
+    absent = [f"{role} column '{name}'" for role, name in roles if name not in df.columns]
+    if absent:
+        raise ValueError(f"tenant {spec.tenant_id}: no {', no '.join(absent)}")
 
 
 def duplicate_ids(df: DataFrame, id_column: str) -> DataFrame:
@@ -96,7 +113,7 @@ def duplicate_ids(df: DataFrame, id_column: str) -> DataFrame:
 
 def require_unique_key(df: DataFrame, id_column: str) -> None:
     if duplicate_ids(df, id_column).limit(1).count() > 0:
-        raise ValueError(f"Duplicate IDs in column '{id_column}'")
+        raise ValueError(f"an id occurs in several rows of column '{id_column}'")
 
 
 def load_tenant(
@@ -106,14 +123,21 @@ def load_tenant(
     fmt: str | None = None,
     schema: T.StructType | str | None = None,
 ) -> DataFrame:
-    df = read_tenant(spark, path or spec.path, fmt, schema)
-    require_columns(df, spec)
-    require_unique_key(df, spec.id_column)
-    return df
+    return validate(read_tenant(spark, path or spec.path, fmt, schema), spec)
 
 
 def validate(df: DataFrame, spec: TenantSpec) -> DataFrame:
-    """Validation of an already loaded table (same checks as ``load_tenant``)."""
+    """The checked table; see ``validate_with``."""
+    return validate_with(df, spec, {})[0]
+
+
+def validate_with(df: DataFrame, spec: TenantSpec, violations: Mapping[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """The table, read once and written, and how many of its rows show each
+    violation (and ``n_rows``): counted while it is written.  Only the id
+    column of the written table is read again, for the key check."""
     require_columns(df, spec)
-    require_unique_key(df, spec.id_column)
-    return df
+    seen = Observation()
+    counts = [F.count_if(F.coalesce(v, F.lit(False))).alias(name) for name, v in violations.items()]
+    table = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *counts))
+    require_unique_key(table, spec.id_column)
+    return table, {name: int(n) for name, n in seen.get.items()}

@@ -89,11 +89,10 @@ def test_snapshot_scan_prunes_columns(spark):
 def test_capability_matrix_reasons(spark):
     from churnframe.operators.reports import NOT_TRAINED, NOT_VALIDATED, capability_matrix
 
-    runs = spark.createDataFrame([("telco",), ("banking",)], "tenant_id string")
-    m = {
-        (r["tenant_id"], r["capability"]): (r["available"], r["reason"])
-        for r in capability_matrix(runs, {"survival": ["telco"]}, ["telco"]).collect()
-    }
+    runs = spark.createDataFrame([("telco", "classifier"), ("telco", "backtest"), ("telco", "survival"), ("banking", "classifier")], "tenant_id string, kind string")
+    tenants = spark.createDataFrame([("telco",), ("banking",), ("new",), ("new",)], "tenant_id string")
+    m = {(r["tenant_id"], r["capability"]): (r["available"], r["reason"]) for r in capability_matrix(tenants, runs).collect()}
+    assert len(m) == 24 and m[("new", "metrics")] == (False, NOT_TRAINED)
     assert m[("telco", "priority")] == (True, None)
     assert m[("banking", "priority")] == (False, NOT_VALIDATED)
     assert m[("banking", "survival")] == (False, NOT_TRAINED)
