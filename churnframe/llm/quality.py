@@ -7,27 +7,28 @@ log(target / raw).  Gumbel noise on the weights and a top-k are a sample
 without replacement with odds in proportion to the weights.
 
 Target: labelled rows of quality 1, a hash sample of at most about ``SAMPLE``
-of them.  Raw: every document.  k is ``SHARE`` of the rows.  The k-th largest
-key is found by bucket counts on the key's ordered bits (12 a round), so no
-task sorts or holds the table.
+of of them.  Raw: every document.  k is ``SHARE`` of the rows.  The k-th largest
+key is found to its last bit by counts on the doubles' ordered bits (eight a
+round), so no task sorts or holds the table.
 
 Defined results: NULL and empty texts have weight 0; long texts count whole;
 noise depends on doc_id and the seed alone (NULL ids share one draw); rows
-that tie with the k-th key are all selected, so repeated rows stay together;
+whose key equals the k-th to the last bit are all selected, so repeated rows
+stay together;
 without target rows all weights are 0; an empty table gives no rows; extra
 columns ride in ``row``.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnframe.llm import common as C
+from churnframe.operators.quantiles import order_statistics
 
 BUCKETS = 10_000
 SAMPLE = 20_000
@@ -88,27 +89,6 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log(smooth(target)) - np.log(smooth(raw))
 
 
-def ordered_bits(key: Column) -> Column:
-    """The key as a long in [0, 2^48) that keeps its order: shifted and scaled
-    fixed point, a step of 2^-16."""
-    return F.greatest(F.lit(0), F.least(F.lit((1 << 48) - 1), F.floor(key * 65536.0) + (1 << 47))).cast("long")
-
-
-def kth_largest(keys: DataFrame, column: str, k: int, bits: int = 48, step: int = 12) -> int:
-    """The k-th largest value of a long column in [0, 2^bits)."""
-    prefix, low = 0, bits
-    while low:
-        low -= step
-        part = F.shiftright(F.col(column), low)
-        inside = keys.where(F.shiftright(F.col(column), low + step) == prefix)
-        for r in inside.groupBy(part.alias("b")).count().orderBy(F.desc("b")).collect():
-            prefix = r.b
-            if r["count"] >= k:
-                break
-            k -= r["count"]
-    return prefix
-
-
 def resample(
     docs: DataFrame,
     target_ids: DataFrame,
@@ -144,10 +124,11 @@ def resample(
     scored = C.map_batches(df, make, [C.field("log_weight", "double")], ("text",))
     uniform = (F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
     scored = scored.withColumn("sample_key", F.col("log_weight") - F.log(-F.log(uniform))).drop("doc")
-    scored = C.materialise(scored.withColumn("bits", ordered_bits(F.col("sample_key"))))
-    k = int(round(share * scored.count()))
-    least = kth_largest(scored.select("bits"), "bits", k) if k else 1 << 48
-    return scored.withColumn("selected", F.col("bits") >= least).drop("bits")
+    scored = C.materialise(scored)
+    n = scored.count()
+    k = int(round(share * n))
+    least = order_statistics(scored, {"sample_key": [n - k]})["sample_key"][n - k] if k else float("inf")
+    return scored.withColumn("selected", F.col("sample_key") >= F.lit(least))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -39,12 +39,17 @@ def test_gumbel_keys_sample_in_proportion_to_weights(spark):
     assert abs(ids.mean() - 2000) < 120
 
 
-@pytest.mark.parametrize("k", [1, 2, 5, 17, 40])
-def test_kth_largest(spark, k):
-    rng = np.random.default_rng(k)
-    values = np.concatenate([rng.integers(0, 1 << 48, 30), np.full(10, 77), [0, (1 << 48) - 1]])
-    df = spark.createDataFrame([(int(v),) for v in values], "v long")
-    assert Q.kth_largest(df, "v", k) == sorted(values.tolist(), reverse=True)[k - 1]
+def test_exactly_k_rows_but_for_equal_keys(spark):
+    """Keys that agree in all but their last bits are told apart; rows of one
+    id and text have one key and stay together."""
+    df = docs(spark, ["a b c"] * 3000)
+    for share in (0.001, 0.3337, 0.999, 1.0):
+        got = Q.resample(df, df.select("doc_id").limit(3), share=share, carry=["doc_id"]).toPandas()
+        assert got.selected.sum() == round(3000 * share)
+        assert got[got.selected].sample_key.min() >= got[~got.selected].sample_key.max() if share < 1 else got.selected.all()
+    twice = Q.resample(df.unionByName(df), df.select("doc_id").limit(3), share=0.25, carry=["doc_id"]).toPandas()
+    assert twice.selected.sum() == 1500 and set(twice[twice.selected].sample_key.value_counts()) == {2}
+    assert Q.resample(df, df.select("doc_id"), share=0.0).where("selected").count() == 0
 
 
 def test_edge_cases(spark):
