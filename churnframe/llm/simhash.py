@@ -16,7 +16,11 @@ About 45 copies per distinct fingerprint, whatever the data.
 
 Skew: equal fingerprints are one row, so copies cost nothing.  Within an
 anchor a breadth-first search drops what it has reached, so a tight group is
-scanned once and gives one link per member, not all pairs.
+scanned once and gives one link per member, not all pairs.  An anchor of more
+than ``ANCHOR_ROWS`` fingerprints is cut into parts by a hash of the
+fingerprint, and each pair of (home part, part) is a tile of its own: no task
+holds more than two parts of one anchor, and every home still meets every
+fingerprint of its anchor.
 
 Defined results: NULL and word-free texts have fingerprint zero and link like
 any other; fewer than four words hash as one sequence; ties (exactly half) give
@@ -40,6 +44,7 @@ SHINGLE = 4
 MAX_BITS = 4
 BLOCKS = ((0, 22), (22, 21), (43, 21))  # (lowest bit, bits)
 CODE_BITS = 15
+ANCHOR_ROWS = 32_768
 RADIUS, BLOCK_BITS = 1, 1  # covering radius; differing bits in the closest block
 
 
@@ -209,11 +214,32 @@ def _links(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, most: int) -> t
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
+def _tiled(rows: DataFrame) -> DataFrame:
+    """``rows`` with the rows of a large anchor dealt to its tiles; ``anchor``
+    is then a number of the tile, which no other anchor has."""
+    sizes = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ANCHOR_ROWS)
+    hot = C.materialise(sizes.select("anchor", F.ceil(F.col("n") / ANCHOR_ROWS).cast("int").alias("parts")))
+    if hot.isEmpty():
+        return rows
+    dealt = rows.join(hot, "anchor", "left")
+    part = F.pmod(F.xxhash64("fp", F.lit(3)), F.col("parts")).cast("int")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    none = F.array().cast("array<struct<home_part:int,part:int,home:boolean>>")
+    entry = lambda i, j, home: F.struct(i.alias("home_part"), j.alias("part"), F.lit(home).alias("home"))
+    as_home = F.when(F.col("home"), F.transform(every, lambda j: entry(part, j, True))).otherwise(none)
+    as_other = F.transform(every, lambda i: entry(i, part, False))
+    cold = dealt.where("parts IS NULL").select("anchor", "fp", "home")
+    tiles = dealt.where("parts IS NOT NULL").select("anchor", "fp", F.explode(F.concat(as_home, as_other)).alias("t"))
+    # anchors are below 2^34: the part numbers go above
+    number = F.col("anchor") + F.shiftleft((F.col("t.home_part") + 1).cast("long"), 34) + F.shiftleft(F.col("t.part").cast("long"), 49)
+    return cold.unionByName(tiles.select(number.alias("anchor"), "fp", "t.home"))
+
+
 def links(distinct: DataFrame, most: int = MAX_BITS) -> DataFrame:
     """u, v: links that connect all fingerprints within ``most`` bits."""
     if most > MAX_BITS:
         raise ValueError(f"the anchors cover at most {MAX_BITS} differing bits")
-    rows = _anchor_rows(distinct)
+    rows = _tiled(_anchor_rows(distinct))
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "anchor").sortWithinPartitions("anchor")
     schema = T.StructType([C.field("u", "long"), C.field("v", "long")])

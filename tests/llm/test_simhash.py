@@ -75,6 +75,32 @@ def test_links_reach_every_pair_within_four_bits(spark, seed):
             assert group[0] not in got
 
 
+def test_large_anchors_are_cut_into_tiles_and_lose_no_link(spark, monkeypatch):
+    """Fingerprints that agree in a block, with edits elsewhere: one anchor
+    holds them all."""
+    monkeypatch.setattr(S, "ANCHOR_ROWS", 40)
+    rng = random.Random(8)
+    base = rng.getrandbits(64)
+    prints = {base}
+    for _ in range(700):
+        p = rng.choice(sorted(prints)) if rng.random() < 0.6 else base
+        for b in rng.sample(range(22, 64), rng.randint(1, 7)):
+            p ^= 1 << b
+        prints.add(p)
+    prints = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(p,) for p in signed], "fp long")
+    sizes = [r["count"] for r in S._tiled(S._anchor_rows(df)).groupBy("anchor").count().collect()]
+    assert max(sizes) < 3 * 40
+    got = {r.node: r.root for r in components(S.links(df)).collect()}
+    groups = {}
+    for p, root in zip(signed, plain_components(prints)):
+        groups.setdefault(root, []).append(p)
+    assert max(map(len, groups.values())) > 20
+    for group in groups.values():
+        assert {got.get(p, p) for p in group} == {min(group)}
+
+
 def test_every_value_has_its_home_anchor_within_the_radius():
     for _, bits in S.BLOCKS:
         for masks in S._flips(bits, 2):
