@@ -1,21 +1,25 @@
 """Toxicity: noisy-channel deobfuscation, then a word-evidence score.
 
 Channel.  A token that mixes letters with look-alike signs or other marks,
-stretches a letter, or is part of a row of single spaced-out characters is a
-character lattice, whatever its length: each sign offers the letters it may
+stretches a letter, doubles most of its letters, or is part of a row of single
+spaced-out characters is a character lattice, whatever its length: each sign offers the letters it may
 stand for, a run of one letter offers once or twice, a mark inside a token is
 dropped or ends a word (its parts, and all of it joined, are read too).  Viterbi finds the likeliest reading under a character trigram
 model and fixed channel costs.  A row of three or more spaced-out characters
 (signs included, one of them a letter) is one lattice with an optional word end
 after each character; all words of its best path are looked up, and evidence
-words of ``INNER`` or more letters at every place of it.  The model's counts come from every document
+words of ``INNER`` or more letters at every place of it.  What sets characters
+apart may be any white space or marks, any number of them.  Words cut into
+pieces of up to ``PIECE`` letters are found by joining neighbours: a joined
+word counts if it is an evidence word itself.  The model's counts come from every document
 (bytes in 28 classes: boundary, a-z, non-ASCII), so they grow with the corpus.
 
 Score.  Evidence is looked up by whole word and by word beginnings of 3 to 6
 characters (inflected and compounded forms), in the plain and in the restored
 text; a beginning also counts as dense if it starts two or more words and 1 %
 of the text's words.  Each feature's log odds come from labelled training
-rows; features with little or weak evidence are dropped.  The score is a
+rows; features whose odds are weak at the lower end of their confidence
+interval are dropped.  The score is a
 calibrated logistic in the summed and the strongest evidence; a calibration
 row is judged without its own share of the counts.  Rows whose crc32(doc_id)
 mod 3 is 1 are never learned from.  Training reads at most about ``SAMPLE``
@@ -47,6 +51,8 @@ PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.7
 MIN_ODDS = 1.5
 MIN_DOCS = 3
+CONFIDENCE = 1.28  # standard errors below the estimate
+PIECE, PIECES = 4, 6  # letters of a piece of a cut word, and pieces, at most
 INNER = 4  # letters of the shortest word looked for inside a spaced-out run
 CACHE = 400_000  # tokens remembered by a scoring task
 COUNTED = 100_000  # tokens, and features being counted, held by a learning task
@@ -77,8 +83,10 @@ _EDGE = ".,;:!?\"'()[]{}<>*%&$#|-_/\\+=~`«»“”…"
 _MARKS = ".,;:?\"'[]{}<>%&#-_/\\=~`«»“”…"  # never letters
 _INNER = re.compile(r"(?:[^\w@$!|+(*]|_)+")
 _STRETCH = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+(*])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|+(*])(?![^\W_])){2,}")
-_SINGLE = re.compile(r"([^\W_]|[@$!|+(*])([ .\-_*]{0,2}(?=[^\W_]|[@$!|+(*]|$))")
+# single characters (a letter, a digit, a sign) with white space or marks between
+_DOUBLE = re.compile(r"([^\W\d_])\1.*?([^\W\d_])\2.*?([^\W\d_])\3")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+(*])(?:(?>(?:[^\w@$!|+(]|_)+)(?:[^\W_]|[@$!|+(])(?![^\W_])){2,}")
+_SINGLE = re.compile(r"([^\W_]|[@$!|+(*])((?:[^\w@$!|+(*]|_)*)")
 
 
 # ------------------------------------------------------------ language model
@@ -176,6 +184,11 @@ def readings(token: str, model: np.ndarray) -> list[str]:
     out = [core] if core else []
     if _STRETCH.search(core):
         out.append(decode(core, model))
+    elif _DOUBLE.search(core) and core.isalpha():
+        runs = _runs(core)
+        doubled = sum(n == 2 for _, n in runs)
+        if doubled >= 3 and 2 * doubled >= len(runs):  # no plain word doubles so many of its letters
+            out += [decode(core, model), "".join(c for c, _ in runs)]
     signs = token.strip(_MARKS)
     if signs.isalpha() or not any(c.isalpha() for c in signs):
         return out
@@ -253,6 +266,7 @@ class Reader:
         self.model, self.known = model, {}
         self.limit = COUNTED if wanted is None else CACHE
         self.wanted = None if wanted is None else {f.rstrip("+") if f.endswith("-+") else f for f in wanted}
+        self.longest = max((len(f) for f in self.wanted or () if f[-1] != "-"), default=0)
         self.inner = sorted({len(f) for f in self.wanted or () if len(f) >= INNER and f[-1] != "-"})
 
     def of_word(self, word: str) -> list[str]:
@@ -280,15 +294,33 @@ class Reader:
                 out += [w for a in range(len(word)) for k in self.inner if (w := word[a : a + k]) in self.wanted and len(w) == k]
         return out
 
+    def joined(self, words: list[str]) -> list[str]:
+        """Evidence words that neighbouring short pieces make together."""
+        out, pieces = [], [w.strip(_EDGE) if len(w) <= 2 * PIECE else "" for w in words]
+        pieces = [p if len(p) <= PIECE and p.isalpha() else "" for p in pieces]
+        for k, whole in enumerate(pieces):
+            if whole:
+                for piece in pieces[k + 1 : k + PIECES]:
+                    whole += piece
+                    if not piece or len(whole) > self.longest:
+                        break
+                    if len(whole) >= INNER and whole in self.wanted:
+                        out += self.of_word(whole)
+        return out
+
     def features(self, text: str) -> set[str]:
         text = text.lower()
-        tokens = Counter(text.split())
+        words = text.split()
+        tokens = Counter(words)
         counts: dict[str, int] = {}
         for token, n in tokens.items():
             for f in self.token(token):
                 counts[f] = counts.get(f, 0) + n
         for f in self.spaced(text):
             counts.setdefault(f, 1)
+        if self.wanted:
+            for f in self.joined(words):
+                counts.setdefault(f, 1)
         return with_dense(counts, tokens.total())
 
 
@@ -338,9 +370,11 @@ def _columns(seen: dict[str, list[int]]) -> dict:
 
 
 def log_odds(toxic: int, clean: int, n1: int, n0: int) -> float:
-    """Smoothed log odds of a feature; 0 if there is too little evidence."""
+    """Smoothed log odds of a feature; 0 if there is too little evidence: the
+    lower end of their confidence interval must be large enough."""
     value = math.log((toxic + 0.5) / (n1 + 1)) - math.log((clean + 0.5) / (n0 + 1))
-    return value if toxic >= MIN_DOCS and value >= MIN_ODDS else 0.0
+    sure = value - CONFIDENCE * math.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)) >= MIN_ODDS
+    return value if toxic >= MIN_DOCS and sure else 0.0
 
 
 def evidence(found: set[str], odds: dict[str, float]) -> tuple[float, float]:
@@ -381,6 +415,7 @@ def train(
     counted = _counts(rows, spark.sparkContext.broadcast(lm)).where(F.col("toxic") >= MIN_DOCS)
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
     kept = {r.feature: (r.toxic, r.clean) for r in counted.where(odds >= MIN_ODDS).collect()}
+    kept = {f: n for f, n in kept.items() if log_odds(*n, n1, n0)}
     model["odds"] = {f: log_odds(*n, n1, n0) for f, n in kept.items()}
 
     shipped = spark.sparkContext.broadcast((lm, kept))

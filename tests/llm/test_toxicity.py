@@ -1,8 +1,10 @@
+import itertools
+import random
 import zlib
 
 import numpy as np
 import pytest
-from helpers import docs, empty, hard, labels
+from helpers import docs, empty, hard, labels, save
 
 from churnframe.llm import common as C
 from churnframe.llm import toxicity as X
@@ -82,6 +84,80 @@ def test_obfuscated_texts_score_like_plain_ones(spark, model):
     assert p[0] < 0.3 and min(p[1:]) >= 0.7
 
 
+@pytest.mark.parametrize("gap", [" ", "   ", "\t", "\n", ", ", " / ", "\xa0", "...", "_", " * ", "\u2009", " \U0001f600 "])
+def test_any_marks_may_set_characters_apart(model, gap):
+    assert "clown" in X.spaced_words("you " + gap.join("clown") + " there", model["lm"])
+
+
+def test_cut_and_doubled_words_are_read(model):
+    reader = X.Reader(model["lm"], model["odds"])
+    for text in ("a cl ow n", "cl own.", "(c lo wn)", "clo, wn"):
+        assert {"clown", "clo-"} <= reader.features("the " + text + " here"), text
+    for text in ("the clock owns", "clo the wn", "clothing wn", "cl 5 own"):
+        assert "clown" not in reader.features(text), text
+    assert "clown" in X.readings("cclloowwnn", model["lm"]) and "idiot" in X.readings("iidiioott!", model["lm"])
+    for plain in ("committee", "bookkeeper", "mississippi", "address"):
+        assert plain in X.readings(plain, model["lm"])
+
+
+def test_viterbi_is_the_least_of_all_paths(model):
+    """Full enumeration of short lattices."""
+    rng = np.random.default_rng(5)
+    lm = model["lm"]
+
+    def cost(path):
+        a = b = 0
+        total = sum(extra for _, extra in path)
+        for c in "".join(piece for piece, _ in path) + " ":
+            k = X._letter(c)
+            total -= float(lm[a * 28 + b, k])
+            a, b = b, k
+        return total
+
+    for _ in range(60):
+        steps = []
+        for _ in range(rng.integers(1, 7)):
+            pieces = rng.choice(["a", "e", "n", "th", "", " ", "s ", "é", "q"], rng.integers(1, 4), replace=False)
+            steps.append([(str(p), float(rng.choice([0.0, 0.5, 1.0]))) for p in pieces])
+        paths = list(itertools.product(*steps))
+        least = min(map(cost, paths))
+        best = X._best(steps, lm)
+        assert any(abs(cost(p) - least) < 1e-9 and "".join(x for x, _ in p) == best for p in paths)
+
+
+def test_query_is_the_plain_reading(spark, scratch):
+    """Counts, odds, evidence and scores of a small table by plain loops, every
+    text read by a reader of its own."""
+    rng = random.Random(3)
+    bad, fine = ["clown", "1d10t", "m o r o n", "sc um"], ["the", "and", "house", "tree", "w4ter", "river"]
+    texts, marks = [], []
+    for i in range(240):
+        toxic = i % 3 == 0
+        words = rng.choices(fine, k=rng.randint(3, 20)) + (rng.choices(bad, k=2) if toxic else [])
+        rng.shuffle(words)
+        texts.append(" ".join([*words, f"n{i}"]))
+        marks.append((i, 1, int(toxic)))
+    save(docs(spark, texts, range(240)), scratch, "documents")
+    save(labels(spark, marks), scratch, "labels")
+    got = {r.doc_id: r for r in X.query(spark, scratch).collect()}
+    held = {i for i in range(240) if zlib.crc32(str(i).encode()) % 3 == 1}
+    model = X.train(C.table(spark, scratch, "documents"), C.table(spark, scratch, "labels"))
+    seen = {}
+    rows = [(t, y) for i, (t, (_, _, y)) in enumerate(zip(texts, marks)) if i not in held]
+    n1, n0 = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    for t, y in rows:
+        for f in X.Reader(model["lm"]).features(t):
+            seen.setdefault(f, [0, 0])[1 - y] += 1
+    odds = {f: X.log_odds(*n, n1, n0) for f, n in seen.items()}
+    odds = {f: o for f, o in odds.items() if o}
+    assert model["odds"] == odds and {"clown", "moron"} <= set(odds)
+    for i, t in enumerate(texts):
+        total, top = X.evidence(X.Reader(model["lm"], odds).features(t), odds)
+        p = 1 / (1 + np.exp(-(np.array([total, top, 1.0]) @ model["weights"])))
+        assert got[i].score == pytest.approx(float(p)) and got[i].held_out == (i in held)
+        assert got[i].predicted == int(got[i].score >= 0.7)
+
+
 def test_language_model_counts_every_text():
     texts = [b"ab", b"", "é".encode()]
     plain = {}
