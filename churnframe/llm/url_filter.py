@@ -10,9 +10,15 @@ Canonical URL: scheme, port, query, fragment, a leading ``www. m. blog.``, a
 trailing ``/`` and ``.html`` are dropped, A-Z of the host lower-cased.
 
 Filter: one 64-bit word per block; a key picks its block and ``BITS_PER_KEY``
-bits in it.  The filter has at most ``MAX_BLOCKS`` words, whatever the list's
-size, so its broadcast is bounded; a longer list only lets more non-members
-through to the exact join, which removes them.
+bits in it.  Blocks grow with the list, so its share of false positives does
+not.  A filter of at most ``MAX_BLOCKS`` words is broadcast (8 MB); a larger
+one is joined by block, which the hash spreads evenly.  The exact join removes
+the non-members that the filter let through.
+
+The query's list stands for one of reported pages: of the hosts in
+``REPORTED_HOSTS`` the pages of even number, written in another way than the
+page's own URL (scheme, ``www.``, a trailing ``/``, no query).  Other pages of
+these hosts are not on it.
 
 Defined results: NULL, empty and malformed URLs have empty host and path, no
 rule and no canonical URL: allowed.  Repeated pages and list entries change
@@ -37,10 +43,10 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Host labels that put a page on the query's list.
-LISTED_LABELS = ("cheap-pills", "spam-farm")
+#: Host labels whose pages are on the query's list, if their number is even.
+REPORTED_HOSTS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
-MAX_BLOCKS = 1 << 20
+MAX_BLOCKS = 1 << 20  # words of a filter that is broadcast
 KEYS_PER_BLOCK = 4
 BITS_PER_KEY = 6
 
@@ -93,7 +99,7 @@ def bloom(listed: DataFrame, column: str) -> tuple[DataFrame, int]:
     """The filter as (block, word) rows, and its number of blocks."""
     n = listed.count()
     blocks = 1
-    while blocks < MAX_BLOCKS and blocks * KEYS_PER_BLOCK < n:
+    while blocks * KEYS_PER_BLOCK < n:
         blocks *= 2
     key = F.col(column)
     words = listed.select(_block(key, blocks).alias("block"), _mask(key).alias("word"))
@@ -115,8 +121,7 @@ def filter_urls(
     parsed = parsed.withColumn("found", longest_rule(F.col("host"), F.col("path"), rules))
     parsed = parsed.withColumn("name", canonical(F.col("host"), F.col("path")))
     parsed = parsed.withColumn("block", _block(F.col("name"), blocks))
-    # at most MAX_BLOCKS words of eight bytes: a bounded broadcast
-    probed = parsed.join(F.broadcast(words), "block", "left")
+    probed = parsed.join(F.broadcast(words) if blocks <= MAX_BLOCKS else words, "block", "left")
     mask = _mask(F.col("name"))
     maybe = F.coalesce(F.col("word").bitwiseAND(mask) == mask, F.lit(False)) & F.col("name").isNotNull()
     probed = probed.withColumn("maybe", maybe)
@@ -128,11 +133,20 @@ def filter_urls(
     return hits.unionByName(clear).select("row", "host", "path", "found.rule", verdict.alias("verdict"), "maybe")
 
 
+def reported(pages: DataFrame) -> DataFrame:
+    """The query's list: ``url`` of each reported page, written differently."""
+    url = F.col("url").cast("string")
+    host, path = host_of(url), path_of(url)
+    label = F.regexp_extract(host, r"(?:^|\.)(" + "|".join(REPORTED_HOSTS) + r")(?:\.|$)", 1)
+    number = F.regexp_extract(path, r"(\d+)[^\d]*$", 1)
+    other = F.concat(F.lit("HTTPS://www."), F.regexp_replace(host, r"^(www|m|blog)\.", ""), F.regexp_replace(path, r"(/|\.html)$", ""), F.lit("/"))
+    return pages.where((label != "") & number.rlike("[02468]$")).select(other.alias("url"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     pages = C.table(spark, sf_dir, "pages")
-    label = F.regexp_extract(host_of(F.col("url")), r"(?:^|\.)(" + "|".join(LISTED_LABELS) + r")(?:\.|$)", 1)
-    listed = pages.where(label != "").select("url")
-    return filter_urls(pages, listed, carry=["page_id"]).select("row.page_id", "host", "path", "rule", "verdict")
+    found = filter_urls(pages, reported(pages), carry=["page_id"])
+    return found.select("row.page_id", "host", "path", "rule", "verdict")
 
 
 SQL = r"""
@@ -152,7 +166,9 @@ named AS (
     regexp_replace(regexp_replace(host, ':\d*$', ''), '^(www|m|blog)\.', '') || regexp_replace(path, '(/|\.html)$', '')
   END AS name FROM p),
 listed AS (
-  SELECT DISTINCT name FROM named WHERE regexp_matches(host, '(^|\.)(cheap-pills|spam-farm)(\.|$)'))
+  SELECT DISTINCT name FROM named
+  WHERE regexp_matches(host, '(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)(\.|$)')
+    AND regexp_matches(regexp_extract(path, '(\d+)[^\d]*$', 1), '[02468]$'))
 SELECT page_id, host, path, rule,
   coalesce(verdict, CASE WHEN name IN (SELECT name FROM listed WHERE name IS NOT NULL) THEN 'block' ELSE 'allow' END) AS verdict
 FROM named LEFT JOIN best USING (page_id)

@@ -40,21 +40,34 @@ def test_hosts_and_paths(spark):
     assert got[12] == ("b.net", "/q", None, "allow")
 
 
-def test_no_listed_url_is_missed_and_false_positives_are_removed(spark):
+def test_no_listed_url_is_missed_and_false_positives_are_removed(spark, monkeypatch):
     """Far more members than bits: nearly all probes pass the filter."""
     member = spark.range(4000).selectExpr("concat('http://h', id, '.net/p') AS url")
     probe = spark.range(8000).selectExpr("id AS page_id", "concat('https://www.h', id, '.net/p/?q') AS url")
-    old = U.MAX_BLOCKS
-    U.MAX_BLOCKS = 16
-    try:
-        got = U.filter_urls(probe, member).collect()
-    finally:
-        U.MAX_BLOCKS = old
-    assert sum(r.maybe for r in got) > 6000
-    assert {r.row.page_id for r in got if r.verdict == "block"} == set(range(4000))
+    monkeypatch.setattr(U, "KEYS_PER_BLOCK", 250)
     got = U.filter_urls(probe, member).collect()
-    assert sum(r.maybe for r in got) < 4200
+    assert sum(r.maybe for r in got) > 6000
     assert {r.row.page_id for r in got if r.verdict == "block"} == set(range(4000))
+    monkeypatch.undo()
+    for limit in (U.MAX_BLOCKS, 16):  # a filter that is broadcast, and one joined by block
+        monkeypatch.setattr(U, "MAX_BLOCKS", limit)
+        got = U.filter_urls(probe, member).collect()
+        assert sum(r.maybe for r in got) < 4200
+        assert {r.row.page_id for r in got if r.verdict == "block"} == set(range(4000))
+
+
+def test_query_lists_single_pages_written_differently(spark):
+    sf1 = "/root/testdata/sf0.1"
+    pages = spark.read.parquet(f"{sf1}/pages.parquet")
+    listed = {r.url for r in U.reported(pages).collect()}
+    urls = {r.page_id: r.url for r in pages.select("page_id", "url").collect()}
+    assert len(listed) > 40 and not listed & set(urls.values())
+    got = U.filter_urls(pages, U.reported(pages), carry=["page_id"]).where("rule IS NULL").collect()
+    hosts = [r for r in got if any(f"{h}." in r.host for h in U.REPORTED_HOSTS)]
+    assert {r.verdict for r in hosts} == {"allow", "block"}  # not all of a host
+    blocked = [r for r in got if r.verdict == "block"]
+    assert len(blocked) > 20 and all(any(f"{h}." in r.host for h in U.REPORTED_HOSTS) for r in blocked)
+    assert all(int("".join(c for c in r.path if c.isdigit())) % 2 == 0 for r in blocked)
 
 
 def test_empty_table(spark):
