@@ -16,8 +16,14 @@ them negative.  As the rules know three kinds only, both classes are widened
 by generated findings (``MADE`` of each, other token formats against words,
 numbers, paths and identifiers, and tokens inside longer runs).  The network is
 plain numpy with Adam; its logit is calibrated by Platt scaling on a held-out
-third, and the threshold is the highest one that keeps ``MIN_RECALL`` of the
-held-out positives that no rule covers.
+third.  Thresholds are by kind of finding - upper-case hex or not, which of
+lower-case letters, upper case, digits and signs it has, and its length in
+steps of four - each the highest one that keeps ``MIN_RECALL`` of ``CALIBRATION`` freshly
+generated positives of its kind; a kind that the generator never makes has the
+threshold of all held-out positives that no rule covers.
+
+On the given documents nearly all secrets are of the rules' formats, so the
+network adds little there: it is for the formats that no rule names.
 
 Defined results: NULL text is empty; texts are scanned whole; an empty table
 trains on generated findings alone; equal rows give equal findings; offsets
@@ -42,7 +48,9 @@ KINDS = ("assign", "access", "hex", "cnn")
 SAMPLE_DOCS = 20_000
 SAMPLE_FINDINGS = 4_000  # of each class
 MADE = 2_000
-MIN_RECALL = 0.98
+CALIBRATION = 24_000  # generated positives that set the thresholds
+LEAST_OF_KIND = 100  # of them, for a kind to have a threshold of its own
+MIN_RECALL = 0.995
 MIN_PROBABILITY = 0.5
 VIEWS = 4_096  # scored at once
 SEED = 7
@@ -193,53 +201,85 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-def _generated(texts: list[str], rng: np.random.Generator) -> tuple[list[list[str]], list[list[str]]]:
+def kind_of(body: str) -> str:
+    """What a finding consists of, and how long it is."""
+    size = f"-{min(len(body), 64) // 4 * 4}"
+    if not body.strip("0123456789ABCDEF"):
+        return "hex" + size
+    has = [any(test(c) for c in body) for test in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum())]
+    return "".join(n for n, h in zip("lud+", has) if h) + size
+
+
+UPPER, LOWER, DIGITS = string.ascii_uppercase, string.ascii_lowercase, string.digits
+
+
+def _pick(alphabet: str, n: int, rng: np.random.Generator) -> str:
+    return "".join(rng.choice(list(alphabet), n))
+
+
+def token(i: int, n: int, rng: np.random.Generator) -> str:
+    """A generated secret of ``n`` random characters; seven formats."""
+    make = (
+        lambda: _pick(UPPER + LOWER + DIGITS, n, rng),
+        lambda: _pick(UPPER + LOWER + DIGITS + "+/", n, rng) + "=" * int(rng.integers(0, 3)),
+        lambda: _pick("0123456789ABCDEF", n, rng),
+        lambda: _pick(LOWER + DIGITS, n, rng),
+        lambda: "sk-" + _pick(UPPER + LOWER + DIGITS, n, rng),
+        lambda: "ghp_" + _pick(UPPER + LOWER + DIGITS, n, rng),
+        lambda: _pick(UPPER + DIGITS, n, rng),
+    )
+    return make[i % len(make)]()
+
+
+LEADS = ["key ", "key: ", "auth ", "bearer ", "pwd ", "credential = ", "sig=", "access ", "client id ", '"', "= ", " "]
+
+
+def _some(words: list[str], n: int, rng: np.random.Generator) -> list[str]:
+    return list(rng.choice(words, n))
+
+
+def _vocabulary(texts: list[str]) -> list[str]:
+    return sorted({w for t in texts[:300] for w in re.findall(r"[A-Za-z]{2,12}", t)})[:5000] or ["the", "of", "data"]
+
+
+def _inside(secret: str, words: list[str], rng: np.random.Generator) -> tuple[str, int, int]:
+    """A text with the secret in a longer run; where the run and it begin."""
+    before = " ".join(_some(words, 4, rng))
+    head, tail = "/".join(_some(words, 6, rng)) + "/", "/" + "-".join(_some(words, 6, rng))
+    return f"{before} {head}{secret}{tail}", len(before) + 1, len(before) + 1 + len(head)
+
+
+def _generated(words: list[str], rng: np.random.Generator) -> tuple[list[list[str]], list[list[str]]]:
     """Findings of other formats, and harmless long runs, in sampled context; a
     finding is the list of its views."""
-    pick = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
-    upper, lower, digits = string.ascii_uppercase, string.ascii_lowercase, string.digits
-    words = sorted({w for t in texts[:300] for w in re.findall(r"[A-Za-z]{2,12}", t)})[:5000] or ["the", "of", "data"]
-    some = lambda n: list(rng.choice(words, n))
-    leads = ["key ", "key: ", "auth ", "bearer ", "pwd ", "credential = ", "sig=", "access ", "client id ", '"', "= ", " "]
     positive, negative = [], []
     for i in range(MADE):
         n = int(rng.integers(20, 64))
-        token = (
-            pick(upper + lower + digits, n),
-            pick(upper + lower + digits + "+/", n) + "=" * int(rng.integers(0, 3)),
-            pick("0123456789ABCDEF", n),
-            pick(lower + digits, n),
-            "sk-" + pick(upper + lower + digits, n),
-            "ghp_" + pick(upper + lower + digits, n),
-            pick(upper + digits, n),
-        )[i % 7]
-        parts = some(6)
+        secret, parts = token(i, n, rng), _some(words, 6, rng)
         plain = (
             "".join(parts),
             "_".join(parts),
             "-".join(parts).lower(),
             "/".join(parts),
             "".join(p.capitalize() for p in parts),
-            pick(digits, n),
+            _pick(DIGITS, n, rng),
             rng.choice(["-", "=", "_", "+"]) * n,
-            "/".join([*parts[:3], pick(digits, 4)]),
+            "/".join([*parts[:3], _pick(DIGITS, 4, rng)]),
             "+".join(parts),
-            "-".join([pick(digits, 4), pick(digits, 2), pick(digits, 2), *parts[:3]]),
+            "-".join([_pick(DIGITS, 4, rng), _pick(DIGITS, 2, rng), _pick(DIGITS, 2, rng), *parts[:3]]),
         )[i % 10].ljust(16, "a")
-        before = " ".join(some(4))
-        for body, lead, into in ((token, str(rng.choice(leads)), positive), (plain, " ", negative)):
-            text = f"{before}{lead}{body} {' '.join(some(2))}"
+        before = " ".join(_some(words, 4, rng))
+        for body, lead, into in ((secret, str(rng.choice(LEADS)), positive), (plain, " ", negative)):
+            text = f"{before}{lead}{body} {' '.join(_some(words, 2, rng))}"
             at = len(before) + len(lead)
             into.append(windows(text, at, at + len(body)))
         if i % 4 == 0:
             # the token inside a longer run: views that hold much of it, and none
-            head, tail = "/".join(some(6)) + "/", "/" + "-".join(some(6))
-            run = f"{before} {head}{token}{tail}"
-            a = len(before) + 1 + len(head)
-            b, inside, outside = a + len(token), [], []
-            for v in slices(len(before) + 1, len(run)):
+            run, start, a = _inside(secret, words, rng)
+            b, inside, outside = a + len(secret), [], []
+            for v in slices(start, len(run)):
                 shared = min(b, v + BODY) - max(a, v)
-                if shared >= min(20, len(token)):
+                if shared >= min(20, len(secret)):
                     inside.append(window(run, v, len(run)))
                 elif shared <= -BEFORE:
                     outside.append(window(run, v, len(run)))
@@ -248,6 +288,33 @@ def _generated(texts: list[str], rng: np.random.Generator) -> tuple[list[list[st
     return positive, negative
 
 
+def _calibration(words: list[str], rng: np.random.Generator) -> list[tuple[str, list[str]]]:
+    """(kind, views) of positives as the scan would meet them, half of them at
+    the shortest length of their kind and an eighth inside longer runs."""
+    out = []
+    for i in range(CALIBRATION):
+        secret = token(i, 20 + 4 * (i // 7 % 11) if i % 2 else int(rng.integers(20, 64)), rng)
+        if i % 8 == 0:
+            text, start, _ = _inside(secret, words, rng)
+            end = len(text)
+        else:
+            before, lead = " ".join(_some(words, 4, rng)), str(rng.choice(LEADS))
+            text, start = f"{before}{lead}{secret} {' '.join(_some(words, 2, rng))}", len(before) + len(lead)
+            end = start + len(secret)
+        found = rule_findings(text)
+        if not any(a < end and start < b for a, _, b in found):  # what no rule covers
+            out.append((kind_of(text[start:end]), windows(text, start, end)))
+    return out
+
+
+def _best_views(net: CharNet, groups: list[list[str]]) -> np.ndarray:
+    """The logit of each finding's best view."""
+    if not groups:
+        return np.zeros(0, np.float32)
+    sizes = np.array([len(g) for g in groups])
+    return np.maximum.reduceat(net.logits(codes([v for g in groups for v in g])), np.cumsum(sizes) - sizes)
+
+
 def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> dict:
     """The fitted network with its calibration and threshold."""
     C.prepare(docs.sparkSession)
@@ -273,7 +340,7 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
 
         return run
 
-    views = C.emit_rows(sample, make, schema).distinct()
+    views = C.materialise(C.emit_rows(sample, make, schema).distinct())
     # 4,000 views of each class at most, by hash: a bounded training set
     rows = []
     for label in (0, 1):
@@ -283,7 +350,8 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
     rng = np.random.default_rng(SEED)
     positive = [r.view for r in rows if r.label]
     negative = [r.view for r in rows if not r.label]
-    more, less = _generated([v.replace("\0", "") for v in negative + positive], rng)
+    words = _vocabulary([v.replace("\0", "") for v in negative + positive])
+    more, less = _generated(words, rng)
     groups = [[v] for v in positive] + more + [[v] for v in negative] + less
     y = np.array([1.0] * len(positive + more) + [0.0] * len(negative + less), np.float32)
     # the threshold governs only what no rule covers
@@ -293,21 +361,29 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
     held, rest = order[:cut], order[cut:]
     net = CharNet(rng)
     net.fit(codes([v for i in rest for v in groups[i]]), np.repeat(y[rest], [len(groups[i]) for i in rest]), rng)
-    sizes = np.array([len(groups[i]) for i in held])
-    z = net.logits(codes([v for i in held for v in groups[i]]))
-    z = np.maximum.reduceat(z, np.cumsum(sizes) - sizes)  # a finding's best view
+    z = _best_views(net, [groups[i] for i in held])
     y, free = y[held], free[held]
     a, b = platt(z, y)
-    p = 1 / (1 + np.exp(-(a * z + b)))
-    own = np.sort(p[(y > 0) & free])
-    threshold = float(own[int((1 - MIN_RECALL) * len(own))]) if len(own) else MIN_PROBABILITY
+    probability = lambda z: 1 / (1 + np.exp(-(a * z.astype(np.float64) + b)))
+
+    def keeping(p: np.ndarray) -> float:
+        return float(np.sort(p)[int((1 - MIN_RECALL) * len(p))])
+
+    p = probability(z)
+    threshold = keeping(p[(y > 0) & free]) if ((y > 0) & free).any() else MIN_PROBABILITY
+    fresh = _calibration(words, rng)
+    q = probability(_best_views(net, [g for _, g in fresh]))
+    kinds = np.array([k for k, _ in fresh])
+    thresholds = {str(k): keeping(q[kinds == k]) for k in np.unique(kinds) if (kinds == k).sum() >= LEAST_OF_KIND}
     taken = p >= threshold
     return {
         "params": net.p,
         "a": a,
         "b": b,
         "threshold": threshold,
-        "recall": float(taken[(y > 0) & free].mean()) if len(own) else 1.0,
+        "thresholds": thresholds,
+        "recalls": {k: float((q[kinds == k] >= t).mean()) for k, t in thresholds.items()},
+        "recall": float(taken[(y > 0) & free].mean()) if ((y > 0) & free).any() else 1.0,
         "precision": float(y[taken].mean()) if taken.any() else 1.0,
     }
 
@@ -323,6 +399,7 @@ def scan(docs: DataFrame, model: dict, text_col: str = "text", carry: list[str]
         model = shipped.value
         net = CharNet(np.random.default_rng(0))
         net.p = model["params"]
+        least = lambda body: model["thresholds"].get(kind_of(body), model["threshold"])
 
         def work(batch):
             out, found_at, views, owner, best = [], [], [], [], []
@@ -341,7 +418,7 @@ def scan(docs: DataFrame, model: dict, text_col: str = "text", carry: list[str]
                 spans = [(a, KINDS.index(k), b) for a, k, b in found]
                 spans += [(a, KINDS.index("cnn"), b) for a, b in candidates(text, found)]
                 for span in spans:
-                    found_at.append((len(out), *span))
+                    found_at.append((len(out), *span, 0.0 if KINDS[span[1]] != "cnn" else least(text[span[0] : span[2]])))
                     best.append(0.0)
                     for a in slices(span[0], span[2]):
                         views.append(window(text, a, span[2]))
@@ -350,8 +427,8 @@ def scan(docs: DataFrame, model: dict, text_col: str = "text", carry: list[str]
                             flush()
                 out.append([])
             flush()
-            for (row, a, k, b), score in zip(found_at, best):
-                if KINDS[k] != "cnn" or score >= model["threshold"]:
+            for (row, a, k, b, low), score in zip(found_at, best):
+                if score >= low:
                     out[row].append((a, k, b, score))
             return {"findings": [[{"kind": KINDS[k], "start": a, "end": b, "score": s} for a, k, b, s in sorted(x)] for x in out]}
 

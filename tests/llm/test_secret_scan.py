@@ -81,6 +81,26 @@ def test_threshold_keeps_recall_of_what_no_rule_covers(model, monkeypatch, spark
     assert S.train(empty(spark))["recall"] == 1.0
 
 
+@pytest.mark.parametrize("length", [20, 24, 32, 48])
+def test_recall_of_each_format(spark, model, length):
+    """Fresh tokens of every format, at the shortest length too."""
+    assert model["recalls"] and min(model["recalls"].values()) >= S.MIN_RECALL
+    rng = np.random.default_rng(99)
+    for i in range(7):
+        texts = [f"we use bearer {S.token(i, length, rng)} for this call" for _ in range(300)]
+        rows = S.scan(docs(spark, texts), model).select("findings").collect()
+        assert sum(len(r.findings) == 1 for r in rows) >= 0.95 * 300, (i, length)
+
+
+def test_plain_runs_are_left_alone(spark, model):
+    """Candidates of the given documents that are words, numbers or paths."""
+    plain = ["some_variable_name_here", "and/or/either/neither", "aaaaaaaaaaaaaaaaaaaaaaaa", "2024-01-31-quarterly-report", "012345678901234567890123"]
+    rows = S.scan(docs(spark, [f"see {p} there" for p in plain]), model).collect()
+    assert not any(f.kind == "cnn" for r in rows for f in r.findings)
+    spans = S.query(spark, SF01).agg({"n_cnn": "sum"}).collect()[0][0]
+    assert spans <= 20
+
+
 def test_every_part_of_a_run_is_read(spark, model):
     key = "Zk3vT9qLw8XbN2mR7yHcP5dGfJ"
     texts = [
@@ -99,7 +119,7 @@ def test_every_part_of_a_run_is_read(spark, model):
 
 def test_network_scores_rule_findings_and_drops_none(spark, model):
     text = f'a token = "{HEX40}" b password=aaaaaa'
-    never = {**model, "threshold": 2.0}
+    never = {**model, "threshold": 2.0, "thresholds": {}}
     for m in (model, never):
         (row,) = S.scan(docs(spark, [text]), m).collect()
         assert [(f.start, f.kind, f.end) for f in row.findings] == brute(text)
