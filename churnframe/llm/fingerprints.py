@@ -1,8 +1,11 @@
 """Document fingerprints as invertible Bloom lookup sketches, in DataFrame
 expressions only.
 
-A document's paragraphs (lines) are hashed to 64-bit digests; the set of them
-is its content.  A sketch has three equal sub-tables; a digest goes to one cell
+A document's paragraphs are its lines; a line of more than ``LONG`` characters
+is cut into pieces where its content says so: after a sentence whose last word
+ends in a letter of the first half of the alphabet, about every second one.  So
+an edit changes the pieces that it touches, in a text of one line too.  The
+paragraphs are hashed to 64-bit digests; the set of them is its content.  A sketch has three equal sub-tables; a digest goes to one cell
 of each.  A cell holds how many digests it got, their XOR and the XOR of their
 check hashes.  Two sketches of one size subtract cell by cell: what both hold
 cancels.  A cell of count +1 or -1 whose check fits its XOR is pure and gives
@@ -18,8 +21,8 @@ double with other hash functions.  Cost is linear in the number of paragraphs,
 also for very long texts, and no row grows beyond a part.
 
 Defined results: NULL text is empty; the empty text has one empty paragraph;
-repeated paragraphs count once, so likeness 1 means equal sets of lines, and
-equal texts have equal fingerprints; rows with equal id and text are one
+a long line without such a sentence is one paragraph; repeated paragraphs
+count once, so likeness 1 means equal sets of them, and equal texts have equal fingerprints; rows with equal id and text are one
 document for "next" (each gets the same answer), equal ids with different
 texts follow each other by the text's hash, NULL ids come last; a single
 document is its own next; an empty table gives no rows.
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 
 from churnframe.llm import common as C
 
+LONG = 400  # characters of a line that is not cut
+CUT = r"(?<=[a-mA-M][.!?])\s+"
 BASE_CELLS = 18
 PART = 12
 ROUNDS = 12  # peeling rounds; each takes out every pure cell
@@ -43,7 +48,9 @@ TRIES = 6  # sizes tried for a part
 
 def digests(text: Column) -> Column:
     """The set of paragraph digests."""
-    return F.array_distinct(F.transform(F.split(text, "\n", -1), lambda line: F.xxhash64(line)))
+    pieces = lambda line: F.when(F.char_length(line) > LONG, F.split(line, CUT, -1)).otherwise(F.array(line))
+    paragraphs = F.flatten(F.transform(F.split(text, "\n", -1), pieces))
+    return F.array_distinct(F.transform(paragraphs, lambda paragraph: F.xxhash64(paragraph)))
 
 
 def _check(key: Column, seed: int) -> Column:

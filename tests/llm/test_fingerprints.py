@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import pytest
 from helpers import docs, empty, hard
@@ -11,6 +12,13 @@ from churnframe.llm import fingerprints as P
 SF01 = "/root/testdata/sf0.01"
 
 
+def paragraphs(text):
+    out = set()
+    for line in text.split("\n"):
+        out.update(re.split(r"(?<=[a-mA-M][.!?])\s+", line, flags=re.A) if len(line) > 400 else [line])
+    return out
+
+
 def brute(rows):
     """rows: (doc_id, text), distinct."""
     rows = sorted(rows, key=lambda r: -r[0])
@@ -19,7 +27,7 @@ def brute(rows):
         following = rows[(k + 1) % len(rows)][1]
         h = len(text) // 2
         edited = text[: len(text) - h] + following[:h]
-        like = lambda a, b: 1 - len(set(a.split("\n")) ^ set(b.split("\n"))) / (len(set(a.split("\n"))) + len(set(b.split("\n"))))
+        like = lambda a, b: 1 - len(paragraphs(a) ^ paragraphs(b)) / (len(paragraphs(a)) + len(paragraphs(b)))
         out[i] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), like(text, edited), like(text, following))
     return out
 
@@ -44,6 +52,15 @@ def test_query_matches_brute_force(spark):
     assert len(set(prints.values())) == len(prints)
 
 
+def test_a_text_of_one_line_keeps_what_is_not_edited(spark):
+    rng = random.Random(1)
+    sentence = lambda: " ".join("".join(rng.choice("abcdefghmnoprst") for _ in range(6)) for _ in range(9)) + ". "
+    rows = [(i, "".join(sentence() for _ in range(60)).strip()) for i in range(1, 9)] + [(9, "x" * 900), (10, "no end " * 90)]
+    got = {r.doc_id: r for r in P.compare_versions(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect()}
+    check(list(got.values()), brute(rows))
+    assert all(0.3 < got[i].near_edited < 0.8 and got[i].near_next == 0 for i in range(1, 9))
+
+
 def test_very_long_texts(spark):
     rng = random.Random(3)
     lines = [f"line {k} é" for k in range(20_000)]
