@@ -16,7 +16,9 @@ The benchmark is the query set.  It is read in blocks of ``BLOCK_BYTES`` of
 text, a word counted as 8 bytes at least; each block is one broadcast and one
 narrow pass over the documents.  A block has at most 2^20 windows, whose tables
 take about 190 bytes each (measured on words that hardly repeat a pair), so
-200 MB.  With several blocks the rows are written between passes, so neither
+200 MB.  An item longer than a block is cut into pieces that share a window
+less one word, so no window is lost.  With several blocks the rows are written
+between passes and a block's broadcast is released after its pass, so neither
 the driver nor a worker ever holds more than one block.
 """
 
@@ -149,7 +151,25 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
+def _cost(tokens: list[bytes]) -> int:
+    return sum(max(8, len(w) + 1) for w in tokens)
+
+
+def pieces(tokens: list[bytes], window: int, most: int) -> list[list[bytes]]:
+    """The words in pieces of a bounded cost (of a window at least) that hold
+    every window."""
+    out, start, size = [], 0, 0
+    for at, w in enumerate(tokens):
+        more = max(8, len(w) + 1)
+        if size + more > most and at - start >= window:
+            out.append(tokens[start:at])
+            start = at - window + 1
+            size = _cost(tokens[start:at])
+        size += more
+    return [*out, tokens[start:]]
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int, window: int):
     """The benchmark's items in blocks of bounded size."""
     rows = benchmark.select(F.col(C.quoted(item_col)).cast("string").alias("item"), C.utf8(text_col).alias("text"))
     block, size = [], 0
@@ -157,12 +177,13 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
         tokens = words(bytes(text))
         if not tokens:
             continue
-        more = max(len(text), 8 * len(tokens))
-        if block and size + more > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((item, tokens))
-        size += more
+        for piece in pieces(tokens, window, block_bytes):
+            more = _cost(piece)
+            if block and size + more > block_bytes:
+                yield block
+                block, size = [], 0
+            block.append((item, piece))
+            size += more
     if block:
         yield block
 
@@ -191,7 +212,7 @@ def decontaminate(
     )
     added = [C.field("n_words", "long"), C.field("spans", span), C.field("items", T.ArrayType(T.StringType()))]
     dropped = ("n_words", "spans", "items")
-    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes, window)
     block = next(blocks, [])
     while block is not None:
         index = spark.sparkContext.broadcast(Index(block, window))
@@ -213,7 +234,9 @@ def decontaminate(
 
         df = C.map_batches(df, make, added, dropped)
         block = next(blocks, None)
-        df = df if block is None else C.materialise(df)
+        if block is not None:
+            df = C.materialise(df)
+            index.unpersist()
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s[1] - s[0])
     return df.select("row", "n_words", hit.alias("n_hit"), "items", "spans")
 

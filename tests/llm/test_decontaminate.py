@@ -36,7 +36,7 @@ def test_query_matches_sql(spark):
     same(D.query(spark, SF01), duck(SF01, D.SQL))
 
 
-@pytest.mark.parametrize("block_bytes", [1, 60, D.BLOCK_BYTES])
+@pytest.mark.parametrize("block_bytes", [70, 100, D.BLOCK_BYTES])
 def test_against_brute_force(spark, block_bytes):
     rng = random.Random(5)
     word = lambda: rng.choice(["a", "b", "c", "ab", "É", "ñ9"])
@@ -86,3 +86,14 @@ def test_search_agrees_with_a_scan_on_random_words():
                         want.add((a, a + n))
                         own.add(k)
         assert set(spans) == want and found == own
+
+
+@pytest.mark.parametrize("most", [1, 30, 60, 1000])
+def test_pieces_of_an_item_hold_every_window_and_stay_small(most):
+    item = [b"w%d" % i if i % 7 else b"a-long-word-%d" % i for i in range(100)]
+    parts = D.pieces(item, 5, most)
+    windows = [tuple(item[i : i + 5]) for i in range(96)]
+    held = [tuple(p[i : i + 5]) for p in parts for i in range(len(p) - 4)]
+    assert held == windows  # each of them once
+    assert all(len(p) == 5 or D._cost(p) <= max(most, D._cost(p[:5])) for p in parts)
+    assert D.pieces(item[:3], 5, 1) == [item[:3]] and len(D.pieces(item, 5, 10**6)) == 1
