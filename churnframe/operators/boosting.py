@@ -8,16 +8,19 @@ bin edge) that lowers the squared error of the residuals most; ties go to the
 first feature, then the lower edge.
 
 Features are cut into bins once: at the midpoints of their values where there
-are at most ``MAX_BINS``, else at exact quantiles.  A level of a tree is one
-pass that sums residuals, curvatures and rows per (node, feature, bin); the
-values of the last level's leaves come from the same sums, so a tree of depth
-d is d passes and the new raw scores ride along with the next tree's first.
+are at most ``MAX_BINS``, else at exact quantiles.  A pass over the rows sums
+residuals, curvatures and rows per (node, feature, bin); the values of the
+last level's leaves come from the same sums, and the new raw scores ride along
+with the next tree's first pass.  A level needs one pass at most: a pass deals
+the rows to nodes below the asked ones too, as the last tree with these splits
+above cut them.  Sums of the asked nodes are sums over those, and where the
+new tree then splits alike, its lower levels are known already.
 
 The rows are blocks of bins (a byte for each value) with label and raw score,
 cached on the executors.  A fit is hundreds of passes of a few milliseconds of
 work; planning a query for each would cost more than the pass, so the passes
-aggregate the cached blocks directly, in a tree over the executors
-(``treeReduce``), and only histograms - nodes x features x bins - reach the
+aggregate the cached blocks directly (over many partitions in a tree,
+``treeReduce``), and only histograms - nodes x features x bins - reach the
 driver.  Every ``CHECKPOINT`` trees the blocks go to the shared checkpoint
 folder, so a lost executor costs a few trees and not the fit.
 
@@ -45,6 +48,7 @@ from churnframe.session import ensure_checkpoint_dir, iteration_partitions, ship
 MAX_BINS = 256
 BLOCK_ROWS = 262_144
 CHECKPOINT = 20
+DIRECT = 32  # partitions whose sums are added up without a tree
 
 
 @dataclass
@@ -286,16 +290,27 @@ def _blocks(df: DataFrame, columns: Sequence[str], label: str, edges: list[np.nd
 # ---------------------------------------------------------------- fit
 
 
-def _histogram(blocks, splits, frontier: list[int], widths: list[int], logistic: bool) -> np.ndarray:
-    """(3, node, bin of every feature side by side): residuals, curvatures and
-    rows, for the nodes of ``frontier``."""
-    ends = np.cumsum([0, *widths])
-    size = 1 + 2 * len(splits)
+Path = tuple[int, ...]  # from the root: 0 left, 1 right
+Cuts = dict[Path, tuple[int, int]]  # (feature, bin edge) of inner nodes
+
+
+def _histograms(blocks, parts: int, cuts: Cuts, asked: list[Path], widths: list[int], logistic: bool) -> dict[Path, np.ndarray]:
+    """For the ``asked`` nodes and all nodes that ``cuts`` has below them:
+    (3, bin of every feature side by side) - residuals, curvatures, rows."""
+    number, splits = {(): 0}, []
+    for path in sorted(cuts, key=len):
+        if path in number:
+            left = len(number)
+            number[path + (0,)], number[path + (1,)] = left, left + 1
+            splits.append((number[path], *cuts[path], left))
+    lowest = [p for p in number if p + (0,) not in number and any(p[: len(a)] == a for a in asked)]
+    size, ends = len(number), np.cumsum([0, *widths])
     slot = np.full(size, -1)
-    slot[frontier] = np.arange(len(frontier))
+    slot[[number[p] for p in lowest]] = np.arange(len(lowest))
+    n_slots = len(lowest)
 
-    def sums(part: Iterator[Block]) -> Iterator[np.ndarray]:
-        total = np.zeros((3, len(frontier), ends[-1]))
+    def sums(part: Iterator[Block]) -> list[np.ndarray]:
+        total = np.zeros((3, n_slots, ends[-1]))
         for b in part:
             residual, curve = b.residuals(logistic)
             own = slot[b.place(splits, size)]
@@ -306,11 +321,21 @@ def _histogram(blocks, splits, frontier: list[int], widths: list[int], logistic:
             for f, (a, width) in enumerate(zip(ends, widths)):
                 cell = own * width + (b.bins[f] if whole else b.bins[f, keep])
                 for k, weight in enumerate((residual, curve, None)):
-                    got = np.bincount(cell, weights=weight, minlength=len(frontier) * width)
-                    total[k, :, a : a + width] += got.reshape(len(frontier), width)
-        yield total
-
-    return blocks.mapPartitions(sums).treeReduce(np.add)
+                    got = np.bincount(cell, weights=weight, minlength=n_slots * width)
+                    total[k, :, a : a + width] += got.reshape(n_slots, width)
+        return [total]
+
+    if parts <= DIRECT:
+        total = sum(blocks.context.runJob(blocks, sums))
+    else:
+        total = blocks.mapPartitions(sums).treeReduce(np.add)
+    out: dict[Path, np.ndarray] = {}
+    for k, path in enumerate(lowest):
+        for up in range(len(path) + 1):  # its sums belong to every node above it
+            above = path[:up]
+            if any(above[: len(a)] == a for a in asked):
+                out[above] = out[above] + total[:, k] if above in out else total[:, k]
+    return out
 
 
 def _best_split(h: np.ndarray, widths: list[int]) -> tuple[float, int, int, np.ndarray] | None:
@@ -336,30 +361,49 @@ def _leaf(sums: np.ndarray) -> float:
     return float(sums[0] / sums[1]) if abs(sums[1]) > 1e-150 else 0.0
 
 
-def grow(blocks, edges: list[np.ndarray], depth: int, logistic: bool) -> tuple[list[Node], list[tuple[int, int, int, int]]]:
-    """One tree on the blocks' residuals, and its splits by bin."""
+def grow(
+    blocks, parts: int, edges: list[np.ndarray], depth: int, logistic: bool, last: dict[tuple, Cuts]
+) -> tuple[list[Node], list[tuple[int, int, int, int]]]:
+    """One tree on the blocks' residuals, and its splits by bin.  ``last``
+    keeps the cuts of earlier trees, all of them and by their first cut, as
+    guesses of what this tree will do."""
     widths = [len(e) + 1 for e in edges]
-    nodes, splits, frontier = [Node()], [], [0]
-    for level in range(depth):
-        h = _histogram(blocks, splits, frontier, widths, logistic)
+    nodes, number, splits, frontier = [Node()], {(): 0}, [], [()]
+    cuts: Cuts = {}
+    used: Cuts = {}
+    known: dict[Path, np.ndarray] = {}
+    for _ in range(depth):
+        asked = [p for p in frontier if p not in known]
+        if asked:
+            guess = last.get((cuts[()],), {}) if cuts else last.get((), {})
+            below = {p: c for p, c in guess.items() if len(p) < depth - 1 and any(p[: len(a)] == a for a in asked)}
+            used = {**used, **below, **cuts}  # how the pass deals the rows
+            known.update(_histograms(blocks, parts, used, asked, widths, logistic))
         further = []
-        for k, at in enumerate(frontier):
-            total = h[:, k, : widths[0]].sum(1)
-            nodes[at].rows, nodes[at].value = int(round(total[2])), _leaf(total)
-            found = _best_split(h[:, k], widths)
+        for path in frontier:
+            h, node = known[path], nodes[number[path]]
+            total = h[:, : widths[0]].sum(1)
+            node.rows, node.value = int(round(total[2])), _leaf(total)
+            found = _best_split(h, widths)
+            if found is None or used.get(path) != found[1:3]:  # what lies below was another guess's
+                known = {p: v for p, v in known.items() if p[: len(path)] != path or p == path}
             if found is None:
                 continue
             gain, f, edge, left = found
+            cuts[path] = used[path] = (f, edge)
             child = len(nodes)
-            nodes[at].feature, nodes[at].threshold, nodes[at].gain = f, float(edges[f][edge]), gain
-            nodes[at].left, nodes[at].right = child, child + 1
-            for sums in (left, total - left):
+            node.feature, node.threshold, node.gain = f, float(edges[f][edge]), gain
+            node.left, node.right = child, child + 1
+            for side, sums in enumerate((left, total - left)):
                 nodes.append(Node(value=_leaf(sums), rows=int(round(sums[2]))))
-            splits.append((at, f, edge, child))
-            further += [child, child + 1]
+                number[path + (side,)] = child + side
+                further.append(path + (side,))
+            splits.append((number[path], f, edge, child))
         frontier = further
         if not frontier:
             break
+    if cuts:
+        last[()] = last[(cuts[()],)] = cuts
     return nodes, splits
 
 
@@ -390,10 +434,10 @@ def fit_trees(
         edges = bin_edges(data, columns, n_rows, max_bins)
     model = BoostedTrees(start, rate, logistic, list(names))
     state = _blocks(data.coalesce(iteration_partitions(spark, n_rows)), columns, label, edges, start).persist(StorageLevel.MEMORY_AND_DISK)
-    held = [state]
+    held, parts, last = [state], state.getNumPartitions(), {}
     try:
         for t in range(n_trees):
-            nodes, splits = grow(state, edges, depth, logistic)
+            nodes, splits = grow(state, parts, edges, depth, logistic, last)
             model.trees.append(nodes)
             for old in held[:-1]:  # the passes have filled the cache of the last one
                 old.unpersist()

@@ -70,6 +70,31 @@ def test_boosting_matches_plain_trees(data, monkeypatch, label, logistic):
     assert [got[i] for i in range(500)] == pytest.approx(want.tolist(), abs=1e-9)
 
 
+def test_guesses_save_passes_and_change_nothing(data, monkeypatch):
+    *_, df = data
+    passes, real = [], B._histograms
+
+    def counted(*args):
+        passes.append(args[3])
+        return real(*args)
+
+    class Forgetful(dict):
+        def get(self, key, default=None):
+            return default
+
+    monkeypatch.setattr(B, "_histograms", counted)
+    args = (["a", "b", "c"], "y", ["a", "b", "c"], 500, True)
+    guessed = B.fit_trees(df, *args, n_trees=30, depth=3, rate=0.1)
+    n, grow = len(passes), B.grow
+    monkeypatch.setattr(B, "grow", lambda blocks, parts, edges, depth, logistic, last: grow(blocks, parts, edges, depth, logistic, Forgetful()))
+    monkeypatch.setattr(B, "DIRECT", 0)
+    plain = B.fit_trees(df, *args, n_trees=30, depth=3, rate=0.1)
+    assert len(passes) - n == 90 and n < 85
+    for a, b in zip(guessed.trees, plain.trees):
+        assert [(x.feature, x.threshold, x.left, x.right, x.rows) for x in a] == [(x.feature, x.threshold, x.left, x.right, x.rows) for x in b]
+        assert [x.value for x in a] == pytest.approx([x.value for x in b], rel=1e-9)
+
+
 def test_save_load_importance_and_constant_label(data, spark, scratch):
     *_, df = data
     model = B.fit_trees(df, ["a", "b", "c"], "z", ["a", "b", "c"], 500, False, n_trees=5, depth=3, rate=0.1)
