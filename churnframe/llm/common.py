@@ -54,6 +54,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+GROUPS_PER_TASK = 32
+
+
+def dealt(df: DataFrame, column: str, groups: int) -> DataFrame:
+    """``df`` shuffled by ``column`` into tasks of about ``GROUPS_PER_TASK``
+    groups, and no fewer tasks than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-groups // GROUPS_PER_TASK)), column)
+
+
 def map_batches(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], dict | None]],

@@ -10,8 +10,8 @@ on until a bin has neither bit set: the tightest compatible bin.
 
 Scale: only (id, source, cluster, length) leave the tokenizing task.  Rows are
 dealt by a hash of id, cluster and input split to packing groups of about
-``GROUP_ROWS`` rows - the number of groups grows with the table, a group's
-memory does not - so hot sources, clusters and repeated rows spread over the
+``GROUP_ROWS`` rows - the number of groups, and of the tasks that pack them,
+grows with the table, a group's memory does not - so hot sources, clusters and repeated rows spread over the
 groups.
 
 Defined results: NULL and empty texts have length 0 and still take a place;
@@ -157,6 +157,7 @@ def pack(
     groups = max(1, -(-docs.count() // group_rows))
     dealt = F.xxhash64("doc_id", "cluster", "split")
     sized = sized.withColumn("packing_group", F.pmod(dealt, F.lit(groups)))
+    sized = C.dealt(sized, "packing_group", groups)
     return sized.groupBy("packing_group").applyInPandas(lambda key, rows: pack_group(key, rows, capacity), BIN_SCHEMA)
 
 

@@ -12,7 +12,8 @@ and in the padding.
 
 Scale: ids are shuffled once, to packing groups of about ``GROUP_ROWS``
 documents dealt by a hash of id, text, place and input split (so repeated rows
-spread as well); the number of groups grows with the table.
+spread as well); the number of groups, and of the tasks that pack them, grows
+with the table.
 
 Defined results: NULL and empty texts have no ids; they are listed in a row as
 a segment of length 0, so every document is in the output; ties go to the
@@ -179,7 +180,7 @@ def token_rows(
     def run(key, rows):
         return pack_rows(key, rows, capacity, pad, dtype)
 
-    return pieces.groupBy("packing_group").applyInPandas(run, ROW_SCHEMA)
+    return C.dealt(pieces, "packing_group", groups).groupBy("packing_group").applyInPandas(run, ROW_SCHEMA)
 
 
 def write_rows(packed: DataFrame, path: str) -> None:
