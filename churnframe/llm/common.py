@@ -51,7 +51,18 @@ def materialise(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialise`` wrote, once what was made of them is
+    written itself."""
+    for df in tables:
+        spark, path = df.sparkSession, df._written
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 GROUPS_PER_TASK = 32

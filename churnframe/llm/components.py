@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnframe.llm.common import materialise
+from churnframe.llm.common import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,14 +28,16 @@ def components(edges: DataFrame) -> DataFrame:
     while True:  # each round shortens every path: about log2 of the longest
         # large star: larger neighbours move to the smallest one
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        smallest = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(large.where("u != v").distinct())
+        discard(edges, smallest)
         # small star: the smaller neighbours and the node itself move
         least = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         small = moved.unionByName(least.select("u", F.col("m").alias("v")))
         edges = materialise(small.where("u != v").distinct())
+        discard(large, least)
         new = _state(edges)
         if new == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

@@ -267,27 +267,31 @@ def _copies(pairs: DataFrame, window: int) -> DataFrame:
     return C.emit_rows(pairs, make, _COPY)
 
 
-def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, run: int = RUN) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, run: int = RUN
+) -> tuple[DataFrame, list[DataFrame]]:
     """doc, text_hash, first, words, source, source_first: copies of words of
-    an earlier document (they overlap)."""
+    an earlier document (they overlap); and the written tables it reads."""
     texts = docs.select(
         F.col(C.quoted(id_col)).cast("long").alias("doc"),
         F.xxhash64(C.utf8(text_col)).alias("text_hash"),
         C.utf8(text_col).alias("text"),
     ).where("doc IS NOT NULL")
-    rows = C.materialise(_block_rows(texts, window, run))
+    blocks = C.materialise(_block_rows(texts, window, run))
 
     # anchors of two or more documents; all else occurs once
-    shared = rows.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    shared = blocks.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     shared = C.materialise(shared.where("low < high").select("anchor"))
-    rows = C.materialise(rows.join(shared, "anchor", "left_semi"))
+    rows = C.materialise(blocks.join(shared, "anchor", "left_semi"))
+    C.discard(blocks, shared)
 
     # reference blocks: one row for each content, held by its first document
-    index = C.materialise(rows.groupBy("anchor", "b1", "b2").agg(F.min(F.struct("doc", "first")).alias("owner")))
-    heads = index.groupBy("anchor").agg(F.min("owner").alias("reference"), F.max("owner.doc").alias("high"))
+    owners = C.materialise(rows.groupBy("anchor", "b1", "b2").agg(F.min(F.struct("doc", "first")).alias("owner")))
+    heads = owners.groupBy("anchor").agg(F.min("owner").alias("reference"), F.max("owner.doc").alias("high"))
     heads = C.materialise(heads.where("reference.doc < high").select("anchor", "reference"))
-    index = C.materialise(index.join(heads, "anchor", "left"))
+    index = C.materialise(owners.join(heads, "anchor", "left"))
     parsed = C.materialise(rows.join(index, ["anchor", "b1", "b2"]).where("owner.doc < doc OR reference IS NOT NULL"))
+    C.discard(rows, owners, heads, index)
     whole = parsed.where("owner.doc < doc").select(
         "doc",
         "text_hash",
@@ -305,15 +309,18 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int = WI
         .groupBy("doc", "text_hash")
         .agg(F.collect_list(F.struct("first", "windows", "anchor", "head")).alias("blocks"))
     )
-    pieces = C.materialise(_piece_rows(texts.join(C.materialise(listed), ["doc", "text_hash"]), window, run))
+    listed = C.materialise(listed)
+    pieces = C.materialise(_piece_rows(texts.join(listed, ["doc", "text_hash"]), window, run))
     # texts of one doc_id may share a reference place: one of them is laid against
     named = [F.col(c).alias(f"ref_{c}") for c in ("doc", "first", "at", "words")]
     reference = pieces.where("head").select("anchor", F.struct("text_hash", *named).alias("r"))
     reference = reference.groupBy("anchor").agg(F.min("r").alias("r")).select("anchor", "r.*").drop("text_hash")
-    pairs = pieces.join(C.materialise(reference), "anchor", "left")
+    reference = C.materialise(reference)
+    pairs = pieces.join(reference, "anchor", "left")
     earlier = F.col("ref_doc") < F.col("doc")
     pairs = pairs.withColumns({f"ref_{c}": F.when(earlier, F.col(f"ref_{c}")) for c in ("doc", "first", "at", "words")})
     found = C.materialise(_copies(pairs.drop("head", "anchor"), window))
+    C.discard(listed, pieces, reference)
     extended = found.where("source IS NOT NULL").drop("w1", "w2")
 
     # windows at factor boundaries
@@ -328,7 +335,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int = WI
         F.col("low.doc").alias("source"),
         F.col("low.first").alias("source_first"),
     )
-    return whole.unionByName(extended).unionByName(boundary)
+    return whole.unionByName(extended).unionByName(boundary), [parsed, found, least]
 
 
 def greedy_parse(copies: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -387,9 +394,10 @@ def dedup_substrings(
     runs of words taken out and the earlier document and place that has
     them)."""
     C.prepare(docs.sparkSession)
-    copies = repeated_spans(docs, id_col, text_col, window, run).distinct()
+    copies, read = repeated_spans(docs, id_col, text_col, window, run)
     entry = F.struct("first", "words", "source", "source_first")
-    listed = C.materialise(copies.groupBy("doc", "text_hash").agg(F.collect_list(entry).alias("copies")))
+    listed = C.materialise(copies.distinct().groupBy("doc", "text_hash").agg(F.collect_list(entry).alias("copies")))
+    C.discard(*read)
     texts = docs.select(
         C.packed(docs, carry),
         F.col(C.quoted(id_col)).cast("long").alias("doc"),
