@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the
 columns of ``documents``; the last returns packed bins.  ``run`` writes each
-stage's result as Parquet in the shared checkpoint folder and reads it back
-for the next one.
+stage's result as Parquet in the shared checkpoint folder, reads it back for
+the next one and then deletes what came before.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from churnframe.llm import decontaminate, packing, secret_scan, simhash, toxicity
-from churnframe.llm.common import materialise, table
+from churnframe.llm.common import discard, materialise, table
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -27,6 +27,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        before, docs = docs, materialise(stage(spark, docs, sf_dir))
+        if k:
+            discard(before)
     return docs
