@@ -195,9 +195,10 @@ def _tenant_score(tenant: str) -> str:
         "SELECT tenant_id, CAST(customer_id AS VARCHAR) AS customer_id, 'v1' AS model_version, round(CASE tenant_id "
         + " ".join(f"WHEN '{t}' THEN {_tenant_score(t)}" for t in TENANT_TREES)
         + f""" END, 9) AS churn_probability, contract,
-       CASE WHEN tenant_id = '{INTEGER_LABEL}' THEN CASE churn WHEN 'Yes' THEN '1' ELSE '0' END ELSE churn END AS label
+       CASE WHEN tenant_id = '{INTEGER_LABEL}' THEN CASE churn WHEN 'Yes' THEN '1' ELSE '0' END ELSE churn END AS label,
+       '2001-01-01 00:00' AS created_at, '2001-01-01 00:00' AS predicted_at
 FROM snap
-UNION ALL SELECT '{UNTRAINED}', CAST(customer_id AS VARCHAR), NULL, NULL, contract, churn
+UNION ALL SELECT '{UNTRAINED}', CAST(customer_id AS VARCHAR), NULL, NULL, contract, churn, '2001-01-01 00:00', NULL
 FROM snap WHERE tenant_id = 'ASIA' AND customer_id % 10 = 0""",
     ),
 )
@@ -220,8 +221,10 @@ def q_load_job(spark: SparkSession, sf: str) -> DataFrame:
             "customer_id",
             F.get_json_object(body, "$.contract").alias("contract"),
             F.get_json_object(body, f"$.{specs[tenant].target_column}").alias("label"),
+            F.date_format("created_at", "yyyy-MM-dd HH:mm").alias("created_at"),
         )
-        scores = tenant_scope(spark, predictions, tenant, PREDICTIONS_SCHEMA).drop("predicted_at", "tenant_id")
+        scores = tenant_scope(spark, predictions, tenant, PREDICTIONS_SCHEMA).drop("tenant_id")
+        scores = scores.withColumn("predicted_at", F.date_format("predicted_at", "yyyy-MM-dd HH:mm"))
         rows = who.join(scores, "customer_id", "left")
         out = rows if out is None else out.unionByName(rows)
     return out.withColumn("churn_probability", F.round("churn_probability", 9))
