@@ -65,14 +65,15 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-GROUPS_PER_TASK = 32
+GROUPS_PER_TASK, MORE_GROUPS_PER_TASK, MANY_TASKS = 8, 64, 1_000
 
 
 def dealt(df: DataFrame, column: str, groups: int) -> DataFrame:
-    """``df`` shuffled by ``column`` into tasks of about ``GROUPS_PER_TASK``
-    groups, and no fewer tasks than there are cores."""
+    """``df`` shuffled by ``column`` into tasks of a few groups each, of more
+    once there are many tasks, and no fewer tasks than there are cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(cores, -(-groups // GROUPS_PER_TASK)), column)
+    few = min(-(-groups // GROUPS_PER_TASK), MANY_TASKS)
+    return df.repartition(max(cores, few, -(-groups // MORE_GROUPS_PER_TASK)), column)
 
 
 def map_batches(
