@@ -84,7 +84,7 @@ _MARKS = ".,;:?\"'[]{}<>%&#-_/\\=~`«»“”…"  # never letters
 _INNER = re.compile(r"(?:[^\w@$!|+(*]|_)+")
 _STRETCH = re.compile(r"([^\W\d_])\1\1")
 # single characters (a letter, a digit, a sign) with white space or marks between
-_DOUBLE = re.compile(r"([^\W\d_])\1.*?([^\W\d_])\2.*?([^\W\d_])\3")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+(*])(?:(?>(?:[^\w@$!|+(]|_)+)(?:[^\W_]|[@$!|+(])(?![^\W_])){2,}")
 _SINGLE = re.compile(r"([^\W_]|[@$!|+(*])((?:[^\w@$!|+(*]|_)*)")
 
@@ -184,7 +184,7 @@ def readings(token: str, model: np.ndarray) -> list[str]:
     out = [core] if core else []
     if _STRETCH.search(core):
         out.append(decode(core, model))
-    elif _DOUBLE.search(core) and core.isalpha():
+    elif len(core) >= 6 and len(_DOUBLE.findall(core)) >= 3 and core.isalpha():
         runs = _runs(core)
         doubled = sum(n == 2 for _, n in runs)
         if doubled >= 3 and 2 * doubled >= len(runs):  # no plain word doubles so many of its letters
@@ -246,6 +246,12 @@ def _spaced_readings(chars: list[tuple[str, int]], model: np.ndarray) -> list[st
     return [joined, *_best(steps[:-1], model).split()]
 
 
+def _piece(token: str) -> str:
+    """The letters of a token that may be a piece of a cut word, or nothing."""
+    core = token if token.isalpha() else token.strip(_EDGE)
+    return core if len(core) <= PIECE and core.isalpha() else ""
+
+
 def word_features(word: str) -> list[str]:
     """The word, and its beginnings marked with a dash."""
     return [word, *(word[:k] + "-" for k in PREFIXES if len(word) > k)]
@@ -266,19 +272,23 @@ class Reader:
         self.model, self.known = model, {}
         self.limit = COUNTED if wanted is None else CACHE
         self.wanted = None if wanted is None else {f.rstrip("+") if f.endswith("-+") else f for f in wanted}
-        self.longest = max((len(f) for f in self.wanted or () if f[-1] != "-"), default=0)
-        self.inner = sorted({len(f) for f in self.wanted or () if len(f) >= INNER and f[-1] != "-"})
+        whole = [f for f in self.wanted or () if len(f) >= INNER and f[-1] != "-"]
+        self.beginnings = {w[:k] for w in whole for k in range(1, len(w) + 1)}
+        self.inner = sorted(set(map(len, whole)))
 
     def of_word(self, word: str) -> list[str]:
         own = word_features(word)
         return own if self.wanted is None else [f for f in own if f in self.wanted]
 
-    def token(self, token: str) -> tuple[str, ...]:
+    def token(self, token: str) -> tuple[tuple[str, ...], bool]:
+        """Features of a token, and whether an evidence word may begin with it
+        as its first piece."""
         own = self.known.get(token)
         if own is None:
             if len(self.known) > self.limit:
                 self.known.clear()
-            own = self.known[token] = tuple({f for w in readings(token, self.model) for f in self.of_word(w)})
+            found = tuple({f for w in readings(token, self.model) for f in self.of_word(w)})
+            own = self.known[token] = (found, _piece(token) in self.beginnings)
         return own
 
     def spaced(self, text: str) -> list[str]:
@@ -294,15 +304,17 @@ class Reader:
                 out += [w for a in range(len(word)) for k in self.inner if (w := word[a : a + k]) in self.wanted and len(w) == k]
         return out
 
-    def joined(self, words: list[str]) -> list[str]:
-        """Evidence words that neighbouring short pieces make together."""
-        out, pieces = [], [w.strip(_EDGE) if len(w) <= 2 * PIECE else "" for w in words]
-        pieces = [p if len(p) <= PIECE and p.isalpha() else "" for p in pieces]
-        for k, whole in enumerate(pieces):
-            if whole:
-                for piece in pieces[k + 1 : k + PIECES]:
+    def joined(self, words: list[str], heads: set[str]) -> list[str]:
+        """Evidence words that neighbouring short pieces make together; the
+        first piece is one of ``heads``."""
+        out = []
+        for k, word in enumerate(words):
+            if word in heads:
+                whole = _piece(word)
+                for other in words[k + 1 : k + PIECES]:
+                    piece = _piece(other)
                     whole += piece
-                    if not piece or len(whole) > self.longest:
+                    if not piece or whole not in self.beginnings:
                         break
                     if len(whole) >= INNER and whole in self.wanted:
                         out += self.of_word(whole)
@@ -313,13 +325,17 @@ class Reader:
         words = text.split()
         tokens = Counter(words)
         counts: dict[str, int] = {}
+        heads = set()
         for token, n in tokens.items():
-            for f in self.token(token):
+            found, head = self.token(token)
+            if head:
+                heads.add(token)
+            for f in found:
                 counts[f] = counts.get(f, 0) + n
         for f in self.spaced(text):
             counts.setdefault(f, 1)
-        if self.wanted:
-            for f in self.joined(words):
+        if heads:
+            for f in self.joined(words, heads):
                 counts.setdefault(f, 1)
         return with_dense(counts, tokens.total())
 
