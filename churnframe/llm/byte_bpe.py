@@ -59,6 +59,23 @@ ONE = [1 << i for i in range(1 << 12)]  # bits; enough words for a million ranks
 MARGIN = 4  # a pre-token that ends this far before a cut does not depend on it
 
 
+class Memory(dict):
+    """Ids of pre-tokens seen before.  A new one gets an empty list, kept in
+    ``pending``, which is filled when the new ones are merged together."""
+
+    def __init__(self, older: dict[str, tuple[int, ...]]):
+        super().__init__()
+        self.older = older
+        self.pending: dict[str, list[int]] = {}
+
+    def __missing__(self, piece: str) -> Sequence[int]:
+        ids = self.older.get(piece)
+        if ids is not None:
+            self[piece] = ids
+            return ids
+        return self.pending.setdefault(piece, [])
+
+
 class Codec:
     """Ids of texts and bytes of ids for one vocabulary (a file of base64
     texts and ranks)."""
@@ -72,10 +89,11 @@ class Codec:
             self.texts[rank] = text
         self.words = [0] * ((size >> BITS) + 1)  # the queue's bitmap, empty between two calls of merge
         self.pairs = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
-        self.sizes = np.array([*map(len, self.texts), 0])
+        self.sizes = np.array([*map(len, self.texts), 0])  # the last one stands for no entry
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.blob = np.frombuffer(b"".join(self.texts), np.uint8)
         self.cut = regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}  # since the last change of memories
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known = Memory({})
 
     def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of pre-tokens that are no entries themselves.  They lie one
@@ -191,64 +209,58 @@ class Codec:
     def ids_all(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text.  New pre-tokens are merged together."""
         out: list[list[int]] = [[] for _ in texts]
-        held: list[tuple] = []
-        new: set[str] = set()
-
-        def settle() -> None:
-            fresh = self.fresh(new)
-            for own, found, ids in held:
-                if None in ids:
-                    ids = [fresh[piece] if i is None else i for piece, i in zip(found, ids)]
-                own.extend(chain.from_iterable(ids))
-            held.clear()
-            new.clear()
-
+        held: list[tuple[list[int], list[Sequence[int]]]] = []
         waiting = 0
         for own, text in zip(out, texts):
             for found in self.pieces(text):
-                ids = list(map(self.known.get, found))
-                if None in ids:
-                    new.update([piece for piece, i in zip(found, ids) if i is None])
-                held.append((own, found, ids))
+                held.append((own, list(map(self.known.__getitem__, found))))
                 waiting += len(found)
                 if waiting > TOGETHER:
-                    settle()
+                    self.settle(held)
                     waiting = 0
-        settle()
+        self.settle(held)
         return out
 
-    def fresh(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of pre-tokens that the newer memory does not hold; the older
-        one is given up when the newer one is full."""
-        out, todo = {}, []
-        for piece in pieces:
-            ids = self.older.get(piece)
-            if ids is None:
-                whole = self.ranks.get(piece.encode())
-                if whole is None:
-                    todo.append(piece)
-                    continue
-                ids = (whole,)
-            out[piece] = ids
-        out.update(zip(todo, self.merge([piece.encode() for piece in todo])))
-        for piece, ids in out.items():
-            if len(piece) <= LONGEST_REMEMBERED:
-                if len(self.known) >= REMEMBERED:
-                    self.older, self.known = self.known, {}
-                self.known[piece] = ids
-        return out
+    def settle(self, held: list[tuple[list[int], list[Sequence[int]]]]) -> None:
+        """Fills the lists of the pending pre-tokens, then the texts' ids.  When
+        the memory is full, it becomes the older one, and that is given up."""
+        known, pending = self.known, self.known.pending
+        todo = []
+        for piece, ids in pending.items():
+            whole = self.ranks.get(piece.encode())
+            if whole is None:
+                todo.append(piece)
+            else:
+                ids.append(whole)
+        for piece, ids in zip(todo, self.merge([piece.encode() for piece in todo])):
+            pending[piece].extend(ids)
+        for own, ids in held:
+            own.extend(chain.from_iterable(ids))
+        held.clear()
+        known.update((piece, tuple(ids)) for piece, ids in pending.items() if len(piece) <= LONGEST_REMEMBERED)
+        pending.clear()
+        if len(known) >= REMEMBERED:
+            known.older = {}
+            self.known = Memory(known)
 
     def decode(self, ids: Sequence[int | None]) -> bytes:
         return self.decode_all(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
 
     def decode_all(self, lists: pa.ListArray) -> pa.Array:
-        """The bytes of each list of ids."""
+        """The bytes of each list of ids: gathered from all entries' texts."""
         ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
         ids = lists.flatten().fill_null(-1).to_numpy()
-        ids = np.where((ids >= 0) & (ids < len(self.texts)), ids, len(self.texts))
-        whole = b"".join(map([*self.texts, b""].__getitem__, ids.tolist()))
-        at = np.concatenate([[0], np.cumsum(self.sizes[ids])])[ends]
-        return pa.array([whole[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+        none = len(self.texts)
+        ids = np.where((ids >= 0) & (ids < none), ids, none)
+        parts = []
+        for at in range(0, len(ids), TOGETHER):
+            some = ids[at : at + TOGETHER]
+            size = self.sizes[some]
+            shift = self.starts[some] - (np.cumsum(size) - size)
+            parts.append(self.blob[np.repeat(shift, size) + np.arange(size.sum())].tobytes())
+        at = np.concatenate([[0], np.cumsum(self.sizes[ids])])[ends].astype(np.int32)
+        buffers = [None, pa.py_buffer(at.tobytes()), pa.py_buffer(b"".join(parts))]
+        return pa.Array.from_buffers(pa.binary(), len(lists), buffers)
 
 
 _CODECS: dict[tuple, Codec] = {}
