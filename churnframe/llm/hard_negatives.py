@@ -343,7 +343,6 @@ class Index:
                 parts.append((q_ids[owner[n]], slot[n], v, s))
             return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=arrow)
 
-        # a numpy search of a group takes far longer than its few bytes tell
         rows = self.blocks(chunks).groupBy("block", "chunk")
         found = rows.cogroup(self.sent(anchors, chunks, same).groupBy("block", "chunk")).applyInArrow(run, schema)
         order = Window.partitionBy("anchor_id", "slot").orderBy(F.desc("score"), "vec_id")
