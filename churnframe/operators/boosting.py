@@ -19,9 +19,11 @@ new tree then splits alike, its lower levels are known already.
 The rows are blocks of bins (a byte for each value) with label and raw score,
 cached on the executors.  A fit is hundreds of passes of a few milliseconds of
 work; planning a query for each would cost more than the pass, so the passes
-aggregate the cached blocks directly (over many partitions in a tree,
-``treeReduce``), and only histograms - nodes x features x bins - reach the
-driver.  Every ``CHECKPOINT`` trees the blocks go to the shared checkpoint
+aggregate the cached blocks directly.  The histograms of the partitions meet on
+the executors, feature by feature and in the partitions' order (the sums are
+the same in every run), and a feature's best splits are found there: what
+reaches the driver has one short row per node and feature, whatever the number
+of rows, partitions and bins.  Every ``CHECKPOINT`` trees the blocks go to the shared checkpoint
 folder, so a lost executor costs a few trees and not the fit.
 
 Scoring is a vectorised Arrow function of the inputs; as nested CASE
@@ -48,7 +50,8 @@ from churnframe.session import ensure_checkpoint_dir, iteration_partitions, ship
 MAX_BINS = 256
 BLOCK_ROWS = 262_144
 CHECKPOINT = 20
-DIRECT = 32  # partitions whose sums are added up without a tree
+DIRECT = 1  # partitions whose sums need no exchange
+FAN = 256  # partitions' sums that one task adds up
 
 
 @dataclass
@@ -294,9 +297,12 @@ Path = tuple[int, ...]  # from the root: 0 left, 1 right
 Cuts = dict[Path, tuple[int, int]]  # (feature, bin edge) of inner nodes
 
 
-def _histograms(blocks, parts: int, cuts: Cuts, asked: list[Path], widths: list[int], logistic: bool) -> dict[Path, np.ndarray]:
-    """For the ``asked`` nodes and all nodes that ``cuts`` has below them:
-    (3, bin of every feature side by side) - residuals, curvatures, rows."""
+def _histograms(
+    blocks, parts: int, cuts: Cuts, asked: list[Path], widths: list[int], logistic: bool
+) -> dict[Path, tuple[np.ndarray, "Split | None"]]:
+    """For the ``asked`` nodes and all nodes that ``cuts`` has below them: the
+    sums - residuals, curvatures, rows - and the best split, from histograms
+    that stay on the executors."""
     number, splits = {(): 0}, []
     for path in sorted(cuts, key=len):
         if path in number:
@@ -304,13 +310,20 @@ def _histograms(blocks, parts: int, cuts: Cuts, asked: list[Path], widths: list[
             number[path + (0,)], number[path + (1,)] = left, left + 1
             splits.append((number[path], *cuts[path], left))
     lowest = [p for p in number if p + (0,) not in number and any(p[: len(a)] == a for a in asked)]
-    size, ends = len(number), np.cumsum([0, *widths])
+    size = len(number)
     slot = np.full(size, -1)
     slot[[number[p] for p in lowest]] = np.arange(len(lowest))
     n_slots = len(lowest)
+    # a node's sums are those of the lowest nodes in it
+    within: dict[Path, list[int]] = {}
+    for k, path in enumerate(lowest):
+        for up in range(len(path) + 1):
+            if any(path[:up][: len(a)] == a for a in asked):
+                within.setdefault(path[:up], []).append(k)
 
-    def sums(part: Iterator[Block]) -> list[np.ndarray]:
-        total = np.zeros((3, n_slots, ends[-1]))
+    def sums(index: int, part: Iterator[Block]) -> Iterator[tuple[int, tuple[int, np.ndarray]]]:
+        """(feature, (partition, its histogram of the feature))"""
+        totals = [np.zeros((3, n_slots, width)) for width in widths]
         for b in part:
             residual, curve = b.residuals(logistic)
             own = slot[b.place(splits, size)]
@@ -318,42 +331,70 @@ def _histograms(blocks, parts: int, cuts: Cuts, asked: list[Path], widths: list[
             whole = len(keep) == len(own)
             if not whole:
                 own, residual, curve = own[keep], residual[keep], curve[keep]
-            for f, (a, width) in enumerate(zip(ends, widths)):
+            for f, width in enumerate(widths):
                 cell = own * width + (b.bins[f] if whole else b.bins[f, keep])
                 for k, weight in enumerate((residual, curve, None)):
                     got = np.bincount(cell, weights=weight, minlength=n_slots * width)
-                    total[k, :, a : a + width] += got.reshape(n_slots, width)
-        return [total]
+                    totals[f][k] += got.reshape(n_slots, width)
+        for f, total in enumerate(totals):
+            yield f, (index, total)
+
+    def added(rows: Iterator[tuple]) -> Iterator[tuple]:
+        """(key, (least partition, sum)), added in the partitions' order."""
+        held: dict = {}
+        for key, value in rows:
+            held.setdefault(key, []).append(value)
+        for key, values in held.items():
+            values.sort(key=lambda v: v[0])
+            yield key, (values[0][0], sum(v for _, v in values))
+
+    def found(rows: Iterator[tuple]) -> Iterator[tuple]:
+        """(feature, its sums and best split of each node)"""
+        for f, (_, total) in rows:
+            nodes = (sum(total[:, k] for k in slots) for slots in within.values())
+            yield f, [(h.sum(1), _best_edge(h)) for h in nodes]
 
     if parts <= DIRECT:
-        total = sum(blocks.context.runJob(blocks, sums))
+        best = blocks.mapPartitionsWithIndex(lambda i, part: found(added(sums(i, part)))).collect()
     else:
-        total = blocks.mapPartitions(sums).treeReduce(np.add)
-    out: dict[Path, np.ndarray] = {}
-    for k, path in enumerate(lowest):
-        for up in range(len(path) + 1):  # its sums belong to every node above it
-            above = path[:up]
-            if any(above[: len(a)] == a for a in asked):
-                out[above] = out[above] + total[:, k] if above in out else total[:, k]
-    return out
-
-
-def _best_split(h: np.ndarray, widths: list[int]) -> tuple[float, int, int, np.ndarray] | None:
-    """(gain, feature, edge, left sums) of one node; ``h``: (3, bins)."""
-    best, at = None, 0
-    for f, width in enumerate(widths):
-        part = h[:, at : at + width]
-        at += width
-        left = np.cumsum(part, axis=1)[:, :-1]
-        total = part.sum(1)
-        n, m = left[2], total[2] - left[2]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = left[0] ** 2 / n + (total[0] - left[0]) ** 2 / m - total[0] ** 2 / total[2]
-        gain = np.where((n > 0) & (m > 0), gain, -np.inf)
-        if len(gain):
-            edge = int(gain.argmax())
-            if gain[edge] > 1e-12 * max(1.0, total[2]) and (best is None or gain[edge] > best[0] * (1 + 1e-12)):
-                best = (float(gain[edge]), f, edge, left[:, edge])
+        tasks = max(1, min(len(widths), blocks.context.defaultParallelism))
+        rows = blocks.mapPartitionsWithIndex(sums)
+        step = FAN
+        while step < parts:  # first by groups of neighbours, then groups of groups
+            groups = -(-parts // step)
+            rows = rows.map(lambda r, step=step: ((r[0], r[1][0] // step), r[1]))
+            rows = rows.partitionBy(tasks * groups, lambda key, groups=groups: key[0] % tasks * groups + key[1])
+            rows = rows.mapPartitions(added).map(lambda r: (r[0][0], r[1]))
+            step *= FAN
+        best = rows.partitionBy(tasks, lambda f: f % tasks).mapPartitions(lambda part: found(added(part))).collect()
+    by_feature = [b for _, b in sorted(best, key=lambda r: r[0])]
+    return {path: (by_feature[0][i][0], _best_split([b[i][1] for b in by_feature])) for i, path in enumerate(within)}
+
+
+Split = tuple[float, int, int, np.ndarray]  # gain, feature, edge, left sums
+
+
+def _best_edge(h: np.ndarray) -> tuple[float, int, np.ndarray] | None:
+    """(gain, edge, left sums) of a node by one feature; ``h``: (3, bins)."""
+    left = np.cumsum(h, axis=1)[:, :-1]
+    total = h.sum(1)
+    n, m = left[2], total[2] - left[2]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = left[0] ** 2 / n + (total[0] - left[0]) ** 2 / m - total[0] ** 2 / total[2]
+    gain = np.where((n > 0) & (m > 0), gain, -np.inf)
+    if len(gain):
+        edge = int(gain.argmax())
+        if gain[edge] > 1e-12 * max(1.0, total[2]):
+            return float(gain[edge]), edge, left[:, edge].copy()
+    return None
+
+
+def _best_split(edges: list[tuple[float, int, np.ndarray] | None]) -> Split | None:
+    """The best of the features' best edges; ties go to the first feature."""
+    best = None
+    for f, found in enumerate(edges):
+        if found is not None and (best is None or found[0] > best[0] * (1 + 1e-12)):
+            best = (found[0], f, *found[1:])
     return best
 
 
@@ -371,7 +412,7 @@ def grow(
     nodes, number, splits, frontier = [Node()], {(): 0}, [], [()]
     cuts: Cuts = {}
     used: Cuts = {}
-    known: dict[Path, np.ndarray] = {}
+    known: dict[Path, tuple[np.ndarray, Split | None]] = {}
     for _ in range(depth):
         asked = [p for p in frontier if p not in known]
         if asked:
@@ -381,10 +422,8 @@ def grow(
             known.update(_histograms(blocks, parts, used, asked, widths, logistic))
         further = []
         for path in frontier:
-            h, node = known[path], nodes[number[path]]
-            total = h[:, : widths[0]].sum(1)
+            (total, found), node = known[path], nodes[number[path]]
             node.rows, node.value = int(round(total[2])), _leaf(total)
-            found = _best_split(h, widths)
             if found is None or used.get(path) != found[1:3]:  # what lies below was another guess's
                 known = {p: v for p, v in known.items() if p[: len(path)] != path or p == path}
             if found is None:

@@ -1,9 +1,11 @@
 """Histogram boosting against plain exact-greedy trees, and exact quantiles."""
 
 import math
+import pickle
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from churnframe.operators import boosting as B
@@ -95,6 +97,25 @@ def test_guesses_save_passes_and_change_nothing(data, monkeypatch):
         assert [x.value for x in a] == pytest.approx([x.value for x in b], rel=1e-9)
 
 
+def test_what_reaches_the_driver_does_not_grow_with_partitions(data, monkeypatch):
+    *_, df = data
+    sent, models = [], []
+    real = RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda rdd: sent.append(real(rdd)) or sent[-1])
+    # 2: sums of sums, over several rounds
+    for parts, fan in ((1, 256), (3, 256), (12, 256), (12, 2)):
+        monkeypatch.setattr(B, "iteration_partitions", lambda spark, n: parts)
+        monkeypatch.setattr(B, "FAN", fan)
+        sent.clear()
+        models.append(B.fit_trees(df.repartition(12), ["a", "b", "c"], "y", ["a", "b", "c"], 500, True, n_trees=4, depth=3, rate=0.3))
+        assert sent and all(len(rows) == 3 for rows in sent)  # one row per feature
+        assert max(len(pickle.dumps(rows)) for rows in sent) < 8000
+    for m in models[1:]:
+        for a, b in zip(models[0].trees, m.trees, strict=True):
+            assert [(x.feature, x.threshold, x.rows) for x in a] == [(x.feature, x.threshold, x.rows) for x in b]
+            assert [x.value for x in a] == pytest.approx([x.value for x in b], rel=1e-9)
+
+
 def test_save_load_importance_and_constant_label(data, spark, scratch):
     *_, df = data
     model = B.fit_trees(df, ["a", "b", "c"], "z", ["a", "b", "c"], 500, False, n_trees=5, depth=3, rate=0.1)
